@@ -57,7 +57,7 @@ ACCOUNT_LAYOUT = Layout(
     folders=f"%s/{LOG_FOLDER}/%s",
     day_format="%Y/%m/%d",
     month_format="%Y/%m/*",
-    pattern=r"(?:^|/)([^/]+)/([^/]+)/([^/]+)/(\d{4})/(\d{2})/(\d{2})/?$",
+    pattern=rf"(?:^|/)([^/]+)/({LOG_FOLDER}[^/]*)/([^/]+)/(\d{{4}})/(\d{{2}})/(\d{{2}})/?$",
     keys=DELIVERED_KEYS,
 )
 

@@ -63,9 +63,8 @@ def create_flat_log_table(spark: SparkSession, table: str, location: str) -> Non
 
 def create_partitioned_log_table(spark: SparkSession, table: str, location: str) -> None:
     """Envelopes by delivery folder; ``add_partitions`` points its keys at the folders."""
-    schema = envelope_schema()
-    for key in DELIVERED_KEYS:
-        schema = schema.add(key, "string")
+    keys = [T.StructField(key, T.StringType()) for key in DELIVERED_KEYS]
+    schema = T.StructType([*envelope_schema().fields, *keys])
     create_table(spark, table, schema, "json", location, DELIVERED_KEYS, multiLine="true", mode="FAILFAST")
 
 

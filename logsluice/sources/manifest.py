@@ -21,7 +21,7 @@ def leaf_prefixes(files: DataFrame) -> DataFrame:
     not files.
     """
     folders = files.where(~is_digest("path")).select(folder_of("path").alias("location")).distinct()
-    parts = F.split(F.rtrim(F.lit("/"), "location"), "/")
+    parts = F.split(F.rtrim("location", F.lit("/")), "/")
     parents = folders.where(F.size(parts) > 1).select(
         F.explode(
             F.transform(

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.operators.runs import failure_runs, last_runs
 from logsluice.streaming.alarms import DELIVERY_DELAY
 
+_RUN = T.StructField("run", T.LongType())
+
 
 def watch_failure_runs(
     probes: DataFrame,
@@ -31,7 +34,7 @@ def watch_failure_runs(
     spark = probes.sparkSession
     ts = order[0]
     columns = probes.columns
-    state_schema = probes.select(*keys).schema.add("run", "bigint")
+    state_schema = T.StructType([*probes.select(*keys).schema.fields, _RUN])
     cutoff_schema = probes.select(F.col(ts).alias("cutoff")).schema
 
     def part(name: str, batch_id: int) -> str:
@@ -91,5 +94,6 @@ def _scalar(one_row: DataFrame):
 
 def read_runs(probes: DataFrame, root: str) -> DataFrame:
     """All rows finished so far."""
-    schema = probes.schema.add("run", "bigint").add("unhealthy", "boolean")
+    unhealthy = T.StructField("unhealthy", T.BooleanType())
+    schema = T.StructType([*probes.schema.fields, _RUN, unhealthy])
     return probes.sparkSession.read.schema(schema).parquet(f"{root}/runs/*")
