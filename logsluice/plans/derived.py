@@ -21,7 +21,7 @@ from logsluice.schemas import (
     PRICE_LIST_COLUMNS,
     PRICE_LIST_PREAMBLE_LINES,
 )
-from logsluice.session import scratch
+from logsluice.session import many_writers, scratch
 from logsluice.sources.manifest import file_manifest, leaf_prefixes
 
 # Largest number of records in one derived log file.
@@ -128,12 +128,9 @@ def log_tree(spark: SparkSession, sf_dir: str) -> str:
             .agg(F.array_join(F.collect_list("record"), ",").alias("records"))
             .select(*DELIVERED_KEYS, F.concat(F.lit('{"Records":['), "records", F.lit("]}")).alias("value"))
         )
-        (
-            envelopes.write.option("compression", "gzip")
-            .option("maxRecordsPerFile", 1)
-            .partitionBy(*DELIVERED_KEYS)
-            .text(path)
-        )
+        writer = envelopes.write.option("compression", "gzip").option("maxRecordsPerFile", 1)
+        with many_writers(spark):
+            writer.partitionBy(*DELIVERED_KEYS).text(path)
 
     return once(spark, sf_dir, "logs", make)
 

@@ -45,6 +45,8 @@ EVENTS_AS_OF = date(2024, 1, 30)
 AUDIT_AS_OF = date(2024, 2, 10)
 AUDIT_MONTH = (2024, 2)
 EVENT_KEYS = ("event_type", "year", "month", "day")
+# A coarser lake for the loads of many days; the incremental load keeps all eight keys.
+DAY_KEYS = ("account_id", "service", "region", "year", "month", "day")
 NOISE = ("the the", "an.")
 
 _queries: dict[str, Query] = {}
@@ -415,13 +417,16 @@ def _loaded(spark: SparkSession, load: Callable[[str], object]) -> DataFrame:
 @query
 def job_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = derived.log_tree(spark, sf_dir)
-    return _loaded(spark, lambda dest: jobs.backfill(spark, root, dest, HIVE_LAYOUT))
+    return _loaded(spark, lambda dest: jobs.backfill(spark, root, dest, HIVE_LAYOUT, DAY_KEYS))
 
 
 @query
 def job_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = derived.log_tree(spark, sf_dir)
-    return _loaded(spark, lambda dest: jobs.backfill_month(spark, root, dest, *AUDIT_MONTH, HIVE_LAYOUT))
+    return _loaded(
+        spark,
+        lambda dest: jobs.backfill_month(spark, root, dest, *AUDIT_MONTH, HIVE_LAYOUT, DAY_KEYS),
+    )
 
 
 @query
@@ -434,7 +439,8 @@ def job_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = derived.log_tree(spark, sf_dir)
     return _loaded(
-        spark, lambda dest: jobs.incremental_lookback(spark, root, dest, AUDIT_AS_OF, 7, HIVE_LAYOUT)
+        spark,
+        lambda dest: jobs.incremental_lookback(spark, root, dest, AUDIT_AS_OF, 7, HIVE_LAYOUT, DAY_KEYS),
     )
 
 

@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from logsluice.schemas import LAKE_KEYS, lake_schema
+from logsluice.session import many_writers
 
 
 def spread_by_keys(frame: DataFrame, keys: Sequence[str] = LAKE_KEYS) -> DataFrame:
     """Bring the rows of one lake partition together before a write, for few files per partition.
 
-    REBALANCE lets adaptive execution split a hot partition over several tasks and merge the
-    small ones, so one busy account does not end up in one writer.
+    REBALANCE lets adaptive execution split a hot partition over several tasks, so one busy
+    account does not end up in one writer.
     """
     return frame.hint("rebalance", *keys)
 
 
 def write_lake(frame: DataFrame, dest: str, keys: Sequence[str] = LAKE_KEYS) -> None:
     """Append ``frame`` to the lake at ``dest``; an empty frame adds no rows."""
-    spread_by_keys(frame, keys).write.mode("append").partitionBy(*keys).parquet(dest)
+    with many_writers(frame.sparkSession):
+        spread_by_keys(frame, keys).write.mode("append").partitionBy(*keys).parquet(dest)
 
 
 def read_lake(spark: SparkSession, dest: str, schema: T.StructType | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.schemas import LAKE_KEYS
+from logsluice.session import many_writers
 from logsluice.sources.lake import spread_by_keys
 
 
@@ -21,7 +22,7 @@ def ingest(
     commits a batch as a whole; readers see it through the sink's own log. Late rows go to the
     partition of their event time, since nothing here drops them. One load per lake at a time.
     """
-    query = (
+    writer = (
         spread_by_keys(rows, keys)
         .writeStream.format("parquet")
         .partitionBy(*keys)
@@ -29,7 +30,8 @@ def ingest(
         .option("checkpointLocation", f"{dest.rstrip('/')}/_checkpoint")
         .options(**options)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    with many_writers(rows.sparkSession):
+        query = writer.start()
+        query.awaitTermination()
     return query
