@@ -6,26 +6,30 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.schemas import DELIVERED_KEYS
 
+_TO_THE_END = 2**31 - 1
+
 
 @dataclass(frozen=True)
 class Layout:
     """Where a log tree keeps a delivery day.
 
     ``folders`` names the folders between the root and the day, with a ``%s`` for the account
-    and one for the region. ``day_format`` and ``month_format`` are strftime patterns,
-    ``pattern`` captures ``keys`` from a folder path.
+    and one for the region. ``day_format`` and ``month_format`` are strftime patterns.
+    ``pattern`` is what a folder path must look like for its last folders to be ``keys``, which
+    are plain values or ``key=value``.
     """
 
     folders: str
     day_format: str
     month_format: str
     pattern: str
-    keys: tuple[str, ...]
+    named: bool = False
+    keys: tuple[str, ...] = DELIVERED_KEYS
 
     def folder(self, root: str, account: Column, region: Column, day: date) -> Column:
         """One account's and region's folder for ``day``, with a trailing ``/``."""
@@ -57,8 +61,7 @@ ACCOUNT_LAYOUT = Layout(
     folders=f"%s/{LOG_FOLDER}/%s",
     day_format="%Y/%m/%d",
     month_format="%Y/%m/*",
-    pattern=rf"(?:^|/)([^/]+)/({LOG_FOLDER}[^/]*)/([^/]+)/(\d{{4}})/(\d{{2}})/(\d{{2}})/?$",
-    keys=DELIVERED_KEYS,
+    pattern=rf"^(?:.*/)?[^/]+/{LOG_FOLDER}[^/]*/[^/]+/\d{{4}}/\d{{2}}/\d{{2}}/?$",
 )
 
 # The same keys in ``key=value`` folders, which is how Spark itself lays a tree out.
@@ -67,21 +70,26 @@ HIVE_LAYOUT = Layout(
     day_format="year=%Y/month=%m/day=%d",
     month_format="year=%Y/month=%m/*",
     pattern=(
-        r"(?:^|/)accountid=([^/]+)/type=([^/]+)/region=([^/]+)"
-        r"/year=(\d{4})/month=(\d{2})/day=(\d{2})/?$"
+        rf"^(?:.*/)?accountid=[^/]+/type={LOG_FOLDER}[^/]*/region=[^/]+"
+        r"/year=\d{4}/month=\d{2}/day=\d{2}/?$"
     ),
-    keys=ACCOUNT_LAYOUT.keys,
+    named=True,
 )
 
 
-def path_values(path: Column | str, layout: Layout = ACCOUNT_LAYOUT) -> dict[str, Column]:
-    """One column per layout key, counted from the right end; NULL when the path does not fit."""
-    path = F.col(path) if isinstance(path, str) else path
-    fits = path.rlike(layout.pattern)
-    return {
-        key: F.when(fits, F.regexp_extract(path, layout.pattern, i))
-        for i, key in enumerate(layout.keys, start=1)
-    }
+def with_path_values(frame: DataFrame, path: str, layout: Layout = ACCOUNT_LAYOUT) -> DataFrame:
+    """Add one column per layout key, counted from the right end of ``path``.
+
+    All are NULL when the path does not fit. A path is matched and split once for all keys.
+    """
+    folders = F.split(F.rtrim(path, F.lit("/")), "/")
+    fitting = frame.withColumn("_folders", F.when(F.col(path).rlike(layout.pattern), folders))
+
+    def value(n: int, key: str) -> Column:
+        folder = F.element_at("_folders", n - len(layout.keys))
+        return F.substring(folder, len(key) + 2, _TO_THE_END) if layout.named else folder
+
+    return fitting.withColumns({k: value(n, k) for n, k in enumerate(layout.keys)}).drop("_folders")
 
 
 def folder_of(path: Column | str) -> Column:

@@ -7,12 +7,12 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, path_values, recent_days
+from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, recent_days, with_path_values
 
 
 def parse_locations(locations: DataFrame, layout: Layout = ACCOUNT_LAYOUT) -> DataFrame:
     """Add the layout's key values to each ``location``."""
-    return locations.withColumns(path_values("location", layout))
+    return with_path_values(locations, "location", layout)
 
 
 def well_formed(parsed: DataFrame, layout: Layout = ACCOUNT_LAYOUT) -> DataFrame:

@@ -5,9 +5,8 @@ Written trees and tables are made once per session and input folder, below the s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -229,17 +228,13 @@ def price_list_files(spark: SparkSession, sf_dir: str) -> str:
     cells = [
         F.concat(F.lit('"'), sources.get(name, F.lit("")), F.lit('"')) for name in PRICE_LIST_COLUMNS
     ]
-    preamble = [f'"line {n}","of, the preamble"' for n in range(PRICE_LIST_PREAMBLE_LINES)]
-
-    def with_preamble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
-            if n == 0:
-                yield pa.RecordBatch.from_pydict({"value": preamble}, schema=batch.schema)
-            yield batch
+    preamble = "".join(f'"line {n}","of, the preamble"\n' for n in range(PRICE_LIST_PREAMBLE_LINES))
+    # A task writes one file, and its first row is the one with no count below the task number.
+    first_of_file = F.monotonically_increasing_id() % 2**33 == 0
 
     def make(path: str) -> None:
-        lines = table(spark, sf_dir, "part").select(F.concat_ws(",", *cells).alias("value"))
-        lines.mapInArrow(with_preamble, "value string").write.text(path)
+        line = F.concat(F.when(first_of_file, F.lit(preamble)).otherwise(""), F.concat_ws(",", *cells))
+        table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
 
     return once(spark, sf_dir, "price_list", make)
 

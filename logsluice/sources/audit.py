@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, folder_of, is_digest, path_values
+from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, folder_of, is_digest, with_path_values
 from logsluice.functions.timeparts import partition_date
 from logsluice.schemas import RECORD, envelope_schema
 
@@ -47,8 +47,10 @@ def explode_records(envelopes: DataFrame) -> DataFrame:
 
 def with_folder_keys(records: DataFrame, layout: Layout = ACCOUNT_LAYOUT) -> DataFrame:
     """Add the account and region of the folder a record was delivered to."""
-    values = path_values(folder_of("_file"), layout)
-    return records.withColumns({"_account": values["accountid"], "_region": values["region"]})
+    delivered = with_path_values(
+        records.select(folder_of("_file").alias("_folder"), F.struct("*").alias("_record")), "_folder", layout
+    )
+    return delivered.select("_record.*", F.col("accountid").alias("_account"), F.col("region").alias("_region"))
 
 
 def scan_table(spark: SparkSession, table: str) -> DataFrame:

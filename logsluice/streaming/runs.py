@@ -27,55 +27,53 @@ def watch_failure_runs(
     A per-key state function would put all rows of a busy endpoint into one task and would have
     to sort them there. Instead every batch runs the batch operator on the rows whose time has
     come (``order[0]`` at most the newest time minus ``delay``) and carries one number per key
-    into the next batch. Younger rows wait in ``root``/pending. Rows that miss their time are
-    kept in ``root``/late. Each batch writes only folders with its own id, so a retry replaces
-    them.
+    into the next batch. Younger rows wait in ``root``/held, where rows that missed their time
+    or have none are kept too, marked ``late``. Each batch writes only folders with its own id,
+    so a retry replaces them.
     """
-    spark = probes.sparkSession
     ts = order[0]
     columns = probes.columns
+    held_schema = T.StructType([*probes.schema.fields, T.StructField("late", T.BooleanType())])
     state_schema = T.StructType([*probes.select(*keys).schema.fields, _RUN])
     cutoff_schema = probes.select(F.col(ts).alias("cutoff")).schema
 
     def part(name: str, batch_id: int) -> str:
         return f"{root}/{name}/batch_id={batch_id}"
 
-    def previous(name: str, batch_id: int, schema) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(part(name, batch_id - 1))
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
 
-    def save(frame: DataFrame, name: str, batch_id: int, schema) -> DataFrame:
-        frame.write.mode("overwrite").parquet(part(name, batch_id))
-        return spark.read.schema(schema).parquet(part(name, batch_id))
+        def previous(name: str, schema: T.StructType) -> DataFrame:
+            if batch_id == 0:
+                return spark.createDataFrame([], schema)
+            return spark.read.schema(schema).parquet(part(name, batch_id - 1))
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        waiting = previous("pending", batch_id, probes.schema)
-        # The batch comes from the stream's own session; its rows are written once and reread.
-        batch.select(*columns).write.mode("overwrite").parquet(part("arrived", batch_id))
-        arrived = spark.read.schema(probes.schema).parquet(part("arrived", batch_id))
-        rows = waiting.unionByName(arrived)
+        def save(frame: DataFrame, name: str, schema: T.StructType) -> DataFrame:
+            frame.write.mode("overwrite").parquet(part(name, batch_id))
+            return spark.read.schema(schema).parquet(part(name, batch_id))
+
+        waiting = previous("held", held_schema).where(~F.col("late")).select(*columns)
+        rows = waiting.unionByName(batch.select(*columns)).persist()
 
-        old_cutoff = previous("cutoff", batch_id, cutoff_schema)
+        old_cutoff = previous("cutoff", cutoff_schema)
         newest = rows.select((F.max(ts) - F.expr(f"interval {delay}")).alias("cutoff"))
-        cutoff = save(
-            old_cutoff.unionByName(newest).agg(F.max("cutoff").alias("cutoff")).coalesce(1),
-            "cutoff", batch_id, cutoff_schema,
-        )
-        before, now = _scalar(old_cutoff), _scalar(cutoff)
-
-        due = F.col(ts) <= now
-        missed = F.col(ts).isNull() if before is None else F.col(ts).isNull() | (F.col(ts) <= before)
-        save(rows.where(missed), "late", batch_id, probes.schema)
-        save(rows.where(~missed & ~due), "pending", batch_id, probes.schema)
-
-        state = previous("state", batch_id, state_schema)
-        runs = failure_runs(rows.where(~missed & due), keys, order, failed, threshold, carry=state)
-        runs = save(runs, "runs", batch_id, runs.schema)
+        both = old_cutoff.unionByName(newest).agg(F.max("cutoff").alias("cutoff"))
+        before = _literal(old_cutoff)
+        now = _literal(save(both.coalesce(1), "cutoff", cutoff_schema))
+        if now is None:
+            now = F.lit(None).cast(cutoff_schema[0].dataType)
+
+        late = F.col(ts).isNull() if before is None else F.col(ts).isNull() | (F.col(ts) <= before)
+        save(rows.where(late | (F.col(ts) > now)).withColumn("late", late), "held", held_schema)
+
+        state = previous("state", state_schema)
+        due = rows.where(~late & (F.col(ts) <= now))
+        runs = failure_runs(due, keys, order, failed, threshold, carry=state)
+        runs = save(runs, "runs", runs.schema)
         ended = last_runs(runs, keys, order)
-        same = [state[k].eqNullSafe(ended[k]) for k in keys]
-        untouched = state.join(ended, same, "left_anti")
-        save(ended.unionByName(untouched), "state", batch_id, state_schema)
+        untouched = state.join(ended, [state[k].eqNullSafe(ended[k]) for k in keys], "left_anti")
+        save(ended.unionByName(untouched), "state", state_schema)
+        rows.unpersist()
 
     query = (
         probes.writeStream.foreachBatch(step)
@@ -87,9 +85,14 @@ def watch_failure_runs(
     return query
 
 
-def _scalar(one_row: DataFrame):
-    row = one_row.first()
-    return row[0] if row else None
+def _literal(one_row: DataFrame) -> Column | None:
+    """The single value of ``one_row`` as a literal; instants travel as a count, not as a clock."""
+    field = one_row.schema.fields[0]
+    instant = isinstance(field.dataType, T.TimestampType)
+    row = one_row.select(F.unix_micros(field.name) if instant else F.col(field.name)).first()
+    if row is None or row[0] is None:
+        return None
+    return F.timestamp_micros(F.lit(row[0])) if instant else F.lit(row[0])
 
 
 def read_runs(probes: DataFrame, root: str) -> DataFrame:
