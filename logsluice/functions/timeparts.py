@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def utc_parts(column: Column | str) -> dict[str, Column]:
@@ -36,3 +39,19 @@ def partition_date(year: str = "year", month: str = "month", day: str = "day") -
     """The date named by three text or int partition keys; NULL when they name none."""
     joined = F.concat_ws("-", *[F.col(c).cast("string") for c in (year, month, day)])
     return joined.try_cast("date")
+
+
+def time_order(frame: DataFrame, ts: str, tie: str) -> Column:
+    """One number that sorts like ``(ts, tie)``, for an integer ``tie``.
+
+    Aggregates keep a number in a hash table; for a struct they would have to sort the input.
+    """
+    if isinstance(frame.schema[ts].dataType, T.TimestampType):
+        micros = F.unix_micros(ts)
+    else:
+        days = F.unix_date(F.col(ts).cast("date")).cast("bigint")
+        seconds = days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+        # The second comes with six decimals.
+        micros = seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    # Wide enough that a 64-bit tie never reaches the next microsecond.
+    return micros.cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19)) + F.col(tie)

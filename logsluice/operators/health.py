@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsluice.functions.timeparts import time_order
+
 
 def latest_status(
-    probes: DataFrame, keys: list[str], order: list[str], healthy: Column | str = "healthy"
+    probes: DataFrame,
+    keys: list[str],
+    ts: str = "ts",
+    tie: str = "probe_id",
+    healthy: Column | str = "healthy",
 ) -> DataFrame:
-    """The last known health per key, found by aggregation rather than by sorting groups."""
+    """The last known health per key, by a hash aggregate that combines before the shuffle."""
     healthy = F.col(healthy) if isinstance(healthy, str) else healthy
-    return probes.groupBy(*keys).agg(F.max_by(healthy, F.struct(*order)).alias("healthy"))
+    newest = time_order(probes, ts, tie)
+    return probes.groupBy(*keys).agg(F.max_by(healthy, newest).alias("healthy"))
 
 
 def k_of_n(children: DataFrame, parent: str, k: int | Column = 2, healthy: Column | str = "healthy") -> DataFrame:

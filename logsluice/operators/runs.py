@@ -32,8 +32,9 @@ def failure_runs(
         .withColumn("_slice", F.spark_partition_id())
         .checkpoint()
     )
-    so_far = Window.partitionBy("_slice", *keys).orderBy(*order)
-    counted = sliced.withColumn("_row", F.row_number().over(so_far)).withColumn(
+    in_order = Window.partitionBy("_slice", *keys).orderBy(*order)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = sliced.withColumn("_row", F.row_number().over(in_order)).withColumn(
         "_last_ok", F.max(F.when(~F.col("_failed"), F.col("_row"))).over(so_far)
     )
     entering = _entering_runs(counted, keys, carry)
@@ -64,9 +65,14 @@ def _entering_runs(counted: DataFrame, keys: list[str], carry: DataFrame | None)
         )
         tails = tails.unionByName(start)
     slices = Window.partitionBy(*keys).orderBy("_slice")
-    since_reset = Window.partitionBy(*keys, "_island").orderBy("_slice")
+    so_far = slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since_reset = (
+        Window.partitionBy(*keys, "_island")
+        .orderBy("_slice")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
-        tails.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(slices))
+        tails.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(so_far))
         .withColumn("_leaving", F.sum("_tail").over(since_reset))
         .withColumn("_entering", F.lag("_leaving").over(slices))
         .where(F.col("_entering") > 0)

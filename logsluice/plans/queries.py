@@ -247,7 +247,7 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_of_n_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user is healthy when the last value of two or more of the event types is at least 20."""
     events = table(spark, sf_dir, "events").withColumn("ok", F.col("value") >= 20)
-    latest = latest_status(events, ["user_id", "event_type"], ["ts", "event_id"], "ok")
+    latest = latest_status(events, ["user_id", "event_type"], tie="event_id", healthy="ok")
     return k_of_n(latest, "user_id", 2)
 
 

@@ -11,7 +11,9 @@ from logsluice.operators.flatten import as_text, flatten, to_lake_rows, to_lake_
 from logsluice.plans import jobs
 from logsluice.schemas import LAKE_KEYS, RECORD, lake_schema, leaf_paths, record_schema
 from logsluice.sources.audit import explode_records, read_days, read_envelopes, with_folder_keys
+from logsluice.session import settings
 from logsluice.sources.lake import read_lake, write_lake
+from logsluice.streaming.ingest import ingest
 
 FLAT_COLUMNS = """
 event_version user_identity_type user_identity_principal_id user_identity_arn
@@ -204,3 +206,30 @@ def test_no_matching_folder_is_an_empty_load(spark, tree, tmp_path):
 def test_read_days(spark, tree):
     rows = read_days(spark, tree, [date(2024, 1, 29)])
     assert {r["eventID"] for r in rows.collect()} == {"e3", "e4"}
+
+
+def test_hot_partition_is_split_between_writers(spark, tmp_path):
+    """One account with nearly all rows gets several files, the others one each."""
+    hot = F.when(F.col("id") % 50 == 0, F.col("id") % 3 + 1).otherwise(0).cast("string")
+    rows = spark.range(0, 60000, numPartitions=8).select("id", F.uuid().alias("text"), hot.alias("account"))
+    with settings(
+        spark,
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="200k",
+        spark__sql__shuffle__partitions="4",
+    ):
+        write_lake(rows, str(tmp_path / "lake"), ["account"])
+    files = {
+        a: len(list((tmp_path / "lake" / f"account={a}").glob("*.parquet"))) for a in ("0", "1", "2", "3")
+    }
+    assert files["0"] > 3 and files["1"] == files["2"] == files["3"] == 1
+    assert spark.read.parquet(str(tmp_path / "lake")).count() == 60000
+
+
+def test_streamed_load_splits_a_hot_partition_too(spark, tmp_path):
+    inbox, dest = str(tmp_path / "in"), str(tmp_path / "lake")
+    rows = spark.range(0, 60000, numPartitions=8).select("id", F.uuid().alias("text"), F.lit("a").alias("account"))
+    rows.write.parquet(inbox)
+    with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="200k"):
+        ingest(spark.readStream.schema(rows.schema).parquet(inbox), dest, ["account"])
+    assert len(list((tmp_path / "lake/account=a").glob("*.parquet"))) > 3
+    assert spark.read.parquet(dest).count() == 60000

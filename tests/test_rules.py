@@ -61,7 +61,7 @@ def test_health(spark):
         (3, at(0), "e2", "eu", True), (4, at(5), "e2", "eu", False),
         (5, at(0), "e3", "eu", True),
     ]
-    status = latest_status(spark.createDataFrame(rows, PROBE), ["endpoint"], ORDER)
+    status = latest_status(spark.createDataFrame(rows, PROBE), ["endpoint"])
     assert {tuple(r) for r in status.collect()} == {("e1", True), ("e2", False), ("e3", True)}
     tree = spark.createDataFrame(
         [("p", "e1", 2), ("p", "e2", 2), ("p", "e3", 2), ("q", "e2", 1), ("q", "unseen", 1)],
@@ -73,6 +73,23 @@ def test_health(spark):
     assert k_of_n(children, "parent", 3).first()["healthy"] is False
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_latest_status_breaks_ties_and_hashes(spark, kind):
+    rng = random.Random(3)
+    rows = [
+        (i, START + timedelta(microseconds=rng.choice([-1, 0, 1, 59_999_999, 86_400_000_000])), "e", "eu", rng.random() < 0.5)
+        for i in [rng.randrange(-(2**62), 2**62) for _ in range(300)]
+    ]
+    frame = spark.createDataFrame(rows, PROBE).withColumn("ts", F.col("ts").cast(kind))
+    frame = frame.withColumn("bucket", F.pmod("probe_id", F.lit(40)))
+    status = latest_status(frame, ["bucket"])
+    wanted = {}
+    for probe_id, ts, _, _, healthy in sorted(rows, key=lambda r: (r[1], r[0])):
+        wanted[probe_id % 40] = healthy
+    assert {r["bucket"]: r["healthy"] for r in status.collect()} == wanted
+    assert "SortAggregate" not in status._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("partitions", [1, 7, 40])
 def test_failure_runs_match_brute_force(spark, partitions):
     rows = probes(random.Random(partitions), 4000)
