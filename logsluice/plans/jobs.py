@@ -32,37 +32,44 @@ def convert_table(
 
 def backfill(
     spark: SparkSession, root: str, dest: str, layout: Layout = ACCOUNT_LAYOUT,
-    keys: Sequence[str] = LAKE_KEYS, record: T.StructType = RECORD,
+    keys: Sequence[str] = LAKE_KEYS, record: T.StructType = RECORD, **options: str,
 ) -> StreamingQuery:
-    """Load every delivery day below ``root`` that the lake has not seen."""
-    records = explode_records(stream_envelopes(spark, layout.glob(root), record))
-    return ingest(to_lake_rows(records, record), dest, keys)
+    """Load every delivery day below ``root`` that the lake has not seen.
+
+    ``options`` go to the file stream, here and in the other loads.
+    """
+    files = stream_envelopes(spark, layout.glob(root), record, **options)
+    return ingest(to_lake_rows(explode_records(files), record), dest, keys)
 
 
 def backfill_month(
     spark: SparkSession, root: str, dest: str, year: int, month: int,
-    layout: Layout = ACCOUNT_LAYOUT, keys: Sequence[str] = LAKE_KEYS, record: T.StructType = RECORD,
+    layout: Layout = ACCOUNT_LAYOUT, keys: Sequence[str] = LAKE_KEYS,
+    record: T.StructType = RECORD, **options: str,
 ) -> StreamingQuery:
     """Load one delivery month; rows land by event time, also in the month before."""
-    files = stream_envelopes(spark, layout.month_glob(root, year, month), record)
+    files = stream_envelopes(spark, layout.month_glob(root, year, month), record, **options)
     return ingest(_by_folder(files, layout, record), dest, keys)
 
 
 def incremental(
     spark: SparkSession, root: str, dest: str, as_of: date, layout: Layout = ACCOUNT_LAYOUT,
-    keys: Sequence[str] = LAKE_KEYS, record: T.StructType = RECORD,
+    keys: Sequence[str] = LAKE_KEYS, record: T.StructType = RECORD, **options: str,
 ) -> StreamingQuery:
     """Load what is new in the folders of ``as_of`` and the day before; meant to run hourly."""
-    files = stream_envelopes(spark, layout.days_glob(root, recent_days(as_of)), record)
+    glob = layout.days_glob(root, recent_days(as_of))
+    files = stream_envelopes(spark, glob, record, **options)
     return ingest(to_lake_rows(explode_records(files), record), dest, keys)
 
 
 def incremental_lookback(
     spark: SparkSession, root: str, dest: str, as_of: date, days: int = 7,
-    layout: Layout = ACCOUNT_LAYOUT, keys: Sequence[str] = LAKE_KEYS, record: T.StructType = RECORD,
+    layout: Layout = ACCOUNT_LAYOUT, keys: Sequence[str] = LAKE_KEYS,
+    record: T.StructType = RECORD, **options: str,
 ) -> StreamingQuery:
     """Load what is new in the folders of the last ``days`` days."""
-    files = stream_envelopes(spark, layout.days_glob(root, recent_days(as_of, days)), record)
+    glob = layout.days_glob(root, recent_days(as_of, days))
+    files = stream_envelopes(spark, glob, record, **options)
     return ingest(_by_folder(files, layout, record), dest, keys)
 
 

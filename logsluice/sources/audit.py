@@ -14,6 +14,9 @@ from logsluice.schemas import RECORD, envelope_schema
 # A file with a bad token stops the job instead of quietly losing its records.
 _READ_OPTIONS = {"multiLine": "true", "recursiveFileLookup": "true", "mode": "FAILFAST"}
 
+# Compressed bytes per batch of a long backlog.
+BACKLOG_BATCH_BYTES = 100 * 2**30
+
 
 def read_envelopes(
     spark: SparkSession, paths: str | list[str], record=RECORD, **options: str
@@ -30,8 +33,12 @@ def stream_envelopes(spark: SparkSession, path: str, record=RECORD, **options: s
     """The same files as a stream that yields each one once per checkpoint.
 
     ``maxFileAge`` is raised far beyond its default, since a file older than it would be skipped.
+    ``maxBytesPerTrigger`` cuts a long backlog into batches that commit one by one, so that a
+    failure repeats one batch and a shuffle stays within the cluster's disks.
     """
     options = {**_READ_OPTIONS, "maxFileAge": "36500d", **options}
+    if "maxFilesPerTrigger" not in options:
+        options.setdefault("maxBytesPerTrigger", str(BACKLOG_BATCH_BYTES))
     return spark.readStream.schema(envelope_schema(record)).options(**options).json(path)
 
 

@@ -15,9 +15,9 @@ def spread_by_keys(frame: DataFrame, keys: Sequence[str] = LAKE_KEYS) -> DataFra
     """Bring the rows of one lake partition together before a write, for few files per partition.
 
     REBALANCE lets adaptive execution split a hot partition over several tasks, so one busy
-    account does not end up in one writer.
+    account does not end up in one writer. A table without partitions needs no shuffle.
     """
-    return frame.hint("rebalance", *keys)
+    return frame.hint("rebalance", *keys) if keys else frame
 
 
 def write_lake(frame: DataFrame, dest: str, keys: Sequence[str] = LAKE_KEYS) -> None:

@@ -1,10 +1,12 @@
 import os
 from datetime import date
+from pathlib import Path
 
 import pytest
 from conftest import record, write_log
 from pyspark.sql import functions as F
 
+from logsluice.__main__ import main
 from logsluice.functions.names import snake_case
 from logsluice.functions.paths import ACCOUNT_LAYOUT
 from logsluice.operators.flatten import as_text, flatten, to_lake_rows, to_lake_rows_by_folder
@@ -165,6 +167,31 @@ def test_backfill_is_idempotent_and_takes_only_new_files(spark, tree, tmp_path):
     assert wrong.count() == 0
 
 
+def test_old_files_survive_small_batches(spark, tree, tmp_path):
+    """Batches smaller than the backlog, over files far older than the newest one."""
+    files = sorted(str(p) for p in Path(tree).rglob("*.json.gz"))
+    for age, path in enumerate(files):
+        os.utime(path, (1.7e9 - age * 1e7,) * 2)
+    dest = str(tmp_path / "lake")
+    jobs.backfill(spark, tree, dest, maxFilesPerTrigger="1")
+    assert len(os.listdir(f"{dest}/_checkpoint/commits")) > 3
+    old = write_log(
+        f"{tree}/111111111111/CloudTrail/us-east-1/2024/01/02", "x", [record("old", "2024-01-02T00:00:00Z")]
+    )
+    os.utime(old, (1.0e9, 1.0e9))
+    jobs.backfill(spark, tree, dest, maxFilesPerTrigger="1")
+    ids = sorted(r["event_id"] for r in read_lake(spark, dest).collect())
+    assert ids == ["e1", "e2", "e3", "e4", "e5", "old"]
+
+
+def test_command_line(spark, tree, tmp_path):
+    dest = str(tmp_path / "lake")
+    main(["incremental-lookback", "--root", tree, "--dest", dest, "--as-of", "2024-01-30", "--days", "3"])
+    assert read_lake(spark, dest).count() == 5
+    with pytest.raises(SystemExit):
+        main(["backfill", "--root", tree])
+
+
 def test_different_loads_share_one_lake(spark, tree, tmp_path):
     dest = str(tmp_path / "lake")
     old = f"{tree}/111111111111/CloudTrail/us-east-1"

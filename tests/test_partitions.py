@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logsluice.functions.paths import ACCOUNT_LAYOUT, DELIVERED_KEYS
 from logsluice.operators import partitions as P
 from logsluice.plans import catalog, jobs
+from logsluice.schemas import DELIMITED_PRICES
 from logsluice.sources.audit import lookback, month_slice, scan_table
 from logsluice.sources.manifest import file_manifest, leaf_prefixes
 
@@ -162,3 +163,13 @@ def test_convert_flat_table_to_a_lake_table(spark, tree, database, tmp_path):
     assert len(rows) == 5 and rows["e1"]["account_id"] == "012345678901"
     hits = catalog.endpoint_access(spark, lake)
     assert [r["event_id"] for r in hits.collect()] == ["e4"]
+
+
+def test_price_table_preview(spark, database, tmp_path):
+    names = DELIMITED_PRICES.fieldNames()
+    row = ["1" if f.dataType.typeName() != "string" else "x" for f in DELIMITED_PRICES.fields]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.csv").write_text("|".join(names) + "\n" + ("|".join(row) + "\n") * 12)
+    catalog.create_price_table(spark, f"{database}.prices", str(tmp_path / "p"))
+    rows = catalog.preview(spark, f"{database}.prices").collect()
+    assert len(rows) == 10 and rows[0]["sku"] == "x" and rows[0]["memory"] == 1.0
