@@ -195,6 +195,11 @@ def all_oracles() -> dict[str, str]:
               CAST(NULL AS DOUBLE) AS user_identity_session_context_event_source,
               event_type = 'view' AS read_only, CAST(NULL AS BOOLEAN) AS management_event, value
             FROM events""",
+        "nested_as_text": """
+            SELECT event_id,
+              '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS who,
+              '[' || event_id || ',' || user_id || ']' AS ids, CAST(user_id AS VARCHAR) AS plain
+            FROM events""",
         "alert_text": """
             SELECT event_id, 'The Pipeline ' || user_id || ' has failed.' AS message
             FROM events WHERE event_type = 'error'""",

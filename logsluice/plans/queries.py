@@ -16,7 +16,7 @@ from logsluice.functions.urls import before_first_dot, url_after, url_host
 from logsluice.operators import partitions as P
 from logsluice.operators.alarms import threshold_alarm
 from logsluice.operators.availability import lookup, only_available, unpivot_matrix
-from logsluice.operators.flatten import flatten, to_lake_rows
+from logsluice.operators.flatten import as_text, flatten, to_lake_rows
 from logsluice.operators.health import k_of_n, latest_status
 from logsluice.operators.runs import failure_runs
 from logsluice.plans import catalog, derived, jobs
@@ -134,6 +134,18 @@ def flatten_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten(nested, nested.schema, types)
 
 
+@query
+def nested_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested columns that leave as JSON text, next to one that is no struct at all."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.struct("user_id", "event_type").alias("who"),
+        F.array("event_id", "user_id").alias("ids"),
+        F.col("user_id").alias("plain"),
+    )
+    return as_text(events, "who", "ids", "plain")
+
+
 @query
 def alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where(event_pattern({"event_type": ["error"]}))
