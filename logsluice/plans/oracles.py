@@ -91,7 +91,7 @@ SELECT
   CAST(NULL AS VARCHAR) AS service_event_details,
   CAST(NULL AS VARCHAR) AS shared_event_id,
   vpc_endpoint_id,
-  CASE WHEN k >= 10 THEN k < 30 END AS management_event
+  CASE WHEN k >= 10 THEN CASE WHEN k < 30 THEN 'true' ELSE 'false' END END AS management_event
 FROM audit
 """
 
@@ -193,7 +193,7 @@ def all_oracles() -> dict[str, str]:
             SELECT event_id, user_id AS user_identity_user_name,
               date_trunc('second', ts) AS user_identity_session_context_event_time,
               CAST(NULL AS DOUBLE) AS user_identity_session_context_event_source,
-              event_type = 'view' AS read_only, CAST(NULL AS BOOLEAN) AS management_event, value
+              event_type = 'view' AS read_only, CAST(NULL AS VARCHAR) AS management_event, value
             FROM events""",
         "nested_as_text": """
             SELECT event_id,
@@ -232,7 +232,7 @@ def all_oracles() -> dict[str, str]:
             WHERE NOT regexp_matches(line, '{NOISE_PATTERN}')""",
         "candidates": f"""
             SELECT DISTINCT user_id AS account, event_type AS region,
-              unnest([DATE '{EVENTS_AS_OF}', DATE '{EVENTS_AS_OF}' - 1]) AS day
+              strftime(unnest([DATE '{EVENTS_AS_OF}', DATE '{EVENTS_AS_OF}' - 1]), '%Y-%m-%d') AS day
             FROM events""",
         "path_parse": f"""
             SELECT o_orderkey, {PATH} AS location,

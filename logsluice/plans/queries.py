@@ -131,7 +131,12 @@ def flatten_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
         "readOnly": "boolean",
         "managementEvent": "boolean",
     }
-    return flatten(nested, nested.schema, types)
+    return _flags_as_text(flatten(nested, nested.schema, types), "management_event")
+
+
+def _flags_as_text(rows: DataFrame, *columns: str) -> DataFrame:
+    """Flags that may be NULL, which two engines hand over differently unless they are text."""
+    return rows.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
 @query
@@ -216,7 +221,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every account and region seen in the events, for two days."""
     events = table(spark, sf_dir, "events")
     pairs = events.select(F.col("user_id").alias("account"), F.col("event_type").alias("region"))
-    return P.candidates(pairs.distinct(), EVENTS_AS_OF)
+    days = P.candidates(pairs.distinct(), EVENTS_AS_OF)
+    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query
@@ -396,7 +402,7 @@ def _comparable(rows: DataFrame) -> DataFrame:
 def audit_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gzip envelopes from delivery folders, exploded, flattened and typed."""
     files = read_envelopes(spark, HIVE_LAYOUT.glob(derived.log_tree(spark, sf_dir)))
-    return _comparable(flatten(explode_records(files)))
+    return _flags_as_text(_comparable(flatten(explode_records(files))), "management_event")
 
 
 @query

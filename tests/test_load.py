@@ -184,6 +184,16 @@ def test_old_files_survive_small_batches(spark, tree, tmp_path):
     assert ids == ["e1", "e2", "e3", "e4", "e5", "old"]
 
 
+def test_replayed_batch_is_not_loaded_twice(spark, tree, tmp_path):
+    dest = str(tmp_path / "lake")
+    jobs.backfill(spark, tree, dest)
+    commits = f"{dest}/_checkpoint/commits"
+    for name in os.listdir(commits):
+        os.remove(f"{commits}/{name}")
+    jobs.backfill(spark, tree, dest)
+    assert read_lake(spark, dest).count() == 5
+
+
 def test_command_line(spark, tree, tmp_path):
     dest = str(tmp_path / "lake")
     main(["incremental-lookback", "--root", tree, "--dest", dest, "--as-of", "2024-01-30", "--days", "3"])

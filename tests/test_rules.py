@@ -1,7 +1,9 @@
+import os
 import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from logsluice.operators.alarms import threshold_alarm
@@ -162,6 +164,48 @@ def test_alarm_stream_fans_out_closed_windows(spark, tmp_path):
         assert {tuple(r) for r in got} == wanted and len(got) == 2
 
 
+def replay(checkpoint):
+    """Make the last batch look uncommitted, as after a crash between its writes and its commit."""
+    folder = os.path.join(checkpoint, "commits")
+    last = max(int(n) for n in os.listdir(folder) if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        path = os.path.join(folder, name)
+        if os.path.exists(path):
+            os.remove(path)
+
+
+def test_fan_out_repeats_a_half_delivered_batch_once(spark, tmp_path):
+    inbox, good, bad = (str(tmp_path / n) for n in ("inbox", "good", "bad"))
+    frame = points(spark, (0, "a", 1.0), (90000, "a", 5.0))
+    frame.write.parquet(inbox)
+    stream = spark.readStream.schema(METRIC_POINT).parquet(inbox)
+    (tmp_path / "bad").write_text("a file where a folder should be")
+    with pytest.raises(StreamingQueryException):
+        fan_out(stream, [good, bad], str(tmp_path / "checkpoint"))
+    assert spark.read.parquet(good).count() == 2
+    os.remove(bad)
+    fan_out(stream, [good, bad], str(tmp_path / "checkpoint"))
+    assert [spark.read.parquet(p).count() for p in (good, bad)] == [2, 2]
+
+
+def test_watch_failure_runs_survives_a_replay(spark, tmp_path):
+    rows = probes(random.Random(4), 300)
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "watch")
+
+    def run():
+        stream = spark.readStream.schema(PROBE).parquet(inbox)
+        watch_failure_runs(stream, root, KEYS, ORDER, ~F.col("healthy"), delay="0 seconds")
+
+    for part in (rows[:150], rows[150:]):
+        spark.createDataFrame(part, PROBE).write.mode("append").parquet(inbox)
+        run()
+        replay(f"{root}/_checkpoint")
+        run()
+    done = read_runs(spark.createDataFrame([], PROBE), root).collect()
+    assert {r["probe_id"]: r["run"] for r in done} == expected_runs(rows)
+    assert len(done) == len(rows)
+
+
 def test_tail_text(spark, tmp_path):
     folder = tmp_path / "log"
     folder.mkdir()
