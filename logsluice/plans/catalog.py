@@ -68,9 +68,11 @@ def create_partitioned_log_table(spark: SparkSession, table: str, location: str)
     create_table(spark, table, schema, "json", location, DELIVERED_KEYS, multiLine="true", mode="FAILFAST")
 
 
-def create_lake_table(spark: SparkSession, table: str, location: str) -> None:
+def create_lake_table(
+    spark: SparkSession, table: str, location: str, keys: Iterable[str] = LAKE_KEYS
+) -> None:
     """A table over a lake written in batches; a streamed lake is read with ``read_lake``."""
-    create_table(spark, table, lake_schema(), "parquet", location, LAKE_KEYS)
+    create_table(spark, table, lake_schema(), "parquet", location, keys)
 
 
 def recover_partitions(spark: SparkSession, table: str) -> None:

@@ -263,6 +263,14 @@ def all_oracles() -> dict[str, str]:
             SELECT user_id, count(*) AS children, count(*) FILTER (ok) AS healthy_children,
               count(*) FILTER (ok) >= 2 AS healthy
             FROM latest GROUP BY user_id""",
+        "health_tree": """
+            WITH status AS (
+              SELECT c_nationkey, max(c_acctbal) >= 9900 AS healthy FROM customer GROUP BY ALL)
+            SELECT r_name AS parent, count(*) AS children,
+              count(*) FILTER (coalesce(healthy, FALSE)) AS healthy_children, 2 AS threshold,
+              count(*) FILTER (coalesce(healthy, FALSE)) >= 2 AS healthy
+            FROM region JOIN nation ON n_regionkey = r_regionkey
+            LEFT JOIN status ON c_nationkey = n_nationkey GROUP BY ALL""",
         "matrix_long": f"""
             SELECT event_id, 'by_type' AS kind, event_type AS service, 'k' AS region,
               {K} >= 50 AS available FROM events
@@ -322,6 +330,7 @@ def all_oracles() -> dict[str, str]:
         "table_lookback": f"""
             WITH {FOLDERS} SELECT CAST(event_id AS VARCHAR) AS "eventID", accountid, region, month, day
             FROM folders WHERE delivered >= DATE '{AUDIT_AS_OF}' - 7""",
+        "lake_table": _lake("month = 2 AND day = 10"),
         "register_all": f"""
             WITH {FOLDERS}, sizes AS (
               SELECT count(DISTINCT (accountid, region, year, month, day)) AS n FROM folders)

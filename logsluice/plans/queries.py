@@ -17,7 +17,7 @@ from logsluice.operators import partitions as P
 from logsluice.operators.alarms import threshold_alarm
 from logsluice.operators.availability import lookup, only_available, unpivot_matrix
 from logsluice.operators.flatten import as_text, flatten, to_lake_rows
-from logsluice.operators.health import k_of_n, latest_status
+from logsluice.operators.health import calculated_health, k_of_n, latest_status
 from logsluice.operators.runs import failure_runs
 from logsluice.plans import catalog, derived, jobs
 from logsluice.plans.derived import table
@@ -46,7 +46,7 @@ AUDIT_AS_OF = date(2024, 2, 10)
 AUDIT_MONTH = (2024, 2)
 EVENT_KEYS = ("event_type", "year", "month", "day")
 # A coarser lake for the loads of many days; the incremental load keeps all eight keys.
-DAY_KEYS = ("account_id", "service", "region", "year", "month", "day")
+DAY_KEYS = ("account_id", "region", "year", "month", "day")
 NOISE = ("the the", "an.")
 
 _queries: dict[str, Query] = {}
@@ -269,6 +269,20 @@ def k_of_n_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k_of_n(latest, "user_id", 2)
 
 
+@query
+def health_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region is healthy when two or more of its nations have a rich customer."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    tree = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
+        F.col("r_name").alias("parent"), F.col("n_nationkey").alias("child"), F.lit(2).alias("threshold")
+    )
+    customer = table(spark, sf_dir, "customer")
+    status = customer.groupBy(F.col("c_nationkey").alias("endpoint")).agg(
+        (F.max("c_acctbal") >= 9900).alias("healthy")
+    )
+    return calculated_health(status, tree)
+
+
 @query
 def matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two nested maps per event, opened into one row per cell."""
@@ -515,6 +529,18 @@ def table_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookback(records, AUDIT_AS_OF).select("eventID", "accountid", "region", "month", "day")
 
 
+@query
+def lake_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat table converted in one batch, and one day of the resulting lake table."""
+    owner, tag = derived.database(spark, sf_dir), scratch(spark, "x")[-8:]
+    flat, lake, dest = f"{owner}.flat_{tag}", f"{owner}.lake_{tag}", scratch(spark, "lake")
+    catalog.create_flat_log_table(spark, flat, HIVE_LAYOUT.glob(derived.log_tree(spark, sf_dir)))
+    jobs.convert_table(spark, flat, dest, DAY_KEYS)
+    catalog.create_lake_table(spark, lake, dest, DAY_KEYS)
+    catalog.recover_partitions(spark, lake)
+    return _lake_view(spark.table(lake).where((F.col("month") == 2) & (F.col("day") == 10)))
+
+
 @query
 def register_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reconcile report of registering everything found."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +73,13 @@ def month_slice(frame: DataFrame, year: int, month: int) -> DataFrame:
 
 
 def lookback(frame: DataFrame, as_of: date, days: int = 7) -> DataFrame:
-    """Rows whose date partition is at most ``days`` days before ``as_of``, or later."""
-    return frame.where(partition_date() >= F.date_sub(F.lit(as_of), days))
+    """Rows whose date partition is at most ``days`` days before ``as_of``, or later.
+
+    The year alone is a comparison that a metastore can prune by before it hands over the
+    partitions; the date then decides.
+    """
+    first = as_of - timedelta(days=days)
+    return frame.where((F.col("year") >= f"{first.year:04d}") & (partition_date() >= F.lit(first)))
 
 
 def read_days(
