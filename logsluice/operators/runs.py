@@ -22,21 +22,21 @@ def failure_runs(
 
     Rows are range-partitioned by key and order, so a hot key is cut into as many slices as its
     size asks for. Each slice counts on its own; what crosses a slice border is one number per
-    slice. The sliced rows are checkpointed because both halves must see the same borders.
+    slice. The counted rows are checkpointed: the numbers and the rows they are added to must
+    come from the same borders, and nothing is sorted twice.
     """
     failed = F.col(failed) if isinstance(failed, str) else failed
     ensure_checkpoint_dir(probes.sparkSession)
-    sliced = (
+    in_order = Window.partitionBy("_slice", *keys).orderBy(*order)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = (
         probes.withColumn("_failed", F.coalesce(failed, F.lit(False)))
         .repartitionByRange(*keys, *order)
         .withColumn("_slice", F.spark_partition_id())
+        .withColumn("_row", F.row_number().over(in_order))
+        .withColumn("_last_ok", F.max(F.when(~F.col("_failed"), F.col("_row"))).over(so_far))
         .checkpoint()
     )
-    in_order = Window.partitionBy("_slice", *keys).orderBy(*order)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = sliced.withColumn("_row", F.row_number().over(in_order)).withColumn(
-        "_last_ok", F.max(F.when(~F.col("_failed"), F.col("_row"))).over(so_far)
-    )
     entering = _entering_runs(counted, keys, carry)
     if carry is None:
         # At most one key per slice began in an earlier slice, so this has at most a row per slice.

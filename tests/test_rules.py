@@ -78,10 +78,9 @@ def test_health(spark):
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_latest_status_breaks_ties_and_hashes(spark, kind):
     rng = random.Random(3)
-    rows = [
-        (i, START + timedelta(microseconds=rng.choice([-1, 0, 1, 59_999_999, 86_400_000_000])), "e", "eu", rng.random() < 0.5)
-        for i in [rng.randrange(-(2**62), 2**62) for _ in range(300)]
-    ]
+    moments = [START + timedelta(microseconds=n) for n in (-1, 0, 1, 59_999_999, 86_400_000_000)]
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)]
+    rows = [(i, rng.choice(moments), "e", "eu", rng.random() < 0.5) for i in ids]
     frame = spark.createDataFrame(rows, PROBE).withColumn("ts", F.col("ts").cast(kind))
     frame = frame.withColumn("bucket", F.pmod("probe_id", F.lit(40)))
     status = latest_status(frame, ["bucket"])
