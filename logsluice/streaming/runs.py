@@ -86,13 +86,14 @@ def watch_failure_runs(
 
 
 def _literal(one_row: DataFrame) -> Column | None:
-    """The single value of ``one_row`` as a literal; instants travel as a count, not as a clock."""
+    """The single value of ``one_row`` as a literal of its own type, whatever the zones are."""
     field = one_row.schema.fields[0]
     instant = isinstance(field.dataType, T.TimestampType)
-    row = one_row.select(F.unix_micros(field.name) if instant else F.col(field.name)).first()
+    value = F.unix_micros(field.name) if instant else F.col(field.name).cast("string")
+    row = one_row.select(value).first()
     if row is None or row[0] is None:
         return None
-    return F.timestamp_micros(F.lit(row[0])) if instant else F.lit(row[0])
+    return F.timestamp_micros(F.lit(row[0])) if instant else F.lit(row[0]).cast(field.dataType)
 
 
 def read_runs(probes: DataFrame, root: str) -> DataFrame:
