@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WORD, table, text_or_empty
+from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.sharding import byte_size, shard_by_bytes
+from logsluice.llm.token_files import TokenizerFile, read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The tokenizer of op1: it folds case and cuts marks off from letters.
+WORD_BPE = TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), True, r"[.,;:!?#*$%&|]+")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_token_files(write_token_files(docs, shared_folder(spark, "tokens"), WORD_BPE))
+
 
 def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
@@ -32,6 +42,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_files": op1_token_files,
     "op7_shard_by_bytes": op7_shard_by_bytes,
     "op8_mix_sources": op8_mix_sources,
 }
