@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
 from logsluice.llm.mixing import mixing_plan
+from logsluice.llm.quality_rules import quality_rules
 from logsluice.llm.sharding import byte_size, shard_by_bytes
 from logsluice.llm.token_files import TokenizerFile, read_token_files, write_token_files
 
@@ -24,6 +25,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, shared_folder(spark, "tokens"), WORD_BPE))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=("doc_id",))
+    return judged.select(
+        "doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines",
+        "quality.n_repeat_words", "quality.base_failed", "quality.kept",
+    )
+
+
 def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", byte_size().alias("size"), F.crc32(text_or_empty("text")).alias("text_crc32")
@@ -43,6 +52,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_quality_rules": op2_quality_rules,
     "op7_shard_by_bytes": op7_shard_by_bytes,
     "op8_mix_sources": op8_mix_sources,
 }
