@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsluice.llm import simple8b
+from logsluice.llm.arrow import text_slices
 from logsluice.llm.common import checkpointed, running_totals, shuffle_partitions, text_or_empty
 
 MAGIC = b"S8BTOKEN"
@@ -159,17 +160,6 @@ def _get(file: str) -> bytes:
         return f.read()
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, some megabytes of text at a time."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        gone = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, gone + BYTES_AT_ONCE, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: TokenizerFile, end_id: int = 1, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -199,7 +189,7 @@ def write_token_files(
             return pa.RecordBatch.from_pydict({"file": [file], "n_docs": [len(keys)], "n_ids": [len(ids)]})
 
         for batch in batches:
-            for some in _slices(batch):
+            for some in text_slices(batch, "text", BYTES_AT_ONCE):
                 ids, lengths = with_end(*encode_texts(tokenizer, some.column(1)), end_id)
                 kept.append((some.column(0).cast(pa.int64()), lengths, ids))
                 held += len(ids)
