@@ -12,6 +12,7 @@ from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.quality_rules import quality_rules
 from logsluice.llm.sharding import byte_size, shard_by_bytes
+from logsluice.llm.simhash import simhash_groups
 from logsluice.llm.token_files import TokenizerFile, read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component.doc_id").alias("component_id"),
+    )
+
+
 def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", byte_size().alias("size"), F.crc32(text_or_empty("text")).alias("text_crc32")
@@ -53,6 +61,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
+    "op5_simhash_groups": op5_simhash_groups,
     "op7_shard_by_bytes": op7_shard_by_bytes,
     "op8_mix_sources": op8_mix_sources,
 }

@@ -28,10 +28,11 @@ from logsluice.llm.arrow import text_slices
 from logsluice.llm.common import checkpointed, running_totals, shuffle_partitions, text_or_empty
 
 MAGIC = b"S8BTOKEN"
-#: Words whose ids a worker remembers, ids in one file at most, and bytes of text handled at a time.
+#: Words whose ids a worker remembers, ids in one file at most, and bytes of text and words handled at a time.
 REMEMBERED = 600_000
 IDS_IN_FILE = 16_000_000
 BYTES_AT_ONCE = 24 << 20
+WORDS_IN_CALL = 100
 
 WRITTEN = "file string, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -58,15 +59,39 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {"": b""}
+    tokenizer = Tokenizer.from_file(path)
+    special = [(t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized]
+    return tokenizer, special[0] if special else None, {"": b""}
+
+
+def _encode_words(path: str, words: list[str]) -> list[bytes]:
+    """Ids of each word as 32-bit numbers.
+
+    A special token is found before anything else in a text, and nothing joins across it; so many words
+    are encoded in one call with one between them, and the ids parted again at its id.
+    """
+    tokenizer, special, _ = _tokenizer(path)
+    if special is None:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    mark, mark_id = special
+    groups = [words[i : i + WORDS_IN_CALL] for i in range(0, len(words), WORDS_IN_CALL)]
+    out: list[bytes] = []
+    for group, coded in zip(groups, tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(coded.ids, np.uint32)
+        cuts = (4 * np.flatnonzero(ids == mark_id)).tolist()
+        if len(cuts) == len(group) - 1:
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
+        else:  # a word holds the token itself
+            out += [array("I", tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in group]
+    return out
 
 
 def _ids_of_words(path: str, words: list[str]) -> Mapping[str, bytes]:
     """Ids of each word as 32-bit numbers; a worker remembers those of the words it met first."""
-    tokenizer, known = _tokenizer(path)
+    known = _tokenizer(path)[2]
     new = [w for w in dict.fromkeys(words) if w not in known]
-    coded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-    found = {w: array("I", e.ids).tobytes() for w, e in zip(new, coded)}
+    found = dict(zip(new, _encode_words(path, new)))
     if len(known) < REMEMBERED:
         known.update(found)
         return known
@@ -228,4 +253,5 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 )
 
     placed = running_totals(files.select("file", "n_ids"), ["file"], ["n_ids"])
-    return placed.select("file", F.col("n_ids_before").cast("long")).mapInArrow(read, READ)
+    spread = placed.select("file", F.col("n_ids_before").cast("long")).repartition(shuffle_partitions(files.sparkSession), "file")
+    return spread.mapInArrow(read, READ)
