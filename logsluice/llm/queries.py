@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.quality_rules import quality_rules
+from logsluice.llm.repeats import repeats
 from logsluice.llm.sharding import byte_size, shard_by_bytes
 from logsluice.llm.simhash import simhash_groups
 from logsluice.llm.token_files import TokenizerFile, read_token_files, write_token_files
@@ -58,12 +59,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op5_simhash_groups": op5_simhash_groups,
     "op7_shard_by_bytes": op7_shard_by_bytes,
     "op8_mix_sources": op8_mix_sources,
+    "op10_without_repeats": op10_without_repeats,
 }
 
 ORACLES = {
