@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
 from logsluice.llm.mixing import mixing_plan
+from logsluice.llm.nearest import nearest
 from logsluice.llm.quality_rules import quality_rules
 from logsluice.llm.repeats import repeats
 from logsluice.llm.sharding import byte_size, shard_by_bytes
@@ -42,6 +43,11 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", byte_size().alias("size"), F.crc32(text_or_empty("text")).alias("text_crc32")
@@ -67,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op5_simhash_groups": op5_simhash_groups,
+    "op6_nearest": op6_nearest,
     "op7_shard_by_bytes": op7_shard_by_bytes,
     "op8_mix_sources": op8_mix_sources,
     "op10_without_repeats": op10_without_repeats,
@@ -98,6 +105,18 @@ ORACLES = {
         SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
           row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
         FROM cut""",
+    "op6_nearest": """
+        WITH v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+        ranked AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+          FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op8_mix_sources": f"""
         WITH sized AS (
           SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size
