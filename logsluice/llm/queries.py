@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.nearest import nearest
+from logsluice.llm.packing import pack
 from logsluice.llm.quality_rules import quality_rules
 from logsluice.llm.repeats import repeats
 from logsluice.llm.sharding import byte_size, shard_by_bytes
@@ -36,6 +37,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -72,6 +77,7 @@ def op10_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
+    "op4_pack": op4_pack,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_nearest": op6_nearest,
     "op7_shard_by_bytes": op7_shard_by_bytes,
