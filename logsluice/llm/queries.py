@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
+from logsluice.llm.kneser_ney import classify
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.nearest import nearest
 from logsluice.llm.packing import pack
@@ -70,6 +71,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op10_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op6_nearest": op6_nearest,
     "op7_shard_by_bytes": op7_shard_by_bytes,
     "op8_mix_sources": op8_mix_sources,
+    "op9_perplexity": op9_perplexity,
     "op10_without_repeats": op10_without_repeats,
 }
 
