@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logsluice.llm.common import shared_folder, table
 from logsluice.llm.mixing import mix
+from logsluice.llm.packing import pack
+from logsluice.llm.quality_rules import keep_good
+from logsluice.llm.repeats import without_repeats
+from logsluice.llm.simhash import one_of_each
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    return keep_good(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates by SimHash, the document with the smallest id."""
+    return one_of_each(docs)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents less every string of 100 bytes that also begins earlier; ``n_chars`` counts what is left."""
+    return without_repeats(docs, size="n_chars")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,11 +32,20 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mix(docs).drop("copy")
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's words lie in sequences of equal length."""
+    return pack(docs)
+
+
 STAGES = [
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("suffix-array dedup", repeats_stage),
     ("mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
 ]
 
-#: Several stages have no SQL form; they are tested against brute-force versions.
+#: Fingerprints, repeated bytes and bins have no SQL form here; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -25,8 +53,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "pipeline")
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

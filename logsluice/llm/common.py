@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +54,11 @@ def n_words(column: str) -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once for the row, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def running_totals(
     df: DataFrame, order: Sequence[str], values: Sequence[str], index: str = "_index"
 ) -> DataFrame:

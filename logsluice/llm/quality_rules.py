@@ -6,13 +6,12 @@ shuffled; the sketches are counts by bucket, which Spark adds up.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WORD, checkpointed, if_small, text_or_empty
+from logsluice.llm.common import WORD, checkpointed, if_small, let, text_or_empty
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -47,11 +46,6 @@ RULES = (
 )
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with ``value`` computed once for the row, however often ``then`` names it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words of a text that lie in a run of ``window`` words found at two or more places in it.
 

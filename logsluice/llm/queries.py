@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
 from logsluice.llm.kneser_ney import classify
+from logsluice.llm.licences import licence_paragraphs
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.nearest import nearest
 from logsluice.llm.packing import pack
@@ -38,6 +39,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licence_paragraphs(docs).select("doc_id", "paragraph", "family", "probability", "similarity")
+    first = found.groupBy("doc_id").agg(
+        F.min_by(F.struct("family", "paragraph", "probability", "similarity"),
+                 F.struct(F.col("family") == "unknown", -F.col("similarity"), F.col("paragraph"))).alias("best"),
+        F.array_sort(F.collect_set("family")).alias("families"), F.count("*").alias("n_paragraphs"),
+    )
+    return docs.select("doc_id").join(first, "doc_id", "left").select(
+        "doc_id", "best.*", F.array_join("families", ",").alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs")
+    )
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -83,6 +97,7 @@ def op10_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
+    "op3_licences": op3_licences,
     "op4_pack": op4_pack,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_nearest": op6_nearest,

@@ -425,10 +425,14 @@ def repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str =
     return left.select(F.col(f"rest.`{key}`"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", size: str | None = None
+) -> DataFrame:
     """``docs`` with the texts less what ``repeats`` removes, but for characters of which only some bytes would go.
 
-    All rows stay, also those whose text becomes empty; null texts become empty.
+    All rows stay, also those whose text becomes empty; null texts become empty. A column ``size``, if named and there, gets the
+    number of characters that are left.
     """
     left = _treated(docs, length, key, text, digest=False)
-    return left.select(*[F.col("kept").alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    new = {text: F.col("kept"), size: F.char_length("kept").cast("long")}
+    return left.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
