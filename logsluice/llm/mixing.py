@@ -45,6 +45,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), cap:
     return levels.select("source", "source_size", share.alias("target"))
 
 
+def _planned(docs: DataFrame, weights: Sequence[float], cap: float, seed: int, key: str, text: str, source: str) -> DataFrame:
+    """Each row as a struct ``_row``, with ``size, source_size, target, copies``."""
+    rows = docs.select(
+        F.struct("*").alias("_row"), F.col(source).alias("_source"), F.col(key).alias("_key"), n_words(text).alias("size")
+    )
+    sizes = checkpointed(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")))
+    targets = if_small(checkpointed(source_targets(sizes, weights, cap)))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
+    hashed = F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col("_key").cast("string"), F.lit("null"))))
+    unit = F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    copies = F.floor("_rate") + (unit < F.col("_rate") - F.floor("_rate")).cast("long")
+    return (
+        rows.join(targets, F.col("_source").eqNullSafe(F.col("source")), "left")
+        .withColumn("_rate", rate)
+        .select("_row", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    )
+
+
 def mixing_plan(
     docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 0,
     key: str = "doc_id", text: str = "text", source: str = "source",
@@ -60,31 +78,18 @@ def mixing_plan(
     so do all with a null key. An empty table gives no rows. Other columns are kept; old ones
     of the four names are replaced.
     """
-    rows = docs.drop("size", "source_size", "target", "copies").select(
-        F.struct("*").alias("_row"), F.col(source).alias("_source"), F.col(key).alias("_key"), n_words(text).alias("size")
-    )
-    sizes = checkpointed(
-        rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
-    )
-    targets = if_small(checkpointed(source_targets(sizes, weights, cap)))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    hashed = F.md5(F.concat(F.lit(f"mix-{seed}-"), F.coalesce(F.col("_key").cast("string"), F.lit("null"))))
-    unit = F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    return (
-        rows.join(targets, F.col("_source").eqNullSafe(F.col("source")), "left")
-        .withColumn("_rate", rate)
-        .select(
-            "_row.*", "size", "source_size", "target",
-            (F.floor("_rate") + (unit < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long").alias("copies"),
-        )
-    )
+    plain = docs.drop("size", "source_size", "target", "copies")
+    return _planned(plain, weights, cap, seed, key, text, source).select("_row.*", "size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 0,
+    key: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
     """The mixed corpus: each document as often as ``mixing_plan`` says, numbered by ``copy`` from 0.
 
-    Columns are those of ``docs`` and ``copy``; the handling of odd rows is that of ``mixing_plan``.
+    Columns are those of ``docs`` and ``copy`` (an old one is replaced); odd rows are handled as in ``mixing_plan``.
     """
-    plan = mixing_plan(docs.drop("copy"), **options).where("copies > 0")
-    copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], "copy")
+    plan = _planned(docs.drop("copy"), weights, cap, seed, key, text, source).where("copies > 0")
+    number = F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1))
+    return plan.select("_row", number.alias("copy")).select("_row.*", "copy")

@@ -173,24 +173,13 @@ def thresholds(counts: DataFrame, rules: tuple[Rule, ...] = RULES, enough: int =
     )
 
 
-def quality_rules(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, enough: int = 200,
-    text: str = "text", lang: str = "lang", source: str = "source", carry: tuple[str, ...] | None = None,
-) -> DataFrame:
-    """Judge every text: adds a struct ``quality`` with the figures, ``base_failed`` and ``kept``.
-
-    ``base_failed``: fewer than 20 words, or over 30 % of them in repeated windows of eight. ``kept``:
-    not so, and every figure within the thresholds of its language and source, which adapt to what
-    is usual there (see ``Rule``). The thresholds come from all texts that did not fail the base.
-
-    Null texts count as empty and fail the base; null languages and sources are groups like others;
-    repeated rows count as often as they occur and get equal verdicts. An empty table gives no rows. The columns in ``carry`` (all
-    by default) are kept; an old ``quality`` is replaced. Rows are checkpointed once with their figures, so texts are read once.
-    """
-    carried = [F.col(f"`{c}`") for c in carry or docs.columns if c != "quality"]
+def _judged(
+    docs: DataFrame, rules: tuple[Rule, ...], enough: int, text: str, lang: str, source: str, carried: list[str]
+) -> DataFrame:
+    """Each row as a struct ``_row`` of the columns ``carried``, and its ``quality``."""
     rows = docs.select(
-        F.struct(*carried).alias("_row"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"),
-        base_figures(text).alias("f"),
+        F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.col(lang).cast("string").alias("lang"),
+        F.col(source).cast("string").alias("source"), base_figures(text).alias("f"),
     )
     figures = checkpointed(
         rows.select("_row", "lang", "source", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_stutters", "f.lines.*", "f.n_repeat_words")
@@ -210,10 +199,31 @@ def quality_rules(
         by_group, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left"
     )
     kept = (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept")
-    return judged.select("_row.*", F.struct(*numbers, kept).alias("quality"))
+    return judged.select("_row", F.struct(*numbers, kept).alias("quality"))
+
+
+def quality_rules(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, enough: int = 200,
+    text: str = "text", lang: str = "lang", source: str = "source", carry: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Judge every text: adds a struct ``quality`` with the figures, ``base_failed`` and ``kept``.
+
+    ``base_failed``: fewer than 20 words, or over 30 % of them in repeated windows of eight. ``kept``:
+    not so, and every figure within the thresholds of its language and source, which adapt to what
+    is usual there (see ``Rule``). The thresholds come from all texts that did not fail the base.
+
+    Null texts count as empty and fail the base; null languages and sources are groups like others;
+    repeated rows count as often as they occur and get equal verdicts. An empty table gives no rows. The columns in ``carry`` (all
+    by default) are kept; an old ``quality`` is replaced. Rows are checkpointed once with their figures, so texts are read once.
+    """
+    carried = [c for c in carry or docs.columns if c != "quality"]
+    return _judged(docs, rules, enough, text, lang, source, carried).select("_row.*", "quality")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps."""
-    judged = quality_rules(docs, **options).where("quality.kept")
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"])
+def keep_good(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, enough: int = 200,
+    text: str = "text", lang: str = "lang", source: str = "source",
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    judged = _judged(docs, rules, enough, text, lang, source, docs.columns)
+    return judged.where("quality.kept").select("_row.*")

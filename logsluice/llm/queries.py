@@ -108,6 +108,71 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES = {
+    "op2_quality_rules": f"""
+        WITH base AS (
+          SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+          FROM documents),
+        windows AS (
+          SELECT doc_id, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM (
+            SELECT doc_id, list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' ')) AS g
+            FROM base WHERE len(w) >= 8)),
+        repeated AS (SELECT doc_id, unnest(places) AS i FROM (
+          SELECT doc_id, list(i) AS places FROM windows GROUP BY doc_id, g HAVING count(*) > 1)),
+        covered AS (
+          SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY doc_id),
+        counted AS (
+          SELECT *, list_filter(str_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM base),
+        figures AS (
+          SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+            CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+            CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            CAST(len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS BIGINT) AS n_stutters,
+            CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+            CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+          FROM counted LEFT JOIN covered USING (doc_id)),
+        failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM figures),
+        valued AS (
+          SELECT doc_id, lang, source, base_failed, unnest([
+            {{f: 'symbols', v: n_symbols * 10000 // greatest(word_chars, 1)}},
+            {{f: 'dup_lines', v: n_dup_lines * 10000 // greatest(n_lines, 1)}},
+            {{f: 'repeats', v: n_repeat_words * 10000 // greatest(n_words, 1)}},
+            {{f: 'stutter', v: n_stutters * 10000 // greatest(n_words, 1)}},
+            {{f: 'word_length', v: word_chars * 1000 // greatest(n_words, 1)}}], recursive := true)
+          FROM failed),
+        sketch AS (
+          SELECT lang, source, f, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b, count(*) AS n
+          FROM valued WHERE NOT base_failed GROUP BY ALL),
+        own AS (
+          SELECT lang, source, f, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS n
+          FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, f ORDER BY b) AS upto,
+            sum(n) OVER (PARTITION BY lang, source, f) AS total FROM sketch) GROUP BY ALL),
+        by_lang AS (
+          SELECT lang, f, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS n
+          FROM (SELECT *, sum(n) OVER (PARTITION BY lang, f ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, f) AS total
+            FROM (SELECT lang, f, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
+        by_all AS (
+          SELECT f, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3
+          FROM (SELECT *, sum(n) OVER (PARTITION BY f ORDER BY b) AS upto, sum(n) OVER (PARTITION BY f) AS total
+            FROM (SELECT f, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
+        rules(f, spread, least, low) AS (
+          VALUES ('symbols', 4, 100, false), ('dup_lines', 4, 1000, false), ('repeats', 4, 750, false),
+            ('stutter', 4, 250, false), ('word_length', 6, 500, true)),
+        chosen AS (
+          SELECT o.lang, o.source, o.f,
+            CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
+            CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
+          FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.f = l.f JOIN by_all a ON o.f = a.f),
+        limits AS (
+          SELECT lang, source, f, CASE WHEN low THEN q1 - spread * greatest(q3 - q1, least) ELSE -1 END AS lowest,
+            q3 + spread * greatest(q3 - q1, least) AS highest
+          FROM chosen JOIN rules USING (f)),
+        outside AS (
+          SELECT v.doc_id, bool_or(v.v < m.lowest OR v.v > m.highest) AS out
+          FROM valued v JOIN limits m ON v.lang IS NOT DISTINCT FROM m.lang AND v.source IS NOT DISTINCT FROM m.source AND v.f = m.f
+          GROUP BY v.doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND NOT coalesce(out, false) AS kept
+        FROM failed LEFT JOIN outside USING (doc_id)""",
     # The polynomial is CRC-32's; its table of remainders comes from the rule, the digits of the bytes from the text.
     "op7_shard_by_bytes": """
         WITH steps AS (
