@@ -32,11 +32,13 @@ class Quantised:
 
     @classmethod
     def of(cls, vectors: np.ndarray) -> Quantised:
-        scale = np.abs(vectors).max(axis=1) / 127
-        scale[scale == 0] = 1  # of subnormal numbers; they are then all lack
-        code = np.rint(vectors / scale[:, None]).astype(np.int8)
-        near = code * scale[:, None]
-        return cls(vectors, code, scale, np.linalg.norm(near, axis=1), np.linalg.norm(vectors - near, axis=1))
+        most = np.abs(vectors).max(axis=1)
+        scale = np.where(most / 127 > 0, most / 127, most)  # of the least numbers there are no fractions
+        inside = vectors / scale[:, None]
+        code = np.rint(inside).astype(np.int8)
+        # Lengths are taken before scaling, where squares neither vanish nor overflow.
+        length, lack = np.linalg.norm(code, axis=1), np.linalg.norm(inside - code, axis=1)
+        return cls(vectors, code, scale, length * scale, lack * scale)
 
     def tile(self, start: int, size: int) -> Quantised:
         some = slice(start, start + size)
