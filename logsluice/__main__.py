@@ -5,9 +5,12 @@ from __future__ import annotations
 import argparse
 from datetime import date
 
+from logsluice.functions.paths import ACCOUNT_LAYOUT, HIVE_LAYOUT
 from logsluice.plans import jobs
 from logsluice.session import session
 
+LAYOUTS = {"account": ACCOUNT_LAYOUT, "hive": HIVE_LAYOUT}
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="logsluice")
@@ -17,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
         for argument in ("root", *names):
             sub.add_argument(f"--{argument}", required=True)
+        sub.add_argument("--layout", choices=LAYOUTS, default="account")
         return sub
 
     command("backfill", "dest")
@@ -30,6 +34,9 @@ def parser() -> argparse.ArgumentParser:
     command("register-partitions", "table")
     recent = command("register-recent", "table")
     recent.add_argument("--as-of", type=date.fromisoformat, default=None)
+    convert = commands.add_parser("convert-table")
+    convert.add_argument("--table", required=True)
+    convert.add_argument("--dest", required=True)
     return top
 
 
@@ -38,9 +45,13 @@ def main(argv: list[str] | None = None) -> None:
     job = arguments.pop("job").replace("-", "_")
     if "as_of" in arguments and arguments["as_of"] is None:
         arguments["as_of"] = date.today()
+    if "layout" in arguments:
+        arguments["layout"] = LAYOUTS[arguments["layout"]]
     result = getattr(jobs, job)(session(f"logsluice {job}"), **arguments)
     if job.startswith("register"):
         result.show()
+    elif result is not None:
+        print(result)
 
 
 if __name__ == "__main__":

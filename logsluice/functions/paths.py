@@ -49,6 +49,18 @@ class Layout:
         names = ",".join(sorted({d.strftime(self.day_format) for d in days}))
         return f"{root.rstrip('/')}/{self._any_folder()}/{{{names}}}"
 
+    def months_glob(self, root: str) -> str:
+        """The folders of delivery months, for finding out which there are."""
+        return f"{root.rstrip('/')}/{self._any_folder()}/*/*"
+
+    def named_month_glob(self, root: str, year: str, month: str) -> str:
+        """The delivery days below month folders of these names."""
+        return f"{root.rstrip('/')}/{self._any_folder()}/{year}/{month}/*"
+
+    def any_folder(self, root: str) -> str:
+        """The region folders of every account."""
+        return f"{root.rstrip('/')}/{self._any_folder()}"
+
     def month_glob(self, root: str, year: int, month: int) -> str:
         """Only the delivery days of one month."""
         return f"{root.rstrip('/')}/{self._any_folder()}/{date(year, month, 1).strftime(self.month_format)}"
@@ -87,11 +99,22 @@ def with_path_values(frame: DataFrame, path: str, layout: Layout = ACCOUNT_LAYOU
 
     def value(n: int, key: str) -> Column:
         folder = F.element_at("_folders", n - len(layout.keys))
-        return F.substring(folder, len(key) + 2, _TO_THE_END) if layout.named else folder
+        return unescaped(F.substring(folder, len(key) + 2, _TO_THE_END)) if layout.named else folder
 
     return fitting.withColumns({k: value(n, k) for n, k in enumerate(layout.keys)}).drop("_folders")
 
 
+def unescaped(value: Column) -> Column:
+    """A value as ``key=value`` folders and partition lists escape it; unlike in forms, ``+`` is itself there."""
+    return F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+
+
+def scanned_file() -> Column:
+    """Path of the file a row was read from, as the store spells it."""
+    path = F.col("_metadata.file_path")
+    return F.coalesce(unescaped(path), path)
+
+
 def folder_of(path: Column | str) -> Column:
     """The folder of a file path, with a trailing ``/``."""
     return F.regexp_replace(path, "[^/]*$", "")

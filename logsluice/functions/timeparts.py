@@ -36,9 +36,17 @@ def local_parts(column: Column | str) -> dict[str, Column]:
 
 
 def partition_date(year: str = "year", month: str = "month", day: str = "day") -> Column:
-    """The date named by three text or int partition keys; NULL when they name none."""
-    joined = F.concat_ws("-", *[F.col(c).cast("string") for c in (year, month, day)])
-    return joined.try_cast("date")
+    """The date named by three text or int partition keys; NULL when one of them is, or they name none."""
+    year, month, day = (F.col(c).cast("string") for c in (year, month, day))
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
+
+
+def utc_instant(text: Column) -> Column:
+    """The TIMESTAMP that ISO text names; text without a zone is UTC, whatever the session's zone is."""
+    zoned = text.rlike(r":\d{2}.*(Z|[A-Za-z]|[+-]\d{1,2}(:?\d{2})?)\s*$")
+    wall_clock = text.try_cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), wall_clock)
+    return F.when(zoned, F.try_to_timestamp(text)).otherwise(F.timestamp_micros(micros))
 
 
 def time_order(frame: DataFrame, ts: str, tie: str) -> Column:

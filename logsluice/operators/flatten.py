@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsluice.functions.names import snake_case
-from logsluice.functions.timeparts import utc_parts
+from logsluice.functions.timeparts import utc_instant, utc_parts
 from logsluice.functions.urls import before_first_dot
 from logsluice.schemas import RECORD, TYPED_LEAVES, leaf_paths
 
@@ -19,7 +19,7 @@ def typed(column: Column, target: str | None) -> Column:
     if target is None:
         return column
     if target == "timestamp":
-        return F.try_to_timestamp(column)
+        return utc_instant(column)
     return column.try_cast(target)
 
 

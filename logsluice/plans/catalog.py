@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from datetime import date
+from functools import reduce
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout
+from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, unescaped
+from logsluice.functions.text import not_blank
 from logsluice.schemas import DELIVERED_KEYS, DELIMITED_PRICES, LAKE_KEYS, envelope_schema, lake_schema
 
 # Partition clauses per statement; a statement is one catalog call.
@@ -57,7 +60,7 @@ def create_flat_log_table(spark: SparkSession, table: str, location: str) -> Non
     """Envelopes below ``location``, however deep, as one table."""
     create_table(
         spark, table, envelope_schema(), "json", location,
-        multiLine="true", recursiveFileLookup="true", mode="FAILFAST",
+        multiLine="true", recursiveFileLookup="true", ignoreCorruptFiles="true",
     )
 
 
@@ -65,13 +68,16 @@ def create_partitioned_log_table(spark: SparkSession, table: str, location: str)
     """Envelopes by delivery folder; ``add_partitions`` points its keys at the folders."""
     keys = [T.StructField(key, T.StringType()) for key in DELIVERED_KEYS]
     schema = T.StructType([*envelope_schema().fields, *keys])
-    create_table(spark, table, schema, "json", location, DELIVERED_KEYS, multiLine="true", mode="FAILFAST")
+    create_table(spark, table, schema, "json", location, DELIVERED_KEYS, multiLine="true", ignoreCorruptFiles="true")
 
 
 def create_lake_table(
     spark: SparkSession, table: str, location: str, keys: Iterable[str] = LAKE_KEYS
 ) -> None:
-    """A table over a lake written in batches; a streamed lake is read with ``read_lake``."""
+    """A partitioned table over a lake, by whichever load it was written; ``recover_partitions`` fills it.
+
+    Unlike ``read_lake`` it also shows the rows of a load that broke off while it moved its files in.
+    """
     create_table(spark, table, lake_schema(), "parquet", location, keys)
 
 
@@ -85,11 +91,16 @@ def create_price_table(spark: SparkSession, table: str, location: str) -> None:
     create_table(spark, table, DELIMITED_PRICES, "csv", location, sep="|", header="true", quote="")
 
 
-def registered_partitions(spark: SparkSession, table: str, layout: Layout = ACCOUNT_LAYOUT) -> DataFrame:
-    """The key values of a table's partitions, one column per key."""
-    listed = spark.sql(f"SHOW PARTITIONS {table}")
+def registered_partitions(
+    spark: SparkSession, table: str, layout: Layout = ACCOUNT_LAYOUT, days: Iterable[date] | None = None
+) -> DataFrame:
+    """The key values of a table's partitions, one column per key; of all, or of the partitions of some ``days`` only."""
+    only = [""] if days is None else [
+        f" PARTITION (year = '{d:%Y}', month = '{d:%m}', day = '{d:%d}')" for d in sorted(set(days))
+    ]
+    listed = reduce(DataFrame.union, [spark.sql(f"SHOW PARTITIONS {table}{part}") for part in only])
     values = {k: F.regexp_extract("partition", f"(?:^|/){k}=([^/]*)", 1) for k in layout.keys}
-    return listed.select(*[F.url_decode(v).alias(k) for k, v in values.items()])
+    return listed.select(*[unescaped(v).alias(k) for k, v in values.items()])
 
 
 def add_partitions(
@@ -121,10 +132,4 @@ def preview(spark: SparkSession, table: str) -> DataFrame:
 
 def endpoint_access(spark: SparkSession, table: str, column: str = "vpc_endpoint_id") -> DataFrame:
     """Saved query: events that came through a private endpoint."""
-    return spark.sql(
-        f"""
-        SELECT * FROM {table}
-        WHERE ltrim(rtrim(replace(replace(replace({column}, chr(9), ''), chr(10), ''), chr(13), ''))) <> ''
-          AND {column} IS NOT NULL
-        """
-    )
+    return spark.table(table).where(not_blank(column) & F.col(column).isNotNull())

@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.functions.paths import HIVE_LAYOUT, LOG_FOLDER
+from logsluice.functions.paths import DIGEST_FOLDER, HIVE_LAYOUT, LOG_FOLDER
 from logsluice.functions.timeparts import local_parts
 from logsluice.operators.partitions import parse_locations, well_formed
 from logsluice.plans import catalog
 from logsluice.schemas import (
     DELIMITED_PRICES,
     DELIVERED_KEYS,
+    MATRIX_KINDS,
     PRICE_LIST_COLUMNS,
     PRICE_LIST_PREAMBLE_LINES,
 )
@@ -52,8 +53,9 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None
 def audit_records(events: DataFrame) -> DataFrame:
     """``events`` as audit records: delivery keys, and the record as JSON text.
 
-    Delivery is six hours after the event, so evening events sit in the next day's folder.
-    Events with ``k = 0`` carry an unreadable time.
+    Delivery is six hours after the event, so evening events sit in the next day's folder. By ``k``: 0
+    has an unreadable time; of 10, those ending in 3 name another account than their folder, in 4 another region, and in 7 a time
+    without a zone; of 3, the first has a shared id in one spelling, the second in the other.
     """
     k = F.get_json_object("props", "$.k").cast("int")
     happened = F.expr("ts + interval 16 days")
@@ -62,6 +64,9 @@ def audit_records(events: DataFrame) -> DataFrame:
     account = F.lpad((F.col("user_id") % 2 + 1).cast("string"), 12, "0")
     region = F.concat(F.lit("region-"), F.floor(k / 50).cast("string"))
     user = F.col("user_id").cast("string")
+    own_account = F.when(k % 10 == 3, F.lit("999999999999")).otherwise(account)
+    own_region = F.when(k % 10 == 4, F.lit("elsewhere")).otherwise(region)
+    time = F.when(k == 0, F.lit("unknown")).when(k % 10 == 7, F.date_format(happened, iso[:-3])).otherwise(F.date_format(happened, iso))
 
     def object_of(**fields) -> Column:
         return F.struct(*[v.alias(n) for n, v in fields.items()])
@@ -70,7 +75,7 @@ def audit_records(events: DataFrame) -> DataFrame:
         type=F.lit("User"),
         principalId=F.concat(F.lit("P"), user),
         arn=F.concat(F.lit("arn:user/"), user),
-        accountId=account,
+        accountId=own_account,
         userName=F.concat(F.lit("user"), user),
         sessionContext=object_of(
             attributes=object_of(
@@ -88,10 +93,10 @@ def audit_records(events: DataFrame) -> DataFrame:
     record = object_of(
         eventVersion=F.lit("1.08"),
         userIdentity=identity,
-        eventTime=F.when(k == 0, F.lit("unknown")).otherwise(F.date_format(happened, iso)),
+        eventTime=time,
         eventSource=F.concat("event_type", F.lit(".example.com")),
         eventName=F.initcap("event_type"),
-        awsRegion=region,
+        awsRegion=own_region,
         sourceIPAddress=F.concat(F.lit("10.0.0."), k),
         errorCode=F.when(F.col("event_type") == "error", F.lit("Failed")),
         requestParameters=F.from_json("props", "k INT"),
@@ -99,8 +104,9 @@ def audit_records(events: DataFrame) -> DataFrame:
         eventID=F.col("event_id").cast("string"),
         readOnly=F.col("event_type") == "view",
         managementEvent=F.when(k < 10, F.lit("maybe")).otherwise((k < 30).cast("string")),
-        resources=F.array(object_of(accountId=account, type=F.col("event_type"))),
-        recipientAccountId=account,
+        resources=F.array(object_of(accountId=own_account, type=F.col("event_type"))),
+        recipientAccountId=own_account,
+        sharedEventID=F.when(k % 3 < 2, F.concat(F.lit("s"), F.col("event_id").cast("string"))),
         vpcEndpointId=endpoint,
     )
     return events.select(
@@ -111,12 +117,21 @@ def audit_records(events: DataFrame) -> DataFrame:
         F.date_format(delivered, "yyyy").alias("year"),
         F.date_format(delivered, "MM").alias("month"),
         F.date_format(delivered, "dd").alias("day"),
-        F.to_json(record).alias("record"),
-    )
+        k.alias("k"),
+        F.when(k % 3 == 1, F.replace(F.to_json(record), F.lit('"sharedEventID"'), F.lit('"sharedEventId"')))
+        .otherwise(F.to_json(record)).alias("record"),
+    )
+
+
+#: Files that hold no records, by what an event's ``k`` asks for; the second and third are set aside.
+BY_KEY = {60: '{"Records":[]}', 61: '{"Entries":[{"eventID":"x"}]}', 62: '{"Records":[{"eventID":'}
 
 
 def log_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Gzip envelope files in delivery folders, one JSON object per file."""
+    """Gzip envelope files in delivery folders, one JSON object per file, and some files that are none.
+
+    A digest file lies in a folder beside that of each file of records.
+    """
 
     def make(path: str) -> None:
         records = audit_records(table(spark, sf_dir, "events"))
@@ -127,6 +142,10 @@ def log_tree(spark: SparkSession, sf_dir: str) -> str:
             .agg(F.array_join(F.collect_list("record"), ",").alias("records"))
             .select(*DELIVERED_KEYS, F.concat(F.lit('{"Records":['), "records", F.lit("]}")).alias("value"))
         )
+        digests = envelopes.withColumn("type", F.lit(DIGEST_FOLDER))
+        odd = F.create_map(*[F.lit(x) for pair in BY_KEY.items() for x in pair])
+        others = records.where(F.col("k").isin(list(BY_KEY))).select(*DELIVERED_KEYS, F.element_at(odd, F.col("k")).alias("value"))
+        envelopes = envelopes.unionByName(digests).unionByName(others)
         writer = envelopes.write.option("compression", "gzip").option("maxRecordsPerFile", 1)
         with many_writers(spark):
             writer.partitionBy(*DELIVERED_KEYS).text(path)
@@ -134,6 +153,47 @@ def log_tree(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "logs", make)
 
 
+def account_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The files of ``log_tree`` in plain folders, as the audit service lays them out, with digests."""
+
+    def make(path: str) -> None:
+        # Spark names folders key=value itself, so each plain folder is written as a tree of its own.
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(log_tree(spark, sf_dir))
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        files = [r["path"] for r in rows.select("path").collect()]
+        for n, file in enumerate(sorted(files)):
+            folders = [part.split("=", 1)[1] for part in file.split("/")[-7:-1]]
+            source = jvm.org.apache.hadoop.fs.Path(file)
+            target = jvm.org.apache.hadoop.fs.Path("/".join([path, *folders, f"{n}.json.gz"]))
+            jvm.org.apache.hadoop.fs.FileUtil.copy(
+                source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf
+            )
+
+    return once(spark, sf_dir, "account_logs", make)
+
+
+def matrix_file(spark: SparkSession, sf_dir: str) -> str:
+    """Market segments by nation as an availability matrix: in the first kind if a customer is rich, in the second if one is poor."""
+
+    def make(path: str) -> None:
+        customer = table(spark, sf_dir, "customer")
+        cells = customer.groupBy("c_mktsegment", "c_nationkey").agg(
+            (F.max("c_acctbal") >= 9500).alias("rich"), (F.min("c_acctbal") < 0).alias("poor")
+        )
+        maps = [
+            F.map_from_entries(F.collect_list(F.struct(F.col("c_nationkey").cast("string"), flag))).alias(flag)
+            for flag in ("rich", "poor")
+        ]
+        services = cells.groupBy("c_mktsegment").agg(*maps)
+        kinds = [
+            F.map_from_entries(F.collect_list(F.struct("c_mktsegment", flag))).alias(kind)
+            for flag, kind in zip(("rich", "poor"), MATRIX_KINDS)
+        ]
+        services.agg(*kinds).coalesce(1).write.json(path)
+
+    return once(spark, sf_dir, "matrix", make)
+
+
 def database(spark: SparkSession, sf_dir: str) -> str:
     """A database of our own in the session's catalog."""
 

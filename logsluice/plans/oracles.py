@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from logsluice.plans.queries import AUDIT_AS_OF, AUDIT_MONTH, EVENTS_AS_OF, NOISE
-from logsluice.schemas import DELIMITED_PRICES
+from logsluice.schemas import DELIMITED_PRICES, PRICE_LIST_COLUMNS
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
 HAPPENED = "(ts + INTERVAL 16 DAY)"
@@ -11,29 +11,25 @@ DELIVERED = "(ts + INTERVAL 16 DAY + INTERVAL 6 HOUR)"
 
 AUDIT = f"""
 audit AS (
-  SELECT event_id, user_id, event_type, {K} AS k,
-    lpad(CAST(user_id % 2 + 1 AS VARCHAR), 12, '0') AS account,
-    'region-' || CAST({K} // 50 AS VARCHAR) AS region,
-    {HAPPENED} AS happened,
-    CASE WHEN {K} <> 0 THEN date_trunc('second', {HAPPENED}) END AS event_time,
-    CAST(date_trunc('day', {DELIVERED}) AS DATE) AS delivered,
-    CASE event_type WHEN 'click' THEN 'vpce-' || CAST({K} AS VARCHAR)
-      WHEN 'signup' THEN ' ' || chr(9) || chr(13) || chr(10) || ' ' END AS vpc_endpoint_id
-  FROM events
-),
-lake AS (
-  SELECT CAST(event_id AS VARCHAR) AS event_id, event_time, vpc_endpoint_id,
-    event_type = 'view' AS read_only, account AS account_id, event_type AS service,
-    upper(event_type[1]) || event_type[2:] AS event_name, region,
-    CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month,
-    CAST(day(event_time) AS INTEGER) AS day, CAST(hour(event_time) AS INTEGER) AS hour, delivered
-  FROM audit
+  SELECT *, CASE WHEN k % 10 = 3 THEN '999999999999' ELSE folder_account END AS account,
+    CASE WHEN k % 10 = 4 THEN 'elsewhere' ELSE folder_region END AS region,
+    CASE WHEN k % 3 < 2 THEN 's' || event_id END AS shared
+  FROM (
+    SELECT event_id, user_id, event_type, {K} AS k,
+      lpad(CAST(user_id % 2 + 1 AS VARCHAR), 12, '0') AS folder_account,
+      'region-' || CAST({K} // 50 AS VARCHAR) AS folder_region,
+      {HAPPENED} AS happened,
+      CASE WHEN {K} <> 0 THEN date_trunc('second', {HAPPENED}) END AS event_time,
+      CAST(date_trunc('day', {DELIVERED}) AS DATE) AS delivered,
+      CASE event_type WHEN 'click' THEN 'vpce-' || CAST({K} AS VARCHAR)
+        WHEN 'signup' THEN ' ' || chr(9) || chr(13) || chr(10) || ' ' END AS vpc_endpoint_id
+    FROM events)
 )
 """
 
 FOLDERS = f"""
 {AUDIT}, folders AS (
-  SELECT event_id, account AS accountid, 'CloudTrail' AS type, region,
+  SELECT event_id, k, folder_account AS accountid, 'CloudTrail' AS type, folder_region AS region,
     strftime(delivered, '%Y') AS year, strftime(delivered, '%m') AS month,
     strftime(delivered, '%d') AS day, delivered
   FROM audit
@@ -41,17 +37,11 @@ FOLDERS = f"""
 """
 
 
-def _lake(where: str = "TRUE") -> str:
-    return f"WITH {AUDIT} SELECT * EXCLUDE (delivered) FROM lake WHERE {where}"
-
-
 def _two_days(column: str = "delivered") -> str:
     return f"{column} BETWEEN DATE '{AUDIT_AS_OF}' - 1 AND DATE '{AUDIT_AS_OF}'"
 
 
-AUDIT_FLAT = f"""
-WITH {AUDIT}
-SELECT
+FLAT_COLUMNS = f"""
   '1.08' AS event_version,
   'User' AS user_identity_type,
   'P' || user_id AS user_identity_principal_id,
@@ -70,7 +60,7 @@ SELECT
   CAST(NULL AS VARCHAR) AS user_identity_session_context_session_issuer_account_id,
   CAST(NULL AS VARCHAR) AS user_identity_session_context_session_issuer_user_name,
   '{{"k":' || k || '}}' AS user_identity_session_context_session_issuer_web_id_federation_data,
-  event_time,
+  event_time AS event_time,
   event_type || '.example.com' AS event_source,
   upper(event_type[1]) || event_type[2:] AS event_name,
   region AS aws_region,
@@ -89,12 +79,26 @@ SELECT
   '[{{"accountId":"' || account || '","type":"' || audit.event_type || '"}}]' AS resources,
   account AS recipient_account_id,
   CAST(NULL AS VARCHAR) AS service_event_details,
-  CAST(NULL AS VARCHAR) AS shared_event_id,
+  shared AS shared_event_id,
   vpc_endpoint_id,
   CASE WHEN k >= 10 THEN CASE WHEN k < 30 THEN 'true' ELSE 'false' END END AS management_event
-FROM audit
 """
 
+AUDIT_FLAT = f"WITH {AUDIT} SELECT {FLAT_COLUMNS} FROM audit"
+
+
+def _lake(where: str = "TRUE", by_folder: bool = False) -> str:
+    """Lake rows, with the account and region of the record or of the folder."""
+    account, region = ("folder_account", "folder_region") if by_folder else ("account", "audit.region")
+    return f"""
+        WITH {AUDIT}
+        SELECT {FLAT_COLUMNS},
+          {account} AS account_id, event_type AS service, {region} AS region,
+          CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month,
+          CAST(day(event_time) AS INTEGER) AS day, CAST(hour(event_time) AS INTEGER) AS hour
+        FROM audit WHERE {where}"""
+
+
 PATH = (
     "concat_ws('/', 's3://logs', lpad(CAST(o_custkey AS VARCHAR), 12, '0'),"
     " CASE WHEN o_orderstatus <> 'P' THEN 'CloudTrail' END, o_orderpriority,"
@@ -163,6 +167,15 @@ def _delimited() -> str:
     return f"SELECT {', '.join(columns)} FROM lineitem"
 
 
+def _price_list() -> str:
+    sources = {
+        "sku": "CAST(p_partkey AS VARCHAR)", "ratecode": "p_brand || ', ' || p_type", "pricedescription": "p_name",
+        "priceperunit": "p_retailprice", "startingrange": "CAST(p_size AS VARCHAR)", "currency": "'USD'",
+    }
+    columns = [f'{sources.get(name, "CAST(NULL AS VARCHAR)")} AS "{name}"' for name in PRICE_LIST_COLUMNS]
+    return f"SELECT {', '.join(columns)} FROM part"
+
+
 NOISE_PATTERN = "|".join(marker.replace(".", "\\.") for marker in NOISE)
 
 
@@ -291,36 +304,51 @@ def all_oracles() -> dict[str, str]:
         "failure_runs_stream": f"""
             SELECT * FROM ({RUNS}) WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
         "delimited_scan": _delimited(),
-        "price_list_scan": """
-            SELECT CAST(p_partkey AS VARCHAR) AS sku, p_brand || ', ' || p_type AS ratecode,
-              p_name AS pricedescription, CAST(p_size AS VARCHAR) AS startingrange,
-              'USD' AS currency, p_retailprice AS price
-            FROM part""",
+        "price_list_scan": _price_list(),
         "tail_lines": f"""
             WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents)
             SELECT value, CAST(length(value) AS INTEGER) AS n_chars FROM lines
             WHERE NOT regexp_matches(value, '{NOISE_PATTERN}')""",
         "audit_flat": AUDIT_FLAT,
         "audit_two_days": _lake(_two_days()),
-        "endpoint_access": _lake("service = 'click'"),
+        "endpoint_access": _lake("event_type = 'click'"),
         "job_backfill": _lake(),
-        "job_month": _lake(
-            f"year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}"
-        ),
+        "job_month": _lake(f"year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}", True),
         "job_incremental": _lake(_two_days()),
-        "job_lookback": _lake(
-            f"delivered BETWEEN DATE '{AUDIT_AS_OF}' - 7 AND DATE '{AUDIT_AS_OF}'"
-        ),
+        "job_lookback": _lake(f"delivered BETWEEN DATE '{AUDIT_AS_OF}' - 7 AND DATE '{AUDIT_AS_OF}'", True),
+        "loaded_table": _lake(f"delivered BETWEEN DATE '{AUDIT_AS_OF}' - 1 AND DATE '{AUDIT_AS_OF}' + 1"),
+        "loaded_from_table": _lake(
+            f"delivered >= DATE '{AUDIT_AS_OF}' - 20"
+            f" OR year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}", True),
+        "quarantined_files": f"""
+            WITH {FOLDERS} SELECT accountid, region, year, month, day,
+              CASE k WHEN 61 THEN 'no records' ELSE 'not JSON' END AS problem, count(*) AS files
+            FROM folders WHERE k IN (61, 62) AND {_two_days()} GROUP BY ALL""",
+        "account_layout_leaves": f"""
+            WITH {FOLDERS} SELECT DISTINCT * EXCLUDE (event_id, k, delivered) FROM folders""",
+        "account_layout_load": _lake(f"year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}", True),
+        "matrix_file": """
+            WITH cells AS (
+              SELECT c_mktsegment AS service, CAST(c_nationkey AS VARCHAR) AS region,
+                max(c_acctbal) >= 9500 AS rich, min(c_acctbal) < 0 AS poor
+              FROM customer GROUP BY ALL)
+            SELECT 'InterfaceAvailableServicesByRegion' AS kind, service, region, rich AS available FROM cells
+            UNION ALL SELECT 'GatewayAvailableServicesByRegion', service, region, poor FROM cells""",
+        "shown_tables": "SELECT r_regionkey AS id, r_name AS name, 'regions' AS table_name FROM region",
         "ingest_once": """
             SELECT *, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
               CAST(day(ts) AS INTEGER) AS day
             FROM events""",
         "partition_roundtrip": """
+            SELECT *, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+              CAST(day(ts) AS INTEGER) AS day
+            FROM events""",
+        "partition_slice": """
             SELECT *, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
               CAST(day(ts) AS INTEGER) AS day
             FROM events WHERE month(ts) = 1 AND day(ts) >= 15""",
         "manifest_leaves": f"""
-            WITH {FOLDERS} SELECT DISTINCT * EXCLUDE (event_id, delivered) FROM folders""",
+            WITH {FOLDERS} SELECT DISTINCT * EXCLUDE (event_id, k, delivered) FROM folders""",
         "registered_counts": f"""
             WITH {FOLDERS} SELECT accountid, region, year, month, day, count(*) AS records
             FROM folders GROUP BY ALL""",
@@ -330,14 +358,14 @@ def all_oracles() -> dict[str, str]:
         "table_lookback": f"""
             WITH {FOLDERS} SELECT CAST(event_id AS VARCHAR) AS "eventID", accountid, region, month, day
             FROM folders WHERE delivered >= DATE '{AUDIT_AS_OF}' - 7""",
-        "lake_table": _lake("month = 2 AND day = 10"),
+        "lake_table": _lake(),
         "register_all": f"""
             WITH {FOLDERS}, sizes AS (
               SELECT count(DISTINCT (accountid, region, year, month, day)) AS n FROM folders)
             SELECT n AS expected, n AS actual, TRUE AS ok FROM sizes""",
         "register_two_days": f"""
             WITH {FOLDERS}, pairs AS (
-              SELECT DISTINCT accountid, type, region FROM folders WHERE {_two_days()}),
+              SELECT DISTINCT accountid, type, region FROM folders),
             dated AS (
               SELECT *, unnest([DATE '{AUDIT_AS_OF}', DATE '{AUDIT_AS_OF}' - 1]) AS d FROM pairs)
             SELECT accountid, type, region, strftime(d, '%Y') AS year, strftime(d, '%m') AS month,

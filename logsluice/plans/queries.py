@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsluice.functions.paths import HIVE_LAYOUT, LOG_FOLDER, is_digest
-from logsluice.functions.rules import event_pattern, failure_notice
+from logsluice.functions.paths import HIVE_LAYOUT, LOG_FOLDER, folder_of, is_digest
+from logsluice.functions.rules import event_pattern, failure_notice, json_paths
 from logsluice.functions.text import is_noise, not_blank, without_prefix, zero_pad
 from logsluice.functions.urls import before_first_dot, url_after, url_host
 from logsluice.operators import partitions as P
@@ -21,7 +21,7 @@ from logsluice.operators.health import calculated_health, k_of_n, latest_status
 from logsluice.operators.runs import failure_runs
 from logsluice.plans import catalog, derived, jobs
 from logsluice.plans.derived import table
-from logsluice.schemas import LAKE_KEYS
+from logsluice.schemas import MATRIX_KINDS, lake_schema
 from logsluice.session import scratch
 from logsluice.sources.audit import (
     explode_records,
@@ -34,7 +34,9 @@ from logsluice.sources.audit import (
 from logsluice.sources.lake import read_lake, write_lake
 from logsluice.sources.logs import tail_text
 from logsluice.sources.manifest import file_manifest, leaf_prefixes
+from logsluice.sources.matrix import read_matrix
 from logsluice.sources.tables import read_delimited, read_price_list
+from logsluice.streaming import loads
 from logsluice.streaming.alarms import alarm_stream, fan_out
 from logsluice.streaming.ingest import ingest
 from logsluice.streaming.runs import read_runs, watch_failure_runs
@@ -45,8 +47,6 @@ EVENTS_AS_OF = date(2024, 1, 30)
 AUDIT_AS_OF = date(2024, 2, 10)
 AUDIT_MONTH = (2024, 2)
 EVENT_KEYS = ("event_type", "year", "month", "day")
-# A coarser lake for the loads of many days; the incremental load keeps all eight keys.
-DAY_KEYS = ("account_id", "region", "year", "month", "day")
 NOISE = ("the the", "an.")
 
 _queries: dict[str, Query] = {}
@@ -102,7 +102,7 @@ def padded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.get_json_object("props", "$.k")
+    text = json_paths("props", {"k": "$.k"})["k"]
     return table(spark, sf_dir, "events").select(
         "event_id", text.alias("k_text"), text.try_cast("int").alias("k")
     )
@@ -385,10 +385,7 @@ def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def price_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = read_price_list(spark, derived.price_list_files(spark, sf_dir))
-    return prices.select(
-        "sku", "ratecode", "pricedescription", "startingrange", "currency",
-        F.col("priceperunit").try_cast("double").alias("price"),
-    )
+    return prices.withColumn("priceperunit", F.col("priceperunit").try_cast("double"))
 
 
 @query
@@ -435,7 +432,8 @@ def endpoint_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lake_view(rows: DataFrame) -> DataFrame:
-    return _comparable(rows.select("event_id", "event_time", "vpc_endpoint_id", "read_only", *LAKE_KEYS))
+    """All columns of lake rows, comparable between engines."""
+    return _flags_as_text(_comparable(rows.select(*lake_schema().fieldNames())), "management_event")
 
 
 def _loaded(spark: SparkSession, load: Callable[[str], object]) -> DataFrame:
@@ -449,7 +447,7 @@ def _loaded(spark: SparkSession, load: Callable[[str], object]) -> DataFrame:
 @query
 def job_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = derived.log_tree(spark, sf_dir)
-    return _loaded(spark, lambda dest: jobs.backfill(spark, root, dest, HIVE_LAYOUT, DAY_KEYS))
+    return _loaded(spark, lambda dest: jobs.backfill(spark, root, dest, HIVE_LAYOUT))
 
 
 @query
@@ -457,7 +455,7 @@ def job_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = derived.log_tree(spark, sf_dir)
     return _loaded(
         spark,
-        lambda dest: jobs.backfill_month(spark, root, dest, *AUDIT_MONTH, HIVE_LAYOUT, DAY_KEYS),
+        lambda dest: jobs.backfill_month(spark, root, dest, *AUDIT_MONTH, HIVE_LAYOUT),
     )
 
 
@@ -472,7 +470,7 @@ def job_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = derived.log_tree(spark, sf_dir)
     return _loaded(
         spark,
-        lambda dest: jobs.incremental_lookback(spark, root, dest, AUDIT_AS_OF, 7, HIVE_LAYOUT, DAY_KEYS),
+        lambda dest: jobs.incremental_lookback(spark, root, dest, AUDIT_AS_OF, 7, HIVE_LAYOUT),
     )
 
 
@@ -488,11 +486,22 @@ def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch write by event-time partition, then a pruned read of one day."""
+    """Batch write by event-time partition, and the whole of it read back."""
+    return _event_lake(spark, sf_dir, _written_events(spark, sf_dir))
+
+
+@query
+def partition_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lake, read by partition keys: half a month."""
+    lake = _event_lake(spark, sf_dir, _written_events(spark, sf_dir))
+    return lake.where((F.col("month") == 1) & (F.col("day") >= 15))
+
+
+def _written_events(spark: SparkSession, sf_dir: str) -> str:
     dest = scratch(spark, "events_lake")
     events = table(spark, sf_dir, "events")
     write_lake(derived.with_parts(events, "ts", "year", "month", "day"), dest, EVENT_KEYS)
-    return _event_lake(spark, sf_dir, dest).where((F.col("month") == 1) & (F.col("day") >= 15))
+    return dest
 
 
 def _event_lake(spark: SparkSession, sf_dir: str, dest: str) -> DataFrame:
@@ -531,14 +540,87 @@ def table_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lake_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flat table converted in one batch, and one day of the resulting lake table."""
+    """A flat table over the whole tree, digests and all, converted, as a lake table."""
     owner, tag = derived.database(spark, sf_dir), scratch(spark, "x")[-8:]
-    flat, lake, dest = f"{owner}.flat_{tag}", f"{owner}.lake_{tag}", scratch(spark, "lake")
-    catalog.create_flat_log_table(spark, flat, HIVE_LAYOUT.glob(derived.log_tree(spark, sf_dir)))
-    jobs.convert_table(spark, flat, dest, DAY_KEYS)
-    catalog.create_lake_table(spark, lake, dest, DAY_KEYS)
-    catalog.recover_partitions(spark, lake)
-    return _lake_view(spark.table(lake).where((F.col("month") == 2) & (F.col("day") == 10)))
+    flat, dest = f"{owner}.flat_{tag}", scratch(spark, "lake")
+    catalog.create_flat_log_table(spark, flat, derived.log_tree(spark, sf_dir))
+    jobs.convert_table(spark, flat, dest, HIVE_LAYOUT)
+    spark.sql(f"DROP TABLE {flat}")
+    return _lake_view(_as_table(spark, sf_dir, dest))
+
+
+@query
+def loaded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table over a lake that two loads have filled, in days that overlap."""
+    root, dest = derived.log_tree(spark, sf_dir), scratch(spark, "lake")
+    jobs.incremental(spark, root, dest, AUDIT_AS_OF, HIVE_LAYOUT)
+    jobs.incremental(spark, root, dest, AUDIT_AS_OF + timedelta(days=1), HIVE_LAYOUT)
+    return _lake_view(_as_table(spark, sf_dir, dest))
+
+
+def _as_table(spark: SparkSession, sf_dir: str, dest: str) -> DataFrame:
+    name = f"{derived.database(spark, sf_dir)}.lake_{scratch(spark, 'x')[-8:]}"
+    catalog.create_lake_table(spark, name, dest)
+    catalog.recover_partitions(spark, name)
+    return spark.table(name)
+
+
+@query
+def loaded_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month load and the lookback load, each told its files by the partitions of a catalog table."""
+    name, dest = derived.log_table(spark, sf_dir), scratch(spark, "lake")
+    jobs.backfill_month(spark, None, dest, *AUDIT_MONTH, HIVE_LAYOUT, table=name)
+    jobs.incremental_lookback(spark, None, dest, AUDIT_AS_OF, 20, HIVE_LAYOUT, table=name)
+    return _lake_view(read_lake(spark, dest))
+
+
+@query
+def quarantined_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the two days that gave no records, by folder and problem."""
+    dest = scratch(spark, "lake")
+    jobs.incremental(spark, derived.log_tree(spark, sf_dir), dest, AUDIT_AS_OF, HIVE_LAYOUT)
+    files = loads.quarantined_files(spark, dest).select(folder_of("path").alias("location"), "problem")
+    found = P.parse_locations(files, HIVE_LAYOUT)
+    return found.groupBy("accountid", "region", "year", "month", "day", "problem").agg(F.count("*").alias("files"))
+
+
+@query
+def account_layout_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf folders of a tree in the audit service's own layout, with the values their paths carry."""
+    return P.parse_locations(leaf_prefixes(file_manifest(spark, derived.account_tree(spark, sf_dir)))).drop("location")
+
+
+@query
+def account_layout_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load by folder of the days of one month from such a tree."""
+    dest = scratch(spark, "lake")
+    jobs.backfill_month(spark, derived.account_tree(spark, sf_dir), dest, *AUDIT_MONTH)
+    return _lake_view(read_lake(spark, dest))
+
+
+@query
+def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An availability matrix file, opened into one row for each cell."""
+    return unpivot_matrix(read_matrix(spark, derived.matrix_file(spark, sf_dir)).select(*MATRIX_KINDS))
+
+
+@query
+def shown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """USE, CREATE, a multi-row INSERT and SHOW TABLES, of names and numbers of the regions."""
+    name = f"shown_{scratch(spark, 'x')[-8:]}"
+    catalog.create_database(spark, name)
+    before = spark.catalog.currentDatabase()
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    try:
+        spark.sql(f"USE {name}")
+        spark.sql("CREATE TABLE regions (id INT, name STRING) USING parquet")
+        values = ", ".join(f"({r['r_regionkey']}, {catalog.quoted(r['r_name'])})" for r in regions)
+        spark.sql(f"INSERT INTO regions VALUES {values}")
+        shown = spark.sql("SHOW TABLES").where("NOT isTemporary").select(F.col("tableName").alias("table_name"))
+        rows = spark.table(f"{name}.regions")
+    finally:
+        spark.sql(f"USE {before}")
+    return rows.join(shown, F.col("table_name") == "regions")
 
 
 @query

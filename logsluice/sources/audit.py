@@ -1,4 +1,4 @@
-"""Readers for audit-log envelopes: files, streams of files, and catalog tables."""
+"""Readers for audit-log envelopes: files, and catalog tables over them."""
 
 from __future__ import annotations
 
@@ -6,47 +6,52 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, folder_of, is_digest, with_path_values
+from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, folder_of, is_digest, scanned_file, with_path_values
 from logsluice.functions.timeparts import partition_date
 from logsluice.schemas import RECORD, envelope_schema
+from logsluice.sources.paths import empty_if_missing
 
-# A file with a bad token stops the job instead of quietly losing its records.
-_READ_OPTIONS = {"multiLine": "true", "recursiveFileLookup": "true", "mode": "FAILFAST"}
+# The two spellings of one key; records of both kinds are read alike.
+SHARED, OTHER_SHARED = "sharedEventID", "sharedEventId"
 
-# Compressed bytes per batch of a long backlog.
-BACKLOG_BATCH_BYTES = 100 * 2**30
+#: Why a file gave no records.
+UNREADABLE, NOT_JSON, NO_RECORDS = "unreadable", "not JSON", "no records"
 
 
-def read_envelopes(
-    spark: SparkSession, paths: str | list[str], record=RECORD, **options: str
-) -> DataFrame:
-    """Envelope files below ``paths`` (globs allowed), one row per file.
-
-    Gzip and whole-object JSON cannot be split, so parallelism is the number of files.
-    """
-    reader = spark.read.schema(envelope_schema(record)).options(**{**_READ_OPTIONS, **options})
-    return reader.json(paths)
-
+def read_envelopes(spark: SparkSession, paths: str | list[str], record: T.StructType = RECORD) -> DataFrame:
+    """Envelope files below ``paths`` (globs allowed): ``_file``, ``problem`` and ``Records`` of each.
 
-def stream_envelopes(spark: SparkSession, path: str, record=RECORD, **options: str) -> DataFrame:
-    """The same files as a stream that yields each one once per checkpoint.
-
-    ``maxFileAge`` is raised far beyond its default, since a file older than it would be skipped.
-    ``maxBytesPerTrigger`` cuts a long backlog into batches that commit one by one, so that a
-    failure repeats one batch and a shuffle stays within the cluster's disks.
+    A file that is no JSON or has no ``Records`` gives a row with a ``problem`` instead of failing the read; one that cannot be
+    decompressed gives no row at all (see ``unreadable``). Compressed files cannot be split, so parallelism is the number of files.
     """
-    options = {**_READ_OPTIONS, "maxFileAge": "36500d", **options}
-    if "maxFilesPerTrigger" not in options:
-        options.setdefault("maxBytesPerTrigger", str(BACKLOG_BATCH_BYTES))
-    return spark.readStream.schema(envelope_schema(record)).options(**options).json(path)
+    reader = spark.read.options(wholetext="true", recursiveFileLookup="true", ignoreCorruptFiles="true")
+    texts = reader.text(paths).select(scanned_file().alias("_file"), F.col("value").alias("_text"))
+    broken = T.StructField("_broken", T.StringType())
+    schema = T.StructType([*envelope_schema(record).fields, broken])
+    parsed = texts.select(
+        "_file", "_text", F.from_json("_text", schema, {"columnNameOfCorruptRecord": "_broken"}).alias("_e")
+    )
+    records, problem = F.col("_e.Records"), F.when(F.col("_e").isNull() | F.col("_e._broken").isNotNull(), NOT_JSON)
+    if SHARED in record.fieldNames():
+        # Names that differ only by case cannot stand in one schema; texts with the other one are read for it again.
+        other = T.StructType([T.StructField("Records", T.ArrayType(T.StructType([T.StructField(OTHER_SHARED, T.StringType())])))])
+        again = F.when(F.col("_text").contains(f'"{OTHER_SHARED}"'), F.from_json("_text", other)["Records"])
+        parsed = parsed.withColumn("_again", again)
+        both = F.transform(
+            records,
+            lambda r, i: r.withField(SHARED, F.coalesce(r[SHARED], F.get(F.col("_again"), i)[OTHER_SHARED])),
+        )
+        records = F.when(F.col("_again").isNull(), records).otherwise(both)
+    problem = F.coalesce(problem, F.when(F.col("_e.Records").isNull(), NO_RECORDS))
+    return parsed.select("_file", problem.alias("problem"), F.when(problem.isNull(), records).alias("Records"))
 
 
 def explode_records(envelopes: DataFrame) -> DataFrame:
     """One row per audit record, with the file it came from; digest files are left out."""
     return (
-        envelopes.select(F.col("_metadata.file_path").alias("_file"), "Records")
-        .where(~is_digest("_file"))
+        envelopes.where(~is_digest("_file"))
         .select("_file", F.explode("Records").alias("record"))
         .select("_file", "record.*")
     )
@@ -61,10 +66,17 @@ def with_folder_keys(records: DataFrame, layout: Layout = ACCOUNT_LAYOUT) -> Dat
 
 
 def scan_table(spark: SparkSession, table: str) -> DataFrame:
-    """Records of a flat or partitioned catalog table of envelopes, with its partition keys."""
+    """Records of a flat or partitioned catalog table of envelopes, with its partition keys, without digests."""
     envelopes = spark.table(table)
     keys = [c for c in envelopes.columns if c != "Records"]
-    return envelopes.select(*keys, F.explode("Records").alias("record")).select(*keys, "record.*")
+    logs = envelopes.where(~is_digest(F.col("_metadata.file_path")))
+    return logs.select(*keys, F.explode("Records").alias("record")).select(*keys, "record.*")
+
+
+def table_problems(spark: SparkSession, table: str) -> DataFrame:
+    """Files of such a table that give no records, being broken or something else; ``scan_table`` passes over them."""
+    files = spark.table(table).select(scanned_file().alias("_file"), "Records")
+    return files.where(F.col("Records").isNull() & ~is_digest("_file")).select("_file")
 
 
 def month_slice(frame: DataFrame, year: int, month: int) -> DataFrame:
@@ -85,5 +97,7 @@ def lookback(frame: DataFrame, as_of: date, days: int = 7) -> DataFrame:
 def read_days(
     spark: SparkSession, root: str, days: list[date], layout: Layout = ACCOUNT_LAYOUT, record=RECORD
 ) -> DataFrame:
-    """Records of the given delivery days for every account and region."""
-    return explode_records(read_envelopes(spark, layout.days_glob(root, days), record))
+    """Records of the given delivery days for every account and region; none where no folder is there."""
+    schema = T.StructType([T.StructField("_file", T.StringType()), *record.fields])
+    days_glob = layout.days_glob(root, days)
+    return empty_if_missing(spark, lambda: explode_records(read_envelopes(spark, days_glob, record)), schema)

@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsluice.schemas import LAKE_KEYS, lake_schema
 from logsluice.session import many_writers
+from logsluice.sources.paths import empty_if_missing
+
+#: Which load wrote a row; rows written without a load have none.
+LOAD = T.StructField("load_id", T.StringType())
+#: A row for each load that is complete.
+LOADS = T.StructType(
+    [LOAD, T.StructField("at", T.TimestampType()), T.StructField("files", T.LongType()), T.StructField("records", T.LongType())]
+)
 
 
 def spread_by_keys(frame: DataFrame, keys: Sequence[str] = LAKE_KEYS) -> DataFrame:
@@ -27,5 +36,21 @@ def write_lake(frame: DataFrame, dest: str, keys: Sequence[str] = LAKE_KEYS) ->
 
 
 def read_lake(spark: SparkSession, dest: str, schema: T.StructType | None = None) -> DataFrame:
-    """The lake with its declared schema, which also fixes the types of the keys."""
-    return spark.read.schema(schema or lake_schema()).parquet(dest)
+    """The lake with its declared schema, which also fixes the types of the keys.
+
+    Rows of a load that has not committed are left out (see ``logsluice.streaming.loads``).
+    """
+    schema = schema or lake_schema()
+    rows = spark.read.schema(T.StructType([*schema.fields, LOAD])).parquet(dest)
+    loads = empty_if_missing(spark, lambda: spark.read.schema(LOADS).parquet(loads_folder(dest)), LOADS)
+    done = loads.select(F.col(LOAD.name).alias("_done")).distinct()
+    met = rows.join(done, rows[LOAD.name] == done["_done"], "left")
+    return met.where(F.col(LOAD.name).isNull() | F.col("_done").isNotNull()).select(*schema.fieldNames())
+
+
+def loads_folder(dest: str) -> str:
+    return f"{dest.rstrip('/')}/_loads"
+
+
+def files_folder(dest: str) -> str:
+    return f"{dest.rstrip('/')}/_files"
