@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsluice.session import ensure_checkpoint_dir
-
 
 def failure_runs(
     probes: DataFrame,
@@ -15,38 +13,32 @@ def failure_runs(
     failed: Column | str = "failed",
     threshold: int = 1,
     carry: DataFrame | None = None,
+    bucket: str = "day",
 ) -> DataFrame:
     """Add ``run`` (consecutive failures up to and including a row) and ``unhealthy``.
 
-    ``order`` must be unique within a key. ``carry`` gives the ``run`` each key starts with.
+    ``order`` must be unique within a key, and begin with a time. ``carry`` gives the ``run`` each key starts with.
 
-    Rows are range-partitioned by key and order, so a hot key is cut into as many slices as its
-    size asks for. Each slice counts on its own; what crosses a slice border is one number per
-    slice. The counted rows are checkpointed: the numbers and the rows they are added to must
-    come from the same borders, and nothing is sorted twice.
+    A key's rows are cut into slices by ``bucket`` (what ``date_trunc`` knows, such as ``hour`` or ``day``), which changes no
+    result; the interval of the probes bounds a slice. Each slice counts on its own; what crosses a
+    border is one number per slice, so the rows themselves are shuffled once.
     """
     failed = F.col(failed) if isinstance(failed, str) else failed
-    ensure_checkpoint_dir(probes.sparkSession)
-    in_order = Window.partitionBy("_slice", *keys).orderBy(*order)
+    # As one struct, keys that are NULL equal each other wherever slices are matched.
+    slice_of = F.struct(*[F.col(k) for k in keys], F.date_trunc(bucket, order[0]).alias("_bucket"))
+    in_order = Window.partitionBy("_slice").orderBy(*order)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = (
         probes.withColumn("_failed", F.coalesce(failed, F.lit(False)))
-        .repartitionByRange(*keys, *order)
-        .withColumn("_slice", F.spark_partition_id())
+        .withColumn("_slice", slice_of)
         .withColumn("_row", F.row_number().over(in_order))
         .withColumn("_last_ok", F.max(F.when(~F.col("_failed"), F.col("_row"))).over(so_far))
-        .checkpoint()
     )
-    entering = _entering_runs(counted, keys, carry)
-    if carry is None:
-        # At most one key per slice began in an earlier slice, so this has at most a row per slice.
-        entering = F.broadcast(entering)
-    same_slice = [counted[c].eqNullSafe(entering[f"_e_{c}"]) for c in ("_slice", *keys)]
     run = F.col("_row") - F.coalesce("_last_ok", F.lit(0)) + F.when(
         F.col("_last_ok").isNull(), F.coalesce("_entering", F.lit(0))
     ).otherwise(0)
     return (
-        counted.join(entering, same_slice, "left")
+        counted.join(_entering_runs(counted, keys, carry), "_slice", "left")
         .withColumn("run", run.cast("bigint"))
         .withColumn("unhealthy", F.col("run") >= threshold)
         .select(*probes.columns, "run", "unhealthy")
@@ -55,28 +47,31 @@ def failure_runs(
 
 def _entering_runs(counted: DataFrame, keys: list[str], carry: DataFrame | None) -> DataFrame:
     """The run length with which a key enters a slice, where it is not zero."""
-    tails = counted.groupBy("_slice", *keys).agg(
+    tails = counted.groupBy("_slice").agg(
         (F.max("_row") - F.coalesce(F.max("_last_ok"), F.lit(0))).alias("_tail"),
         F.max("_last_ok").isNotNull().alias("_reset"),
     )
+    tails = tails.withColumn("_begin", F.lit(1))
     if carry is not None:
-        start = carry.select(
-            F.lit(-1).alias("_slice"), *keys, F.col("run").alias("_tail"), F.lit(True).alias("_reset")
+        bucket = counted.schema["_slice"].dataType["_bucket"].dataType
+        start = F.struct(*[F.col(k) for k in keys], F.lit(None).cast(bucket).alias("_bucket"))
+        tails = tails.unionByName(
+            carry.select(start.alias("_slice"), F.col("run").alias("_tail"), F.lit(True).alias("_reset"), F.lit(0).alias("_begin"))
         )
-        tails = tails.unionByName(start)
-    slices = Window.partitionBy(*keys).orderBy("_slice")
+    tails = tails.withColumn("_key", F.struct(*[F.col(f"_slice.{k}").alias(k) for k in keys]))
+    slices = Window.partitionBy("_key").orderBy("_begin", "_slice._bucket")
     so_far = slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     since_reset = (
-        Window.partitionBy(*keys, "_island")
-        .orderBy("_slice")
+        Window.partitionBy("_key", "_island")
+        .orderBy("_begin", "_slice._bucket")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         tails.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(so_far))
         .withColumn("_leaving", F.sum("_tail").over(since_reset))
         .withColumn("_entering", F.lag("_leaving").over(slices))
-        .where(F.col("_entering") > 0)
-        .select(F.col("_slice").alias("_e__slice"), *[F.col(k).alias(f"_e_{k}") for k in keys], "_entering")
+        .where((F.col("_begin") == 1) & (F.col("_entering") > 0))
+        .select("_slice", "_entering")
     )
 
 

@@ -21,7 +21,7 @@ from logsluice.schemas import (
     PRICE_LIST_COLUMNS,
     PRICE_LIST_PREAMBLE_LINES,
 )
-from logsluice.session import many_writers, scratch
+from logsluice.session import at_end, many_writers, scratch
 from logsluice.sources.manifest import file_manifest, leaf_prefixes
 
 # Largest number of records in one derived log file.
@@ -199,6 +199,7 @@ def database(spark: SparkSession, sf_dir: str) -> str:
 
     def make(path: str) -> None:
         catalog.create_database(spark, _catalog_name(path), path)
+        at_end(spark, lambda: spark.sql(f"DROP DATABASE IF EXISTS {_catalog_name(path)} CASCADE"))
 
     return _catalog_name(once(spark, sf_dir, "db", make))
 
@@ -276,7 +277,7 @@ def delimited_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def price_list_files(spark: SparkSession, sf_dir: str) -> str:
-    """``part`` as quoted CSV files that each start with a preamble."""
+    """``part`` as quoted CSV files, plain and gzip, that each start with a preamble."""
     sources = {
         "sku": F.col("p_partkey").cast("string"),
         "ratecode": F.concat_ws(", ", "p_brand", "p_type"),
@@ -294,11 +295,35 @@ def price_list_files(spark: SparkSession, sf_dir: str) -> str:
 
     def make(path: str) -> None:
         line = F.concat(F.when(first_of_file, F.lit(preamble)).otherwise(""), F.concat_ws(",", *cells))
-        table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+        part = table(spark, sf_dir, "part")
+        for packed, compression in enumerate(("none", "gzip")):
+            rows = part.where(F.col("p_partkey") % 2 == packed).select(line.alias("value"))
+            rows.write.mode("append").option("compression", compression).text(path)
 
     return once(spark, sf_dir, "price_list", make)
 
 
+#: Of each so many events the last of those of the first week is delivered far too late.
+LATE_EVERY = 97
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """``events`` in three deliveries that overlap in time by some hours, the third with a few that are weeks late."""
+    events = table(spark, sf_dir, "events")
+    due = F.expr("ts + make_interval(0, 0, 0, 0, cast(event_id % 6 as int))")
+    late = (F.col("event_id") % LATE_EVERY == 5) & (F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    third = F.when(late, 2).when(due < F.lit("2024-01-10").cast("timestamp_ntz"), 0).when(due < F.lit("2024-01-20").cast("timestamp_ntz"), 1).otherwise(2)
+    return [events.where(third == n) for n in range(3)]
+
+
+def delivered(spark: SparkSession, sf_dir: str, take: Callable[[DataFrame], object]) -> None:
+    """Put one delivery after the other into a folder, and call ``take`` with the folder as a stream after each."""
+    inbox = scratch(spark, "inbox")
+    for rows in deliveries(spark, sf_dir):
+        rows.write.mode("append").parquet(inbox)
+        take(spark.readStream.schema(rows.schema).parquet(inbox))
+
+
 def line_files(spark: SparkSession, sf_dir: str) -> str:
     """Lines of ``documents`` as text logs."""
 

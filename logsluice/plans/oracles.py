@@ -106,11 +106,15 @@ PATH = (
 )
 HAS_ALL_LEVELS = "CASE WHEN o_orderstatus <> 'P' THEN"
 
-RUNS = """
+LATE = "(event_id % 97 = 5 AND ts < TIMESTAMP '2024-01-08')"
+
+
+def _runs(where: str = "TRUE") -> str:
+    return f"""
 WITH numbered AS (
   SELECT event_id, user_id, ts, event_type = 'error' AS failed,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
-  FROM events
+  FROM events WHERE {where}
 ), marked AS (
   SELECT *, max(CASE WHEN NOT failed THEN n END)
     OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS last_ok
@@ -121,11 +125,13 @@ SELECT event_id, user_id, ts, failed, n - coalesce(last_ok, 0) AS run,
 FROM marked
 """
 
-ALARMS = """
+
+def _alarms(where: str = "TRUE") -> str:
+    return f"""
 SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start,
   time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end,
   CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total
-FROM events GROUP BY ALL HAVING sum(CAST(value AS DECIMAL(18, 2))) >= 1
+FROM events WHERE {where} GROUP BY ALL HAVING sum(CAST(value AS DECIMAL(18, 2))) >= 1
 """
 
 WANTED = """
@@ -296,13 +302,14 @@ def all_oracles() -> dict[str, str]:
             WITH {WANTED} SELECT o_orderkey, region, service, available FROM wanted
             LEFT JOIN cells USING (region, service)""",
         "preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
-        "alarm_5min": ALARMS,
+        "alarm_5min": _alarms(),
         "alarm_5min_stream": f"""
-            SELECT a.*, s.sink FROM ({ALARMS}) a, (VALUES ('mail'), ('queue')) s(sink)
+            SELECT a.*, s.sink FROM ({_alarms(f'NOT {LATE}')}) a, (VALUES ('mail'), ('queue')) s(sink)
             WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
-        "failure_runs_batch": RUNS,
+        "late_points": f"SELECT event_id, ts, event_type, value FROM events WHERE {LATE}",
+        "failure_runs_batch": _runs(),
         "failure_runs_stream": f"""
-            SELECT * FROM ({RUNS}) WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
+            SELECT * FROM ({_runs(f'NOT {LATE}')}) WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
         "delimited_scan": _delimited(),
         "price_list_scan": _price_list(),
         "tail_lines": f"""

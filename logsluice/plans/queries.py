@@ -22,7 +22,7 @@ from logsluice.operators.runs import failure_runs
 from logsluice.plans import catalog, derived, jobs
 from logsluice.plans.derived import table
 from logsluice.schemas import MATRIX_KINDS, lake_schema
-from logsluice.session import scratch
+from logsluice.session import at_end, scratch
 from logsluice.sources.audit import (
     explode_records,
     lookback,
@@ -37,7 +37,7 @@ from logsluice.sources.manifest import file_manifest, leaf_prefixes
 from logsluice.sources.matrix import read_matrix
 from logsluice.sources.tables import read_delimited, read_price_list
 from logsluice.streaming import loads
-from logsluice.streaming.alarms import alarm_stream, fan_out
+from logsluice.streaming.alarms import alarm_stream, fan_out, watch_late_points
 from logsluice.streaming.ingest import ingest
 from logsluice.streaming.runs import read_runs, watch_failure_runs
 
@@ -338,10 +338,14 @@ def alarm_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def alarm_5min_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closed windows of the same alarm on a stream, each delivered to two tables."""
-    alarms = alarm_stream(derived.stream(spark, sf_dir, "events"), rule="event_type", value=_cents("value"))
     folder = scratch(spark, "alarms")
     sinks = {name: f"{folder}/{name}" for name in ("mail", "queue")}
-    fan_out(alarms, sinks.values(), f"{folder}/checkpoint")
+
+    def take(events: DataFrame) -> None:
+        alarms = alarm_stream(events, rule="event_type", value=_cents("value"))
+        fan_out(alarms, sinks.values(), f"{folder}/checkpoint")
+
+    derived.delivered(spark, sf_dir, take)
     first, second = (
         spark.read.parquet(path).drop("batch_id").withColumn("sink", F.lit(name))
         for name, path in sinks.items()
@@ -355,6 +359,15 @@ def alarm_5min_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def late_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points that came after their window was final."""
+    root = scratch(spark, "late")
+    derived.delivered(spark, sf_dir, lambda events: watch_late_points(events, root))
+    schema = table(spark, sf_dir, "events").schema
+    return spark.read.schema(schema).parquet(f"{root}/late/*").select("event_id", "ts", "event_type", "value")
+
+
 def _probes(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
 
@@ -368,10 +381,11 @@ def failure_runs_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def failure_runs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on a stream: rows older than the newest by a day or more are final."""
-    probes = _probes(derived.stream(spark, sf_dir, "events"))
     root = scratch(spark, "failure_runs")
-    watch_failure_runs(probes, root, ["user_id"], ["ts", "event_id"], threshold=2)
-    return read_runs(probes, root)
+    derived.delivered(
+        spark, sf_dir, lambda events: watch_failure_runs(_probes(events), root, ["user_id"], ["ts", "event_id"], threshold=2)
+    )
+    return read_runs(_probes(table(spark, sf_dir, "events")), root)
 
 
 # --- readers -----------------------------------------------------------------------------------
@@ -476,11 +490,14 @@ def job_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table's files streamed into a partitioned lake twice."""
+    """Files that arrive in turn, streamed into a partitioned lake, each time twice."""
     dest = scratch(spark, "events_lake")
-    for _ in range(2):
-        events = derived.stream(spark, sf_dir, "events")
-        ingest(derived.with_parts(events, "ts", "year", "month", "day"), dest, EVENT_KEYS)
+
+    def take(events: DataFrame) -> None:
+        for _ in range(2):
+            ingest(derived.with_parts(events, "ts", "year", "month", "day"), dest, EVENT_KEYS)
+
+    derived.delivered(spark, sf_dir, take)
     return _event_lake(spark, sf_dir, dest)
 
 
@@ -607,8 +624,10 @@ def matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """USE, CREATE, a multi-row INSERT and SHOW TABLES, of names and numbers of the regions."""
-    name = f"shown_{scratch(spark, 'x')[-8:]}"
-    catalog.create_database(spark, name)
+    place = scratch(spark, "shown")
+    name = place.rsplit("/", 1)[1].replace("-", "_")
+    catalog.create_database(spark, name, place)
+    at_end(spark, lambda: spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE"))
     before = spark.catalog.currentDatabase()
     regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
     try:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -21,6 +23,28 @@ DEFAULTS = {
 }
 
 
+_at_end: list[tuple[SparkSession, Callable[[], object]]] = []
+
+
+def at_end(spark: SparkSession, action: Callable[[], object]) -> None:
+    """Do ``action`` when the process ends, if the session is still there by then."""
+    _at_end.append((spark, action))
+
+
+@atexit.register
+def _end() -> None:
+    for spark, action in reversed(_at_end):
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            return
+        action()
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def session(app: str = "logsluice", master: str | None = None, **conf: str) -> SparkSession:
     """A session with this package's defaults; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -41,13 +65,16 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="logsluice-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, gone when the process ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    at_end(spark, lambda: remove_folder(spark, path))
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,24 +31,19 @@ def read_price_list(
 ) -> DataFrame:
     """Quoted CSV whose files each start with ``skip`` lines that are not data.
 
-    Files stay splittable. Only the first block of a file can hold its preamble, so only those
-    rows are numbered, and a group is never larger than one input split. A quoted value must
-    not contain a line break.
+    Files stay splittable, and no line is shuffled: the first block of a file, which alone can hold its preamble, is read by one
+    task without a gap, so lines are told by their distance from the file's first. That is a row for each file, no
+    more than the driver lists for the scan, and is broadcast. A quoted value must not contain a line break.
     """
     lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("position"),
     )
-    in_file_order = Window.partitionBy("file").orderBy("position")
-    first_blocks = (
-        lines.where(F.col("block") == 0)
-        .withColumn("position", F.monotonically_increasing_id())
-        .withColumn("line", F.row_number().over(in_file_order))
-        .where(F.col("line") > skip)
-    )
-    rows = first_blocks.select("value").unionByName(
-        lines.where(F.col("block") > 0).select("value")
+    firsts = lines.where(F.col("block") == 0).groupBy("file").agg(F.min("position").alias("first"))
+    rows = lines.join(F.broadcast(firsts), "file").where(
+        (F.col("block") > 0) | (F.col("position") - F.col("first") >= skip)
     )
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return rows.select(F.from_csv("value", ddl, {"sep": ","}).alias("row")).select("row.*")

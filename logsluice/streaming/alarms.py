@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.operators.alarms import threshold_alarm
@@ -17,7 +18,8 @@ DELIVERY_DELAY = "24 hours"
 def alarm_stream(points: DataFrame, ts: str = "ts", delay: str = DELIVERY_DELAY, **rule) -> DataFrame:
     """``threshold_alarm`` on a stream; a window is final once ``delay`` has passed it.
 
-    A watermark needs TIMESTAMP, so TIMESTAMP_NTZ input is cast.
+    A watermark needs TIMESTAMP, so TIMESTAMP_NTZ input is cast. Points whose window was final when they came are
+    left out; ``watch_late_points`` keeps them.
     """
     timed = points.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return threshold_alarm(timed, ts, **rule)
@@ -35,9 +37,11 @@ def fan_out(
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        for sink in sinks:
-            batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            for sink in sinks:
+                batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -48,3 +52,40 @@ def fan_out(
     )
     query.awaitTermination()
     return query
+
+
+def watch_late_points(
+    points: DataFrame, root: str, ts: str = "ts", delay: str = DELIVERY_DELAY, window: str = "5 minutes"
+) -> StreamingQuery:
+    """Keep what ``alarm_stream`` leaves out of the same ``points``, in ``root``/late, then stop.
+
+    A point is late if the newest time of all batches before its own, less ``delay``, is at or past the end of its
+    window. Points without a time are kept there, too. A batch that is retried replaces what it wrote.
+    """
+    end = F.window(F.col(ts).cast("timestamp"), window)["end"]
+    newest_schema = T.StructType([T.StructField("newest", T.TimestampType())])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.createDataFrame([], newest_schema)
+        if batch_id:
+            before = spark.read.schema(newest_schema).parquet(f"{root}/newest/batch_id={batch_id - 1}")
+        row = before.select(F.unix_micros("newest")).first()
+        seen = F.timestamp_micros(F.lit(row[0])) if row and row[0] is not None else F.lit(None).cast("timestamp")
+        late = F.col(ts).isNull() | F.coalesce(end <= seen - F.expr(f"interval {delay}"), F.lit(False))
+        batch.persist()
+        try:
+            batch.where(late).write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
+            newest = batch.select(F.col(ts).cast("timestamp").alias("newest")).unionByName(before)
+            newest.agg(F.max("newest").alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{root}/newest/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    query = (
+        points.writeStream.foreachBatch(step)
+        .option("checkpointLocation", f"{root}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query

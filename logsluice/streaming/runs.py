@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logsluice.operators.runs import failure_runs, last_runs
+from logsluice.session import remove_folder
 from logsluice.streaming.alarms import DELIVERY_DELAY
 
 _RUN = T.StructField("run", T.LongType())
@@ -27,13 +30,12 @@ def watch_failure_runs(
     A per-key state function would put all rows of a busy endpoint into one task and would have
     to sort them there. Instead every batch runs the batch operator on the rows whose time has
     come (``order[0]`` at most the newest time minus ``delay``) and carries one number per key
-    into the next batch. Younger rows wait in ``root``/held, where rows that missed their time
-    or have none are kept too, marked ``late``. Each batch writes only folders with its own id,
-    so a retry replaces them.
+    into the next batch. Younger rows wait in ``root``/held; rows that missed their time or have
+    none are kept in ``root``/late. Each batch writes only folders with its own id, so a retry replaces
+    them. Of what is carried from batch to batch two generations are kept.
     """
     ts = order[0]
     columns = probes.columns
-    held_schema = T.StructType([*probes.schema.fields, T.StructField("late", T.BooleanType())])
     state_schema = T.StructType([*probes.select(*keys).schema.fields, _RUN])
     cutoff_schema = probes.select(F.col(ts).alias("cutoff")).schema
 
@@ -52,9 +54,15 @@ def watch_failure_runs(
             frame.write.mode("overwrite").parquet(part(name, batch_id))
             return spark.read.schema(schema).parquet(part(name, batch_id))
 
-        waiting = previous("held", held_schema).where(~F.col("late")).select(*columns)
-        rows = waiting.unionByName(batch.select(*columns)).persist()
+        rows = previous("held", probes.schema).unionByName(batch.select(*columns)).persist()
+        try:
+            settle(rows, previous, save)
+        finally:
+            rows.unpersist()
+        for name in ("held", "state", "cutoff"):
+            remove_folder(spark, part(name, batch_id - 2))
 
+    def settle(rows: DataFrame, previous: Callable, save: Callable) -> None:
         old_cutoff = previous("cutoff", cutoff_schema)
         newest = rows.select((F.max(ts) - F.expr(f"interval {delay}")).alias("cutoff"))
         both = old_cutoff.unionByName(newest).agg(F.max("cutoff").alias("cutoff"))
@@ -64,7 +72,8 @@ def watch_failure_runs(
             now = F.lit(None).cast(cutoff_schema[0].dataType)
 
         late = F.col(ts).isNull() if before is None else F.col(ts).isNull() | (F.col(ts) <= before)
-        save(rows.where(late | (F.col(ts) > now)).withColumn("late", late), "held", held_schema)
+        save(rows.where(late), "late", probes.schema)
+        save(rows.where(~late & (F.col(ts) > now)), "held", probes.schema)
 
         state = previous("state", state_schema)
         due = rows.where(~late & (F.col(ts) <= now))
@@ -73,7 +82,6 @@ def watch_failure_runs(
         ended = last_runs(runs, keys, order)
         untouched = state.join(ended, [state[k].eqNullSafe(ended[k]) for k in keys], "left_anti")
         save(ended.unionByName(untouched), "state", state_schema)
-        rows.unpersist()
 
     query = (
         probes.writeStream.foreachBatch(step)

@@ -11,7 +11,7 @@ from logsluice.operators.health import calculated_health, k_of_n, latest_status
 from logsluice.operators.runs import failure_runs
 from logsluice.schemas import METRIC_POINT, PROBE
 from logsluice.sources.logs import tail_text
-from logsluice.streaming.alarms import alarm_stream, fan_out
+from logsluice.streaming.alarms import alarm_stream, fan_out, watch_late_points
 from logsluice.streaming.runs import read_runs, watch_failure_runs
 
 START = datetime(2024, 1, 1)
@@ -91,24 +91,30 @@ def test_latest_status_breaks_ties_and_hashes(spark, kind):
     assert "SortAggregate" not in status._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("partitions", [1, 7, 40])
-def test_failure_runs_match_brute_force(spark, partitions):
-    rows = probes(random.Random(partitions), 4000)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        frame = spark.createDataFrame(rows, PROBE).repartition(5)
-        runs = failure_runs(frame, KEYS, ORDER, ~F.col("healthy"), threshold=3).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+@pytest.mark.parametrize("bucket", ["minute", "hour", "day", "year"])
+def test_failure_runs_match_brute_force(spark, bucket):
+    rows = probes(random.Random(7), 4000)
+    frame = spark.createDataFrame(rows, PROBE).repartition(5)
+    runs = failure_runs(frame, KEYS, ORDER, ~F.col("healthy"), threshold=3, bucket=bucket).collect()
     wanted = expected_runs(rows)
     assert {r["probe_id"]: r["run"] for r in runs} == wanted
     assert all(r["unhealthy"] == (r["run"] >= 3) for r in runs)
     assert len(runs) == len(rows)
 
 
+def test_failure_runs_of_null_keys_and_times(spark):
+    rows = [(n, at(n) if n > 2 else None, None if n % 2 else "e", "eu", False) for n in range(8)]
+    runs = failure_runs(spark.createDataFrame(rows, PROBE), KEYS, ORDER, ~F.col("healthy"), bucket="minute")
+    assert {r["probe_id"]: r["run"] for r in runs.collect()} == {n: n // 2 + 1 for n in range(8)}
+
+
+def test_failure_runs_shuffle_whole_rows_once(spark):
+    frame = spark.createDataFrame(probes(random.Random(1), 100), PROBE).withColumn("wide", F.lit("x"))
+    text = failure_runs(frame, KEYS, ORDER, ~F.col("healthy"))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and text.count("Exchange hashpartitioning") <= 4
+    assert len([x for x in text.split("Exchange ") if "wide" in x.split("Exchange")[0]]) <= 2
+
+
 def test_failure_runs_carry_on(spark):
     rows = probes(random.Random(5), 900)
     wanted = expected_runs(rows)
@@ -143,10 +149,10 @@ def test_watch_failure_runs_equals_batch(spark, tmp_path):
     done = {r["probe_id"]: r["run"] for r in read_runs(frame, root).collect()}
     cutoff = max(r[1] for r in rows) - timedelta(minutes=10)
     assert done == {r[0]: wanted[r[0]] for r in rows if r[1] <= cutoff}
+    assert {r["probe_id"] for r in spark.read.parquet(f"{root}/late").collect()} == {9999}
     held = spark.read.parquet(f"{root}/held")
-    assert {r["probe_id"] for r in held.where("late").collect()} == {9999}
-    waiting = held.where("NOT late AND batch_id = 2")
-    assert {r["probe_id"] for r in waiting.collect()} == {r[0] for r in rows if r[1] > cutoff}
+    assert {r["probe_id"] for r in held.where("batch_id = 2").collect()} == {r[0] for r in rows if r[1] > cutoff}
+    assert {r["batch_id"] for r in held.select("batch_id").collect()} <= {1, 2}
 
 
 def test_alarm_stream_fans_out_closed_windows(spark, tmp_path):
@@ -163,6 +169,27 @@ def test_alarm_stream_fans_out_closed_windows(spark, tmp_path):
         assert {tuple(r) for r in got} == wanted and len(got) == 2
 
 
+def test_late_points_are_kept(spark, tmp_path):
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "late")
+    alarms = str(tmp_path / "alarms")
+
+    def run():
+        stream = spark.readStream.schema(METRIC_POINT).parquet(inbox)
+        watch_late_points(stream, root)
+        fan_out(alarm_stream(stream), [alarms], str(tmp_path / "checkpoint"))
+
+    # The second delivery holds a point of a window that is final by then, and one of a window that is not.
+    for some in ([(0, "a", 1.0), (90000, "a", 2.0)], [(10, "b", 5.0), (80000, "b", 7.0)], [(200_000, "c", 1.0)]):
+        points(spark, *some).write.mode("append").parquet(inbox)
+        run()
+    late = [(r["rule"], r["value"]) for r in spark.read.schema(METRIC_POINT).parquet(f"{root}/late/*").collect()]
+    assert late == [("b", 5.0)]
+    assert ("b", 5.0) not in {(r["rule"], r["total"]) for r in spark.read.parquet(alarms).collect()}
+    replay(f"{root}/_checkpoint")
+    run()
+    assert spark.read.parquet(f"{root}/late/*").count() == 1
+
+
 def replay(checkpoint):
     """Make the last batch look uncommitted, as after a crash between its writes and its commit."""
     folder = os.path.join(checkpoint, "commits")

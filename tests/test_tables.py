@@ -46,6 +46,10 @@ def test_price_list_preamble_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert {tuple(r) for r in rows} == {(f"sku{i}", f"o,{i}") for i in range(5003)}
     assert len(rows) == 5003
+    # The only rows that move are one for each file.
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in text and "Window" not in text and "Sort" not in text
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("BroadcastExchange") == 1
     prices = typed_prices(frame)
     assert prices.where(F.col("priceperunit") == 1.25).count() == 2501
     assert prices.where(F.col("priceperunit").isNull()).count() == 2502
