@@ -30,3 +30,26 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64, len(filled) + 1, 8 * filled.offset)
     held = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return held[at[0] : at[-1]], at - at[0]
+
+
+def pack_planes(*arrays: np.ndarray) -> bytes:
+    """Arrays by planes of bytes, compressed: numbers that use few of their bytes, or texts, then take little room in shuffles."""
+    parts = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() if len(x) else b""
+        body = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+        parts.append(np.array([len(x), len(body)], "<i8").tobytes() + body)
+    return b"".join(parts)
+
+
+def unpack_planes(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of ``pack_planes``, given their types."""
+    at, out = 0, []
+    for kind in kinds:
+        n, size = np.frombuffer(data, "<i8", 2, at).tolist()
+        width = np.dtype(kind).itemsize
+        raw = pa.decompress(data[at + 16 : at + 16 + size], n * width, codec="zstd", asbytes=True) if size else b""
+        planes = np.frombuffer(raw, np.uint8).reshape(width, n).T if n else np.zeros((0, width), np.uint8)
+        out.append(np.ascontiguousarray(planes).view(kind).reshape(-1))
+        at += 16 + size
+    return out

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsluice.llm.arrow import text_slices
+from logsluice.llm.arrow import pack_planes, text_slices, unpack_planes
 from logsluice.llm.common import checkpointed, if_small, shuffle_partitions, text_or_empty
 
 #: Words with numbers of their own. The rest share those of their shapes.
@@ -87,28 +87,6 @@ def _shard(pair: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays by planes of bytes, compressed, since shuffles alone do not code their small numbers briefly."""
-    parts = []
-    for x in arrays:
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T if len(x) else np.zeros(0, np.uint8)
-        raw = planes.tobytes()
-        body = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
-        parts.append(np.array([len(x), len(body)], "<i8").tobytes() + body)
-    return b"".join(parts)
-
-
-def _unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    at, out = 0, []
-    for kind in kinds:
-        n, size = np.frombuffer(data, "<i8", 2, at).tolist()
-        width = np.dtype(kind).itemsize
-        raw = pa.decompress(data[at + 16 : at + 16 + size], n * width, codec="zstd", asbytes=True) if size else b""
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(-1) if n else np.zeros(0, kind))
-        at += 16 + size
-    return out
-
-
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     found, first = np.unique(shard[order], return_index=True)
@@ -166,24 +144,24 @@ def _count_pairs(words: list[str], shards: int) -> Callable:
             pair = np.concatenate([text_pairs(s.column("text"), vocabulary)[0] for s in text_slices(batch, "text", SLICE)])
             # A word said again at once is never learned: it stays as improbable as an unseen one.
             pair, n = np.unique(pair[pair & np.uint32(0xFFFF) != AGAIN], return_counts=True)
-            out = [(shard, 0, _pack(pair[mine], n[mine].astype("<u4"))) for shard, mine in _by_shard(_shard(pair, shards))]
+            out = [(shard, 0, pack_planes(pair[mine], n[mine].astype("<u4"))) for shard, mine in _by_shard(_shard(pair, shards))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "base", "data"])
 
     return run
 
 
 def _sum_pairs(table: pa.Table) -> pa.Table:
-    parts = [_unpack(x, ("<u4", "<u4")) for x in table.column("data").to_pylist()]
+    parts = [unpack_planes(x, ("<u4", "<u4")) for x in table.column("data").to_pylist()]
     pair, inverse = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
     n = np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype("<i8")
-    return pa.table({"part": table.column("part")[:1], "base": pa.array([0]), "data": [_pack(pair, n)]}, pa.schema([("part", pa.int64()), ("base", pa.int64()), ("data", pa.binary())]))
+    return pa.table({"part": table.column("part")[:1], "base": pa.array([0]), "data": [pack_planes(pair, n)]}, pa.schema([("part", pa.int64()), ("base", pa.int64()), ("data", pa.binary())]))
 
 
 def _word_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each shard's pairs by word: counts and kinds of pairs it begins, and number of those it ends; under -1, the counts of counts."""
     for batch in batches:
         for data in batch.column("data").to_pylist():
-            pair, n = _unpack(data, ("<u4", "<i8"))
+            pair, n = unpack_planes(data, ("<u4", "<i8"))
             first, second = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
             word, f = np.unique(first, return_inverse=True)
             kinds = [np.bincount(f, weights=x, minlength=len(word)).astype(np.int64) for x in (n, n == 1, n == 2, n >= 3)]
@@ -235,7 +213,7 @@ def _document_pairs(words: list[str], shards: int) -> Callable:
                 base = some.column("row")[0].as_py()
                 own = some.column("trusted").to_numpy(zero_copy_only=False)[owner].astype("<u4")
                 out = [
-                    (shard, base, _pack(pair[m], np.diff(owner[m], prepend=0).astype("<u4"), n[m].astype("<u4"), own[m]))
+                    (shard, base, pack_planes(pair[m], np.diff(owner[m], prepend=0).astype("<u4"), n[m].astype("<u4"), own[m]))
                     for shard, m in _by_shard(_shard(pair, shards))
                 ]
                 rows = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "base", "data"])
@@ -256,14 +234,14 @@ ABOUT_SQL = "array<struct<key: long, lang: string, trusted: boolean, n: long>>"
 
 def _score(model: Model) -> Callable:
     def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
-        held = [_unpack(x, ("<u4", "<i8")) for x in counts.column("data").to_pylist()]
+        held = [unpack_planes(x, ("<u4", "<i8")) for x in counts.column("data").to_pylist()]
         known, times = held[0] if held else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         sums = []
         for data in asked.column("data").to_pylist():
             if data is None:
                 sums.append(None)
                 continue
-            pair, step, n, own = _unpack(data, ("<u4", "<u4", "<u4", "<u4"))
+            pair, step, n, own = unpack_planes(data, ("<u4", "<u4", "<u4", "<u4"))
             count = np.zeros(len(pair), np.int64)
             if len(known):
                 place = np.minimum(np.searchsorted(known, pair), len(known) - 1)
@@ -271,7 +249,7 @@ def _score(model: Model) -> Callable:
             # A trusted document is judged by what the others hold, as one that is not in the model would be.
             log = model.log_probability(pair, np.maximum(count - own.astype(np.int64) * n, 0)) * n
             owner, which = np.unique(np.cumsum(step), return_inverse=True)
-            sums.append(_pack(np.diff(owner, prepend=0).astype("<u4"), np.bincount(which, weights=log).astype("<f4")))
+            sums.append(pack_planes(np.diff(owner, prepend=0).astype("<u4"), np.bincount(which, weights=log).astype("<f4")))
         return asked.set_column(asked.schema.get_field_index("data"), "data", pa.array(sums, pa.binary()))
 
     return run
@@ -282,7 +260,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     total = np.zeros(len(about))
     for data in table.column("data").to_pylist():
         if data is not None:
-            step, log = _unpack(data, ("<u4", "<f4"))
+            step, log = unpack_planes(data, ("<u4", "<f4"))
             total[np.cumsum(step)] += log
     columns = {c: [a[c] for a in about] for c in ("key", "lang", "trusted", "n")}
     n = np.array(columns["n"])
@@ -341,8 +319,12 @@ def classify(
     """
     ids = trusted_keys.toDF("_trusted").where("_trusted is not null").distinct()
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), text_or_empty(text).alias("text"))
-    marked = rows.join(if_small(checkpointed(ids), LABELS_BROADCAST), F.col("key") == F.col("_trusted"), "left")
+    ids = checkpointed(ids)
+    few = ids.limit(LABELS_BROADCAST + 1).count() <= LABELS_BROADCAST
+    marked = rows.join(F.broadcast(ids) if few else ids, F.col("key") == F.col("_trusted"), "left")
     marked = marked.select("key", "lang", "text", F.col("_trusted").isNotNull().alias("trusted"))
+    if not few:  # a task that is repeated must see its rows in the same order
+        marked = marked.sortWithinPartitions("key", F.xxhash64("text", "lang"))
     model, counts = train(marked.where("trusted"), vocabulary)
     if model is None:
         return rows.select(

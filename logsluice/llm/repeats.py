@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsluice.llm.arrow import text_bytes, text_slices
+from logsluice.llm.arrow import pack_planes, text_bytes, text_slices, unpack_planes
 from logsluice.llm.common import checkpointed, running_totals, shuffle_partitions, text_or_empty
 from logsluice.llm.run_index import repeated_starts
 from logsluice.llm.xxh64 import xxh64
@@ -42,6 +42,7 @@ KINDS = {"key": "<u8", "content": "<u8", "id": "<i8", "pos": "<u4", "n": "<u2",
          "m_id": "<i8", "m_pos": "<u4", "m_n": "<u4"}
 PACKED = "part long, " + ", ".join(f"{f} binary" for f in FIELDS)
 PLAIN, INNER, TEXT, WINDOWS = 0, 1, 2, 3
+HASHES = ("key", "content")
 
 _random = np.random.default_rng(20_240_229)
 _SYMBOLS = _random.integers(0, 2**64, 256, dtype=np.uint64)
@@ -128,7 +129,8 @@ def cut(data: np.ndarray, bounds: np.ndarray, length: int) -> Pieces:
 def _concat(tables: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     out = {}
     for name in names:
-        parts = [np.frombuffer(x, KINDS[name]) for x in tables.column(name).to_pylist() if x]
+        held = [x for x in tables.column(name).to_pylist() if x]
+        parts = [np.frombuffer(x, KINDS[name]) if name in HASHES else unpack_planes(x, (KINDS[name],))[0] for x in held]
         out[name] = np.concatenate(parts) if parts else np.zeros(0, KINDS[name])
     return out
 
@@ -136,10 +138,16 @@ def _concat(tables: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> dict[s
 def _rows(parts: dict[int, dict[str, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {"part": pa.array(list(parts), pa.int64())}
-        | {f: pa.array([x[f].astype(KINDS[f]).tobytes() if f in x else None for x in parts.values()], pa.binary()) for f in FIELDS}
+        | {f: pa.array([_packed(f, x[f]) if f in x else None for x in parts.values()], pa.binary()) for f in FIELDS}
     )
 
 
+def _packed(field: str, values: np.ndarray) -> bytes:
+    """Hashes are not to be compressed; the rest is."""
+    values = values.astype(KINDS[field])
+    return values.tobytes() if field in HASHES else pack_planes(values)
+
+
 def _deal(out: dict[int, dict], to: np.ndarray, arrays: dict[str, np.ndarray]) -> None:
     """Add to ``out`` the entries of ``arrays`` by their part."""
     order = np.argsort(to, kind="stable")
@@ -245,16 +253,36 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _pack_texts(blocks: int) -> Callable:
+    """Texts by block, those of a batch together: compressed they are shuffled more briefly than row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in text_slices(batch, "text", 16 * SLICE):
+                ids, (data, bounds) = some.column("id").to_numpy(), text_bytes(some.column("text"))
+                order = np.argsort(_block(ids, blocks), kind="stable")
+                block, first = np.unique(_block(ids, blocks)[order], return_index=True)
+                size = np.diff(bounds)
+                held = [
+                    pack_planes(ids[mine], size[mine], data[_gather(bounds[mine], size[mine])])
+                    for mine in np.split(order, first[1:])
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(held, pa.binary())], ["part", "data"])
+
+    return run
+
+
 def _fetch(length: int, shards: int) -> Callable:
     """A block of documents and the requests for it, to the texts of pieces and the entries of windows."""
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         e = _concat(asked, FIELDS)
         out: dict[int, dict[str, np.ndarray]] = {}
-        data, bounds = _texts(docs)
-        ids = docs.column("id").to_numpy()
+        held = [unpack_planes(x, ("<i8", "<i8", "u1")) for x in docs.column("data").to_pylist()] if len(e["id"]) else []
+        ids, sizes, data = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
+        starts = np.cumsum(sizes) - sizes
         by_id = np.argsort(ids, kind="stable")
-        begin = bounds[:-1][by_id[np.searchsorted(ids[by_id], e["id"])]] + e["pos"] if len(ids) else np.zeros(0, np.int64)
+        begin = starts[by_id[np.searchsorted(ids[by_id], e["id"])]] + e["pos"] if len(ids) else np.zeros(0, np.int64)
         size = e["n"].astype(np.int64) + length - 1
         cut_up = e["kind"] == WINDOWS
         if cut_up.any():
@@ -399,9 +427,8 @@ def _treated(docs: DataFrame, length: int, key: str, text: str, digest: bool) ->
     nothing = F.lit(None).cast("binary")
     asked = met.where(F.length("kind") > 0).withColumns({f: nothing for f in ("content", "m_id", "m_pos", "m_n")})
     marked = met.where(F.length("m_id") > 0).withColumns({f: nothing for f in FIELDS if f[:2] != "m_"})
-    fetched = (
-        texts.select("id", "text", "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_fetch(length, shards), PACKED)
-    )
+    packed = rows.select("id", "text").mapInArrow(_pack_texts(blocks), "part long, data binary")
+    fetched = packed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_fetch(length, shards), PACKED)
     marks = marked.union(fetched.groupBy("part").applyInArrow(_index(length, blocks), PACKED))
     out = T.StructType([
         T.StructField("id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],

@@ -10,6 +10,7 @@ from odd import ROWS, odd, words
 from pyspark.sql import functions as F
 
 from logsluice.llm import kneser_ney as K
+from logsluice.llm.arrow import unpack_planes
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -79,7 +80,7 @@ def test_probabilities_of_a_word_sum_to_one(spark):
     model, counts = K.train(docs, 50)
     pairs = {}
     for row in counts.collect():
-        pair, n = K._unpack(row["data"], ("<u4", "<i8"))
+        pair, n = unpack_planes(row["data"], ("<u4", "<i8"))
         pairs |= dict(zip(pair.tolist(), n.tolist()))
     import numpy as np
 
