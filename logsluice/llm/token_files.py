@@ -46,7 +46,7 @@ class TokenizerFile:
     """A file of the tokenizers library, and what is known of how it divides a text.
 
     It must never join what ASCII white space divides. ``folds_case``: it lower-cases A to Z. ``tail``: a pattern of
-    marks that it always cuts off from the letters a to z before them. Both only let fewer distinct words be encoded.
+    marks that it always cuts off from the letters before them. Both only let fewer distinct words be encoded.
     """
 
     path: str
@@ -108,11 +108,13 @@ def encode_texts(tokenizer: TokenizerFile, texts: pa.Array) -> tuple[np.ndarray,
     if tokenizer.folds_case:  # but for what may name a special token, which is told by case
         stems = pc.if_else(pc.match_substring(stems, "<"), stems, pc.ascii_lower(stems))
     if tokenizer.tail:
-        cut = pc.extract_regex(stems, f"^(?P<stem>[a-z]+)(?P<tail>{tokenizer.tail})$")
+        cut = pc.extract_regex(stems, rf"^(?P<stem>\p{{L}}+)(?P<tail>{tokenizer.tail})$")
         stems, tails = pc.coalesce(pc.struct_field(cut, "stem"), stems), pc.struct_field(cut, "tail")
-    stems, tails = stems.to_pylist(), pc.fill_null(tails, "").to_pylist()
-    ids = _ids_of_words(tokenizer.path, stems + list(set(tails)))
-    each = [ids[a] + ids[b] if b else ids[a] for a, b in zip(stems, tails)]
+    tails = tails.dictionary_encode()
+    stems, marks, mark = stems.to_pylist(), tails.dictionary.to_pylist(), pc.fill_null(tails.indices, -1).to_pylist()
+    ids = _ids_of_words(tokenizer.path, stems + marks)
+    ends = [ids[m] for m in marks]
+    each = [ids[word] if m < 0 else ids[word] + ends[m] for word, m in zip(stems, mark)]
     length = np.fromiter(map(len, each), np.int64, len(each)) // 4
     flat = np.frombuffer(b"".join(each), np.uint32)
     first = np.cumsum(length) - length
