@@ -195,10 +195,14 @@ def _find_pieces(length: int, shards: int) -> Callable:
             found: list[dict[str, np.ndarray]] = []
             for some in text_slices(batch, "text", SLICE):
                 data, bounds = text_bytes(some.column("text"))
-                p = cut(data, bounds, length)
-                owner = np.searchsorted(bounds, p.at, "right") - 1
                 ids = some.column("id").to_numpy()
-                found.append({"key": p.key, "content": p.content, "id": ids[owner], "pos": p.at - bounds[owner], "n": p.n, "kind": p.inner})
+                # A text longer than a slice comes alone, and its windows are taken a slice at a time.
+                for start in range(0, max(1, len(data) - length + 1), SLICE) if len(ids) == 1 else [0]:
+                    end = min(start + SLICE + length - 1, len(data)) if len(ids) == 1 else len(data)
+                    p = cut(data[start:end], np.array([0, end - start]) if len(ids) == 1 else bounds, length)
+                    at = p.at + start
+                    owner = np.searchsorted(bounds, at, "right") - 1
+                    found.append({"key": p.key, "content": p.content, "id": ids[owner], "pos": at - bounds[owner], "n": p.n, "kind": p.inner})
             if found:
                 yield _rows(_combined({f: np.concatenate([x[f] for x in found]) for f in found[0]}, shards))
 

@@ -294,6 +294,26 @@ def _with(step, many):
     return run
 
 
+def test_long_texts_are_cut_a_slice_at_a_time(spark, monkeypatch):
+    rows = corpus()
+    pieces = []
+
+    def found(slice_bytes):
+        monkeypatch.setattr(R, "SLICE", slice_bytes)
+        batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "text": [r[1] or "" for r in rows]})
+        windows = set()
+        for out in R._find_pieces(100, 3)(iter([batch])):
+            e = R._concat(out, R.FIELDS)
+            pieces.append(len(e["id"]) + len(e["m_id"]))
+            for ids, at, n in ((e["id"], e["pos"], e["n"]), (e["m_id"], e["m_pos"], e["m_n"])):
+                windows |= {(i, p + k) for i, p, m in zip(ids.tolist(), at.tolist(), n.tolist()) for k in range(m)}
+        return windows
+
+    whole = {(k, s) for k, t, _, _ in rows for s in range(len((t or "").encode()) - 99)}
+    assert found(2 << 20) == whole and found(1000) == whole
+    assert pieces[1] > pieces[0]
+
+
 def test_texts_without_repeats_stay_whole_characters(spark):
     passage = "é" * 120
     rows = [(1, "a" + passage + "b", "en", "a"), (2, "cd" + passage + "ef", "en", "a"), (3, None, None, None)]
