@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsluice.llm.common import shared_folder, table
+from logsluice.llm.common import table
 from logsluice.llm.mixing import mix
 from logsluice.llm.packing import pack
 from logsluice.llm.quality_rules import keep_good
 from logsluice.llm.repeats import without_repeats
 from logsluice.llm.simhash import one_of_each
+from logsluice.session import scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    folder = shared_folder(spark, "pipeline")
+    folder = scratch(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WORD, shared_folder, table, text_or_empty
+from logsluice.llm.common import WORD, table, text_or_empty
 from logsluice.llm.kneser_ney import classify
 from logsluice.llm.licences import licence_paragraphs
 from logsluice.llm.mixing import mixing_plan
@@ -19,6 +19,7 @@ from logsluice.llm.repeats import repeats
 from logsluice.llm.sharding import byte_size, shard_by_bytes
 from logsluice.llm.simhash import simhash_groups
 from logsluice.llm.token_files import TokenizerFile, read_token_files, write_token_files
+from logsluice.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +29,7 @@ WORD_BPE = TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), True, r"[.
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_token_files(write_token_files(docs, shared_folder(spark, "tokens"), WORD_BPE))
+    return read_token_files(write_token_files(docs, scratch(spark, "tokens"), WORD_BPE))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,8 @@ def _put(folder: str, name: str, data: bytes, attempt: str) -> str:
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/_{name}-{attempt}") as out:
         out.write(data)
+    if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:  # some stores don't move onto a file
+        store.delete_file(f"{root}/{name}")
     store.move(f"{root}/_{name}-{attempt}", f"{root}/{name}")
     return f"{folder}/{name}"
 
