@@ -222,6 +222,7 @@ def all_oracles() -> dict[str, str]:
         "alert_text": """
             SELECT event_id, 'The Pipeline ' || user_id || ' has failed.' AS message
             FROM events WHERE event_type = 'error'""",
+        # Fixed value: the rule of the saved query, as it is written there.
         "not_blank_fragment": """
             WITH wrapped AS (
               SELECT page_id,
