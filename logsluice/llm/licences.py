@@ -128,7 +128,9 @@ def train(docs: DataFrame) -> tuple[list[str], list[str], list[list[float]], lis
         known |= F.size(F.array_intersect(F.col("words"), wanted)) >= 0.7 * len(set(words))
     sample = checkpointed(lines.where(F.size("words") > 0).where(~known).orderBy("h").limit(SAMPLE_PARAGRAPHS))
     found = templates.select(F.explode(grams(F.col("words"))).alias("gram")).distinct()
-    seen = sample.select(F.explode(F.array_distinct(grams(F.col("words")))).alias("gram")).groupBy("gram").count()
+    met = sample.select(F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
+    # Templates are few, so what they hold may be broadcast.
+    seen = met.join(F.broadcast(found), "gram", "left_semi").groupBy("gram").count()
     most = max(1, int(COMMON * sample.count()))
     rare = found.join(seen, "gram", "left").where(F.coalesce("count", F.lit(0)) <= most)
     vocabulary = sorted(r["gram"] for r in rare.select("gram").collect())
