@@ -15,7 +15,7 @@ from logsluice.llm.common import checkpointed, text_or_empty
 from logsluice.llm.components import components
 from logsluice.llm.xxh64 import xxh64
 
-#: Fingerprints that the tree of shards is fitted on, those meant to live in a shard, and the fewest of the sample there.
+#: Fingerprints, about, that the tree of shards is fitted on, those meant to live in a shard, and the fewest of the sample there.
 SAMPLE = 20_000
 SHARD = 4_096
 LEAST_IN_SAMPLE = 32
@@ -220,8 +220,10 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     shards; every fingerprint lives in one and visits those in which its neighbours may live.
     """
     n = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-    tree = build_tree(sample.view(np.uint64), n, max_bits)
+    # Hashes choose a share of about SAMPLE, whatever the number of partitions.
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 31))
+    sample = np.sort(distinct.where(chosen).select("fp").toPandas()["fp"].to_numpy(np.int64))
+    tree = build_tree(np.random.default_rng(0).permutation(sample).view(np.uint64), n, max_bits)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
