@@ -17,11 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsluice.llm.arrow import pack_planes, text_slices, unpack_planes
-from logsluice.llm.common import checkpointed, if_small, shuffle_partitions, text_or_empty
+from logsluice.llm.common import bucket, checkpointed, if_small, shuffle_partitions, text_or_empty
 
 #: Words with numbers of their own. The rest share those of their shapes.
 VOCABULARY = 20_000
@@ -125,6 +126,8 @@ class Model:
 
 
 def _vocabulary(trusted: DataFrame, size: int) -> list[str]:
+    """The most frequent words, at most ``size``; of words in the same bucket of counts all or none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = pc.ascii_split_whitespace(batch.column("text").cast(pa.large_string())).flatten()
@@ -132,8 +135,19 @@ def _vocabulary(trusted: DataFrame, size: int) -> list[str]:
             yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
 
     counts = trusted.select("text").mapInArrow(run, "word string, n long").where("word <> ''")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    words = counts.groupBy("word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    try:
+        # The driver gets a few counts by bucket, and then the words of the highest buckets that fit.
+        buckets = words.groupBy(bucket(F.col("n")).alias("b")).agg(F.count("*").alias("words")).collect()
+        least, held = None, 0
+        for row in sorted(buckets, key=lambda r: -r["b"]):
+            held += row["words"]
+            if held > size:
+                break
+            least = row["b"]
+        return [] if least is None else sorted(r["word"] for r in words.where(F.col("n") >= least).collect())
+    finally:
+        words.unpersist()
 
 
 def _count_pairs(words: list[str], shards: int) -> Callable:
@@ -182,7 +196,7 @@ def train(trusted: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model | Non
     counts = checkpointed(counted.groupBy("part").applyInArrow(_sum_pairs, TRAVELS))
     figures = counts.mapInArrow(_word_figures, "word long, a long, b long, c long, d long, ends long")
     sums = figures.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("a", "b", "c", "d", "ends")]).toPandas()
-    if not words:
+    if sums.empty:
         return None, counts
     whole = sums[sums["word"] >= 0]
     size = FIRST_WORD + len(words)

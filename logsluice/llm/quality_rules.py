@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WORD, checkpointed, if_small, let, text_or_empty
+from logsluice.llm.common import WORD, bucket, checkpointed, if_small, let, text_or_empty
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -114,16 +114,6 @@ def base_figures(text: str = "text") -> Column:
     return let(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), figures)
 
 
-def bucket(figure: Column) -> Column:
-    """Lower end of the bucket of a whole number >= 0: exact below 64, else its six leading binary digits.
-
-    A bucket is narrower than a thirty-second of its lower end. Counts by bucket are a quantile sketch of
-    bounded size (about 32 buckets for each power of two) that merges by addition.
-    """
-    shift = F.greatest(F.length(F.bin(figure)) - 6, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", figure, shift), shift)
-
-
 def sketches(figures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts by language, source, figure and bucket, over all rows whose ``base_failed`` is false."""
     long = figures.where(~F.col("base_failed")).select(

@@ -33,7 +33,10 @@ def discounts(counts):
 def plain_scores(docs, trusted, vocabulary):
     texts = {k: t or "" for k, t in docs}
     top = Counter(w for k in trusted for w in words(texts[k]))
-    known = [w for w, _ in sorted(top.items(), key=lambda x: (-x[1], x[0].encode()))[:vocabulary]]
+    # Words as frequent as some bucket's lower end or more, of the lowest such that they fit.
+    lows = sorted({n >> max(n.bit_length() - 6, 0) << max(n.bit_length() - 6, 0) for n in top.values()}, reverse=True)
+    fits = [low for low in lows if sum(n >= low for n in top.values()) <= vocabulary]
+    known = sorted(w for w, n in top.items() if fits and n >= min(fits))
     every = sorted({w for t in texts.values() for w in words(t)})
     numbers = dict(zip(every, K.word_numbers(pa.array(every, pa.large_string()), pa.array(known, pa.large_string())).tolist()))
     pairs = Counter()
@@ -105,6 +108,12 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert len(kept & set(range(500))) >= 497 and not kept - set(range(500))
 
 
+def test_a_vocabulary_that_does_not_fit_leaves_shapes(spark):
+    docs = odd(spark, [(i, f"a{i} b{i} c{i}", "en", "a") for i in range(30)])
+    out = K.classify(docs, docs.select("doc_id"), vocabulary=10).collect()
+    assert all(x["perplexity"] is not None and x["kept"] for x in out)
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     out = K.classify(docs, docs.where("doc_id in (1, 2, 8)").select("doc_id")).collect()

@@ -7,9 +7,10 @@ import pytest
 from odd import CLASHING, LONG, ROWS, odd, words
 from pyspark.sql import functions as F
 
+from logsluice.llm.common import bucket
 from logsluice.llm.licences import licence_paragraphs
 from logsluice.llm.mixing import mix, mixing_plan, source_targets
-from logsluice.llm.quality_rules import base_figures, bucket, keep_good, quality_rules
+from logsluice.llm.quality_rules import base_figures, keep_good, quality_rules
 from logsluice.llm.sharding import byte_size, shard_by_bytes, write_shards
 
 
