@@ -58,8 +58,9 @@ def audit_records(events: DataFrame) -> DataFrame:
     without a zone; of 3, the first has a shared id in one spelling, the second in the other.
     """
     k = F.get_json_object("props", "$.k").cast("int")
-    happened = F.expr("ts + interval 16 days")
-    delivered = F.expr("ts + interval 16 days 6 hours")
+    # Four hours of the day, since a lake has a folder for each.
+    happened = F.expr("ts + interval 16 days - make_interval(0, 0, 0, 0, hour(ts) % 6)")
+    delivered = happened + F.expr("interval 6 hours")
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     account = F.lpad((F.col("user_id") % 2 + 1).cast("string"), 12, "0")
     region = F.concat(F.lit("region-"), F.floor(k / 50).cast("string"))
@@ -123,7 +124,7 @@ def audit_records(events: DataFrame) -> DataFrame:
     )
 
 
-#: Files that hold no records, by what an event's ``k`` asks for; the second and third are set aside.
+#: Files that hold no records, one of a kind in each folder with an event of that ``k``; the second and third are set aside.
 BY_KEY = {60: '{"Records":[]}', 61: '{"Entries":[{"eventID":"x"}]}', 62: '{"Records":[{"eventID":'}
 
 
@@ -144,7 +145,7 @@ def log_tree(spark: SparkSession, sf_dir: str) -> str:
         )
         digests = envelopes.withColumn("type", F.lit(DIGEST_FOLDER))
         odd = F.create_map(*[F.lit(x) for pair in BY_KEY.items() for x in pair])
-        others = records.where(F.col("k").isin(list(BY_KEY))).select(*DELIVERED_KEYS, F.element_at(odd, F.col("k")).alias("value"))
+        others = records.where(F.col("k").isin(list(BY_KEY))).dropDuplicates([*DELIVERED_KEYS, "k"]).select(*DELIVERED_KEYS, F.element_at(odd, F.col("k")).alias("value"))
         envelopes = envelopes.unionByName(digests).unionByName(others)
         writer = envelopes.write.option("compression", "gzip").option("maxRecordsPerFile", 1)
         with many_writers(spark):

@@ -6,8 +6,8 @@ from logsluice.plans.queries import AUDIT_AS_OF, AUDIT_MONTH, EVENTS_AS_OF, NOIS
 from logsluice.schemas import DELIMITED_PRICES, PRICE_LIST_COLUMNS
 
 K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
-HAPPENED = "(ts + INTERVAL 16 DAY)"
-DELIVERED = "(ts + INTERVAL 16 DAY + INTERVAL 6 HOUR)"
+HAPPENED = "(ts + INTERVAL 16 DAY - to_hours(hour(ts) % 6))"
+DELIVERED = f"({HAPPENED} + INTERVAL 6 HOUR)"
 
 AUDIT = f"""
 audit AS (
@@ -330,7 +330,7 @@ def all_oracles() -> dict[str, str]:
             f" OR year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}", True),
         "quarantined_files": f"""
             WITH {FOLDERS} SELECT accountid, region, year, month, day,
-              CASE k WHEN 61 THEN 'no records' ELSE 'not JSON' END AS problem, count(*) AS files
+              CASE k WHEN 61 THEN 'no records' ELSE 'not JSON' END AS problem, count(DISTINCT k) AS files
             FROM folders WHERE k IN (61, 62) AND {_two_days()} GROUP BY ALL""",
         "account_layout_leaves": f"""
             WITH {FOLDERS} SELECT DISTINCT * EXCLUDE (event_id, k, delivered) FROM folders""",

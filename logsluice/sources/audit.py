@@ -39,9 +39,10 @@ def read_envelopes(spark: SparkSession, paths: str | list[str], record: T.Struct
         other = T.StructType([T.StructField("Records", T.ArrayType(T.StructType([T.StructField(OTHER_SHARED, T.StringType())])))])
         again = F.when(F.col("_text").contains(f'"{OTHER_SHARED}"'), F.from_json("_text", other)["Records"])
         parsed = parsed.withColumn("_again", again)
+        # Zipped before, as what a function of elements names from outside may be computed for each of them.
         both = F.transform(
-            records,
-            lambda r, i: r.withField(SHARED, F.coalesce(r[SHARED], F.get(F.col("_again"), i)[OTHER_SHARED])),
+            F.arrays_zip(records.alias("r"), F.col("_again").alias("o")),
+            lambda x: x["r"].withField(SHARED, F.coalesce(x["r"][SHARED], x["o"][OTHER_SHARED])),
         )
         records = F.when(F.col("_again").isNull(), records).otherwise(both)
     problem = F.coalesce(problem, F.when(F.col("_e.Records").isNull(), NO_RECORDS))
