@@ -1,8 +1,8 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of word pairs (Chen and Goodman, "An empirical study of smoothing techniques for language modeling", 1999). Words
-are numbers: those of a vocabulary of bounded size, the most frequent of the trusted text, have their own, all others one by
-their shape. Figures by word are therefore bounded tables, which tasks get with their code; counts of pairs are
+The model is of word pairs (Chen and Goodman, "An empirical study of smoothing techniques for language modeling", 1999). That of
+``classify`` holds all words of the trusted text; it is in ``word_model``. The one here, for callers who ask for a ``vocabulary``, is of
+bounded size: words are numbers, the most frequent of the trusted text have their own, all others one by their shape. Figures by word are therefore bounded tables, which tasks get with their code; counts of pairs are
 not: they live in shards by hash of the pair, and documents' pairs are joined to them shard by shard.
 
 Between tasks travel packed arrays: from each batch of documents to each shard the batch's pairs, and back to
@@ -21,10 +21,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsluice.llm import word_model
 from logsluice.llm.arrow import pack_planes, text_slices, unpack_planes
 from logsluice.llm.common import bucket, checkpointed, if_small, shuffle_partitions, text_or_empty
 
-#: Words with numbers of their own. The rest share those of their shapes.
+#: Words with numbers of their own in a model of bounded size. The rest share those of their shapes.
 VOCABULARY = 20_000
 #: Labelled rows that may be broadcast; more are joined by a shuffle.
 LABELS_BROADCAST = 2_000_000
@@ -317,13 +318,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 
 def classify(
-    docs: DataFrame, trusted_keys: DataFrame, vocabulary: int = VOCABULARY, spread: float = 3.0, least: float = 0.25,
+    docs: DataFrame, trusted_keys: DataFrame, vocabulary: int | None = None, spread: float = 3.0, least: float = 0.25,
     key: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """Judge every document by its perplexity: ``doc_id, lang, n_words, perplexity, highest, kept``.
 
     The model is trained on all documents whose key is in the first column of ``trusted_keys``; those are then judged without
-    their own counts. ``kept``: the mean surprise is at most what is usual for trusted documents of the language and
+    their own counts of pairs. Every trusted word has its own figures (``word_model``); only with ``vocabulary`` are they bounded. ``kept``: the mean surprise is at most what is usual for trusted documents of the language and
     length class: the third quartile plus ``spread`` times the distance of the quartiles (or ``least``, if that is
     more). Groups without trusted documents take the highest limit of their language, of the length class, or of all.
 
@@ -339,14 +340,15 @@ def classify(
     marked = marked.select("key", "lang", "text", F.col("_trusted").isNotNull().alias("trusted"))
     if not few:  # a task that is repeated must see its rows in the same order
         marked = marked.sortWithinPartitions("key", F.xxhash64("text", "lang"))
-    model, counts = train(marked.where("trusted"), vocabulary)
+    model, counts = word_model.train(marked.where("trusted")) if vocabulary is None else train(marked.where("trusted"), vocabulary)
     if model is None:
         return rows.select(
             F.col("key").alias(key), "lang", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"),
             *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "highest")], F.lit(True).alias("kept"),
         )
     length_class = F.least(F.length(F.bin("n_words")), F.lit(10))
-    scores = checkpointed(score(marked, model, counts).withColumn("class", length_class))
+    scored = (word_model.score if vocabulary is None else score)(marked, model, counts)
+    scores = checkpointed(scored.withColumn("class", length_class))
     limits = checkpointed(language_limits(scores, spread, least).withColumnsRenamed({"lang": "l", "class": "c"}))
     by_lang = limits.groupBy(F.col("l").alias("l2")).agg(F.max("highest").alias("of_lang"))
     by_class = limits.groupBy(F.col("c").alias("c2")).agg(F.max("highest").alias("of_class"))
