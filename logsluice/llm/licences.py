@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,11 @@ from logsluice.llm.common import checkpointed, let, text_or_empty
 
 # Usual wordings of licence notices, by family.
 TEMPLATES = {
+    "agpl": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -33,11 +40,30 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "cc0": (
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "lgpl": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
@@ -87,6 +113,23 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.posexplode(F.split("_text", "\n", -1)).alias("paragraph", "line")).drop("_text")
 
 
+def _featured(texts: DataFrame, vocabulary: list[str], reach: int) -> DataFrame:
+    """``(*, paragraph, line, words, joined, next)`` of each line of ``_text`` with a feature. ``joined`` has the line's words and the ``reach``
+    that follow it, however many lines these are on; ``next`` has the numbers and lengths of those lines. Marks are no words, so those of comments fall away."""
+    lines = F.transform(F.split("_text", "\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"), tokens(x).alias("words")))
+
+    def found(held: Column) -> Column:
+        # Each line has a word, so that ``reach`` lines hold as many words at least.
+        rows = F.transform(held, lambda x, i: F.struct(i.alias("i"), _features(x["words"], vocabulary).alias("features")))
+        return F.transform(F.filter(rows, lambda r: F.size(r["features"]) > 0), lambda r: let(F.slice(held, r["i"] + 2, reach), lambda after: F.struct(
+            F.get(held, r["i"]).alias("x"), r["features"].alias("features"),
+            F.concat(F.get(held, r["i"])["words"], F.slice(F.flatten(F.transform(after, lambda y: y["words"])), 1, reach)).alias("joined"),
+            F.transform(after, lambda y: F.struct(y["paragraph"].alias("paragraph"), F.size(y["words"]).alias("n"))).alias("next"))))
+
+    rows = texts.select("*", F.explode(let(F.filter(lines, lambda x: F.size(x["words"]) > 0), found)).alias("_h")).drop("_text")
+    return rows.select("*", "_h.x.*", "_h.features", "_h.joined", "_h.next").drop("_h")
+
+
 def _examples(templates: DataFrame, sample: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Training rows ``(family, words, fold)``: templates whole, less each word, and amid other text; the unknown class is
     sampled paragraphs, every feature by itself, and beginnings of templates too short to tell."""
@@ -125,7 +168,9 @@ def train(docs: DataFrame) -> tuple[list[str], list[str], list[list[float]], lis
     known = F.lit(False)
     for words in texts:
         wanted = F.array(*map(F.lit, sorted(set(words))))
-        known |= F.size(F.array_intersect(F.col("words"), wanted)) >= 0.7 * len(set(words))
+        both = F.size(F.array_intersect(F.col("words"), wanted))
+        # A line of a template in its usual wrapping has few of the template's words, but hardly any others.
+        known |= (both >= 0.7 * len(set(words))) | ((both >= 4) & (both >= 0.7 * F.size(F.array_distinct("words"))))
     sample = checkpointed(lines.where(F.size("words") > 0).where(~known).orderBy("h").limit(SAMPLE_PARAGRAPHS))
     found = templates.select(F.explode(grams(F.col("words"))).alias("gram")).distinct()
     met = sample.select(F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
@@ -159,11 +204,13 @@ def train(docs: DataFrame) -> tuple[list[str], list[str], list[list[float]], lis
 def licence_paragraphs(
     docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", sure: float = 0.5, alike: float = 0.8
 ) -> DataFrame:
-    """Paragraphs (lines) that read like licence notices: ``keys, paragraph, line, family, probability, template, similarity``.
+    """Places that read like licence notices: ``keys, paragraph, line, family, probability, template, similarity``.
 
-    A paragraph is looked at if it has any feature of the classifier; without one the intercepts alone decide, for the
-    unknown class. ``family`` is the most probable one if it has ``sure`` or more and a template of it is there
-    (``alike`` of its words and pairs or more, its ``similarity``). If all families together have ``sure``, but none is confirmed, it is
+    A place is a line, by its number in ``paragraph``. It is looked at if it has any feature of the classifier; without one the intercepts
+    alone decide, for the unknown class. It is scored by itself and, as notices are wrapped, joined with the words after it, as many as the longest template
+    has. ``family`` is the most probable one if it has ``sure`` or more and a template of it is there (``alike`` of its words and pairs or
+    more, its ``similarity``). Joined, the line must hold a part of the template; the lines that hold the rest of it, and have no features
+    but the template's, are not returned again. If all families together have ``sure`` for the line by itself, but none is confirmed either way, it is
     ``unknown``. Others are not returned.
 
     Null and empty texts have no paragraphs; repeated rows give repeated results; an empty table
@@ -176,12 +223,15 @@ def licence_paragraphs(
     pairs = [g.split(" ") for g in vocabulary if " " in g]
     needed = sorted(alone | {a for a, b in pairs if a not in alone and b not in alone})
     with_any = rows.where(F.arrays_overlap(tokens(F.col("_text")), F.array(*map(F.lit, needed))))
-    featured = _paragraphs(with_any).withColumn("features", _features(tokens(F.col("line")), vocabulary))
-    some = checkpointed(featured.where(F.size("features") > 0))
+    reach = max(len(re.findall(r"[^\W_]+(?:[.+-][^\W_]+)*", t)) for texts in TEMPLATES.values() for t in texts)
+    some = checkpointed(_featured(with_any.withColumn("_text_id", F.monotonically_increasing_id()), vocabulary, reach))
+    alone_or_joined = F.array(F.struct(F.lit(False).alias("is_joined"), F.col("words").alias("scored"), F.col("features").alias("met")),
+                              F.struct(F.lit(True).alias("is_joined"), F.col("joined").alias("scored"), _features(F.col("joined"), vocabulary).alias("met")))
+    some = some.withColumn("_way", F.explode(alone_or_joined)).select("*", "_way.*").drop("_way")
 
     table = F.create_map(*[x for g, w in zip(vocabulary, weights) for x in (F.lit(g), F.array(*map(F.lit, w)))])
     start = F.array(*map(F.lit, intercepts))
-    logits = F.aggregate("features", start, lambda s, g: F.zip_with(s, F.element_at(table, g), lambda a, b: a + b))
+    logits = F.aggregate("met", start, lambda s, g: F.zip_with(s, F.element_at(table, g), lambda a, b: a + b))
     scored = some.withColumn("_l", logits)
     powers = F.transform("_l", lambda x: F.exp((x - F.array_max("_l")) / F.lit(temperature)))
     scored = scored.withColumn("_p", powers)
@@ -190,7 +240,7 @@ def licence_paragraphs(
     known = F.slice("_p", 1, len(families) - 1)
     best = F.array_max(known)
     scored = scored.where(F.lit(1.0) - F.element_at("_p", len(families)) >= sure).select(
-        *keys, "paragraph", "line", grams(tokens(F.col("line"))).alias("_grams"), best.alias("probability"),
+        *keys, "_text_id", "paragraph", "line", "words", "joined", "next", "features", "is_joined", grams(F.col("scored")).alias("_grams"), best.alias("probability"),
         F.element_at(F.array(*map(F.lit, families)), F.array_position(known, best).cast("int")).alias("_best"),
     )
     wordings = F.create_map(*[
@@ -201,7 +251,32 @@ def licence_paragraphs(
         (F.size(F.array_intersect(t["grams"], F.col("_grams"))) / F.size(t["grams"])).alias("similarity"), t["template"].alias("template")))
     matched = scored.withColumn("_m", F.array_max(compared))
     confirmed = (F.col("probability") >= sure) & (F.col("_m.similarity") >= alike)
-    return matched.select(
-        *keys, "paragraph", "line", F.when(confirmed, F.col("_best")).otherwise(F.lit(UNKNOWN)).alias("family"),
+    wording = let(tokens(F.col("_m.template")), lambda t: F.struct(t.alias("words"), F.array_distinct(grams(t)).alias("grams")))
+    without = grams(F.slice("joined", F.size("words") + 1, F.size("_t.words") - 1))
+    begins = F.size(F.array_intersect(F.col("_t.grams"), without)) / F.size("_t.grams") < F.col("_m.similarity")
+    ways = matched.withColumn("_sure", confirmed).withColumn("_t", wording).where(~F.col("is_joined") | (F.col("_sure") & begins))
+    of = F.struct(*[c for c in ways.columns if c not in ("_text_id", "paragraph", "_grams", "joined")])
+    order = F.when(F.col("_sure"), F.col("is_joined").cast("int")).otherwise(2)
+    places = checkpointed(ways.groupBy("_text_id", "paragraph").agg(F.min_by(of, order).alias("_w")).select("_text_id", "paragraph", "_w.*"))
+    # How many words of the template are left after the line, and which lines these take.
+    left = F.size("_t.words") - F.size(F.filter("words", lambda w: F.array_contains(F.col("_t.words"), w)))
+    before = F.transform("next", lambda x, i: F.struct(
+        x["paragraph"].alias("paragraph"), F.aggregate(F.slice("next", 1, i), F.lit(0), lambda n, y: n + y["n"]).alias("before")))
+    last = F.coalesce(F.array_max(F.transform(F.filter(before, lambda x: x["before"] < left), lambda x: x["paragraph"])), F.col("paragraph"))
+    starts = places.where("_sure and is_joined").select("_text_id", F.struct("paragraph", last.alias("last"), F.col("_t.grams").alias("held"), "features").alias("x"))
+    # In turn, each that is no part of the one before.
+
+    def in_turn(found: Column) -> Column:
+        def part(x: Column, y: Column) -> Column:
+            return F.coalesce((x["paragraph"] <= y["last"]) & (F.size(F.array_except(x["features"], y["held"])) == 0), F.lit(False))
+
+        return F.aggregate(found, F.slice(found, 1, 0), lambda done, x: F.when(part(x, F.get(done, F.size(done) - 1)), done).otherwise(F.concat(done, F.array(x))))
+
+    rest = starts.groupBy(F.col("_text_id").alias("_of")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rest = rest.select("_of", F.explode(let(F.col("xs"), in_turn)).alias("_s"))
+    same = (F.col("_text_id") == F.col("_of")) & (F.col("paragraph") > F.col("_s.paragraph")) & (F.col("paragraph") <= F.col("_s.last"))
+    goes = (~F.col("_sure") | F.col("is_joined")) & (F.size(F.array_except("features", "_s.held")) == 0)
+    return places.join(rest, same & goes, "left_anti").select(
+        *keys, "paragraph", "line", F.when(F.col("_sure"), F.col("_best")).otherwise(F.lit(UNKNOWN)).alias("family"),
         "probability", "_m.template", "_m.similarity",
     )
