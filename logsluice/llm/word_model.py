@@ -25,8 +25,8 @@ from logsluice.llm.xxh64 import xxh64
 
 SLICE = 8 << 20
 
-#: Keys of a text's start and end, and of a word that is the one before it again.
-START, END, AGAIN = np.uint64(1), np.uint64(2), np.uint64(3)
+#: Keys of a text's start and end.
+START, END = np.uint64(1), np.uint64(2)
 
 ABOUT = pa.struct([("key", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n", pa.int64())])
 TRAVELS = "part long, base long, data binary"
@@ -62,9 +62,6 @@ def text_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = word_hashes(coded.dictionary)[which[real]] if len(empty) else np.zeros(0, np.uint64)
     bounds = np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
     n = np.diff(bounds)
-    again = np.concatenate([[False], ids[1:] == ids[:-1]])[: len(ids)]
-    again[bounds[:-1][n > 0]] = False
-    ids[again] = AGAIN
     owner = np.repeat(np.arange(len(n)), n + 1)
     first = np.insert(ids, bounds[:-1], START)
     second = np.append(first[1:], END)
@@ -120,8 +117,6 @@ def _count_pairs(shards: int) -> Callable:
         for batch in batches:
             for some in text_slices(batch, "text", 2 * SLICE):
                 first, second, _ = text_pairs(some.column("text"))
-                # A word said again at once is never learned: it stays as improbable as an unseen one.
-                first, second = first[second != AGAIN], second[second != AGAIN]
                 key, place, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
                 out = [(shard, pack_planes(first[place[m]], second[place[m]], n[m].astype("<u4"))) for shard, m in _by_shard(key, shards)]
                 yield _batch(out, ["part", "data"])

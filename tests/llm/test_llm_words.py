@@ -9,12 +9,9 @@ from test_llm_model import SF_DIR, discounts
 
 from logsluice.llm import kneser_ney as K
 
-AGAIN = object()
-
 
 def plain_ids(text):
-    w = words(text)
-    return ["<start>", *[AGAIN if i and x == w[i - 1] else x for i, x in enumerate(w)], "<end>"]
+    return ["<start>", *words(text), "<end>"]
 
 
 def plain_scores(docs, trusted):
@@ -22,7 +19,7 @@ def plain_scores(docs, trusted):
     pairs = Counter()
     for k in trusted:
         ids = plain_ids(texts[k])
-        pairs.update(p for p in zip(ids, ids[1:]) if p[1] is not AGAIN)
+        pairs.update(zip(ids, ids[1:]))
     total, kinds, ends = Counter(), defaultdict(Counter), Counter()
     for (u, v), c in pairs.items():
         total[u] += c
@@ -67,3 +64,10 @@ def test_every_trusted_word_is_learned(spark):
     docs = odd(spark, rows)
     found = {r["doc_id"]: r["perplexity"] for r in K.classify(docs, docs.where("doc_id < 5000").select("doc_id")).collect()}
     assert found[5000] < 3 and found[5001] > 1000
+
+
+def test_repeated_words_are_learned_as_pairs(spark):
+    rows = [(i, "0 0 0 0 ha ha " * 5 + f"end{i}", "en", "a") for i in range(40)] + [(100, "0 0 0 0 ha ha " * 5, "en", "a"), (101, "0 ha 0 ha " * 8, "en", "a")]
+    docs = odd(spark, rows)
+    found = {r["doc_id"]: r["perplexity"] for r in K.classify(docs, docs.where("doc_id < 100").select("doc_id")).collect()}
+    assert found[100] < 4 and found[100] < found[101]
