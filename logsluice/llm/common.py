@@ -30,6 +30,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Tasks that ``df`` should be dealt to: those of a shuffle, or more if it is larger than ``each`` bytes for one.
+
+    The size is Spark's own estimate, which for files is what they take on disk; where it knows none, it says nothing.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(df.sparkSession), -(-size // each) if size < 1 << 60 else 1)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if a count shows that it has few rows; else as it is.
 

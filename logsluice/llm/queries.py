@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsluice.llm.common import WORD, table, text_or_empty
+from logsluice.llm.common import WORD, let, table, text_or_empty
 from logsluice.llm.kneser_ney import classify
 from logsluice.llm.licences import licence_paragraphs
+from logsluice.llm.minhash import fingerprint, fingerprints, likeness
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.nearest import nearest
 from logsluice.llm.packing import pack
@@ -18,6 +19,8 @@ from logsluice.llm.quality_rules import quality_rules
 from logsluice.llm.repeats import repeats
 from logsluice.llm.sharding import byte_size, shard_by_bytes
 from logsluice.llm.simhash import simhash_groups
+from logsluice.llm.sql_twins import FINGERPRINTS
+from logsluice.llm.successors import with_next
 from logsluice.llm.token_files import TokenizerFile, read_token_files, write_token_files
 from logsluice.session import scratch
 
@@ -95,6 +98,27 @@ def op10_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
+
+    def compared(own: Column, after: Column) -> Column:
+        n = F.char_length(own["text"])
+        end = F.shiftright(n, 2)
+        edited = F.concat(F.substring(own["text"], F.lit(1), n - end), F.substring(after["text"], F.lit(1), end))
+
+        def of_edited(text: Column) -> Column:
+            return let(fingerprint(text), lambda other: F.struct(
+                n.cast("long").alias("n_chars"), F.sha2(text, 256).alias("edited_sha256"),
+                F.lower(F.hex(own["fingerprint"])).alias("fingerprint"), F.lower(F.hex(other)).alias("edited_fingerprint"),
+                likeness(own["fingerprint"], other).alias("near_edited"),
+                likeness(own["fingerprint"], after["fingerprint"]).alias("near_next"),
+            ))
+
+        return let(edited, of_edited)
+
+    return with_next(fingerprints(docs), F.struct("text", "fingerprint"), compared)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -106,9 +130,11 @@ QUERIES: dict[str, Query] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_perplexity": op9_perplexity,
     "op10_without_repeats": op10_without_repeats,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLES = {
+    "op11_fingerprints": FINGERPRINTS,
     "op2_quality_rules": f"""
         WITH base AS (
           SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
