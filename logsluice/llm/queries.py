@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import WORD, let, table, text_or_empty
+from logsluice.llm.conversations import VERDICT, repair
 from logsluice.llm.kneser_ney import classify
 from logsluice.llm.licences import licence_paragraphs
 from logsluice.llm.minhash import fingerprint, fingerprints, likeness
@@ -119,6 +122,44 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(fingerprints(docs), F.struct("text", "fingerprint"), compared)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows with known faults, as a number hashed from conversation and turn says; ``times`` 0 for a row dropped, 2 for one repeated."""
+
+    def or_space(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    case = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn"))) % 20
+    text = F.when(case == 1, F.lit("")).when(case == 2, F.translate(or_space("text"), ".!?", "")).otherwise(or_space("text"))
+    return conversations.select(
+        "conv_id", "turn", F.when(case == 4, F.lit("user")).otherwise(or_space("role")).alias("role"), text.alias("text"),
+        F.when(case == 0, 0).when(case == 3, 2).otherwise(1).alias("times"),
+    )
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = repair(damaged(table(spark, sf_dir, "conversations")), times="times")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each conversation; its lines are hashed as they come."""
+        sha, first = hashlib.sha256(), True
+        for batch in batches:
+            ended, sums = [], []
+            for n, (role, text, edit) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("role", "text", "edit")))):
+                if edit is None:
+                    ended.append(n)
+                    sums.append(sha.hexdigest())
+                    sha, first = hashlib.sha256(), True
+                else:
+                    sha.update(f"{'' if first else chr(10)}{role}:{text}".encode())
+                    first = False
+            if ended:
+                done = batch.select(["conv", "verdict"]).take(pa.array(ended))
+                yield pa.RecordBatch.from_arrays([*done.columns, pa.array(sums)], names=["conv", "verdict", "repaired_sha256"])
+
+    schema = f"conv long, verdict {VERDICT.simpleString()}, repaired_sha256 string"
+    return repaired.mapInArrow(digests, schema).select(F.col("conv").alias("conv_id"), "verdict.*", "repaired_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_quality_rules": op2_quality_rules,
@@ -131,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "op9_perplexity": op9_perplexity,
     "op10_without_repeats": op10_without_repeats,
     "op11_fingerprints": op11_fingerprints,
+    "op13_repair": op13_repair,
 }
 
 ORACLES = {
