@@ -9,7 +9,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from logsluice.llm.alignment import Tokenizers, align, groups_text, link_counts
 from logsluice.llm.common import WORD, let, table, text_or_empty
 from logsluice.llm.conversations import VERDICT, repair
 from logsluice.llm.kneser_ney import classify
@@ -22,7 +24,7 @@ from logsluice.llm.quality_rules import quality_rules
 from logsluice.llm.repeats import repeats
 from logsluice.llm.sharding import byte_size, shard_by_bytes
 from logsluice.llm.simhash import simhash_groups
-from logsluice.llm.sql_twins import FINGERPRINTS
+from logsluice.llm.sql_twins import CONVERSATIONS, FINGERPRINTS
 from logsluice.llm.successors import with_next
 from logsluice.llm.token_files import TokenizerFile, read_token_files, write_token_files
 from logsluice.session import scratch
@@ -33,6 +35,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), True, r"[.,;:!?#*$%&|]+")
 
 
+#: The tokenizers of op12.
+BYTES_AND_PIECES = Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_token_files(write_token_files(docs, scratch(spark, "tokens"), WORD_BPE))
@@ -122,6 +128,21 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(fingerprints(docs), F.struct("text", "fingerprint"), compared)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(table(spark, sf_dir, "documents"), BYTES_AND_PIECES)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("a_ids", "b_ids", "a_ends", "b_ends"))):
+                sums.append(hashlib.sha256(groups_text(*row).encode()).hexdigest() if row[0] else "")
+            yield batch.append_column("groups_sha256", pa.array(sums, pa.string()))
+
+    size = {"n_a": "a_ids", "n_b": "b_ids", "n_groups": "a_ends", "n_links": "link_a"}
+    hashed = aligned.mapInArrow(digests, StructType([*aligned.schema.fields, StructField("groups_sha256", StringType())]))
+    return link_counts(hashed.withColumns({name: F.size(of).cast("long") for name, of in size.items()}))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """The rows with known faults, as a number hashed from conversation and turn says; ``times`` 0 for a row dropped, 2 for one repeated."""
 
@@ -172,11 +193,13 @@ QUERIES: dict[str, Query] = {
     "op9_perplexity": op9_perplexity,
     "op10_without_repeats": op10_without_repeats,
     "op11_fingerprints": op11_fingerprints,
+    "op12_alignment": op12_alignment,
     "op13_repair": op13_repair,
 }
 
 ORACLES = {
     "op11_fingerprints": FINGERPRINTS,
+    "op13_repair": CONVERSATIONS,
     "op2_quality_rules": f"""
         WITH base AS (
           SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w

@@ -97,3 +97,67 @@ FINGERPRINTS = f"""
         SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 4) || left(after, n // 4)) AS edited_sha256,
           own AS fingerprint, changed AS edited_fingerprint, {_near("own", "changed")} AS near_edited, {_near("own", "later")} AS near_next
         FROM joined"""
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+CONVERSATIONS = f"""
+        WITH RECURSIVE {CRC_STEPS},
+        convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+        hit AS (
+          SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {crc32("coalesce(CAST(v.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+          FROM conversations v JOIN convs ON v.conv_id IS NOT DISTINCT FROM convs.conv_id, steps),
+        damaged AS (
+          SELECT c, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+            CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+          FROM hit),
+        line AS (
+          SELECT *, left(role, 1) AS initial, rtrim(text, {_WHITE}) AS bare,
+            row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i,
+            row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+          FROM damaged),
+        judged AS (
+          SELECT *, bare = '' OR again AS must_go, bare <> '' AND right(bare, 1) NOT IN ('.', '!', '?') AS cut_off,
+            lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair
+          FROM line),
+        counted AS (
+          SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (bare = '') AS blank,
+            count(*) FILTER (bare <> '' AND again) AS duplicate, count(*) FILTER (cut_off AND NOT again) AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+          FROM judged GROUP BY c),
+        inserted(start, state, price, more) AS (
+          VALUES ('', '', 0, ''), ('', 'u', 2, 'I'), ('', 'a', 4, 'II'), ('s', 's', 0, ''), ('s', 'u', 2, 'I'), ('s', 'a', 4, 'II'),
+            ('u', 'u', 0, ''), ('u', 'a', 2, 'I'), ('a', 'a', 0, ''), ('a', 'u', 2, 'I')),
+        ways AS (
+          SELECT c, i, start, price, more, state, unnest([
+            {{s: state, p: 3, l: 'D'}},
+            CASE WHEN NOT must_go THEN {{s: CASE state WHEN 'u' THEN 'a' ELSE 'u' END, p: 2 + CAST(cut_off AS INTEGER), l: 'R'}} END,
+            CASE WHEN NOT must_go AND (initial = CASE state WHEN 'u' THEN 'a' ELSE 'u' END OR initial = 's' AND state = '')
+              THEN {{s: initial, p: CAST(cut_off AS INTEGER), l: 'K'}} END]) AS w
+          FROM judged, inserted),
+        walk AS (
+          SELECT c, CAST(0 AS BIGINT) AS i, '' AS state, {{p: 0, l: ''}} AS best FROM convs
+          UNION ALL
+          SELECT k.c, k.i + 1, w.w.s, min({{p: k.best.p + w.price + w.w.p, l: k.best.l || w.more || w.w.l}})
+          FROM walk k JOIN ways w ON w.c = k.c AND w.i = k.i + 1 AND w.start = k.state WHERE w.w IS NOT NULL GROUP BY k.c, k.i, w.w.s),
+        ended AS (
+          SELECT c, min({{p: best.p + price, l: best.l || more}}) AS best
+          FROM walk JOIN (SELECT c, max(i) AS i FROM walk GROUP BY c) USING (c, i) JOIN inserted ON inserted.start = walk.state
+          WHERE inserted.state IN ('', 'a') GROUP BY c),
+        letters AS (SELECT c, best.l AS audit, unnest(range(1, length(best.l) + 1)) AS j FROM ended),
+        edits AS (
+          SELECT c, j, substr(audit, j, 1) AS letter, length(replace(left(audit, j), 'I', '')) AS i,
+            length(replace(left(audit, j), 'D', '')) AS k
+          FROM letters),
+        kept AS (
+          SELECT e.*, r.role, r.text, max(e.k = 1 AND e.letter = 'K' AND r.initial = 's') OVER (PARTITION BY e.c) AS with_system
+          FROM edits e LEFT JOIN judged r ON r.c = e.c AND r.i = e.i AND e.letter <> 'I' WHERE e.letter <> 'D'),
+        repaired AS (
+          SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - CAST(with_system AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+            || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS lines
+          FROM kept GROUP BY c)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+          coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.p AS BIGINT) AS cost, best.l AS audit,
+          sha256(coalesce(lines, '')) AS repaired_sha256
+        FROM convs JOIN ended USING (c) LEFT JOIN counted USING (c) LEFT JOIN repaired USING (c)"""
