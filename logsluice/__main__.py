@@ -34,9 +34,10 @@ def parser() -> argparse.ArgumentParser:
     command("register-partitions", "table")
     recent = command("register-recent", "table")
     recent.add_argument("--as-of", type=date.fromisoformat, default=None)
-    convert = commands.add_parser("convert-table")
-    convert.add_argument("--table", required=True)
-    convert.add_argument("--dest", required=True)
+    for name in ("convert-table", "publish"):
+        sub = commands.add_parser(name)
+        sub.add_argument("--table", required=True)
+        sub.add_argument("--dest", required=True)
     return top
 
 

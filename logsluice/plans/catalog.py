@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import date
 from functools import reduce
 from itertools import islice
@@ -11,9 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, unescaped
+from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, folder_of, unescaped
 from logsluice.functions.text import not_blank
 from logsluice.schemas import DELIVERED_KEYS, DELIMITED_PRICES, LAKE_KEYS, envelope_schema, lake_schema
+from logsluice.sources.lake import LOAD, load_folder
+from logsluice.sources.manifest import file_manifest
+from logsluice.sources.paths import empty_if_missing
+from logsluice.streaming.ledger import complete_loads
+
+# Fixed value: what a folder is called whose key is NULL.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 # Partition clauses per statement; a statement is one catalog call.
 CLAUSES_PER_STATEMENT = 100
@@ -72,13 +80,44 @@ def create_partitioned_log_table(spark: SparkSession, table: str, location: str)
 
 
 def create_lake_table(
-    spark: SparkSession, table: str, location: str, keys: Iterable[str] = LAKE_KEYS
+    spark: SparkSession, table: str, location: str, keys: Iterable[str] = (LOAD.name, *LAKE_KEYS)
 ) -> None:
-    """A partitioned table over a lake, by whichever load it was written; ``recover_partitions`` fills it.
+    """A partitioned table over a lake. ``publish_loads`` shows it what loads have written.
 
-    Unlike ``read_lake`` it also shows the rows of a load that broke off while it moved its files in.
+    For a lake that was written directly, without loads, give its own ``keys`` and use ``recover_partitions``.
     """
-    create_table(spark, table, lake_schema(), "parquet", location, keys)
+    schema = T.StructType([*lake_schema().fields, *([LOAD] if LOAD.name in keys else [])])
+    create_table(spark, table, schema, "parquet", location, keys)
+
+
+def published_folder(location: str, table: str) -> str:
+    return f"{location.rstrip('/')}/_published/{table}"
+
+
+def publish_loads(spark: SparkSession, table: str, location: str, keys: Sequence[str] = LAKE_KEYS) -> int:
+    """Add the partitions of every complete load that ``table`` does not show yet; returns how many loads these were.
+
+    A load's partitions lie in its own folder, which is all that is listed. So the table never shows rows of a load that is
+    under way or broke off, and a record that was loaded again is there once. What has been published is noted beside the lake, after the
+    partitions were added; to add them again does no harm.
+    """
+    known = published_folder(location, table)
+    seen = empty_if_missing(spark, lambda: spark.read.schema(T.StructType([LOAD])).parquet(known), T.StructType([LOAD]))
+    new = [r[0] for r in complete_loads(spark, location).join(seen, LOAD.name, "left_anti").select(LOAD.name, "at").orderBy("at").collect()]
+    for load in new:
+        folder = load_folder(location, load)
+        files = empty_if_missing(spark, lambda f=folder: file_manifest(spark, f), T.StructType().add("path", "string"))
+        leaves = files.select(folder_of("path").alias("location")).distinct()
+        values = {k: F.regexp_extract("location", f"/{k}=([^/]*)/", 1) for k in keys}
+        located = leaves.select(
+            unescaped(F.col("location")).alias("location"), F.lit(load).alias(LOAD.name),
+            *[F.when(v != NO_VALUE, unescaped(unescaped(v))).alias(k) for k, v in values.items()],
+        )
+        add_partitions(spark, table, located, (LOAD.name, *keys))
+    if new:
+        noted = spark.createDataFrame([(load,) for load in new], T.StructType([LOAD]))
+        noted.coalesce(1).write.mode("append").parquet(known)
+    return len(new)
 
 
 def recover_partitions(spark: SparkSession, table: str) -> None:
@@ -98,9 +137,19 @@ def registered_partitions(
     only = [""] if days is None else [
         f" PARTITION (year = '{d:%Y}', month = '{d:%m}', day = '{d:%d}')" for d in sorted(set(days))
     ]
-    listed = reduce(DataFrame.union, [spark.sql(f"SHOW PARTITIONS {table}{part}") for part in only])
-    values = {k: F.regexp_extract("partition", f"(?:^|/){k}=([^/]*)", 1) for k in layout.keys}
-    return listed.select(*[unescaped(v).alias(k) for k, v in values.items()])
+    return reduce(DataFrame.union, [partition_values(spark, table, layout.keys, part) for part in only])
+
+
+def partition_values(spark: SparkSession, table: str, keys: Iterable[str], part: str = "") -> DataFrame:
+    """Some keys of a table's partitions, of all or of the given ``PARTITION (...)``."""
+    values = {k: F.regexp_extract("partition", f"(?:^|/){k}=([^/]*)", 1) for k in keys}
+    return spark.sql(f"SHOW PARTITIONS {table}{part}").select(*[unescaped(v).alias(k) for k, v in values.items()])
+
+
+def table_location(spark: SparkSession, table: str) -> str | None:
+    """Where an external table's files are; None if that is a glob or not known."""
+    row = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()
+    return None if row is None or re.search(r"[{}\[\]*?]", row["data_type"]) else row["data_type"]
 
 
 def add_partitions(
@@ -121,7 +170,7 @@ def add_partitions(
 
 
 def _clause(row, keys: tuple[str, ...]) -> str:
-    values = ", ".join(f"`{k}` = {quoted(row[k])}" for k in keys)
+    values = ", ".join(f"`{k}` = {'NULL' if row[k] is None else quoted(row[k])}" for k in keys)
     return f"PARTITION ({values}) LOCATION {quoted(row['location'])}"
 
 

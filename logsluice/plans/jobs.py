@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, recent_days
 from logsluice.operators import partitions as P
 from logsluice.operators.flatten import to_lake_rows, to_lake_rows_by_folder
-from logsluice.plans.catalog import add_partitions, registered_partitions
+from logsluice.plans.catalog import add_partitions, partition_values, publish_loads, registered_partitions, table_location
 from logsluice.schemas import RECORD
 from logsluice.session import ensure_checkpoint_dir
 from logsluice.sources.audit import explode_records, lookback, month_slice, with_folder_keys
@@ -24,8 +24,37 @@ from logsluice.streaming.loads import Report, list_files, load_files
 def convert_table(
     spark: SparkSession, table: str, dest: str, layout: Layout = ACCOUNT_LAYOUT, record: T.StructType = RECORD, **options: int
 ) -> Report:
-    """Load all files of a catalog table that the lake has not taken."""
-    return _load(spark, spark.table(table).inputFiles(), dest, False, layout, record, options)
+    """Load all files of a catalog table that the lake has not taken, a slice at a time.
+
+    Of a table whose partitions have a year and a month, a slice is a month's partitions, which the catalog alone is asked for.
+    A table without partitions is walked by the month folders below its location; if there are none, it is one slice.
+    """
+    total = Report()
+    for files in _table_slices(spark, table, layout):
+        part = _load(spark, files, dest, False, layout, record, options)
+        total = Report(total.files + part.files, total.records + part.records, total.problems + part.problems)
+    return total
+
+
+def _table_slices(spark: SparkSession, table: str, layout: Layout) -> Iterator[str | list[str]]:
+    """Paths or globs that together hold all files of a table; of a month at most, where months can be told."""
+    keys = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if {"year", "month"} <= set(keys):
+        months = partition_values(spark, table, ("year", "month")).distinct()
+        for year, month in sorted(map(tuple, months.collect())):
+            yield spark.table(table).where((F.col("year") == year) & (F.col("month") == month)).inputFiles()
+        return
+    location = None if keys else table_location(spark, table)
+    months = month_folders(spark, location, layout) if location else []
+    if not months:
+        yield spark.table(table).inputFiles()
+    for year, month in months:
+        yield layout.named_month_glob(location, year, month)
+
+
+def publish(spark: SparkSession, table: str, dest: str) -> int:
+    """Show a catalog table of the lake at ``dest`` the loads it lacks; meant to run after each load."""
+    return publish_loads(spark, table, dest)
 
 
 def backfill(

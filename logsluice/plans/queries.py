@@ -36,7 +36,7 @@ from logsluice.sources.logs import tail_text
 from logsluice.sources.manifest import file_manifest, leaf_prefixes
 from logsluice.sources.matrix import read_matrix
 from logsluice.sources.tables import read_delimited, read_price_list
-from logsluice.streaming import loads
+from logsluice.streaming import ledger, loads
 from logsluice.streaming.alarms import alarm_stream, fan_out, watch_late_points
 from logsluice.streaming.ingest import ingest
 from logsluice.streaming.runs import read_runs, watch_failure_runs
@@ -568,17 +568,24 @@ def lake_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def loaded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table over a lake that two loads have filled, in days that overlap."""
+    """A table over a lake that two loads have filled, in days that overlap; before and after them one broke off."""
     root, dest = derived.log_tree(spark, sf_dir), scratch(spark, "lake")
+
+    def broken_off(load: str) -> None:
+        ledger.start(spark, dest, load)
+        write_lake(to_lake_rows(read_days(spark, root, [AUDIT_AS_OF], HIVE_LAYOUT)), dest, load=load)
+
+    broken_off("first")
     jobs.incremental(spark, root, dest, AUDIT_AS_OF, HIVE_LAYOUT)
     jobs.incremental(spark, root, dest, AUDIT_AS_OF + timedelta(days=1), HIVE_LAYOUT)
+    broken_off("last")
     return _lake_view(_as_table(spark, sf_dir, dest))
 
 
 def _as_table(spark: SparkSession, sf_dir: str, dest: str) -> DataFrame:
     name = f"{derived.database(spark, sf_dir)}.lake_{scratch(spark, 'x')[-8:]}"
     catalog.create_lake_table(spark, name, dest)
-    catalog.recover_partitions(spark, name)
+    catalog.publish_loads(spark, name, dest)
     return spark.table(name)
 
 

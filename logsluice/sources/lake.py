@@ -12,7 +12,7 @@ from logsluice.schemas import LAKE_KEYS, lake_schema
 from logsluice.session import many_writers
 from logsluice.sources.paths import empty_if_missing
 
-#: Which load wrote a row; rows written without a load have none.
+#: Which load wrote a row: the first key of a lake that loads fill. Rows written without a load have none.
 LOAD = T.StructField("load_id", T.StringType())
 #: A row for each load that is complete.
 LOADS = T.StructType(
@@ -29,10 +29,14 @@ def spread_by_keys(frame: DataFrame, keys: Sequence[str] = LAKE_KEYS) -> DataFra
     return frame.hint("rebalance", *keys) if keys else frame
 
 
-def write_lake(frame: DataFrame, dest: str, keys: Sequence[str] = LAKE_KEYS) -> None:
-    """Append ``frame`` to the lake at ``dest``; an empty frame adds no rows."""
+def write_lake(frame: DataFrame, dest: str, keys: Sequence[str] = LAKE_KEYS, load: str | None = None) -> None:
+    """Append ``frame`` to the lake at ``dest``; an empty frame adds no rows.
+
+    The rows of a ``load`` go to a folder of its own, with the keys below it. A lake is filled by loads or directly, not both.
+    """
+    folder = dest if load is None else load_folder(dest, load)
     with many_writers(frame.sparkSession):
-        spread_by_keys(frame, keys).write.mode("append").partitionBy(*keys).parquet(dest)
+        spread_by_keys(frame, keys).write.mode("append").partitionBy(*keys).parquet(folder)
 
 
 def read_lake(spark: SparkSession, dest: str, schema: T.StructType | None = None) -> DataFrame:
@@ -48,6 +52,10 @@ def read_lake(spark: SparkSession, dest: str, schema: T.StructType | None = None
     return met.where(F.col(LOAD.name).isNull() | F.col("_done").isNotNull()).select(*schema.fieldNames())
 
 
+def load_folder(dest: str, load: str) -> str:
+    return f"{dest.rstrip('/')}/{LOAD.name}={load}"
+
+
 def loads_folder(dest: str) -> str:
     return f"{dest.rstrip('/')}/_loads"
 

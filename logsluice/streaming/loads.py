@@ -1,9 +1,8 @@
 """Loads of log files: each file once, however often and by whichever load it is looked at.
 
-A lake keeps two small tables beside its data. ``_files`` has a row for each file taken, by delivery day, so that a load
-reads only the days it looks at. ``_loads`` has a row for each complete load. A load first writes its rows, each with the load's
-id, then its files, then itself; only the last step makes the others count. What an interrupted load leaves behind is
-ignored by readers, and its files are taken again by the next one. One load per lake at a time.
+A load first marks that it begins, then writes its rows into a folder of its own, then the files it took, then itself (see
+``ledger``); only the last step makes the others count. What an interrupted load leaves behind is never shown: readers and published tables
+know complete loads only. The next load deletes it and takes its files again. One load per lake at a time.
 """
 
 from __future__ import annotations
@@ -22,24 +21,15 @@ from logsluice.functions.paths import Layout, folder_of, is_digest, scanned_file
 from logsluice.schemas import LAKE_KEYS, RECORD
 from logsluice.session import ensure_checkpoint_dir
 from logsluice.sources.audit import UNREADABLE, read_envelopes
-from logsluice.sources.lake import LOAD, LOADS, files_folder, loads_folder, write_lake
+from logsluice.sources.lake import LOAD, write_lake
 from logsluice.sources.paths import empty_if_missing
+from logsluice.streaming import ledger
+from logsluice.streaming.ledger import taken_files
 
 #: Files, and compressed bytes, of one batch of a long backlog; each batch is a load that commits by itself.
 BATCH_FILES = 100_000
 BATCH_BYTES = 100 * 2**30
 
-FILES = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("problem", T.StringType()),
-        T.StructField("records", T.LongType()),
-        LOAD,
-        T.StructField("day", T.StringType()),
-    ]
-)
-
-
 @dataclass
 class Report:
     """What a call loaded: files taken, records in them, and files set aside with a problem."""
@@ -49,13 +39,6 @@ class Report:
     problems: int = 0
 
 
-def taken_files(spark: SparkSession, dest: str) -> DataFrame:
-    """``path, problem, records, load_id, day`` of the files that complete loads have taken."""
-    files = empty_if_missing(spark, lambda: spark.read.schema(FILES).parquet(files_folder(dest)), FILES)
-    loads = empty_if_missing(spark, lambda: spark.read.schema(LOADS).parquet(loads_folder(dest)), LOADS)
-    return files.join(loads.select(LOAD.name), LOAD.name, "left_semi").select(*FILES.fieldNames())
-
-
 def quarantined_files(spark: SparkSession, dest: str) -> DataFrame:
     """``path`` and ``problem`` of files that gave no records."""
     return taken_files(spark, dest).where("problem IS NOT NULL").select("path", "problem", "day")
@@ -104,16 +87,16 @@ def load_files(
     """
     ensure_checkpoint_dir(spark)
     logs = _with_day(listed.where(~is_digest("path")), layout)
+    ledger.undo_broken(spark, dest)
     days = [r["day"] for r in logs.select("day").distinct().collect()]
-    seen = taken_files(spark, dest).where(F.col("day").isin(days)).select("path")
-    new = logs.join(seen, "path", "left_anti").checkpoint()
+    new = logs.join(taken_files(spark, dest, days).select("path"), "path", "left_anti").checkpoint()
     report = Report()
     for batch in _batches(new, batch_files, batch_bytes):
         load = uuid.uuid4().hex
+        ledger.start(spark, dest, load)
         envelopes = read_envelopes(spark, [_literally(path) for path, _ in batch], record).persist(StorageLevel.DISK_ONLY)
         try:
-            rows = rows_of(envelopes)
-            write_lake(rows.withColumn(LOAD.name, F.lit(load)), dest, keys)
+            write_lake(rows_of(envelopes), dest, keys, load)
             read = envelopes.select(F.col("_file").alias("path"), "problem", F.coalesce(F.size("Records"), F.lit(0)).cast("long").alias("records"))
             wanted = spark.createDataFrame(batch, "path string, day string")
             known = wanted.join(read.withColumn("_read", F.lit(True)), "path", "left").select(
@@ -121,14 +104,12 @@ def load_files(
                 F.when(F.col("records") > 0, F.col("records")).otherwise(F.lit(0)).cast("long").alias("records"), F.lit(load).alias(LOAD.name), "day",
             )
             known = known.checkpoint()
-            known.write.mode("append").partitionBy("day").parquet(files_folder(dest))
+            ledger.add_files(known, dest)
             sums = known.agg(F.count("*"), F.sum("records"), F.count("problem")).first()
-            done = spark.range(1).select(
-                F.lit(load).alias(LOAD.name), F.current_timestamp().alias("at"),
-                F.lit(sums[0]).cast("long").alias("files"), F.lit(sums[1] or 0).cast("long").alias("records"),
-            )
-            done.coalesce(1).write.mode("append").parquet(loads_folder(dest))
+            ledger.finish(spark, dest, load, sums[0], sums[1] or 0)
         finally:
             envelopes.unpersist()
         report.files, report.records, report.problems = report.files + sums[0], report.records + (sums[1] or 0), report.problems + sums[2]
+    if report.files:
+        ledger.merge(spark, dest, days)
     return report

@@ -1,5 +1,5 @@
 import os
-import re
+import shutil
 from datetime import date
 from pathlib import Path
 
@@ -15,10 +15,9 @@ from logsluice.functions.timeparts import utc_instant
 from logsluice.plans import catalog, jobs
 from logsluice.schemas import LAKE_KEYS, RECORD, lake_schema, leaf_paths, record_schema
 from logsluice.session import settings
-from logsluice.sources import lake
 from logsluice.sources.audit import NO_RECORDS, NOT_JSON, UNREADABLE, explode_records, read_days, read_envelopes, with_folder_keys
 from logsluice.sources.lake import read_lake, write_lake
-from logsluice.streaming import loads
+from logsluice.streaming import ledger, loads
 from logsluice.streaming.ingest import ingest
 from logsluice.streaming.loads import quarantined_files, taken_files
 
@@ -219,49 +218,105 @@ def test_old_files_survive_small_batches(spark, tree, tmp_path):
     assert ids == ["e1", "e2", "e3", "e4", "e5", "old"]
 
 
-@pytest.mark.parametrize("step", ["rows", "files"])
-def test_an_interrupted_load_is_repeated_and_counts_once(spark, tree, tmp_path, monkeypatch, step):
-    dest = str(tmp_path / "lake")
+@pytest.fixture()
+def lake_of(spark, tmp_path):
+    """A lake's folder and a table over it."""
+    dest, name = str(tmp_path / "lake"), f"lake_{abs(hash(str(tmp_path)))}"
+    catalog.create_lake_table(spark, name, dest)
+    yield dest, name
+    spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("step", ["write_lake", "add_files", "finish"])
+def test_an_interrupted_load_is_repeated_and_counts_once(spark, tree, lake_of, monkeypatch, step):
+    dest, name = lake_of
+
+    def ids(rows):
+        return sorted(r["event_id"] for r in rows.select("event_id").collect())
+
+    jobs.backfill_month(spark, tree, dest, 2024, 1)
+    assert catalog.publish_loads(spark, name, dest) == 1
+    before = ids(spark.table(name))
+    write_log(f"{tree}/012345678901/CloudTrail/eu-west-1/2024/01/30", "later", [record("e6", "2024-01-30T23:00:00Z"), record("e7", None)])
     with monkeypatch.context() as patched:
-        broken = {"rows": "files_folder", "files": "loads_folder"}[step]
+        where = loads if step == "write_lake" else ledger
+        real = getattr(where, step)
 
-        def breaks(_, seen=[]):  # noqa: B006
-            # The folder is named for reading first; the second time a load is about to write there.
-            seen.append(1)
-            if len(seen) == 2:
-                raise RuntimeError("lost")
-            return getattr(lake, broken)(_)
+        def breaks(*args, **options):
+            if step == "write_lake":  # the rows are there, what follows isn't
+                real(*args, **options)
+            raise RuntimeError("lost")
 
-        patched.setattr(loads, broken, breaks)
+        patched.setattr(where, step, breaks)
         with pytest.raises(RuntimeError, match="lost"):
             jobs.incremental(spark, tree, dest, date(2024, 1, 30))
-    assert spark.read.parquet(dest).count() == 5
-    assert read_lake(spark, dest).count() == 0
+    assert spark.read.parquet(dest).count() == 7
+    assert catalog.publish_loads(spark, name, dest) == 0
+    assert ids(read_lake(spark, dest)) == ids(spark.table(name)) == before
     report = jobs.incremental(spark, tree, dest, date(2024, 1, 30))
-    assert report.records == 5 and read_lake(spark, dest).count() == 5
+    assert report.records == 2 and catalog.publish_loads(spark, name, dest) == 1
+    assert ids(read_lake(spark, dest)) == ids(spark.table(name)) == ids(spark.read.parquet(dest)) == [*before, "e6", "e7"]
+    assert len(list(Path(dest).glob("load_id=*"))) == 2 and not list(Path(dest).glob("_started/*"))
 
 
-def test_a_load_reads_only_its_days_of_the_files_taken(spark, tree, tmp_path):
+def test_a_load_that_ended_is_not_undone(spark, tree, tmp_path, monkeypatch):
+    dest = str(tmp_path / "lake")
+    with monkeypatch.context() as patched:
+        patched.setattr(ledger.store, "remove", lambda *_: None)  # broken off between the last step and its mark
+        jobs.incremental(spark, tree, dest, date(2024, 1, 30))
+    assert len([p for p in Path(dest).glob("_started/*") if not p.name.startswith(".")]) == 1
+    assert ledger.undo_broken(spark, dest) == [] and read_lake(spark, dest).count() == 5
+
+
+def test_a_table_is_published_twice_without_harm(spark, tree, lake_of):
+    dest, name = lake_of
+    jobs.incremental(spark, tree, dest, date(2024, 1, 30))
+    assert jobs.publish(spark, name, dest) == 1
+    shutil.rmtree(catalog.published_folder(dest, name))  # as if broken off before it was noted
+    assert jobs.publish(spark, name, dest) == 1 and jobs.publish(spark, name, dest) == 0
+    assert spark.table(name).count() == 5
+
+
+def test_only_the_days_asked_for_are_listed(spark, tree, tmp_path):
     dest = str(tmp_path / "lake")
     jobs.backfill(spark, tree, dest)
-    files = taken_files(spark, dest).where(F.col("day").isin(["2024-01-30"]))
+    assert taken_files(spark, dest).count() == 4
+    files = taken_files(spark, dest, ["2024-01-30", "2031-01-01"])
     assert files.count() == 2
-    assert re.search(r"PartitionFilters: \[[^\]]*day#", files._jdf.queryExecution().toString())
+    listed = [f for f in files.inputFiles() if "/_files/" in f]
+    old = spark.createDataFrame([(f"f{n}", f"2001-01-{n:02d}") for n in range(1, 20)], "path string, day string")
+    ledger.add_files(old.select("path", F.lit(None).cast("string").alias("problem"), F.lit(1).cast("long").alias("records"), F.lit("x").alias("load_id"), "day"), dest)
+    assert [f for f in taken_files(spark, dest, ["2024-01-30"]).inputFiles() if "/_files/" in f] == listed
+    assert taken_files(spark, dest, ["2031-01-01"]).count() == 0
 
 
-def test_table_over_a_loaded_lake(spark, tree, tmp_path):
-    dest, name = str(tmp_path / "lake"), f"lake_{abs(hash(str(tmp_path)))}"
+@pytest.mark.parametrize("broken", [False, True])
+def test_small_files_of_the_ledger_are_merged(spark, tree, tmp_path, monkeypatch, broken):
+    dest = str(tmp_path / "lake")
+    monkeypatch.setattr(ledger, "MERGE_AT", 2)
+    if broken:  # the old files stay where they are
+        real = ledger.store.remove
+        monkeypatch.setattr(ledger.store, "remove", lambda spark, path: None if path.endswith(".parquet") else real(spark, path))
+    folder = f"{tree}/012345678901/CloudTrail/eu-west-1/2024/01/30"
+    for n in range(5):
+        write_log(folder, f"more{n}", [record(f"m{n}", "2024-01-30T01:00:00Z")])
+        jobs.incremental(spark, tree, dest, date(2024, 1, 30))
+    assert sorted(r["event_id"] for r in read_lake(spark, dest).collect()) == sorted(["e1", "e2", "e3", "e4", "e5", *[f"m{n}" for n in range(5)]])
+    assert taken_files(spark, dest).count() == 9 and ledger.complete_loads(spark, dest).count() == 5
+    kept = len(list(Path(dest).glob("_files/day=2024-01-30/*.parquet"))), len(list(Path(dest).glob("_loads/*.parquet")))
+    assert broken or max(kept) <= 3
+    assert jobs.incremental(spark, tree, dest, date(2024, 1, 30)).files == 0
+
+
+def test_table_over_a_loaded_lake(spark, tree, lake_of):
+    dest, name = lake_of
     jobs.incremental(spark, tree, dest, date(2024, 1, 30))
-    catalog.create_lake_table(spark, name, dest)
-    catalog.recover_partitions(spark, name)
-    try:
-        rows = spark.table(name)
-        assert [c.name for c in spark.catalog.listColumns(name) if c.isPartition] == list(LAKE_KEYS)
-        assert rows.count() == 5
-        day = rows.where("day = 29")
-        assert day.count() == 2 and "PartitionFilters: [isnotnull(day" in day._jdf.queryExecution().toString()
-    finally:
-        spark.sql(f"DROP TABLE {name}")
+    catalog.publish_loads(spark, name, dest)
+    rows = spark.table(name)
+    assert [c.name for c in spark.catalog.listColumns(name) if c.isPartition] == ["load_id", *LAKE_KEYS]
+    assert sorted(map(str, rows.select(*lake_schema().fieldNames()).collect())) == sorted(map(str, read_lake(spark, dest).collect()))
+    day = rows.where("day = 29")
+    assert day.count() == 2 and "PartitionFilters: [isnotnull(day" in day._jdf.queryExecution().toString()
 
 
 def test_command_line(spark, tree, tmp_path):

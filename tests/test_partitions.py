@@ -9,6 +9,7 @@ from logsluice.operators import partitions as P
 from logsluice.plans import catalog, jobs
 from logsluice.schemas import DELIMITED_PRICES
 from logsluice.sources.audit import lookback, month_slice, scan_table
+from logsluice.sources.lake import read_lake
 from logsluice.sources.manifest import file_manifest, leaf_prefixes
 
 
@@ -188,13 +189,31 @@ def test_convert_flat_table_to_a_lake_table(spark, tree, database, tmp_path):
     catalog.create_flat_log_table(spark, flat, f"{tree}/*/CloudTrail/*")
     jobs.convert_table(spark, flat, dest)
     catalog.create_lake_table(spark, lake, dest)
-    catalog.recover_partitions(spark, lake)
+    catalog.publish_loads(spark, lake, dest)
     rows = {r["event_id"]: r for r in spark.table(lake).collect()}
     assert len(rows) == 5 and rows["e1"]["account_id"] == "012345678901"
     hits = catalog.endpoint_access(spark, lake)
     assert [r["event_id"] for r in hits.collect()] == ["e4"]
 
 
+@pytest.mark.parametrize("kind", ["flat", "partitioned"])
+def test_tables_are_converted_a_month_at_a_time(spark, tree, database, tmp_path, monkeypatch, kind):
+    write_log(f"{tree}/012345678901/CloudTrail/eu-west-1/2023/12/31", "z", [record("e0", "2023-12-31T10:00:00Z")])
+    name, dest = f"{database}.sliced_{kind}", str(tmp_path / "lake")
+    if kind == "flat":
+        catalog.create_flat_log_table(spark, name, tree)
+    else:
+        catalog.create_partitioned_log_table(spark, name, tree)
+        jobs.register_partitions(spark, tree, name)
+    slices = []
+    real = jobs.list_files
+    monkeypatch.setattr(jobs, "list_files", lambda spark, paths: slices.append(real(spark, paths).select("path").collect()) or real(spark, paths))
+    assert jobs.convert_table(spark, name, dest).records == 6
+    assert len(slices) == 2 and all(len({r["path"].split("/")[-4] + r["path"].split("/")[-3] for r in s}) == 1 for s in slices)
+    assert sorted(r["event_id"] for r in read_lake(spark, dest).collect()) == ["e0", "e1", "e2", "e3", "e4", "e5"]
+    assert jobs.convert_table(spark, name, dest).files == 0
+
+
 def test_price_table_preview(spark, database, tmp_path):
     names = DELIMITED_PRICES.fieldNames()
     row = ["1" if f.dataType.typeName() != "string" else "x" for f in DELIMITED_PRICES.fields]
