@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,14 @@ def partition_date(year: str = "year", month: str = "month", day: str = "day") -
     return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
 
 
+def from_day(first: date, year: str = "year", month: str = "month", day: str = "day") -> Column:
+    """Whether padded text keys name ``first`` or a later day: plain comparisons of each key, which a metastore can prune by."""
+    keys = [(F.col(year), f"{first:%Y}"), (F.col(month), f"{first:%m}"), (F.col(day), f"{first:%d}")]
+    (y, year_text), (m, month_text), (d, day_text) = keys
+    same_month = (m == month_text) & (d >= day_text)
+    return (y > year_text) | ((y == year_text) & ((m > month_text) | same_month))
+
+
 def utc_instant(text: Column) -> Column:
     """The TIMESTAMP that ISO text names; text without a zone is UTC, whatever the session's zone is."""
     zoned = text.rlike(r":\d{2}.*(Z|[A-Za-z]|[+-]\d{1,2}(:?\d{2})?)\s*$")
@@ -49,6 +58,14 @@ def utc_instant(text: Column) -> Column:
     return F.when(zoned, F.try_to_timestamp(text)).otherwise(F.timestamp_micros(micros))
 
 
+def instant(frame: DataFrame, column: str) -> Column:
+    """A time column as TIMESTAMP; a TIMESTAMP_NTZ is UTC, whatever the session's zone is."""
+    if isinstance(frame.schema[column].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(column)))
+    return F.col(column).cast("timestamp")
+
+
 def time_order(frame: DataFrame, ts: str, tie: str) -> Column:
     """One number that sorts like ``(ts, tie)``, for an integer ``tie``.
 

@@ -5,8 +5,11 @@ Written trees and tables are made once per session and input folder, below the s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,18 +160,28 @@ def log_tree(spark: SparkSession, sf_dir: str) -> str:
 def account_tree(spark: SparkSession, sf_dir: str) -> str:
     """The files of ``log_tree`` in plain folders, as the audit service lays them out, with digests."""
 
+    def copy(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            attempt = TaskContext.get().taskAttemptId()
+            store, root = fs.FileSystem.from_uri(path)
+            for batch in batches:
+                targets = []
+                for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    *folders, name = file.split("/")[-7:]
+                    folder = "/".join([root, *(part.split("=", 1)[1] for part in folders)])
+                    store.create_dir(folder, recursive=True)
+                    with store.open_output_stream(f"{folder}/.{name}-{attempt}") as out:
+                        out.write(content.as_buffer())
+                    store.move(f"{folder}/.{name}-{attempt}", f"{folder}/{name}")
+                    targets.append(f"{folder}/{name}")
+                yield pa.RecordBatch.from_pydict({"path": targets})
+
+        return work
+
     def make(path: str) -> None:
-        # Spark names folders key=value itself, so each plain folder is written as a tree of its own.
+        # Spark names folders key=value itself, so tasks write the files, which are small.
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(log_tree(spark, sf_dir))
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        files = [r["path"] for r in rows.select("path").collect()]
-        for n, file in enumerate(sorted(files)):
-            folders = [part.split("=", 1)[1] for part in file.split("/")[-7:-1]]
-            source = jvm.org.apache.hadoop.fs.Path(file)
-            target = jvm.org.apache.hadoop.fs.Path("/".join([path, *folders, f"{n}.json.gz"]))
-            jvm.org.apache.hadoop.fs.FileUtil.copy(
-                source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf
-            )
+        rows.select("path", "content").mapInArrow(copy(path), "path string").write.format("noop").mode("overwrite").save()
 
     return once(spark, sf_dir, "account_logs", make)
 
@@ -325,11 +338,29 @@ def delivered(spark: SparkSession, sf_dir: str, take: Callable[[DataFrame], obje
         take(spark.readStream.schema(rows.schema).parquet(inbox))
 
 
-def line_files(spark: SparkSession, sf_dir: str) -> str:
-    """Lines of ``documents`` as text logs."""
-
-    def make(path: str) -> None:
-        lines = F.explode(F.split("text", "\n")).alias("value")
-        table(spark, sf_dir, "documents").select(lines).write.text(path)
-
-    return once(spark, sf_dir, "lines", make)
+#: Files of the text log that grows.
+LOG_FILES = 4
+
+
+def grow_log(spark: SparkSession, sf_dir: str, folder: str, half: int) -> None:
+    """Write the lines of ``documents`` as text logs: those of even ids (``half`` 0), and then, in the same files, of all."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, own = f"{root}/access-{task.partitionId()}.log", f"{root}/.{task.taskAttemptId()}"
+        with store.open_output_stream(own) as out:
+            for batch in batches:
+                out.write("".join(f"{text}\n" for text in batch.column("text").to_pylist()).encode())
+        if half and task.partitionId() == 0:  # this one is rotated, and goes on under its new name
+            name, old = f"{name}.1", name
+            if store.get_file_info(old).type != fs.FileType.NotFound:
+                store.delete_file(old)
+        store.move(own, name)
+        yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    odd = F.pmod("doc_id", F.lit(2))
+    texts = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & (odd <= half)).select(odd.alias("odd"), "doc_id", "text")
+    files = texts.repartition(LOG_FILES, "doc_id").sortWithinPartitions("odd", "doc_id").mapInArrow(write, "name string")
+    files.write.format("noop").mode("overwrite").save()

@@ -106,6 +106,9 @@ PATH = (
 )
 HAS_ALL_LEVELS = "CASE WHEN o_orderstatus <> 'P' THEN"
 
+#: Days that are closed once the newest event is there.
+CLOSED_DAY = "date_trunc('day', ts) <= (SELECT date_trunc('day', max(ts)) FROM events) - INTERVAL 1 DAY"
+
 LATE = "(event_id % 97 = 5 AND ts < TIMESTAMP '2024-01-08')"
 
 
@@ -307,10 +310,23 @@ def all_oracles() -> dict[str, str]:
         "alarm_5min_stream": f"""
             SELECT a.*, s.sink FROM ({_alarms(f'NOT {LATE}')}) a, (VALUES ('mail'), ('queue')) s(sink)
             WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
-        "late_points": f"SELECT event_id, ts, event_type, value FROM events WHERE {LATE}",
+        "corrected_alarms": _alarms(),
+        "failure_notices_stream": """
+            SELECT event_id, 'The Pipeline ' || event_type || ' has failed.' AS message, s.sink
+            FROM events, (VALUES ('mail'), ('queue')) s(sink) WHERE event_type IN ('error', 'purchase')""",
+        "late_points": f"SELECT * FROM events WHERE {LATE}",
         "failure_runs_batch": _runs(),
         "failure_runs_stream": f"""
-            SELECT * FROM ({_runs(f'NOT {LATE}')}) WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""",
+            SELECT * FROM ({_runs(f'NOT {LATE}')}) WHERE {CLOSED_DAY}""",
+        "k_of_n_stream": f"""
+            WITH closed AS (SELECT * FROM events WHERE NOT {LATE} AND {CLOSED_DAY}),
+            latest AS (
+              SELECT user_id, event_type, value >= 20 AS ok FROM closed
+              QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
+            ends AS (SELECT user_id, CAST(max(date_trunc('day', ts)) + INTERVAL 1 DAY AS TIMESTAMP) AS at FROM closed GROUP BY user_id)
+            SELECT user_id, any_value(at) AS at, count(*) AS children, count(*) FILTER (ok) AS healthy_children,
+              count(*) FILTER (ok) >= 2 AS healthy
+            FROM latest JOIN ends USING (user_id) GROUP BY user_id""",
         "delimited_scan": _delimited(),
         "price_list_scan": _price_list(),
         "tail_lines": f"""
@@ -360,12 +376,8 @@ def all_oracles() -> dict[str, str]:
         "registered_counts": f"""
             WITH {FOLDERS} SELECT accountid, region, year, month, day, count(*) AS records
             FROM folders GROUP BY ALL""",
-        "table_month": f"""
-            WITH {FOLDERS} SELECT CAST(event_id AS VARCHAR) AS "eventID", accountid, region, month, day
-            FROM folders WHERE year = '{AUDIT_MONTH[0]}' AND month = '{AUDIT_MONTH[1]:02d}'""",
-        "table_lookback": f"""
-            WITH {FOLDERS} SELECT CAST(event_id AS VARCHAR) AS "eventID", accountid, region, month, day
-            FROM folders WHERE delivered >= DATE '{AUDIT_AS_OF}' - 7""",
+        "table_month": _lake(f"year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}"),
+        "table_lookback": _lake(f"delivered >= DATE '{AUDIT_AS_OF}' - 7"),
         "lake_table": _lake(),
         "register_all": f"""
             WITH {FOLDERS}, sizes AS (

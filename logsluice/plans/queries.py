@@ -37,9 +37,9 @@ from logsluice.sources.manifest import file_manifest, leaf_prefixes
 from logsluice.sources.matrix import read_matrix
 from logsluice.sources.tables import read_delimited, read_price_list
 from logsluice.streaming import ledger, loads
-from logsluice.streaming.alarms import alarm_stream, fan_out, watch_late_points
+from logsluice.streaming.alarms import alarm_stream, correct_alarms, fan_out, read_alarms, read_delivered, watch_late_points
 from logsluice.streaming.ingest import ingest
-from logsluice.streaming.runs import read_runs, watch_failure_runs
+from logsluice.streaming.runs import read_health, read_runs, watch_failure_runs, watch_k_of_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -346,11 +346,15 @@ def alarm_5min_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         fan_out(alarms, sinks.values(), f"{folder}/checkpoint")
 
     derived.delivered(spark, sf_dir, take)
+    schema = T.StructType.fromDDL("event_type string, window_start timestamp, window_end timestamp, total decimal(28,2)")
     first, second = (
-        spark.read.parquet(path).drop("batch_id").withColumn("sink", F.lit(name))
-        for name, path in sinks.items()
+        read_delivered(spark, path, f"{folder}/checkpoint", schema).withColumn("sink", F.lit(name)) for name, path in sinks.items()
     )
-    return first.unionByName(second).withColumns(
+    return _alarm_view(first.unionByName(second))
+
+
+def _alarm_view(alarms: DataFrame) -> DataFrame:
+    return alarms.withColumns(
         {
             "window_start": F.col("window_start").cast("timestamp_ntz"),
             "window_end": F.col("window_end").cast("timestamp_ntz"),
@@ -359,13 +363,41 @@ def alarm_5min_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def corrected_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alarm by all points of three deliveries, those that came weeks late included."""
+    root = scratch(spark, "corrected")
+    derived.delivered(spark, sf_dir, lambda events: correct_alarms(events, root, rule="event_type", value=_cents("value")))
+    alarms = read_alarms(spark, root, T.StructField("event_type", T.StringType()), T.DecimalType(28, 2))
+    return _alarm_view(alarms.drop("version"))
+
+
+@query
+def failure_notices_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream that fit a pattern, as notices in two tables."""
+    folder = scratch(spark, "notices")
+    sinks = {name: f"{folder}/{name}" for name in ("mail", "queue")}
+
+    def take(events: DataFrame) -> None:
+        detail = F.struct(F.struct(F.col("event_type").alias("pipeline")).alias("detail"))
+        failed = events.where(event_pattern({"event-type": ["error", "purchase"]}))
+        fan_out(failed.select("event_id", failure_notice(F.to_json(detail)).alias("message")), sinks.values(), f"{folder}/checkpoint")
+
+    derived.delivered(spark, sf_dir, take)
+    schema = T.StructType.fromDDL("event_id long, message string")
+    first, second = (
+        read_delivered(spark, path, f"{folder}/checkpoint", schema).withColumn("sink", F.lit(name)) for name, path in sinks.items()
+    )
+    return first.unionByName(second)
+
+
 @query
 def late_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points that came after their window was final."""
     root = scratch(spark, "late")
     derived.delivered(spark, sf_dir, lambda events: watch_late_points(events, root))
     schema = table(spark, sf_dir, "events").schema
-    return spark.read.schema(schema).parquet(f"{root}/late/*").select("event_id", "ts", "event_type", "value")
+    return spark.read.schema(schema).parquet(f"{root}/late/*")
 
 
 def _probes(events: DataFrame) -> DataFrame:
@@ -380,14 +412,32 @@ def failure_runs_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def failure_runs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same on a stream: rows older than the newest by a day or more are final."""
+    """The same on a stream: days before that of the newest row are closed."""
     root = scratch(spark, "failure_runs")
-    derived.delivered(
-        spark, sf_dir, lambda events: watch_failure_runs(_probes(events), root, ["user_id"], ["ts", "event_id"], threshold=2)
-    )
+
+    def take(events: DataFrame) -> None:
+        watch_failure_runs(_probes(events), root, ["user_id"], ["ts", "event_id"], threshold=2, bucket="1 day")
+
+    derived.delivered(spark, sf_dir, take)
     return read_runs(_probes(table(spark, sf_dir, "events")), root)
 
 
+@query
+def k_of_n_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k_of_n_health`` on the stream: whether the last value of two or more event types is at least 20, by all closed days."""
+    root = scratch(spark, "k_of_n")
+
+    def probes(events: DataFrame) -> DataFrame:
+        return events.select("event_id", "user_id", "event_type", "ts", (F.col("value") < 20).alias("failed"))
+
+    def take(events: DataFrame) -> None:
+        watch_k_of_n(probes(events), root, ["user_id"], ["event_type"], ["ts", "event_id"], bucket="1 day")
+
+    derived.delivered(spark, sf_dir, take)
+    health = read_health(probes(table(spark, sf_dir, "events")), root, ["user_id"])
+    return health.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 # --- readers -----------------------------------------------------------------------------------
 
 
@@ -404,10 +454,12 @@ def price_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text logs as a stream, noise dropped, into a table."""
-    folder = scratch(spark, "tail")
-    lines = tail_text(spark, derived.line_files(spark, sf_dir)).where(~is_noise("value", NOISE))
-    ingest(lines.withColumn("n_chars", F.length("value")), folder, keys=())
+    """Text logs that grow and are rotated between two runs, followed as a stream, noise dropped, into a table."""
+    folder, logs = scratch(spark, "tail"), scratch(spark, "logs")
+    for half in range(2):
+        derived.grow_log(spark, sf_dir, logs, half)
+        lines = tail_text(spark, logs).where(~is_noise("value", NOISE))
+        ingest(lines.withColumn("n_chars", F.length("value")), folder, keys=())
     return spark.read.schema("value STRING, n_chars INT").parquet(folder)
 
 
@@ -546,13 +598,13 @@ def registered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def table_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = scan_table(spark, derived.log_table(spark, sf_dir))
-    return month_slice(records, *AUDIT_MONTH).select("eventID", "accountid", "region", "month", "day")
+    return _lake_view(to_lake_rows(month_slice(records, *AUDIT_MONTH)))
 
 
 @query
 def table_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = scan_table(spark, derived.log_table(spark, sf_dir))
-    return lookback(records, AUDIT_AS_OF).select("eventID", "accountid", "region", "month", "day")
+    return _lake_view(to_lake_rows(lookback(records, AUDIT_AS_OF)))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsluice.functions.paths import ACCOUNT_LAYOUT, Layout, folder_of, is_digest, scanned_file, with_path_values
-from logsluice.functions.timeparts import partition_date
+from logsluice.functions.timeparts import from_day, partition_date
 from logsluice.schemas import RECORD, envelope_schema
 from logsluice.sources.paths import empty_if_missing
 
@@ -88,11 +88,11 @@ def month_slice(frame: DataFrame, year: int, month: int) -> DataFrame:
 def lookback(frame: DataFrame, as_of: date, days: int = 7) -> DataFrame:
     """Rows whose date partition is at most ``days`` days before ``as_of``, or later.
 
-    The year alone is a comparison that a metastore can prune by before it hands over the
-    partitions; the date then decides.
+    The keys are compared as they are, so a metastore hands over the partitions of these days only; of them,
+    those that name no date are left out.
     """
     first = as_of - timedelta(days=days)
-    return frame.where((F.col("year") >= f"{first.year:04d}") & (partition_date() >= F.lit(first)))
+    return frame.where(from_day(first) & (partition_date() >= F.lit(first)))
 
 
 def read_days(

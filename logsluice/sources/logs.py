@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logsluice.functions.text import is_noise
+from logsluice.sources.following import GrowingText
 
 
 def tail_text(spark: SparkSession, folder: str, filter_noise: bool = False) -> DataFrame:
-    """Lines of a folder of rotated logs as they appear, health-check noise dropped on request."""
-    lines = spark.readStream.option("maxFileAge", "36500d").text(folder)
+    """Lines of a folder of logs as they are written, health-check noise dropped on request.
+
+    Files may grow between and during batches, and may be rotated to other names in the folder; each whole line arrives once.
+    """
+    spark.dataSource.register(GrowingText)
+    lines = spark.readStream.format("growing_text").load(folder)
     return lines.where(~is_noise("value")) if filter_noise else lines

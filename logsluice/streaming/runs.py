@@ -1,111 +1,65 @@
-"""Failure runs on a stream of probes that may arrive out of order."""
+"""Failure runs on a stream of probes that may arrive out of order, delivered to a table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from logsluice.operators.runs import failure_runs, last_runs
-from logsluice.session import remove_folder
-from logsluice.streaming.alarms import DELIVERY_DELAY
+from logsluice.session import settings
+from logsluice.streaming.alarms import DELIVERY_DELAY, watch_late_points
+from logsluice.streaming.health import STORE, failure_run_stream, k_of_n_stream
 
-_RUN = T.StructField("run", T.LongType())
 
+def _deliver(stream: DataFrame, root: str, name: str) -> StreamingQuery:
+    """Write what the stream finishes to folders of its batches, then stop; a batch that is retried replaces its folder."""
 
-def watch_failure_runs(
-    probes: DataFrame,
-    root: str,
-    keys: list[str],
-    order: list[str],
-    failed: Column | str = "failed",
-    threshold: int = 1,
-    delay: str = DELIVERY_DELAY,
-) -> StreamingQuery:
-    """Process what is new in ``probes``, then stop; results are in ``root``/runs.
-
-    A per-key state function would put all rows of a busy endpoint into one task and would have
-    to sort them there. Instead every batch runs the batch operator on the rows whose time has
-    come (``order[0]`` at most the newest time minus ``delay``) and carries one number per key
-    into the next batch. Younger rows wait in ``root``/held; rows that missed their time or have
-    none are kept in ``root``/late. Each batch writes only folders with its own id, so a retry replaces
-    them. Of what is carried from batch to batch two generations are kept.
-    """
-    ts = order[0]
-    columns = probes.columns
-    state_schema = T.StructType([*probes.select(*keys).schema.fields, _RUN])
-    cutoff_schema = probes.select(F.col(ts).alias("cutoff")).schema
-
-    def part(name: str, batch_id: int) -> str:
-        return f"{root}/{name}/batch_id={batch_id}"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-
-        def previous(name: str, schema: T.StructType) -> DataFrame:
-            if batch_id == 0:
-                return spark.createDataFrame([], schema)
-            return spark.read.schema(schema).parquet(part(name, batch_id - 1))
-
-        def save(frame: DataFrame, name: str, schema: T.StructType) -> DataFrame:
-            frame.write.mode("overwrite").parquet(part(name, batch_id))
-            return spark.read.schema(schema).parquet(part(name, batch_id))
-
-        rows = previous("held", probes.schema).unionByName(batch.select(*columns)).persist()
-        try:
-            settle(rows, previous, save)
-        finally:
-            rows.unpersist()
-        for name in ("held", "state", "cutoff"):
-            remove_folder(spark, part(name, batch_id - 2))
-
-    def settle(rows: DataFrame, previous: Callable, save: Callable) -> None:
-        old_cutoff = previous("cutoff", cutoff_schema)
-        newest = rows.select((F.max(ts) - F.expr(f"interval {delay}")).alias("cutoff"))
-        both = old_cutoff.unionByName(newest).agg(F.max("cutoff").alias("cutoff"))
-        before = _literal(old_cutoff)
-        now = _literal(save(both.coalesce(1), "cutoff", cutoff_schema))
-        if now is None:
-            now = F.lit(None).cast(cutoff_schema[0].dataType)
-
-        late = F.col(ts).isNull() if before is None else F.col(ts).isNull() | (F.col(ts) <= before)
-        save(rows.where(late), "late", probes.schema)
-        save(rows.where(~late & (F.col(ts) > now)), "held", probes.schema)
-
-        state = previous("state", state_schema)
-        due = rows.where(~late & (F.col(ts) <= now))
-        runs = failure_runs(due, keys, order, failed, threshold, carry=state)
-        runs = save(runs, "runs", runs.schema)
-        ended = last_runs(runs, keys, order)
-        untouched = state.join(ended, [state[k].eqNullSafe(ended[k]) for k in keys], "left_anti")
-        save(ended.unionByName(untouched), "state", state_schema)
-
-    query = (
-        probes.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{root}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
+
+    with settings(stream.sparkSession, **{key.replace(".", "__"): value for key, value in STORE.items()}):
+        query = (
+            stream.writeStream.foreachBatch(write)
+            .option("checkpointLocation", f"{root}/_checkpoint_{name}")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return query
 
 
-def _literal(one_row: DataFrame) -> Column | None:
-    """The single value of ``one_row`` as a literal of its own type, whatever the zones are."""
-    field = one_row.schema.fields[0]
-    instant = isinstance(field.dataType, T.TimestampType)
-    value = F.unix_micros(field.name) if instant else F.col(field.name).cast("string")
-    row = one_row.select(value).first()
-    if row is None or row[0] is None:
-        return None
-    return F.timestamp_micros(F.lit(row[0])) if instant else F.lit(row[0]).cast(field.dataType)
+def watch_failure_runs(
+    probes: DataFrame, root: str, keys: list[str], order: list[str], failed: Column | str = "failed", threshold: int = 1,
+    delay: str = DELIVERY_DELAY, bucket: str = "1 hour",
+) -> StreamingQuery:
+    """Process what is new in ``probes``, then stop; finished rows are in ``root``/runs.
+
+    Rows that came after their slice was closed, or have no time, are in ``root``/missed/late. What is carried from one call to the
+    next lies in the state store below ``root``, of which a call changes the states of the keys and slices it meets.
+    """
+    watch_late_points(probes, f"{root}/missed", order[0], delay, bucket, by_window=True)
+    return _deliver(failure_run_stream(probes, keys, order, failed, threshold, delay, bucket), root, "runs")
 
 
 def read_runs(probes: DataFrame, root: str) -> DataFrame:
     """All rows finished so far."""
-    unhealthy = T.StructField("unhealthy", T.BooleanType())
-    schema = T.StructType([*probes.schema.fields, _RUN, unhealthy])
-    return probes.sparkSession.read.schema(schema).parquet(f"{root}/runs/*")
+    more = [T.StructField("run", T.LongType()), T.StructField("unhealthy", T.BooleanType())]
+    return probes.sparkSession.read.schema(T.StructType([*probes.schema.fields, *more])).parquet(f"{root}/runs/*")
+
+
+def watch_k_of_n(
+    probes: DataFrame, root: str, parent: list[str], child: list[str], order: list[str], failed: Column | str = "failed",
+    k: int = 2, threshold: int = 1, delay: str = DELIVERY_DELAY, bucket: str = "1 hour",
+) -> StreamingQuery:
+    """Process what is new in ``probes``, then stop; changes of the parents' health are in ``root``/health."""
+    return _deliver(k_of_n_stream(probes, parent, child, order, failed, k, threshold, delay, bucket), root, "health")
+
+
+def read_health(probes: DataFrame, root: str, parent: list[str]) -> DataFrame:
+    """The last known health of each parent."""
+    fields = [T.StructField("at", T.TimestampType()), T.StructField("children", T.LongType()), T.StructField("healthy_children", T.LongType()),
+              T.StructField("healthy", T.BooleanType())]
+    rows = probes.sparkSession.read.schema(T.StructType([*probes.select(*parent).schema.fields, *fields])).parquet(f"{root}/health/*")
+    last = rows.groupBy(*parent).agg(F.max_by(F.struct(*[f.name for f in fields]), "at").alias("_last"))
+    return last.select(*parent, "_last.*")

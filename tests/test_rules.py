@@ -5,14 +5,16 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logsluice.operators.alarms import threshold_alarm
 from logsluice.operators.health import calculated_health, k_of_n, latest_status
 from logsluice.operators.runs import failure_runs
 from logsluice.schemas import METRIC_POINT, PROBE
 from logsluice.sources.logs import tail_text
-from logsluice.streaming.alarms import alarm_stream, fan_out, watch_late_points
-from logsluice.streaming.runs import read_runs, watch_failure_runs
+from logsluice.sources import following
+from logsluice.streaming.alarms import alarm_stream, correct_alarms, fan_out, read_alarms, read_delivered, watch_late_points
+from logsluice.streaming.runs import read_health, read_runs, watch_failure_runs, watch_k_of_n
 
 START = datetime(2024, 1, 1)
 KEYS, ORDER = ["endpoint", "checker_region"], ["ts", "probe_id"]
@@ -128,31 +130,73 @@ def test_failure_runs_carry_on(spark):
     assert {r["probe_id"]: r["run"] for r in second.collect()} == {r[0]: wanted[r[0]] for r in late}
 
 
+def end_of(ts, minutes=1):
+    """The end of the slice that a time is in."""
+    step = timedelta(minutes=minutes)
+    return START + ((ts - START) // step + 1) * step
+
+
 def test_watch_failure_runs_equals_batch(spark, tmp_path):
-    """Three deliveries, overlapping in time by less than the delay, and one row far too late."""
+    """Three deliveries, overlapping in time by less than the delay, and rows far too late or without a time."""
     rows = probes(random.Random(9), 1500)
     wanted = expected_runs(rows)
     inbox, root = str(tmp_path / "inbox"), str(tmp_path / "watch")
     # Three probes share ten seconds; shuffling within 60 rows moves a row by 200 s at most.
     mixed = [r for i in range(0, 1500, 60) for r in random.Random(i).sample(rows[i : i + 60], 60)]
-    deliveries = [mixed[:490], mixed[490:1010], mixed[1010:] + [(9999, at(1), "hot", "eu", False)]]
+    deliveries = [mixed[:490], mixed[490:1010], mixed[1010:] + [(9999, at(1), "hot", "eu", False), (9998, None, "hot", "eu", False)]]
 
     def run():
         stream = spark.readStream.schema(PROBE).parquet(inbox)
-        watch_failure_runs(stream, root, KEYS, ORDER, ~F.col("healthy"), threshold=2, delay="10 minutes")
+        watch_failure_runs(stream, root, KEYS, ORDER, ~F.col("healthy"), threshold=2, delay="10 minutes", bucket="1 minute")
 
     for delivery in deliveries:
         spark.createDataFrame(delivery, PROBE).write.mode("append").parquet(inbox)
         run()
     run()
-    frame = spark.createDataFrame([], PROBE)
-    done = {r["probe_id"]: r["run"] for r in read_runs(frame, root).collect()}
-    cutoff = max(r[1] for r in rows) - timedelta(minutes=10)
-    assert done == {r[0]: wanted[r[0]] for r in rows if r[1] <= cutoff}
-    assert {r["probe_id"] for r in spark.read.parquet(f"{root}/late").collect()} == {9999}
-    held = spark.read.parquet(f"{root}/held")
-    assert {r["probe_id"] for r in held.where("batch_id = 2").collect()} == {r[0] for r in rows if r[1] > cutoff}
-    assert {r["batch_id"] for r in held.select("batch_id").collect()} <= {1, 2}
+    done = read_runs(spark.createDataFrame([], PROBE), root).collect()
+    closed = max(end_of(r[1]) for r in rows) - timedelta(minutes=10)
+    assert {r["probe_id"]: r["run"] for r in done} == {r[0]: wanted[r[0]] for r in rows if end_of(r[1]) <= closed}
+    assert len(done) == len({r["probe_id"] for r in done}) and all(r["unhealthy"] == (r["run"] >= 2) for r in done)
+    assert {r["probe_id"] for r in spark.read.parquet(f"{root}/missed/late").collect()} == {9999, 9998}
+    # What waits is in the state, and comes out when its time has come.
+    spark.createDataFrame([(7777, at(99_999), "b", "eu", True)], PROBE).write.mode("append").parquet(inbox)
+    run()
+    done = read_runs(spark.createDataFrame([], PROBE), root).collect()
+    assert {r["probe_id"]: r["run"] for r in done} == wanted and len(done) == len(rows)
+
+
+def test_only_touched_states_change(spark, tmp_path):
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "watch")
+    quiet = [(n, at(n), f"quiet{n}", "eu", False) for n in range(40)]
+    for some in (quiet + [(900, at(500), "busy", "eu", True)], [(901, at(510), "busy", "eu", False), (902, at(900), "busy", "eu", False)]):
+        spark.createDataFrame(some, PROBE).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(PROBE).parquet(inbox)
+        query = watch_failure_runs(stream, root, KEYS, ORDER, ~F.col("healthy"), delay="1 minute", bucket="1 minute")
+    updated = [[o["numRowsUpdated"] for o in p["stateOperators"]] for p in query.recentProgress]
+    assert sum(map(sum, updated)) < 40, updated
+    runs = {r["probe_id"]: r["run"] for r in read_runs(spark.createDataFrame([], PROBE), root).collect()}
+    assert runs == {**{n: 1 for n in range(40)}, 900: 0, 901: 1}
+
+
+def test_k_of_n_stream_equals_batch(spark, tmp_path):
+    rows = [r for r in probes(random.Random(5), 900) if r[2]]
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "watch")
+    for some in (rows[:300], rows[300:500], rows[500:]):
+        spark.createDataFrame(some, PROBE).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(PROBE).parquet(inbox)
+        watch_k_of_n(stream, root, ["endpoint"], ["checker_region"], ORDER, ~F.col("healthy"), k=2, threshold=2, delay="5 minutes", bucket="1 minute")
+    closed = max(end_of(r[1]) for r in rows) - timedelta(minutes=5)
+    runs, last = expected_runs(rows), {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        if end_of(r[1]) <= closed:
+            last[r[2:4]] = (runs[r[0]] < 2, end_of(r[1]))
+    wanted = {}
+    for (endpoint, _), (healthy, end) in last.items():
+        n, up, at_ = wanted.get(endpoint, (0, 0, end))
+        wanted[endpoint] = (n + 1, up + healthy, max(at_, end))
+    got = {r["endpoint"]: r for r in read_health(spark.createDataFrame([], PROBE), root, ["endpoint"]).collect()}
+    assert {e: (r["children"], r["healthy_children"], r["at"].replace(tzinfo=None)) for e, r in got.items()} == wanted
+    assert all(r["healthy"] == (r["healthy_children"] >= 2) for r in got.values())
 
 
 def test_alarm_stream_fans_out_closed_windows(spark, tmp_path):
@@ -220,16 +264,58 @@ def test_watch_failure_runs_survives_a_replay(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(PROBE).parquet(inbox)
-        watch_failure_runs(stream, root, KEYS, ORDER, ~F.col("healthy"), delay="0 seconds")
+        watch_failure_runs(stream, root, KEYS, ORDER, ~F.col("healthy"), delay="0 seconds", bucket="1 minute")
 
     for part in (rows[:150], rows[150:]):
         spark.createDataFrame(part, PROBE).write.mode("append").parquet(inbox)
         run()
-        replay(f"{root}/_checkpoint")
+        replay(f"{root}/_checkpoint_runs")
+        replay(f"{root}/missed/_checkpoint")
         run()
-    done = read_runs(spark.createDataFrame([], PROBE), root).collect()
-    assert {r["probe_id"]: r["run"] for r in done} == expected_runs(rows)
-    assert len(done) == len(rows)
+    late = [r["probe_id"] for r in spark.read.schema(PROBE).parquet(f"{root}/missed/late/*").collect()]
+    taken = [r for r in rows if r[0] not in late]
+    done = {r["probe_id"]: r["run"] for r in read_runs(spark.createDataFrame([], PROBE), root).collect()}
+    assert done == expected_runs(taken) and len(late) < 20
+
+
+def test_corrected_alarms_equal_the_batch(spark, tmp_path):
+    inbox, root = str(tmp_path / "inbox"), str(tmp_path / "alarms")
+    parts = [[(0, "a", 0.4), (90_000, "a", 2.0), (10, None, 3.0)], [(20, "a", 0.7), (80_000, "b", 7.0)], [(90_010, "a", 1.0), (25, "a", 0.0)]]
+    versions = []
+    for some in parts:
+        points(spark, *some).write.mode("append").parquet(inbox)
+        correct_alarms(spark.readStream.schema(METRIC_POINT).parquet(inbox), root)
+        alarms = read_alarms(spark, root, METRIC_POINT["rule"], T.DoubleType())
+        versions.append({(r["rule"], r["window_start"]): r["version"] for r in alarms.collect()})
+    replay(f"{root}/_checkpoint")
+    correct_alarms(spark.readStream.schema(METRIC_POINT).parquet(inbox), root)
+    whole = threshold_alarm(points(spark, *[p for part in parts for p in part]))
+    got = read_alarms(spark, root, METRIC_POINT["rule"], T.DoubleType()).drop("version")
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    first = ("a", at(0))
+    assert first not in versions[0] and versions[1][first] == 1 and versions[2][first] == 2 and versions[2][("b", at(79_800))] == 1
+
+
+def test_readers_see_a_batch_when_all_sinks_have_it(spark, tmp_path):
+    inbox, good, bad, checkpoint = (str(tmp_path / n) for n in ("inbox", "good", "bad", "checkpoint"))
+
+    def seen(sink):
+        return sorted(r["value"] for r in read_delivered(spark, sink, checkpoint, METRIC_POINT).collect())
+
+    points(spark, (0, "a", 1.0)).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(METRIC_POINT).parquet(inbox)
+    assert seen(good) == []
+    fan_out(stream, [good, bad], checkpoint)
+    os.rename(bad, f"{bad}.aside")
+    (tmp_path / "bad").write_text("a file where a folder should be")
+    points(spark, (10, "a", 2.0)).write.mode("append").parquet(inbox)
+    with pytest.raises(StreamingQueryException):
+        fan_out(stream, [good, bad], checkpoint)
+    assert spark.read.parquet(good).count() == 2 and seen(good) == [1.0]
+    os.remove(bad)
+    os.rename(f"{bad}.aside", bad)
+    fan_out(stream, [good, bad], checkpoint)
+    assert seen(good) == seen(bad) == [1.0, 2.0]
 
 
 def test_tail_text(spark, tmp_path):
@@ -244,3 +330,49 @@ def test_tail_text(spark, tmp_path):
         )
         query.awaitTermination()
         assert spark.table(name).count() == wanted
+
+
+def test_growing_logs_are_followed(spark, tmp_path, monkeypatch):
+    folder, out = tmp_path / "log", str(tmp_path / "out")
+    folder.mkdir()
+    log = folder / "access.log"
+
+    def run():
+        query = (
+            tail_text(spark, str(folder)).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return sorted(r["value"] for r in spark.read.schema("value string").parquet(out).collect())
+
+    log.write_text("one\ntwo\nhalf a li")
+    assert run() == ["one", "two"]
+    assert run() == ["one", "two"]
+    with log.open("a") as f:
+        f.write("ne\n\nthree\n")
+    wanted = ["", "half a line", "one", "three", "two"]
+    assert run() == wanted
+    with log.open("a") as f:
+        f.write("four\n")
+    log.rename(folder / "access.log.1")  # rotated with a line that has not been read
+    log.write_text("new one\n")
+    (folder / "_other").write_text("hidden\n")
+    wanted = sorted([*wanted, "four", "new one"])
+    assert run() == wanted
+    (folder / "access.log.1").rename(folder / "access.log.2")
+    log.rename(folder / "access.log.1")
+    log.write_text("x\n")
+    assert run() == sorted([*wanted, "x"])
+    log.write_text("cut off\n")
+    assert run() == sorted([*wanted, "x", "cut off"])
+
+
+def test_splits_of_a_log_have_each_line_once(tmp_path, monkeypatch):
+    lines = ["", "a", "bb" * 40, "é" * 3, "c", "d" * 200, "", "e"] * 7
+    (tmp_path / "log").write_text("".join(f"{x}\n" for x in lines) + "no end")
+    for split, chunk in ((1, 7), (3, 1), (50, 16), (10_000, 5)):
+        monkeypatch.setattr(following, "SPLIT", split)
+        monkeypatch.setattr(following, "CHUNK", chunk)
+        follower = following._Follower(str(tmp_path))
+        got = [v for part in follower.partitions({}, follower.latestOffset()) for b in follower.read(part) for v in b.column(0).to_pylist()]
+        assert got == lines
