@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
-from itertools import accumulate
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,16 @@ from pyspark.sql import types as T
 from logsluice.llm.arrow import pack_planes, text_slices, unpack_planes
 from logsluice.llm.common import checkpointed
 
-#: Bytes of text given to the tokenizers in one call; longer texts are cut where neither joins.
-BYTES_IN_CALL = 1 << 20
+#: Bytes of text handled at a time, and parts of texts that a worker remembers.
+BYTES_IN_CALL = 256 << 10
+REMEMBERED = 250_000
 #: Links whose counts are asked for together.
-LINKS_IN_SLICE = 4_000_000
+LINKS_IN_SLICE = 1_000_000
 
-ALIGNED = "a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>, link_a array<int>, link_b array<int>"
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+COLUMNS = ("a_ids", "b_ids", "a_ends", "b_ends", "link_a", "link_b")
+ALIGNED = ", ".join(f"{c} array<int>" for c in COLUMNS) + ", groups string"
 
 
 @dataclass(frozen=True)
@@ -70,122 +75,207 @@ def _load(files: Tokenizers):
         bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode()
         for piece in map(b.id_to_piece, range(b.get_piece_size()))
     ]
-    return a, a_bytes, b, b_bytes
+    a_size, b_size = (np.fromiter(map(len, x), np.int64) for x in (a_bytes, b_bytes))
+    return a, b, a_bytes, b_bytes, a_size, b_size
 
 
-def _parts(text: str) -> list[str]:
-    """A text cut, if it is long, before single spaces between other characters; that space is left out.
+def parts_of(text: str) -> list[str]:
+    """A text cut before single spaces between other characters; that space is left out.
 
     Both tokenizers begin a token there, and both are given a space before each part.
     """
-    if len(text) <= BYTES_IN_CALL:
-        return [text]
-    out, start = [], 0
-    for cut in re.finditer(r"(?<=\S) (?=\S)", text):
-        if cut.start() - start >= BYTES_IN_CALL:
-            out.append(text[start : cut.start()])
-            start = cut.end()
-    return [*out, text[start:]]
-
-
-def tokenize(files: Tokenizers, texts: Sequence[str]) -> list[tuple[list[int], list[int]]]:
-    """Ids of each text by both tokenizers; none where the text is empty or the bytes of either's tokens aren't its own."""
-    a, a_bytes, b, b_bytes = _load(files)
-    parts = [_parts(t) if t else [] for t in texts]
-    flat = [p for some in parts for p in some]
-    from_a = [e.ids for e in a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-    from_b = b.encode(flat, num_threads=1) if flat else []
-    out, at = [], 0
-    for text, some in zip(texts, parts):
-        ids = ([], [])
-        for k in range(at, at + len(some)):
-            ids[0].extend(from_a[k])
-            ids[1].extend(from_b[k])
-        at += len(some)
-        if text:
-            whole = (" " + text).encode()
-            if b"".join([a_bytes[i] for i in ids[0]]) != whole or b"".join([b_bytes[i] for i in ids[1]]) != whole:
-                ids = ([], [])
-        out.append(ids)
-    return out
-
-
-def align_ids(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    return _BETWEEN.split(text) if text else []
+
+
+def align_ids(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """From the bytes of each token on either side: the groups' ends in both lists, and the links as pairs of places."""
-    ends_a = {end: k for k, end in enumerate(accumulate(a_sizes), 1)}
-    ends_b = {end: k for k, end in enumerate(accumulate(b_sizes), 1)}
+    ends_a = dict(zip(np.cumsum(a_sizes).tolist(), count(1)))
+    ends_b = dict(zip(np.cumsum(b_sizes).tolist(), count(1)))
     common = sorted(ends_a.keys() & ends_b.keys())
-    a_ends, b_ends = [ends_a[e] for e in common], [ends_b[e] for e in common]
-    link_a: list[int] = []
-    link_b: list[int] = []
-    i = j = 0
-    for a_end, b_end in zip(a_ends, b_ends):
-        if a_end == i + 1:
-            link_a += [i] * (b_end - j)
-            link_b += range(j, b_end)
-        elif b_end == j + 1:
-            link_a += range(i, a_end)
-            link_b += [j] * (a_end - i)
-        else:
-            left = a_sizes[i] - b_sizes[j]
-            link_a.append(i)
-            link_b.append(j)
-            x, y = i, j
-            while x + 1 < a_end or y + 1 < b_end:  # no ends meet within a slice, so one side is always ahead
-                if left < 0:
-                    x += 1
-                    left += a_sizes[x]
-                else:
-                    y += 1
-                    left -= b_sizes[y]
-                link_a.append(x)
-                link_b.append(y)
-        i, j = a_end, b_end
+    a_ends, b_ends = (np.fromiter(map(ends.__getitem__, common), np.int64, len(common)) for ends in (ends_a, ends_b))
+    # Slices of one token on a side link it with each of the other's; a slice of m and n tokens has m + n - 1 links.
+    m, n = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+    links = m + n - 1
+    first = np.cumsum(links) - links
+    step = np.arange(links.sum()) - np.repeat(first, links)
+    link_a = np.repeat(a_ends - m, links) + np.where(np.repeat(n == 1, links), step, 0)
+    link_b = np.repeat(b_ends - n, links) + np.where(np.repeat(m == 1, links), step, 0)
+    for k in np.flatnonzero((m > 1) & (n > 1)).tolist():
+        i, j, at = int(a_ends[k] - m[k]), int(b_ends[k] - n[k]), int(first[k])
+        left = a_sizes[i] - b_sizes[j]
+        for at in range(at + 1, at + int(links[k])):  # no ends meet within a slice, so one side is always ahead
+            if left < 0:
+                i += 1
+                left += a_sizes[i]
+            else:
+                j += 1
+                left -= b_sizes[j]
+            link_a[at], link_b[at] = i, j
     return a_ends, b_ends, link_a, link_b
 
 
-def groups_text(a_ids: Sequence[int], b_ids: Sequence[int], a_ends: Sequence[int], b_ends: Sequence[int]) -> str:
+class _Parts:
+    """Alignments of the parts of texts that a worker has met: ids, ends and links on end, and where each part's begin."""
+
+    def __init__(self, files: Tokenizers) -> None:
+        self.files, self.place = files, {}
+        self.unlike: set[int] = set()
+        self.values = {c: array("i") for c in COLUMNS}
+        self.groups: list[str] = []
+        self.starts = {c: array("q", [0]) for c in ("a_ids", "b_ids", "a_ends", "link_a")}
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode and align some new parts, as one text that has them on end; one with white space at its ends goes alone.
+
+        A part's tokens end where it ends. Where the bytes of the tokens differ from the text's, halves are tried, down to the part that it lies in.
+        """
+        a, b, a_bytes, b_bytes, a_size, b_size = _load(self.files)
+        text = " ".join(parts)
+        whole = (" " + text).encode()
+        in_a, in_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        if b"".join(map(a_bytes.__getitem__, in_a)) != whole or b"".join(map(b_bytes.__getitem__, in_b)) != whole:
+            if len(parts) > 1:
+                self.learn(parts[: len(parts) // 2])
+                self.learn(parts[len(parts) // 2 :])
+            else:
+                self.unlike.add(len(self.place))
+                self._add(parts, [np.zeros(0, np.int64)] * 6, dict.fromkeys(self.starts, np.zeros(1, np.int64)), [""])
+            return
+        a_ids, b_ids = np.array(in_a, np.int64), np.array(in_b, np.int64)
+        a_sizes, b_sizes = a_size[a_ids], b_size[b_ids]
+        a_ends, b_ends, link_a, link_b = align_ids(a_sizes, b_sizes)
+        sizes = [len(p) for p in parts] if text.isascii() else [len(p.encode()) for p in parts]
+        ends = np.cumsum(np.array(sizes, np.int64) + 1)
+        n_a, n_b = (np.searchsorted(np.cumsum(x), ends) + 1 for x in (a_sizes, b_sizes))
+        groups = np.searchsorted(a_ends, n_a) + 1
+        links = n_a + n_b - groups  # a slice of m and n ids has m + n - 1
+
+        def own(values: np.ndarray, before: np.ndarray, of: np.ndarray) -> np.ndarray:
+            return values - np.repeat(before - np.diff(before, prepend=0), np.diff(of, prepend=0))
+
+        values = [a_ids, b_ids, own(a_ends, n_a, groups), own(b_ends, n_b, groups), own(link_a, n_a, links), own(link_b, n_b, links)]
+        spelt = groups_text(a_ids, b_ids, a_ends, b_ends).split(";")
+        texts = [";".join(spelt[i:j]) for i, j in zip([0, *groups.tolist()], groups.tolist())]
+        self._add(parts, values, {"a_ids": n_a, "b_ids": n_b, "a_ends": groups, "link_a": links}, texts)
+
+    def _add(self, parts: list[str], values: list[np.ndarray], upto: dict[str, np.ndarray], groups: list[str]) -> None:
+        self.groups += groups
+        for name, new in zip(COLUMNS, values):
+            self.values[name].frombytes(new.astype(np.int32).tobytes())
+        for name, new in upto.items():
+            starts = self.starts[name]
+            starts.frombytes((new + starts[-1]).astype(np.int64).tobytes())
+        for part in parts:
+            self.place[part] = len(self.place)
+
+    def of_texts(self, texts: Sequence[str]) -> list[pa.Array]:
+        """The columns of an alignment for each text, put together from its parts."""
+        cut = [parts_of(t) for t in texts]
+        if len(self.place) > REMEMBERED:
+            self.__init__(self.files)
+        new, size = [], 0
+        for part in dict.fromkeys(chain.from_iterable(cut)):
+            if part in self.place:
+                continue
+            if part != part.strip():  # white space at its ends would meet the space between parts
+                self.learn([part])
+            else:
+                new.append(part)
+                size += len(part) + 1
+                if size > BYTES_IN_CALL:
+                    self.learn(new)
+                    new, size = [], 0
+        if new:
+            self.learn(new)
+        codes = [list(map(self.place.__getitem__, some)) for some in cut]
+        if self.unlike:
+            codes = [[] if not self.unlike.isdisjoint(some) else some for some in codes]
+        code = np.fromiter(chain.from_iterable(codes), np.int64)
+        bounds = np.cumsum([0, *map(len, codes)])
+        ids = {c: self._gather(c, c, code) for c in ("a_ids", "b_ids")}
+        before = {}  # ids of the same text before each part
+        for c, (_, n) in ids.items():
+            upto = np.cumsum(n) - n
+            before[c] = upto - np.repeat(np.append(upto, 0)[np.minimum(bounds[:-1], len(upto))], np.diff(bounds))
+        out = []
+        for name, of, side in zip(COLUMNS, ("a_ids", "b_ids", "a_ends", "a_ends", "link_a", "link_a"), ("a_ids", "b_ids") * 3):
+            values, n = ids[name] if name in ids else self._gather(name, of, code)
+            if name not in ids:
+                values = values + np.repeat(before[side], n)
+            offsets = np.append(0, np.cumsum(n))[bounds]
+            out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32))))
+        out.append(pa.array([";".join(map(self.groups.__getitem__, some)) for some in codes], pa.string()))
+        return out
+
+    def _gather(self, name: str, of: str, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of these parts on end, and how many each has."""
+        starts = np.frombuffer(self.starts[of], np.int64)
+        n = starts[code + 1] - starts[code]
+        at = np.cumsum(n) - n
+        values = np.frombuffer(self.values[name], np.int32) if len(self.values[name]) else np.zeros(0, np.int32)
+        return values[np.repeat(starts[code] - at, n) + np.arange(n.sum())], n
+
+
+@cache
+def _parts_met(files: Tokenizers) -> _Parts:
+    return _Parts(files)
+
+
+@cache
+def _spelt(n: int, mark: str) -> list[str]:
+    return [f"{k}{mark}" for k in range(n)]
+
+
+def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
     """Groups as ``a1,a2|b1;a3|b2``."""
-    a, b = list(map(str, a_ids)), list(map(str, b_ids))
-    starts_a, starts_b = [0, *a_ends[:-1]], [0, *b_ends[:-1]]
-    return ";".join([
-        f"{','.join(a[i:x])}|{','.join(b[j:y])}" for i, x, j, y in zip(starts_a, a_ends, starts_b, b_ends)
-    ])
+    if not len(a_ends):
+        return ""
+    m, n = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
+    total = len(a_ids) + len(b_ids)
+    # Ids of a stand before those of b in each group; the last of either in a group has another mark behind it.
+    pieces = np.empty(total, object)
+    for ids, ends, before, between, last in ((a_ids, a_ends, np.repeat(b_ends - n, m), ",", "|"), (b_ids, b_ends, np.repeat(a_ends, n), ",", ";")):
+        size = 1 << int(ids.max()).bit_length()
+        words = list(map(_spelt(size, between).__getitem__, ids.tolist()))
+        for k, end in zip((ends - 1).tolist(), ids[ends - 1].tolist()):
+            words[k] = _spelt(size, last)[end]
+        pieces[np.arange(len(ids)) + before] = words
+    return "".join(pieces.tolist())[:-1]
 
 
 def _with_columns(schema: T.StructType, more: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(more).fields])
 
 
+def _work(files: Tokenizers, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alignments of the texts in the last column, in place of it."""
+    parts = _parts_met(files)
+    for batch in batches:
+        for some in text_slices(batch, "_text", 2 * BYTES_IN_CALL):
+            arrays = parts.of_texts(pc.fill_null(some.column("_text"), "").to_pylist())
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], *arrays], names=names)
+
+
+def _rows(docs: DataFrame, carry: Sequence[str], text: str) -> tuple[DataFrame, T.StructType]:
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("_text"))
+    return rows, T.StructType(rows.schema.fields[:-1])
+
+
 def align(docs: DataFrame, files: Tokenizers, carry: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``carry`` of each row and its alignment; executors must be able to read both files.
 
     ``a_ids`` and ``b_ids`` are the text's ids; group k takes those from ``a_ends[k - 1]`` to ``a_ends[k]`` and
-    likewise of b; the places ``link_a[k]`` and ``link_b[k]`` name tokens whose bytes overlap.
+    likewise of b; the places ``link_a[k]`` and ``link_b[k]`` name tokens whose bytes overlap; ``groups`` has the ids of all
+    groups as text (see ``groups_text``).
 
     Null and empty texts, and those whose bytes either tokenizer changes, have empty arrays. Rows are handled by themselves, repeated ones
-    too, in the stage that reads them, about ``BYTES_IN_CALL`` bytes at a time; a longer text is cut where neither tokenizer
-    joins, so that calls stay short, and takes memory for its ids. An empty table gives no rows; other columns don't matter,
-    but carried ones must not be called like the six added.
+    too, in the stage that reads them, about ``BYTES_IN_CALL`` bytes at a time; a longer text takes memory for its ids. An
+    empty table gives no rows; other columns don't matter, but carried ones must not be called like those added.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, a_bytes, _, b_bytes = _load(files)
-        a_size, b_size = list(map(len, a_bytes)), list(map(len, b_bytes))
-        for batch in batches:
-            for some in text_slices(batch, "_text", BYTES_IN_CALL):
-                columns: list[list] = [[] for _ in range(6)]
-                for a, b in tokenize(files, pc.fill_null(some.column("_text"), "").to_pylist()):
-                    found = align_ids([a_size[i] for i in a], [b_size[i] for i in b])
-                    for column, values in zip(columns, (a, b, *found)):
-                        column.append(values)
-                arrays = [pa.array(c, pa.list_(pa.int32())) for c in columns]
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *arrays], names=names)
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = _with_columns(T.StructType(rows.schema.fields[:-1]), ALIGNED)
+    rows, carried = _rows(docs, carry, text)
+    schema = _with_columns(carried, ALIGNED)
     names = schema.fieldNames()
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(lambda batches: _work(files, names, batches), schema)
 
 
 # -- counts over the corpus
@@ -234,7 +324,7 @@ def _slice(rows: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
     at = heads[per_row > 0]
     steps[at] = place[at]
     packed = pack_planes(steps.astype(np.uint32), times.astype(np.uint32), per_row.astype(np.uint32))
-    carried = table.drop_columns(["a_ids", "b_ids", "a_ends", "b_ends", "link_a", "link_b"]).combine_chunks().to_batches()[0]
+    carried = table.drop_columns([*COLUMNS, "groups"]).combine_chunks().to_batches()[0]
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.array([_ipc(carried)]), pa.array([packed]),
          pa.array([distinct], pa.list_(pa.int64())), pa.array([count.astype(np.int32)], pa.list_(pa.int32()))],
@@ -258,21 +348,31 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _slice(kept, number)
 
 
-def link_counts(aligned: DataFrame) -> DataFrame:
-    """Other columns of ``align``'s rows with ``n_best`` and ``count_sum``.
+def link_counts(
+    docs: DataFrame, files: Tokenizers, carry: Sequence[str] = ("doc_id",), text: str = "text",
+    also: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, added: str = "",
+) -> DataFrame:
+    """The columns ``carry`` of each row with ``n_best`` and ``count_sum`` of its links.
 
     The count of a pair of ids is the number of rows of the whole table in which it is linked. ``count_sum`` adds up
-    the counts of a row's links; ``n_best`` is how many of them have the highest count of their id of a, ties included. Rows without
-    links get zeros; repeated rows count each.
+    the counts of a row's links; ``n_best`` is how many of them have the highest count of their id of a, ties included. ``also`` may
+    derive more columns (``added``, as DDL) from batches of what ``align`` gives; it is called where they are made, so
+    that alignments don't leave their task. Odd rows are handled as by ``align``; those without links get zeros; repeated rows count each.
 
     Rows are packed in slices of bounded size. A slice's different links are counted and joined as rows, combined
     before the shuffle, so that a link in every text is one row a slice; only the highest count of each id of a, of which there are as many as the
     vocabulary has entries, is broadcast. The answers meet the slice that asked, and no other.
     """
-    carried = T.StructType([f for f in aligned.schema.fields if f.name not in T.StructType.fromDDL(ALIGNED).fieldNames()])
-    slices = checkpointed(
-        aligned.mapInArrow(_slices, "slice long, carried binary, packed binary, pairs array<long>, counts array<int>")
-    )
+    rows, carried = _rows(docs, carry, text)
+    names = [*carried.fieldNames(), *COLUMNS, "groups"]
+    if added:
+        carried = _with_columns(carried, added)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligned = _work(files, names, batches)
+        return _slices(map(also, aligned) if also else aligned)
+
+    slices = checkpointed(rows.mapInArrow(pack, "slice long, carried binary, packed binary, pairs array<long>, counts array<int>"))
     asked = slices.select("slice", F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "x")).select(
         "slice", "at", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n")
     )

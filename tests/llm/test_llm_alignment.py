@@ -5,13 +5,14 @@ import random
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from odd import LONG, ROWS, odd
 
 from logsluice.llm import alignment
-from logsluice.llm.alignment import _load, _parts, align, align_ids, groups_text, link_counts, tokenize
+from logsluice.llm.alignment import _load, align, _Parts, align_ids, groups_text, link_counts, parts_of
 from logsluice.llm.queries import BYTES_AND_PIECES, op12_alignment
 
 TRICKY = ["a  b", " lead", "trail ", "a\r\n\r\nb  ", "ﬁ① é日本😀", "a▁b", "<s>x</s> <|endoftext|> <0x41> <unk>", " x​", "\t\ta b", "x\x00y", "it's 12345!!"]
@@ -32,20 +33,22 @@ def cut(total, rng):
 def test_groups_and_links_of_any_cuts(total, seed):
     rng = random.Random(seed)
     a, b = (cut(total, rng), cut(total, rng)) if total else ([], [])
-    a_ends, b_ends, link_a, link_b = align_ids(a, b)
+    a_ends, b_ends, link_a, link_b = align_ids(np.array(a, np.int64), np.array(b, np.int64))
     ends_a, ends_b = list(accumulate(a)), list(accumulate(b))
+    a_ends, b_ends, link_a, link_b = (x.tolist() for x in (a_ends, b_ends, link_a, link_b))
     assert [ends_a[k - 1] for k in a_ends] == [ends_b[k - 1] for k in b_ends] == sorted(set(ends_a) & set(ends_b))
     overlap = [(i, j) for i, (s, e) in enumerate(spans(a)) for j, (u, v) in enumerate(spans(b)) if max(s, u) < min(e, v)]
     assert sorted(zip(link_a, link_b)) == overlap and len(link_a) == len(a) + len(b) - len(a_ends)
 
 
 def test_text_of_groups():
-    assert groups_text([1, 2, 3], [4, 5, 6], [2, 3], [1, 3]) == "1,2|4;3|5,6" and groups_text([], [], [], []) == ""
+    none = np.zeros(0, np.int64)
+    assert groups_text(*map(np.array, ([1, 2, 3], [4, 5, 6], [2, 3], [1, 3]))) == "1,2|4;3|5,6" and groups_text(none, none, none, none) == ""
 
 
 def brute(texts):
     """The query's columns but the id, for each text."""
-    a_tok, a_bytes, b_tok, b_bytes = _load(BYTES_AND_PIECES)
+    a_tok, b_tok, a_bytes, b_bytes, *_ = _load(BYTES_AND_PIECES)
     found, held = [], Counter()
     for text in texts:
         a = a_tok.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
@@ -95,29 +98,62 @@ def test_query_against_plain_counting(spark):
 def test_odd_rows_and_slices_of_any_size(spark, monkeypatch, links):
     monkeypatch.setattr(alignment, "LINKS_IN_SLICE", links)
     rows = [*ROWS, *[(100 + k, t, "en", "a") for k, t in enumerate(TRICKY)]]
-    aligned = align(odd(spark, rows), BYTES_AND_PIECES, ("doc_id", "size", "text"))
-    got = link_counts(aligned).collect()
+    got = link_counts(odd(spark, rows), BYTES_AND_PIECES, ("doc_id", "size", "text")).collect()
     wanted = brute([r[1] for r in rows])
     assert Counter((r["doc_id"], r["text"], r["n_best"], r["count_sum"]) for r in got) == Counter(
         (r[0], r[1], w[4], w[5]) for r, w in zip(rows, wanted)
     )
     assert {r["size"] for r in got} == {"own size"} and LONG
     assert sum(w[0] == 0 for w in wanted) == 3  # null, empty, and one that has the mark of a space
-    none = link_counts(align(odd(spark, []), BYTES_AND_PIECES))
+    none = link_counts(odd(spark, []), BYTES_AND_PIECES)
     assert none.count() == 0 and none.columns == ["doc_id", "n_best", "count_sum"]
 
 
-def test_long_texts_are_cut_where_nothing_joins(monkeypatch):
-    texts = [LONG[:20_000], " ".join(TRICKY * 30), "  ".join(TRICKY), "nospace" * 3000]
-    whole = tokenize(BYTES_AND_PIECES, texts)
-    monkeypatch.setattr(alignment, "BYTES_IN_CALL", 50)
-    assert sum(map(len, map(_parts, texts))) > 300 and all(" ".join(_parts(t)) == t for t in texts)
-    assert tokenize(BYTES_AND_PIECES, texts) == whole
+def whole(texts):
+    a_tok, b_tok, a_bytes, b_bytes, *_ = _load(BYTES_AND_PIECES)
+    for text in texts:
+        ids = a_tok.encode(" " + text, add_special_tokens=False).ids, b_tok.encode(text)
+        same = all(b"".join(t[i] for i in x) == (" " + text).encode() for t, x in zip((a_bytes, b_bytes), ids))
+        yield ids if same and text else ([], [])
+
+
+def check(met, texts):
+    """Ids are those of whole texts, and ends and links those that plain alignment of these gives."""
+    got = [column.to_pylist() for column in met.of_texts(texts)]
+    _, _, _, _, a_size, b_size = _load(BYTES_AND_PIECES)
+    for k, (a, b) in enumerate(whole(texts)):
+        assert (got[0][k], got[1][k]) == (a, b), texts[k][:80]
+        plain = align_ids(a_size[np.array(a, np.int64)], b_size[np.array(b, np.int64)])
+        assert [column[k] for column in got[2:6]] == [x.tolist() for x in plain]
+        assert got[6][k] == groups_text(np.array(a, np.int64), np.array(b, np.int64), *plain[:2])
+
+
+@pytest.mark.parametrize("remembered, size", [(0, 50), (200_000, 256 << 10)])
+def test_parts_have_the_ids_of_whole_texts(monkeypatch, remembered, size):
+    monkeypatch.setattr(alignment, "REMEMBERED", remembered)
+    monkeypatch.setattr(alignment, "BYTES_IN_CALL", size)
+    texts = [LONG[:20_000], " ".join(TRICKY * 30), "  ".join(TRICKY), "nospace" * 3000, *TRICKY, "", " "]
+    assert all(" ".join(parts_of(t)) == t for t in texts)
+    met = _Parts(BYTES_AND_PIECES)
+    check(met, texts)
+    check(met, texts[::-1])
+
+
+def test_no_letter_is_joined_across_a_single_space():
+    letters = [chr(c) for c in [*range(0x3400), *range(0xF900, 0x10000), *range(0x1F300, 0x1F700), 0xAC00, 0x4E00, 0xE000] if not 0xD800 <= c < 0xE000]
+    texts = [f"x {c}y {c} z{c} 1 '{c}" for c in letters]
+    check(_Parts(BYTES_AND_PIECES), texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \t\n'a1.éİß▁\u0307\u00a0\u2003\u200b日<>|"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_any_text_has_the_ids_of_the_whole(text):
+    check(_Parts(BYTES_AND_PIECES), [text, "", text + " x"])
 
 
 def test_alignment_names_the_groups(spark):
     row = align(odd(spark, [(1, "Unbelievable tokenizations, naïve 日本", "en", "a")]), BYTES_AND_PIECES).first()
-    _, a_bytes, _, b_bytes = _load(BYTES_AND_PIECES)
+    _, _, a_bytes, b_bytes, *_ = _load(BYTES_AND_PIECES)
     start = (0, 0)
     for end in zip(row["a_ends"], row["b_ends"]):
         a = b"".join(a_bytes[i] for i in row["a_ids"][start[0] : end[0]])
