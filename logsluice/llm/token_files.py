@@ -8,6 +8,7 @@ filled up to eight bytes; the word at which each block begins and the number of
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections import ChainMap
@@ -46,7 +47,7 @@ class TokenizerFile:
     """A file of the tokenizers library, and what is known of how it divides a text.
 
     It must never join what ASCII white space divides. ``folds_case``: it lower-cases A to Z. ``tail``: a pattern of
-    marks that it always cuts off from the letters before them. Both only let fewer distinct words be encoded.
+    marks that it always cuts off from letters before them, where these still end in a letter once composed and in lower case. Both only let fewer distinct words be encoded.
     """
 
     path: str
@@ -64,6 +65,16 @@ def _tokenizer(path: str):
     return tokenizer, special[0] if special else None, {"": b""}
 
 
+@cache
+def _open_letters() -> str:
+    """A pattern for the letters that normalising makes end in something else, such as a dot above, which marks would join."""
+    def form(letter: str) -> str:
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFC", letter).lower())
+
+    letters = map(chr, (c for c in range(0x30000) if not 0xD800 <= c < 0xE000))
+    return "[" + "".join(x for x in letters if unicodedata.category(x)[0] == "L" and unicodedata.category(form(x)[-1])[0] != "L") + "]$"
+
+
 def _encode_words(path: str, words: list[str]) -> list[bytes]:
     """Ids of each word as 32-bit numbers.
 
@@ -109,6 +120,8 @@ def encode_texts(tokenizer: TokenizerFile, texts: pa.Array) -> tuple[np.ndarray,
         stems = pc.if_else(pc.match_substring(stems, "<"), stems, pc.ascii_lower(stems))
     if tokenizer.tail:
         cut = pc.extract_regex(stems, rf"^(?P<stem>\p{{L}}+)(?P<tail>{tokenizer.tail})$")
+        closed = pc.invert(pc.match_substring_regex(pc.fill_null(pc.struct_field(cut, "stem"), ""), _open_letters()))
+        cut = pc.if_else(closed, cut, pa.scalar(None, cut.type))
         stems, tails = pc.coalesce(pc.struct_field(cut, "stem"), stems), pc.struct_field(cut, "tail")
     tails = tails.dictionary_encode()
     stems, marks, mark = stems.to_pylist(), tails.dictionary.to_pylist(), pc.fill_null(tails.indices, -1).to_pylist()

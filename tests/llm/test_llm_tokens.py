@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,9 +12,10 @@ from odd import LONG, ROWS, odd
 from tokenizers import Tokenizer
 
 from logsluice.llm import simple8b
-from logsluice.llm.token_files import TokenizerFile, pack, read_token_files, unpack, write_token_files
+from logsluice.llm.token_files import TokenizerFile, encode_texts, pack, read_token_files, unpack, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
 FILE = TokenizerFile(PATH, True, r"[.,;:!?#*$%&|]+")
 TRICKY = ["A\x0bB\x0cC\x1cD x̀ ×", "<|endoftext|> THE<|endoftext|>END <|ENDOFTEXT|>", "it's. DON'T, 3½ Σς İ a.b. ok!!", "﻿zero​width nb sp"]
 
@@ -68,3 +70,24 @@ def test_null_and_repeated_keys_and_no_rows(spark, tmp_path):
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert read_token_files(write_token_files(odd(spark, []), str(tmp_path / "b"), FILE)).count() == 0
+
+
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "İ", "EKONOMİSİ", "\u0958", "\u0915\u093c", "i\u0307", "e\u0301", "Σ", "ΟΔΟΣ", "ﬁ", "ß", "ŉ", "日本", "don't", "'S", "3", "²"]
+MARKS = list(".,;:!?#*$%&|<>'-_\"()") + ["\u0307", "\u0301", "\u200b", "\u00a0", " ", "\n", "\t"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(SPECIAL), st.sampled_from(MARKS), st.characters(exclude_categories=["Cs"])), max_size=14))
+def test_any_text_has_the_ids_of_the_whole(parts):
+    text = "".join(parts)
+    ids, lengths = encode_texts(FILE, pa.array([text, "İ. " + text + ".", None]))
+    whole = [TOKENIZER.encode(t, add_special_tokens=False).ids for t in (text, "İ. " + text + ".", "")]
+    assert lengths.tolist() == list(map(len, whole)) and ids.tolist() == [i for x in whole for i in x]
+
+
+def test_letters_before_marks():
+    letters = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    texts = [f"a{x}. {x}!? {x}" for x in letters]
+    ids, lengths = encode_texts(FILE, pa.array(texts))
+    whole = TOKENIZER.encode_batch(texts, add_special_tokens=False)
+    assert lengths.tolist() == [len(e.ids) for e in whole] and ids.tolist() == [i for e in whole for i in e.ids]
