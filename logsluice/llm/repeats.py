@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsluice.llm.arrow import pack_planes, text_bytes, text_slices, unpack_planes
-from logsluice.llm.common import checkpointed, running_totals, shuffle_partitions, text_or_empty
+from logsluice.llm.common import checkpointed, running_totals, tasks_for, text_or_empty
 from logsluice.llm.run_index import repeated_starts
 from logsluice.llm.xxh64 import xxh64
 
@@ -118,8 +118,10 @@ def cut(data: np.ndarray, bounds: np.ndarray, length: int) -> Pieces:
         same_place = opens.argmax(1) == closes.argmax(1) + n[some] - 1
         inner[some] = (opens.sum(1) > 1) | (closes.sum(1) > 1) | ~same_place
     end = at + n + length - 1
-    middle = wide[np.minimum(at + WIDE, end - WIDE)]
-    content = _mixed(_mixed(_mixed(wide[at] + n.astype(np.uint64), 9) + middle, 9) + wide[end - WIDE], 11)
+    content = wide[at] + n.astype(np.uint64)
+    for step in range(WIDE, span + length - 1, WIDE):  # as many blocks as the longest piece has
+        content = _mixed(content, 9) + wide[np.minimum(at + step, end - WIDE)]
+    content = _mixed(content, 11)
     return Pieces(key, content, at, n, inner)
 
 
@@ -247,6 +249,14 @@ def _meet(blocks: int) -> Callable:
     return run
 
 
+def _blocks(wide: np.ndarray, at: np.ndarray, length: int, shift: int) -> np.ndarray:
+    """A hash of all ``length`` bytes from each place, block by block."""
+    out = wide[at]
+    for step in range(WIDE, length, WIDE):
+        out = _mixed(out, shift) + wide[at + min(step, length - WIDE)]
+    return out
+
+
 def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.concat_arrays(docs.column("text").chunks) if docs.num_rows else pa.array([], pa.string()))
 
@@ -296,9 +306,8 @@ def _fetch(length: int, shards: int) -> Callable:
             n = e["n"][which].astype(np.int64)
             at = _gather(np.cumsum(size[which]) - size[which], n)
             nth = _gather(np.zeros(len(n), np.int64), n)
-            a, b = wide[at], wide[at + length - WIDE]
             windows = {
-                "key": _mixed(_mixed(a, 5) + b, 9), "content": _mixed(_mixed(a, 7) + b, 11), "id": np.repeat(e["id"][which], n),
+                "key": _mixed(_blocks(wide, at, length, 5), 9), "content": _mixed(_blocks(wide, at, length, 7), 11), "id": np.repeat(e["id"][which], n),
                 "pos": np.repeat(e["pos"][which].astype(np.int64), n) + nth, "n": np.ones(len(nth), np.int64), "kind": np.full(len(nth), PLAIN),
             }
             out = _combined(windows, shards)
@@ -423,7 +432,7 @@ def _treated(docs: DataFrame, length: int, key: str, text: str, digest: bool) ->
     if length < max(GRAM, WIDE):
         raise ValueError(f"strings must have at least {max(GRAM, WIDE)} bytes")
     rows, again = _prepared(docs, key, text)
-    shards = shuffle_partitions(docs.sparkSession)
+    shards = tasks_for(docs)  # by size, so that a group stays as large as it is
     blocks = 2 * shards
     texts = rows.withColumn("part", F.expr(f"pmod(xxhash64(id), {blocks}L)"))
     pieces = rows.select("id", "text").mapInArrow(_find_pieces(length, shards), PACKED)

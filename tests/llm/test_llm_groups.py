@@ -286,6 +286,23 @@ def test_repeats_against_brute_force(spark, monkeypatch, many):
     assert got == brute_repeats([(k, (t or "").encode()) for k, t, _, _ in rows], 100)
 
 
+@pytest.mark.parametrize("many", [4096, 5])
+@pytest.mark.parametrize("length", [64, 109, 128, 200, 300])
+def test_repeats_of_other_lengths(spark, monkeypatch, length, many):
+    monkeypatch.setattr(R, "_meet", lambda blocks, meet=R._meet: _with(meet(blocks), many))
+    rng = random.Random(length)
+    passages = ["".join(rng.choice("abcd ") for _ in range(400)) for _ in range(4)]
+    rows = []
+    for k in range(60):
+        text = rng.choice(passages)
+        for _ in range(rng.randrange(3)):  # changed in places, so that pieces agree at their ends and differ between
+            at = rng.randrange(400)
+            text = text[:at] + rng.choice("xyz") + text[at + 1 :]
+        rows.append((k, text[rng.randrange(60) : 400 - rng.randrange(60)] + rng.choice("uvw") * rng.randrange(9), "en", "a"))
+    got = {r[0]: tuple(r)[1:] for r in R.repeats(odd(spark, rows), length).collect()}
+    assert got == brute_repeats([(k, t.encode()) for k, t, _, _ in rows], length)
+
+
 def _with(step, many):
     def run(table):
         R.MANY_PIECES = many
