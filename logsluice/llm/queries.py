@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from logsluice.llm.alignment import Tokenizers, align, groups_text, link_counts
+from logsluice.llm.alignment import Tokenizers, link_counts
 from logsluice.llm.common import WORD, let, table, text_or_empty
 from logsluice.llm.conversations import VERDICT, repair
 from logsluice.llm.kneser_ney import classify
@@ -129,18 +129,16 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = align(table(spark, sf_dir, "documents"), BYTES_AND_PIECES)
+    names = {"n_a": "a_ids", "n_b": "b_ids", "n_groups": "a_ends", "n_links": "link_a"}
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("a_ids", "b_ids", "a_ends", "b_ends"))):
-                sums.append(hashlib.sha256(groups_text(*row).encode()).hexdigest() if row[0] else "")
-            yield batch.append_column("groups_sha256", pa.array(sums, pa.string()))
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sums = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in batch.column("groups").to_pylist()]
+        for name, of in names.items():
+            batch = batch.append_column(name, pc.list_value_length(batch.column(of)).cast(pa.int64()))
+        return batch.append_column("groups_sha256", pa.array(sums, pa.string()))
 
-    size = {"n_a": "a_ids", "n_b": "b_ids", "n_groups": "a_ends", "n_links": "link_a"}
-    hashed = aligned.mapInArrow(digests, StructType([*aligned.schema.fields, StructField("groups_sha256", StringType())]))
-    return link_counts(hashed.withColumns({name: F.size(of).cast("long") for name, of in size.items()}))
+    added = ", ".join([*[f"{name} long" for name in names], "groups_sha256 string"])
+    return link_counts(table(spark, sf_dir, "documents"), BYTES_AND_PIECES, also=digests, added=added)
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
@@ -330,7 +328,7 @@ ORACLES = {
             CASE WHEN source_size > 0 THEN target / source_size ELSE 1 END AS rate,
             CAST('0x' || substr(md5('mix-0-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)
               / 281474976710656.0::DOUBLE AS unit
-          FROM sized JOIN targets USING (source))
+          FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
         SELECT doc_id, size, source_size, target,
           size * CAST(floor(rate) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
         FROM rated""",
