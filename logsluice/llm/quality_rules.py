@@ -28,8 +28,8 @@ FIGURES = {
 
 @dataclass(frozen=True)
 class Rule:
-    """A figure must not lie outside [Q1 - reach, Q3 + reach], where reach is ``spread`` times the distance of the
-    quartiles, or times ``least`` where that is larger (most texts may have the same figure). ``low``: also look below."""
+    """A figure must not be above its 90 % quantile by more than ``spread`` times that quantile's distance from the median, or
+    times ``least`` where that is larger (most texts may have the same figure). ``low``: nor as far below the 10 % quantile."""
 
     figure: str
     spread: float
@@ -38,11 +38,11 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", 4.0, 100),
-    Rule("dup_lines", 4.0, 1000),
-    Rule("repeats", 4.0, 750),
-    Rule("stutter", 4.0, 250),
-    Rule("word_length", 6.0, 500, low=True),
+    Rule("symbols", 3.0, 100),
+    Rule("dup_lines", 3.0, 800),
+    Rule("repeats", 3.0, 480),
+    Rule("stutter", 3.0, 100),
+    Rule("word_length", 3.0, 100, low=True),
 )
 
 
@@ -123,14 +123,13 @@ def sketches(figures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return long.groupBy("lang", "source", "figure", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """``q1``, ``q3`` and ``n`` of each figure and ``keys``, from merged sketches."""
+def quantiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``q10``, ``q50``, ``q90`` and ``n`` of each figure and ``keys``, from merged sketches."""
     merged = counts.groupBy(*keys, "figure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "figure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("all", F.sum("n").over(group))
     return ranked.groupBy(*keys, "figure").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("q3"),
+        *[F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket"))).alias(f"q{q}") for q in (10, 50, 90)],
         F.max("all").alias("n"),
     )
 
@@ -138,16 +137,16 @@ def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(counts: DataFrame, rules: tuple[Rule, ...] = RULES, enough: int = 200) -> DataFrame:
     """``lowest`` and ``highest`` allowed value by language, source and figure.
 
-    A language's source with fewer than ``enough`` texts takes the quartiles of its language, and a
+    A language's source with fewer than ``enough`` texts takes the quantiles of its language, and a
     language with fewer those of all texts; the sketches are merged for that.
     """
-    own = quartiles(counts, ["lang", "source"])
-    lang = quartiles(counts, ["lang"]).select(F.col("lang").alias("l"), F.col("figure").alias("f"), F.struct("q1", "q3", "n").alias("by_lang"))
-    every = quartiles(counts, []).select(F.col("figure").alias("e"), F.struct("q1", "q3", "n").alias("by_all"))
+    own = quantiles(counts, ["lang", "source"])
+    lang = quantiles(counts, ["lang"]).select(F.col("lang").alias("l"), F.col("figure").alias("f"), F.struct("q10", "q50", "q90", "n").alias("by_lang"))
+    every = quantiles(counts, []).select(F.col("figure").alias("e"), F.struct("q10", "q50", "q90", "n").alias("by_all"))
     chosen = (
         own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("figure") == F.col("f")))
         .join(every, F.col("figure") == F.col("e"))
-        .withColumn("q", F.when(F.col("n") >= enough, F.struct("q1", "q3", "n")).when(
+        .withColumn("q", F.when(F.col("n") >= enough, F.struct("q10", "q50", "q90", "n")).when(
             F.col("by_lang.n") >= enough, F.col("by_lang")).otherwise(F.col("by_all")))
     )
     limits = F.create_map(*[
@@ -155,11 +154,14 @@ def thresholds(counts: DataFrame, rules: tuple[Rule, ...] = RULES, enough: int =
             F.lit(r.spread).alias("spread"), F.lit(r.least).alias("least"), F.lit(r.low).alias("low")))
     ])
     rule = F.element_at(limits, F.col("figure"))
-    reach = rule["spread"] * F.greatest(F.col("q.q3") - F.col("q.q1"), rule["least"])
+
+    def reach(distance: Column) -> Column:
+        return rule["spread"] * F.greatest(distance, rule["least"])
+
     return chosen.select(
         "lang", "source", "figure",
-        F.when(rule["low"], F.col("q.q1") - reach).otherwise(F.lit(-1.0)).alias("lowest"),
-        (F.col("q.q3") + reach).alias("highest"),
+        F.when(rule["low"], F.col("q.q10") - reach(F.col("q.q50") - F.col("q.q10"))).otherwise(F.lit(-1.0)).alias("lowest"),
+        (F.col("q.q90") + reach(F.col("q.q90") - F.col("q.q50"))).alias("highest"),
     )
 
 

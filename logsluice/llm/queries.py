@@ -20,7 +20,7 @@ from logsluice.llm.minhash import fingerprint, fingerprints, likeness
 from logsluice.llm.mixing import mixing_plan
 from logsluice.llm.nearest import nearest
 from logsluice.llm.packing import pack
-from logsluice.llm.quality_rules import quality_rules
+from logsluice.llm.quality_rules import RULES, quality_rules
 from logsluice.llm.repeats import repeats
 from logsluice.llm.sharding import byte_size, shard_by_bytes
 from logsluice.llm.simhash import simhash_groups
@@ -195,6 +195,9 @@ QUERIES: dict[str, Query] = {
     "op13_repair": op13_repair,
 }
 
+_QUANTILES = {"q10": 10, "q50": 50, "q90": 90}
+_SKETCHED = ", ".join(f"min(b) FILTER (100 * upto >= {n} * total) AS {name}" for name, n in _QUANTILES.items())
+
 ORACLES = {
     "op11_fingerprints": FINGERPRINTS,
     "op13_repair": CONVERSATIONS,
@@ -233,28 +236,26 @@ ORACLES = {
           SELECT lang, source, f, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b, count(*) AS n
           FROM valued WHERE NOT base_failed GROUP BY ALL),
         own AS (
-          SELECT lang, source, f, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS n
+          SELECT lang, source, f, {_SKETCHED}, max(total) AS n
           FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, f ORDER BY b) AS upto,
             sum(n) OVER (PARTITION BY lang, source, f) AS total FROM sketch) GROUP BY ALL),
         by_lang AS (
-          SELECT lang, f, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS n
+          SELECT lang, f, {_SKETCHED}, max(total) AS n
           FROM (SELECT *, sum(n) OVER (PARTITION BY lang, f ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, f) AS total
             FROM (SELECT lang, f, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
         by_all AS (
-          SELECT f, min(b) FILTER (4 * upto >= total) AS q1, min(b) FILTER (4 * upto >= 3 * total) AS q3
+          SELECT f, {_SKETCHED}
           FROM (SELECT *, sum(n) OVER (PARTITION BY f ORDER BY b) AS upto, sum(n) OVER (PARTITION BY f) AS total
             FROM (SELECT f, b, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
         rules(f, spread, least, low) AS (
-          VALUES ('symbols', 4, 100, false), ('dup_lines', 4, 1000, false), ('repeats', 4, 750, false),
-            ('stutter', 4, 250, false), ('word_length', 6, 500, true)),
+          VALUES {", ".join(f"('{r.figure}', {r.spread}, {r.least}, {r.low})" for r in RULES)}),
         chosen AS (
           SELECT o.lang, o.source, o.f,
-            CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-            CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
+            {", ".join(f"CASE WHEN o.n >= 200 THEN o.{q} WHEN l.n >= 200 THEN l.{q} ELSE a.{q} END AS {q}" for q in _QUANTILES)}
           FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.f = l.f JOIN by_all a ON o.f = a.f),
         limits AS (
-          SELECT lang, source, f, CASE WHEN low THEN q1 - spread * greatest(q3 - q1, least) ELSE -1 END AS lowest,
-            q3 + spread * greatest(q3 - q1, least) AS highest
+          SELECT lang, source, f, CASE WHEN low THEN q10 - spread * greatest(q50 - q10, least) ELSE -1 END AS lowest,
+            q90 + spread * greatest(q90 - q50, least) AS highest
           FROM chosen JOIN rules USING (f)),
         outside AS (
           SELECT v.doc_id, bool_or(v.v < m.lowest OR v.v > m.highest) AS out

@@ -5,12 +5,14 @@ from collections import Counter, defaultdict
 
 import pytest
 from odd import CLASHING, LONG, ROWS, odd, words
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from logsluice.llm.common import bucket
 from logsluice.llm.licences import licence_paragraphs
 from logsluice.llm.mixing import mix, mixing_plan, source_targets
 from logsluice.llm.quality_rules import base_figures, keep_good, quality_rules
+from logsluice.llm.queries import ORACLES, QUERIES
 from logsluice.llm.sharding import byte_size, shard_by_bytes, write_shards
 
 
@@ -137,6 +139,31 @@ def test_rules_adapt_to_language_and_source(spark):
     assert out["quality"] == "own quality"
 
 
+def test_repeats_are_judged_by_what_is_usual_in_the_source(spark):
+    def text(i, share):
+        """100 words, ``share`` of them in a passage found twice."""
+        half = [f"again{i}x{k}" for k in range(share // 2)]
+        rest = [f"own{i}x{k}" for k in range(100 - 2 * len(half))]
+        return " ".join(half + rest + half)
+
+    shares = (16, 20, 24, 28)
+    rows = [(i, text(i, 0), "en", "clean") for i in range(400)] + [(1000 + k, text(1000 + k, s), "en", "clean") for k, s in enumerate(shares)]
+    rows += [(2000 + i, text(2000 + i, shares[i % 4] if i % 2 else 0), "en", "full") for i in range(400)]
+    out = {r["doc_id"]: r["quality"] for r in quality_rules(odd(spark, [r for r in rows]).drop("quality")).collect()}
+    assert not any(q["base_failed"] for q in out.values())
+    assert [out[1000 + k]["n_repeat_words"] for k in range(4)] == list(shares)
+    assert not any(out[1000 + k]["kept"] for k in range(4))
+    assert all(out[i]["kept"] for i in range(400)) and all(out[2000 + i]["kept"] for i in range(400))
+
+
+def test_sql_of_odd_rows(spark, tmp_path):
+    rows = [(k, *r[1:4]) for k, r in enumerate(ROWS)]
+    docs = odd(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").toPandas()
+    docs.to_parquet(tmp_path / "documents.parquet", index=False)
+    for name in ("op2_quality_rules", "op7_shard_by_bytes", "op8_mix_sources", "op11_fingerprints"):
+        assert compare(QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES[name]) is None, name
+
+
 def test_odd_rows_get_verdicts(spark):
     out = quality_rules(odd(spark)).collect()
     assert len(out) == len(ROWS)
