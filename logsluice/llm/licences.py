@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,21 +115,34 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.posexplode(F.split("_text", "\n", -1)).alias("paragraph", "line")).drop("_text")
 
 
-def _featured(texts: DataFrame, vocabulary: list[str], reach: int) -> DataFrame:
-    """``(*, paragraph, line, words, joined, next)`` of each line of ``_text`` with a feature. ``joined`` has the line's words and the ``reach``
-    that follow it, however many lines these are on; ``next`` has the numbers and lengths of those lines. Marks are no words, so those of comments fall away."""
+def _ways(texts: DataFrame, openings: list[str], reach: int) -> DataFrame:
+    """``(*, paragraph, line, words, scored, next)`` of each line of ``_text`` with a word: once with ``scored`` its own words and, if a
+    template may begin in it (it has the first two words of one, or ends in a first word), once with its words and the ``reach``
+    that follow it, however many lines these are on; then ``next`` has the numbers and lengths of those lines. Marks are no
+    words, so those of comments fall away."""
     lines = F.transform(F.split("_text", "\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"), tokens(x).alias("words")))
+    none = F.lit(None).cast("array<struct<paragraph:int,n:int>>")
 
-    def found(held: Column) -> Column:
-        # Each line has a word, so that ``reach`` lines hold as many words at least.
-        rows = F.transform(held, lambda x, i: F.struct(i.alias("i"), _features(x["words"], vocabulary).alias("features")))
-        return F.transform(F.filter(rows, lambda r: F.size(r["features"]) > 0), lambda r: let(F.slice(held, r["i"] + 2, reach), lambda after: F.struct(
-            F.get(held, r["i"]).alias("x"), r["features"].alias("features"),
-            F.concat(F.get(held, r["i"])["words"], F.slice(F.flatten(F.transform(after, lambda y: y["words"])), 1, reach)).alias("joined"),
-            F.transform(after, lambda y: F.struct(y["paragraph"].alias("paragraph"), F.size(y["words"]).alias("n"))).alias("next"))))
+    def both(held: Column) -> Column:
+        def opens(words: Column) -> Column:
+            pairs = F.transform(words, lambda w, k: F.concat_ws(" ", w, F.get(words, k + 1)))
+            return F.arrays_overlap(pairs, F.array(*map(F.lit, openings)))
 
-    rows = texts.select("*", F.explode(let(F.filter(lines, lambda x: F.size(x["words"]) > 0), found)).alias("_h")).drop("_text")
-    return rows.select("*", "_h.x.*", "_h.features", "_h.joined", "_h.next").drop("_h")
+        def ways(x: Column, i: Column) -> Column:
+            alone = F.struct(x.alias("x"), x["words"].alias("scored"), none.alias("next"))
+
+            def joined(after: Column) -> Column:
+                # Each line has a word, so that ``reach`` lines hold as many words at least.
+                words = F.concat(x["words"], F.slice(F.flatten(F.transform(after, lambda y: y["words"])), 1, reach))
+                ahead = F.transform(after, lambda y: F.struct(y["paragraph"].alias("paragraph"), F.size(y["words"]).alias("n")))
+                return F.array(alone, F.struct(x.alias("x"), words.alias("scored"), ahead.alias("next")))
+
+            return F.when(opens(x["words"]), let(F.slice(held, i + 2, reach), joined)).otherwise(F.array(alone))
+
+        return F.flatten(F.transform(held, ways))
+
+    rows = texts.select("*", F.explode(let(F.filter(lines, lambda x: F.size(x["words"]) > 0), both)).alias("_h")).drop("_text")
+    return rows.select("*", "_h.x.*", "_h.scored", "_h.next").drop("_h")
 
 
 def _examples(templates: DataFrame, sample: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -147,12 +162,27 @@ def _examples(templates: DataFrame, sample: DataFrame, vocabulary: list[str]) ->
     return rows.where(F.size("words") > 0).withColumn("fold", F.pmod(F.xxhash64("family", "words"), F.lit(5)))
 
 
-def _features(words: Column, vocabulary: list[str]) -> Column:
-    return F.array_intersect(grams(words), F.array(*map(F.lit, vocabulary)))
+@dataclass(frozen=True)
+class Classifier:
+    """Families, features, the fitted models that count these and weigh them, and the temperature of the probabilities."""
 
+    families: list[str]
+    vocabulary: list[str]
+    vectors: CountVectorizerModel
+    fitted: LogisticRegressionModel
+    temperature: float
 
-def train(docs: DataFrame) -> tuple[list[str], list[str], list[list[float]], list[float], float]:
-    """Families, features, their weights, intercepts and temperature, from templates and a bounded sample of ``_text``.
+    def graded(self, rows: DataFrame, words: str) -> DataFrame:
+        """Add ``_p``, the calibrated probability of each family, by the words in an array; the models run in the JVM on sparse vectors."""
+        met = self.fitted.transform(self.vectors.transform(rows.withColumn("_grams", grams(F.col(words)))))
+        powers = let(vector_to_array(F.col("_raw")), lambda raw: let(F.array_max(raw), lambda most: F.transform(
+            raw, lambda x: F.exp((x - most) / F.lit(self.temperature)))))
+        shares = let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(p, lambda x: x / total)))
+        return met.withColumn("_p", shares).select(*rows.columns, "_p")
+
+
+def train(docs: DataFrame) -> Classifier:
+    """The classifier, from templates and a bounded sample of ``_text``.
 
     Features are words and pairs of words of the templates that are rare in the sample. The temperature that
     makes the probabilities of a fifth of the examples, held out, most likely calibrates them.
@@ -182,23 +212,21 @@ def train(docs: DataFrame) -> tuple[list[str], list[str], list[list[float]], lis
     families = [*sorted(TEMPLATES), UNKNOWN]
 
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    rows = _examples(templates, sample, vocabulary).select(
-        label.alias("label"), _features(F.col("words"), vocabulary).alias("grams"), "fold"
-    )
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
-    data = checkpointed(vectors.setBinary(True).transform(rows))
-    fitted = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=60).fit(data.where("fold > 0"))
-    weights = fitted.coefficientMatrix.toArray().T.tolist()
-    intercepts = [float(x) for x in fitted.interceptVector]
-
-    logits = fitted.transform(data.where("fold = 0")).select("label", F.col("rawPrediction").cast("string").alias("raw"))
-    numbers = F.transform(F.split(F.regexp_replace("raw", r"[\[\]]", ""), ","), lambda x: x.cast("double"))
-    held = logits.select("label", numbers.alias("raw")).withColumn("t", F.explode(F.array(*map(F.lit, TEMPERATURES))))
+    rows = _examples(templates, sample, vocabulary).select(label.alias("label"), grams(F.col("words")).alias("_grams"), "fold")
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "_grams", "_features").setBinary(True)
+    data = checkpointed(vectors.transform(rows))
+    fitted = LogisticRegression(
+        featuresCol="_features", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction",
+        family="multinomial", regParam=1e-4, maxIter=60,
+    ).fit(data.where("fold > 0"))
+
+    logits = fitted.transform(data.where("fold = 0")).select("label", vector_to_array("_raw").alias("raw"))
+    held = logits.withColumn("t", F.explode(F.array(*map(F.lit, TEMPERATURES))))
     loss = F.log(F.aggregate("raw", F.lit(0.0), lambda s, x: s + F.exp((x - F.array_max("raw")) / F.col("t")))) - (
         F.get("raw", F.col("label").cast("int")) - F.array_max("raw")
     ) / F.col("t")
     best = held.groupBy("t").agg(F.avg(loss).alias("loss")).orderBy("loss", "t").first()
-    return families, vocabulary, weights, intercepts, best["t"] if best else 1.0
+    return Classifier(families, vocabulary, vectors, fitted, best["t"] if best else 1.0)
 
 
 def licence_paragraphs(
@@ -216,54 +244,53 @@ def licence_paragraphs(
     Null and empty texts have no paragraphs; repeated rows give repeated results; an empty table
     gives no rows. Columns other than ``keys`` are not looked at. Every line of every text is read.
     """
-    rows = docs.select(*keys, text_or_empty(text).alias("_text"))
-    families, vocabulary, weights, intercepts, temperature = train(rows)
+    own = F.struct(*[F.col(f"`{k}`") for k in keys]).alias("_keys")
+    rows = docs.select(own, text_or_empty(text).alias("_text"))
+    model = train(rows)
+    families, vocabulary = model.families, model.vocabulary
     # A text without any of these words has no feature: single words, and the first of pairs without one.
     alone = {g for g in vocabulary if " " not in g}
     pairs = [g.split(" ") for g in vocabulary if " " in g]
     needed = sorted(alone | {a for a, b in pairs if a not in alone and b not in alone})
     with_any = rows.where(F.arrays_overlap(tokens(F.col("_text")), F.array(*map(F.lit, needed))))
-    reach = max(len(re.findall(r"[^\W_]+(?:[.+-][^\W_]+)*", t)) for texts in TEMPLATES.values() for t in texts)
-    some = checkpointed(_featured(with_any.withColumn("_text_id", F.monotonically_increasing_id()), vocabulary, reach))
-    alone_or_joined = F.array(F.struct(F.lit(False).alias("is_joined"), F.col("words").alias("scored"), F.col("features").alias("met")),
-                              F.struct(F.lit(True).alias("is_joined"), F.col("joined").alias("scored"), _features(F.col("joined"), vocabulary).alias("met")))
-    some = some.withColumn("_way", F.explode(alone_or_joined)).select("*", "_way.*").drop("_way")
-
-    table = F.create_map(*[x for g, w in zip(vocabulary, weights) for x in (F.lit(g), F.array(*map(F.lit, w)))])
-    start = F.array(*map(F.lit, intercepts))
-    logits = F.aggregate("met", start, lambda s, g: F.zip_with(s, F.element_at(table, g), lambda a, b: a + b))
-    scored = some.withColumn("_l", logits)
-    powers = F.transform("_l", lambda x: F.exp((x - F.array_max("_l")) / F.lit(temperature)))
-    scored = scored.withColumn("_p", powers)
-    total = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x)
-    scored = scored.withColumn("_p", F.transform("_p", lambda x: x / total)).drop("_l")
+    held = [re.findall(r"[^\W_]+(?:[.+-][^\W_]+)*", t.lower()) for texts in TEMPLATES.values() for t in texts]
+    openings = sorted({" ".join(words[:2]) for words in held} | {words[0] for words in held})
+    ways = _ways(with_any.withColumn("_text_id", F.monotonically_increasing_id()), openings, max(map(len, held)))
+    ways = ways.where(F.arrays_overlap(grams(F.col("words")), F.array(*map(F.lit, vocabulary))))
     known = F.slice("_p", 1, len(families) - 1)
-    best = F.array_max(known)
-    scored = scored.where(F.lit(1.0) - F.element_at("_p", len(families)) >= sure).select(
-        *keys, "_text_id", "paragraph", "line", "words", "joined", "next", "features", "is_joined", grams(F.col("scored")).alias("_grams"), best.alias("probability"),
-        F.element_at(F.array(*map(F.lit, families)), F.array_position(known, best).cast("int")).alias("_best"),
+    # What reads like any family: few rows, and from here on only these.
+    found = checkpointed(
+        model.graded(ways, "scored").where(F.lit(1.0) - F.element_at("_p", len(families)) >= sure).select(
+            "_keys", "_text_id", "paragraph", "line", "words", "scored", "next", F.col("next").isNotNull().alias("is_joined"),
+            F.array_max(known).alias("probability"),
+            F.element_at(F.array(*map(F.lit, families)), F.array_position(known, F.array_max(known)).cast("int")).alias("_best"),
+        )
     )
-    wordings = F.create_map(*[
-        x for f in families[:-1] for x in (F.lit(f), F.array(*[
-            F.struct(F.lit(t).alias("template"), F.array_distinct(grams(tokens(F.lit(t)))).alias("grams")) for t in TEMPLATES[f]]))
-    ])
-    compared = F.transform(F.element_at(wordings, F.col("_best")), lambda t: F.struct(
-        (F.size(F.array_intersect(t["grams"], F.col("_grams"))) / F.size(t["grams"])).alias("similarity"), t["template"].alias("template")))
-    matched = scored.withColumn("_m", F.array_max(compared))
+    wording = F.struct("template", F.col("words").alias("words"), F.array_distinct(grams(F.col("words"))).alias("grams"))
+    wordings = _templates(rows.sparkSession).groupBy(F.col("family").alias("_family")).agg(F.collect_list(wording).alias("_wordings"))
+    compared = F.transform("_wordings", lambda t: F.struct(
+        (F.size(F.array_intersect(t["grams"], F.col("_grams"))) / F.size(t["grams"])).alias("similarity"),
+        t["template"].alias("template"), t["words"].alias("words"), t["grams"].alias("grams")))
+    # Templates are few, so they may be broadcast.
+    matched = (
+        found.withColumn("_grams", grams(F.col("scored")))
+        .join(F.broadcast(wordings), F.col("_best") == F.col("_family"))
+        .select(*found.columns, F.array_max(compared).alias("_m"))
+    )
     confirmed = (F.col("probability") >= sure) & (F.col("_m.similarity") >= alike)
-    wording = let(tokens(F.col("_m.template")), lambda t: F.struct(t.alias("words"), F.array_distinct(grams(t)).alias("grams")))
-    without = grams(F.slice("joined", F.size("words") + 1, F.size("_t.words") - 1))
-    begins = F.size(F.array_intersect(F.col("_t.grams"), without)) / F.size("_t.grams") < F.col("_m.similarity")
-    ways = matched.withColumn("_sure", confirmed).withColumn("_t", wording).where(~F.col("is_joined") | (F.col("_sure") & begins))
-    of = F.struct(*[c for c in ways.columns if c not in ("_text_id", "paragraph", "_grams", "joined")])
+    without = grams(F.slice("scored", F.size("words") + 1, F.size("_m.words") - 1))
+    begins = F.size(F.array_intersect(F.col("_m.grams"), without)) / F.size("_m.grams") < F.col("_m.similarity")
+    features = F.array_intersect(grams(F.col("words")), F.array(*map(F.lit, vocabulary))).alias("features")
+    ways = matched.withColumn("_sure", confirmed).where(~F.col("is_joined") | (F.col("_sure") & begins)).select("*", features)
+    of = F.struct(*[c for c in ways.columns if c not in ("_text_id", "paragraph", "scored")])
     order = F.when(F.col("_sure"), F.col("is_joined").cast("int")).otherwise(2)
     places = checkpointed(ways.groupBy("_text_id", "paragraph").agg(F.min_by(of, order).alias("_w")).select("_text_id", "paragraph", "_w.*"))
     # How many words of the template are left after the line, and which lines these take.
-    left = F.size("_t.words") - F.size(F.filter("words", lambda w: F.array_contains(F.col("_t.words"), w)))
+    left = F.size("_m.words") - F.size(F.filter("words", lambda w: F.array_contains(F.col("_m.words"), w)))
     before = F.transform("next", lambda x, i: F.struct(
         x["paragraph"].alias("paragraph"), F.aggregate(F.slice("next", 1, i), F.lit(0), lambda n, y: n + y["n"]).alias("before")))
     last = F.coalesce(F.array_max(F.transform(F.filter(before, lambda x: x["before"] < left), lambda x: x["paragraph"])), F.col("paragraph"))
-    starts = places.where("_sure and is_joined").select("_text_id", F.struct("paragraph", last.alias("last"), F.col("_t.grams").alias("held"), "features").alias("x"))
+    starts = places.where("_sure and is_joined").select("_text_id", F.struct("paragraph", last.alias("last"), F.col("_m.grams").alias("held"), "features").alias("x"))
     # In turn, each that is no part of the one before.
 
     def in_turn(found: Column) -> Column:
@@ -277,6 +304,6 @@ def licence_paragraphs(
     same = (F.col("_text_id") == F.col("_of")) & (F.col("paragraph") > F.col("_s.paragraph")) & (F.col("paragraph") <= F.col("_s.last"))
     goes = (~F.col("_sure") | F.col("is_joined")) & (F.size(F.array_except("features", "_s.held")) == 0)
     return places.join(rest, same & goes, "left_anti").select(
-        *keys, "paragraph", "line", F.when(F.col("_sure"), F.col("_best")).otherwise(F.lit(UNKNOWN)).alias("family"),
+        "_keys.*", "paragraph", "line", F.when(F.col("_sure"), F.col("_best")).otherwise(F.lit(UNKNOWN)).alias("family"),
         "probability", "_m.template", "_m.similarity",
     )
