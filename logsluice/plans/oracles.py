@@ -323,8 +323,8 @@ def all_oracles() -> dict[str, str]:
             latest AS (
               SELECT user_id, event_type, value >= 20 AS ok FROM closed
               QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
-            ends AS (SELECT user_id, CAST(max(date_trunc('day', ts)) + INTERVAL 1 DAY AS TIMESTAMP) AS at FROM closed GROUP BY user_id)
-            SELECT user_id, any_value(at) AS at, count(*) AS children, count(*) FILTER (ok) AS healthy_children,
+            ends AS (SELECT user_id, CAST(max(date_trunc('day', ts)) + INTERVAL 1 DAY AS TIMESTAMP) AS ended FROM closed GROUP BY user_id)
+            SELECT user_id, any_value(ended) AS "at", count(*) AS children, count(*) FILTER (ok) AS healthy_children,
               count(*) FILTER (ok) >= 2 AS healthy
             FROM latest JOIN ends USING (user_id) GROUP BY user_id""",
         "delimited_scan": _delimited(),
@@ -339,6 +339,7 @@ def all_oracles() -> dict[str, str]:
         "job_backfill": _lake(),
         "job_month": _lake(f"year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}", True),
         "job_incremental": _lake(_two_days()),
+        "empty_load": _lake(_two_days()),
         "job_lookback": _lake(f"delivered BETWEEN DATE '{AUDIT_AS_OF}' - 7 AND DATE '{AUDIT_AS_OF}'", True),
         "loaded_table": _lake(f"delivered BETWEEN DATE '{AUDIT_AS_OF}' - 1 AND DATE '{AUDIT_AS_OF}' + 1"),
         "loaded_from_table": _lake(
@@ -376,8 +377,9 @@ def all_oracles() -> dict[str, str]:
         "registered_counts": f"""
             WITH {FOLDERS} SELECT accountid, region, year, month, day, count(*) AS records
             FROM folders GROUP BY ALL""",
-        "table_month": _lake(f"year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}"),
-        "table_lookback": _lake(f"delivered >= DATE '{AUDIT_AS_OF}' - 7"),
+        "table_month": "SELECT * EXCLUDE (shared_event_id) FROM ("
+        + _lake(f"year(delivered) = {AUDIT_MONTH[0]} AND month(delivered) = {AUDIT_MONTH[1]}") + ")",
+        "table_lookback": "SELECT * EXCLUDE (shared_event_id) FROM (" + _lake(f"delivered >= DATE '{AUDIT_AS_OF}' - 7") + ")",
         "lake_table": _lake(),
         "register_all": f"""
             WITH {FOLDERS}, sizes AS (

@@ -531,6 +531,15 @@ def job_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _loaded(spark, lambda dest: jobs.incremental(spark, root, dest, AUDIT_AS_OF, HIVE_LAYOUT))
 
 
+@query
+def empty_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days without folders load nothing and leave the lake as it is, before and after days that have some."""
+    root, dest = derived.log_tree(spark, sf_dir), scratch(spark, "lake")
+    for day in (date(1999, 1, 1), AUDIT_AS_OF, date(2099, 1, 1)):
+        jobs.incremental(spark, root, dest, day, HIVE_LAYOUT)
+    return _lake_view(read_lake(spark, dest))
+
+
 @query
 def job_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = derived.log_tree(spark, sf_dir)
@@ -595,16 +604,20 @@ def registered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy("accountid", "region", "year", "month", "day").agg(F.count("*").alias("records"))
 
 
+#: A catalog table knows one spelling of this key only; all other columns are as the loads have them.
+OTHER_IN_TABLES = "shared_event_id"
+
+
 @query
 def table_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = scan_table(spark, derived.log_table(spark, sf_dir))
-    return _lake_view(to_lake_rows(month_slice(records, *AUDIT_MONTH)))
+    return _lake_view(to_lake_rows(month_slice(records, *AUDIT_MONTH))).drop(OTHER_IN_TABLES)
 
 
 @query
 def table_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = scan_table(spark, derived.log_table(spark, sf_dir))
-    return _lake_view(to_lake_rows(lookback(records, AUDIT_AS_OF)))
+    return _lake_view(to_lake_rows(lookback(records, AUDIT_AS_OF))).drop(OTHER_IN_TABLES)
 
 
 @query

@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -5,9 +6,11 @@ from conftest import record, write_log
 from pyspark.sql import functions as F
 
 from logsluice.functions.paths import ACCOUNT_LAYOUT, DELIVERED_KEYS, HIVE_LAYOUT
+from logsluice.functions.timeparts import from_day
 from logsluice.operators import partitions as P
 from logsluice.plans import catalog, jobs
 from logsluice.schemas import DELIMITED_PRICES
+from logsluice.session import settings
 from logsluice.sources.audit import lookback, month_slice, scan_table
 from logsluice.sources.lake import read_lake
 from logsluice.sources.manifest import file_manifest, leaf_prefixes
@@ -150,6 +153,24 @@ def test_lookback_drops_incomplete_dates(spark):
     assert [tuple(r) for r in lookback(frame, date(2024, 1, 31)).collect()] == [rows[0]]
 
 
+def test_lookback_asks_for_its_days_only(spark, tree, database):
+    for day in ("2023/12/31", "2024/02/01", "2024/02/02"):
+        write_log(f"{tree}/012345678901/CloudTrail/eu-west-1/{day}", "z", [record(f"z{day}")])
+    table = f"{database}.logs"
+    catalog.create_partitioned_log_table(spark, table, tree)
+    jobs.register_partitions(spark, tree, table)
+    recent = lookback(spark.table(table), date(2024, 2, 2), 3)
+    with settings(spark, spark__sql__maxMetadataStringLength="1000"):
+        physical = plan(recent).split("== Physical Plan ==")[1]
+    found = physical.split("PartitionFilters: [")[1].split("]")[0]
+    assert all(re.search(rf"{key}#\d+ (>|>=|=) ", found) for key in ("year", "month", "day")), found
+    assert "\nFilter" not in physical  # all of it is decided by partitions
+    assert sorted(f.split("eu-west-1/")[-1][:10] for f in recent.inputFiles() if "eu-west-1" in f) == ["2024/01/30", "2024/02/01", "2024/02/02"]
+    # Without the date, which no metastore knows, the same partitions are asked for.
+    text = spark.table(table).where(from_day(date(2024, 1, 30)))
+    assert sorted(text.inputFiles()) == sorted(recent.inputFiles())
+
+
 def test_many_partitions_take_several_statements(spark, database):
     table = f"{database}.many"
     catalog.create_partitioned_log_table(spark, table, "/nowhere")
