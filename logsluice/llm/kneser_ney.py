@@ -1,332 +1,55 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of word pairs (Chen and Goodman, "An empirical study of smoothing techniques for language modeling", 1999). That of
-``classify`` holds all words of the trusted text; it is in ``word_model``. The one here, for callers who ask for a ``vocabulary``, is of
-bounded size: words are numbers, the most frequent of the trusted text have their own, all others one by their shape. Figures by word are therefore bounded tables, which tasks get with their code; counts of pairs are
-not: they live in shards by hash of the pair, and documents' pairs are joined to them shard by shard.
-
-Between tasks travel packed arrays: from each batch of documents to each shard the batch's pairs, and back to
-the batch what they add to its documents' scores. No text is shuffled.
+The model (``word_model``) is of word pairs and holds all words of the trusted text (Chen and Goodman, "An empirical study of smoothing
+techniques for language modeling", 1999). Limits by language and length come from mergeable sketches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logsluice.llm import word_model
-from logsluice.llm.arrow import pack_planes, text_slices, unpack_planes
-from logsluice.llm.common import bucket, checkpointed, if_small, shuffle_partitions, text_or_empty
+from logsluice.llm.common import checkpointed, if_small, text_or_empty
+from logsluice.llm.word_model import score, train
 
-#: Words with numbers of their own in a model of bounded size. The rest share those of their shapes.
-VOCABULARY = 20_000
 #: Labelled rows that may be broadcast; more are joined by a shuffle.
 LABELS_BROADCAST = 2_000_000
-SLICE = 8 << 20
-
-#: Numbers of a text's start and end, and of a word that is the one before it again.
-START, END, AGAIN = 0, 1, 2
-SHAPE = 3
-#: Shapes by pattern, the first that fits; words that fit none are the shape after.
-SHAPES = (r"^\p{Ll}+$", r"^\p{Lu}\p{Ll}*$", r"^\p{L}+$", r"^\p{Ll}+[.,;:!?]$", r"^\p{Lu}\p{Ll}*[.,;:!?]$", r"^\p{L}+[^\p{L}\p{N}]+$", r"^[\p{N}.,:-]+$", r"^[^\p{L}\p{N}]+$")
-FIRST_WORD = SHAPE + len(SHAPES) + 1
-
-TRAVELS = "part long, base long, data binary"
-
-
-# -- words to pairs
-
-
-def word_numbers(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-    """Numbers of distinct words."""
-    found = pc.index_in(words, value_set=vocabulary)
-    out = pc.fill_null(found, -FIRST_WORD).to_numpy(zero_copy_only=False).astype(np.int64) + FIRST_WORD
-    unknown = np.flatnonzero(out == 0)
-    if len(unknown):
-        rare = words.take(pa.array(unknown))
-        shape = np.full(len(rare), SHAPE + len(SHAPES))
-        for n in range(len(SHAPES) - 1, -1, -1):
-            shape[pc.match_substring_regex(rare, SHAPES[n]).to_numpy(zero_copy_only=False)] = SHAPE + n
-        out[unknown] = shape
-    return out.astype(np.uint32)
-
-
-def text_pairs(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of neighbours, ``first << 16 | second``, with the text of each; a start and an end belong to each text."""
-    words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-    # White space at either end of a text leaves empty words.
-    flat = words.flatten()
-    coded = flat.dictionary_encode()
-    number = word_numbers(coded.dictionary, vocabulary)
-    empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
-    which = coded.indices.to_numpy()
-    real = ~empty[which] if len(empty) else np.zeros(0, bool)
-    word = which[real]
-    ids = number[word] if len(empty) else np.zeros(0, np.uint32)
-    bounds = np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
-    n = np.diff(bounds)
-    again = np.concatenate([[False], word[1:] == word[:-1]])[: len(word)]
-    again[bounds[:-1][n > 0]] = False
-    ids[again] = AGAIN
-    owner = np.repeat(np.arange(len(n)), n + 1)
-    # Words with a start before each text; the second of a pair is the next one, or the end.
-    at = bounds[:-1] + np.arange(len(n))
-    first = np.insert(ids, bounds[:-1], START)
-    second = np.append(first[1:], END)
-    second[(at - 1)[1:]] = END
-    return (first.astype(np.uint32) << np.uint32(16)) | second.astype(np.uint32), owner
-
-
-def _shard(pair: np.ndarray, n: int) -> np.ndarray:
-    h = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
-
-
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    found, first = np.unique(shard[order], return_index=True)
-    yield from zip(found.tolist(), np.split(order, first[1:]))
-
-
-# -- the model
-
-
-def _discounts(counts_of_counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 0, 1, 2, and 3 or more, from how many there are of 1, 2, 3 and 4."""
-    n = [0.0, *map(float, counts_of_counts)]
-    if not (n[1] and n[2]):
-        return np.array([0, 0.5, 0.75, 0.75])
-    y = n[1] / (n[1] + 2 * n[2])
-    off = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.75 for k in (1, 2, 3)]
-    return np.array([0, *(min(max(d, 0.05), k - 0.05) for d, k in zip(off, (1, 2, 3)))])
-
-
-@dataclass
-class Model:
-    """The bounded part: of each word its count as a first, the share left for its lower order, and its probability there."""
-
-    vocabulary: list[str]
-    discounts: np.ndarray
-    total: np.ndarray
-    left: np.ndarray
-    lower: np.ndarray
-
-    def log_probability(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of each pair's second after its first; ``count``: in trusted text."""
-        first, second = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
-        total = self.total[first]
-        seen = np.maximum(count - self.discounts[np.minimum(count, 3)], 0) / np.maximum(total, 1)
-        return np.log(seen + np.where(total > 0, self.left[first], 1.0) * self.lower[second])
-
-
-def _vocabulary(trusted: DataFrame, size: int) -> list[str]:
-    """The most frequent words, at most ``size``; of words in the same bucket of counts all or none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = pc.ascii_split_whitespace(batch.column("text").cast(pa.large_string())).flatten()
-            found = pc.value_counts(words)
-            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
-
-    counts = trusted.select("text").mapInArrow(run, "word string, n long").where("word <> ''")
-    words = counts.groupBy("word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
-    try:
-        # The driver gets a few counts by bucket, and then the words of the highest buckets that fit.
-        buckets = words.groupBy(bucket(F.col("n")).alias("b")).agg(F.count("*").alias("words")).collect()
-        least, held = None, 0
-        for row in sorted(buckets, key=lambda r: -r["b"]):
-            held += row["words"]
-            if held > size:
-                break
-            least = row["b"]
-        return [] if least is None else sorted(r["word"] for r in words.where(F.col("n") >= least).collect())
-    finally:
-        words.unpersist()
-
 
-def _count_pairs(words: list[str], shards: int) -> Callable:
-    vocabulary = pa.array(words, pa.large_string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pair = np.concatenate([text_pairs(s.column("text"), vocabulary)[0] for s in text_slices(batch, "text", SLICE)])
-            # A word said again at once is never learned: it stays as improbable as an unseen one.
-            pair, n = np.unique(pair[pair & np.uint32(0xFFFF) != AGAIN], return_counts=True)
-            out = [(shard, 0, pack_planes(pair[mine], n[mine].astype("<u4"))) for shard, mine in _by_shard(_shard(pair, shards))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "base", "data"])
-
-    return run
-
-
-def _sum_pairs(table: pa.Table) -> pa.Table:
-    parts = [unpack_planes(x, ("<u4", "<u4")) for x in table.column("data").to_pylist()]
-    pair, inverse = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate([n for _, n in parts])).astype("<i8")
-    return pa.table({"part": table.column("part")[:1], "base": pa.array([0]), "data": [pack_planes(pair, n)]}, pa.schema([("part", pa.int64()), ("base", pa.int64()), ("data", pa.binary())]))
-
-
-def _word_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each shard's pairs by word: counts and kinds of pairs it begins, and number of those it ends; under -1, the counts of counts."""
-    for batch in batches:
-        for data in batch.column("data").to_pylist():
-            pair, n = unpack_planes(data, ("<u4", "<i8"))
-            first, second = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
-            word, f = np.unique(first, return_inverse=True)
-            kinds = [np.bincount(f, weights=x, minlength=len(word)).astype(np.int64) for x in (n, n == 1, n == 2, n >= 3)]
-            last, ends = np.unique(second, return_counts=True)
-            of = np.array([[(n == k).sum() for k in (1, 2, 3, 4)]]).T
-            zero = np.zeros(len(last), np.int64)
-            columns = [np.concatenate([word.astype(np.int64), last.astype(np.int64), [-1]])]
-            columns += [np.concatenate([x, zero, of[k]]) for k, x in enumerate(kinds)]
-            columns += [np.concatenate([np.zeros(len(word), np.int64), ends, [0]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "a", "b", "c", "d", "ends"])
-
-
-def train(trusted: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model | None, DataFrame]:
-    """The model of the texts in column ``text``, and the counts of pairs by shard. No text, no model."""
-    shards = shuffle_partitions(trusted.sparkSession)
-    words = _vocabulary(trusted, vocabulary)
-    counted = trusted.select("text").mapInArrow(_count_pairs(words, shards), TRAVELS)
-    counts = checkpointed(counted.groupBy("part").applyInArrow(_sum_pairs, TRAVELS))
-    figures = counts.mapInArrow(_word_figures, "word long, a long, b long, c long, d long, ends long")
-    sums = figures.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("a", "b", "c", "d", "ends")]).toPandas()
-    if sums.empty:
-        return None, counts
-    whole = sums[sums["word"] >= 0]
-    size = FIRST_WORD + len(words)
-    a, b, c, d, ends = np.zeros((5, size))
-    for name, to in zip(("a", "b", "c", "d", "ends"), (a, b, c, d, ends)):
-        to[whole["word"]] = whole[name]
-    off = _discounts(sums.loc[sums["word"] == -1, ["a", "b", "c", "d"]].to_numpy()[0])
-    left = (off[1] * b + off[2] * c + off[3] * d) / np.maximum(a, 1)
-    low = _discounts(np.array([(ends == k).sum() for k in (1, 2, 3, 4)]))
-    taken = low[np.minimum(ends, 3).astype(int)]
-    lower = (ends - taken) / ends.sum() + taken.sum() / ends.sum() / (size - 1)
-    return Model(words, off, a, left, lower), counts
-
-
-# -- scores
-
-
-def _document_pairs(words: list[str], shards: int) -> Callable:
-    vocabulary = pa.array(words, pa.large_string())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in text_slices(batch, "text", 4 * SLICE):
-                pair, owner = text_pairs(some.column("text"), vocabulary)
-                total = np.bincount(owner, minlength=some.num_rows)
-                both, n = np.unique((owner.astype(np.uint64) << np.uint64(32)) | pair, return_counts=True)
-                pair, owner = (both & np.uint64(0xFFFFFFFF)).astype("<u4"), (both >> np.uint64(32)).astype("<u4")
-                base = some.column("row")[0].as_py()
-                own = some.column("trusted").to_numpy(zero_copy_only=False)[owner].astype("<u4")
-                out = [
-                    (shard, base, pack_planes(pair[m], np.diff(owner[m], prepend=0).astype("<u4"), n[m].astype("<u4"), own[m]))
-                    for shard, m in _by_shard(_shard(pair, shards))
-                ]
-                rows = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["part", "base", "data"])
-                none = pa.nulls(rows.num_rows, pa.list_(ABOUT))
-                yield rows.append_column("about", none)
-                about = pa.StructArray.from_arrays([some.column(c) for c in ("key", "lang", "trusted")] + [pa.array(total)], fields=list(ABOUT))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([base % shards]), pa.array([base]), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(about)], pa.int32()), about)],
-                    ["part", "base", "data", "about"],
-                )
-
-    return run
-
-
-ABOUT = pa.struct([("key", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n", pa.int64())])
-ABOUT_SQL = "array<struct<key: long, lang: string, trusted: boolean, n: long>>"
-
-
-def _score(model: Model) -> Callable:
-    def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
-        held = [unpack_planes(x, ("<u4", "<i8")) for x in counts.column("data").to_pylist()]
-        known, times = held[0] if held else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        sums = []
-        for data in asked.column("data").to_pylist():
-            if data is None:
-                sums.append(None)
-                continue
-            pair, step, n, own = unpack_planes(data, ("<u4", "<u4", "<u4", "<u4"))
-            count = np.zeros(len(pair), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-                count = np.where(known[place] == pair, times[place], 0)
-            # A trusted document is judged by what the others hold, as one that is not in the model would be.
-            log = model.log_probability(pair, np.maximum(count - own.astype(np.int64) * n, 0)) * n
-            owner, which = np.unique(np.cumsum(step), return_inverse=True)
-            sums.append(pack_planes(np.diff(owner, prepend=0).astype("<u4"), np.bincount(which, weights=log).astype("<f4")))
-        return asked.set_column(asked.schema.get_field_index("data"), "data", pa.array(sums, pa.binary()))
-
-    return run
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    about = next(x for x in table.column("about").to_pylist() if x is not None)
-    total = np.zeros(len(about))
-    for data in table.column("data").to_pylist():
-        if data is not None:
-            step, log = unpack_planes(data, ("<u4", "<f4"))
-            total[np.cumsum(step)] += log
-    columns = {c: [a[c] for a in about] for c in ("key", "lang", "trusted", "n")}
-    n = np.array(columns["n"])
-    return pa.table(
-        {"key": pa.array(columns["key"], pa.int64()), "lang": pa.array(columns["lang"], pa.string()), "trusted": pa.array(columns["trusted"], pa.bool_()),
-         "n_words": pa.array(n - 1), "surprise": pa.array(-total / n)}
-    )
+def surprise_sketch(scores: DataFrame) -> DataFrame:
+    """Counts of trusted documents by language, length class and ``bucket``, a thousandth of their ``surprise``.
 
+    Short texts vary more, so texts are classed by the number of binary digits of their length, up to ten.
+    """
+    trusted = scores.where("trusted and n_words > 0")
+    return trusted.groupBy("lang", "class", F.floor(F.col("surprise") * 1000).alias("bucket")).agg(F.count("*").alias("n"))
 
-def language_limits(scores: DataFrame, spread: float, least: float) -> DataFrame:
-    """Per language and length class: the highest usual ``surprise``, from quartiles of trusted documents.
 
-    The quartiles come from mergeable counts by bucket of a thousandth. Short texts vary more, so
-    texts are classed by the number of binary digits of their length, up to ten.
-    """
-    counts = scores.where("trusted and n_words > 0").groupBy("lang", "class", F.floor(F.col("surprise") * 1000).alias("bucket")).agg(F.count("*").alias("n"))
-    group = Window.partitionBy("lang", "class")
-    ranked = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
+def usual_limits(counts: DataFrame, by: list[str], spread: float, least: float) -> DataFrame:
+    """The highest usual ``surprise`` of each group ``by`` and how many documents say so, from merged counts."""
+    merged = counts.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by)  # buckets only, whose number is bounded
+    ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
 
     def quantile(share: float):
         return F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("bucket"))) / 1000
 
-    quartiles = ranked.groupBy("lang", "class").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    quartiles = ranked.groupBy(*by).agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.max("all").alias("n"))
     reach = spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-    return quartiles.select("lang", "class", (F.col("q3") + reach).alias("highest"))
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """``key, lang, trusted, n_words, surprise`` of documents ``(key, lang, trusted, text)``.
-
-    ``surprise`` is the mean negative logarithm of the probability of a text's words and its end; perplexity is its exponential.
-    """
-    shards = shuffle_partitions(docs.sparkSession)
-    rows = docs.select("key", "lang", "trusted", "text", F.monotonically_increasing_id().alias("row"))
-    pairs = rows.mapInArrow(_document_pairs(model.vocabulary, shards), TRAVELS + ", about " + ABOUT_SQL)
-    met = counts.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(_score(model), TRAVELS + ", about " + ABOUT_SQL)
-    return met.groupBy("base").applyInArrow(
-        _add_up, "key long, lang string, trusted boolean, n_words long, surprise double"
-    )
+    return quartiles.select(*by, (F.col("q3") + reach).alias("highest"), "n").where("n > 0")
 
 
 def classify(
-    docs: DataFrame, trusted_keys: DataFrame, vocabulary: int | None = None, spread: float = 3.0, least: float = 0.25,
+    docs: DataFrame, trusted_keys: DataFrame, spread: float = 3.0, least: float = 0.25, enough: int = 20,
     key: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """Judge every document by its perplexity: ``doc_id, lang, n_words, perplexity, highest, kept``.
 
     The model is trained on all documents whose key is in the first column of ``trusted_keys``; those are then judged without
-    their own counts of pairs. Every trusted word has its own figures (``word_model``); only with ``vocabulary`` are they bounded. ``kept``: the mean surprise is at most what is usual for trusted documents of the language and
+    their own counts of pairs. ``kept``: the mean surprise is at most what is usual for trusted documents of the language and
     length class: the third quartile plus ``spread`` times the distance of the quartiles (or ``least``, if that is
-    more). Groups without trusted documents take the highest limit of their language, of the length class, or of all.
+    more). Classes with fewer than ``enough`` trusted documents take the quartiles of their language, languages with fewer those
+    of the length class, and classes with fewer those of all; the sketches are merged for that.
 
     Texts without words (null ones too) have null perplexity and are not kept. Null languages are a group. A null key is never
     trusted; repeated rows count as often as they occur; without any trusted text nothing can be judged, and
@@ -340,25 +63,24 @@ def classify(
     marked = marked.select("key", "lang", "text", F.col("_trusted").isNotNull().alias("trusted"))
     if not few:  # a task that is repeated must see its rows in the same order
         marked = marked.sortWithinPartitions("key", F.xxhash64("text", "lang"))
-    model, counts = word_model.train(marked.where("trusted")) if vocabulary is None else train(marked.where("trusted"), vocabulary)
+    model, counts = train(marked.where("trusted"))
     if model is None:
         return rows.select(
             F.col("key").alias(key), "lang", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"),
             *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "highest")], F.lit(True).alias("kept"),
         )
     length_class = F.least(F.length(F.bin("n_words")), F.lit(10))
-    scored = (word_model.score if vocabulary is None else score)(marked, model, counts)
-    scores = checkpointed(scored.withColumn("class", length_class))
-    limits = checkpointed(language_limits(scores, spread, least).withColumnsRenamed({"lang": "l", "class": "c"}))
-    by_lang = limits.groupBy(F.col("l").alias("l2")).agg(F.max("highest").alias("of_lang"))
-    by_class = limits.groupBy(F.col("c").alias("c2")).agg(F.max("highest").alias("of_class"))
-    overall = F.lit(limits.agg(F.max("highest")).first()[0]).cast("double")
-    judged = (
-        scores.join(if_small(limits), F.col("lang").eqNullSafe(F.col("l")) & (F.col("class") == F.col("c")), "left")
-        .join(by_lang, F.col("lang").eqNullSafe(F.col("l2")), "left")
-        .join(by_class, F.col("class") == F.col("c2"), "left")
-        .withColumn("usual", F.coalesce("highest", "of_lang", "of_class", overall))
-    )
+    scores = checkpointed(score(marked, model, counts).withColumn("class", length_class))
+    counts = checkpointed(surprise_sketch(scores))
+    of = {tuple(by): if_small(checkpointed(usual_limits(counts, by, spread, least))) for by in (["lang", "class"], ["lang"], ["class"], [])}
+    judged = scores
+    found = []
+    for n, (by, limits) in enumerate(of.items()):
+        named = limits.select(*[F.col(c).alias(f"_{c}{n}") for c in by], F.col("highest").alias(f"_h{n}"), F.col("n").alias(f"_n{n}"), F.lit(1).alias(f"_one{n}"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}{n}")) for c in by] or [F.lit(1) == F.col(f"_one{n}")]
+        judged = judged.join(named, same, "left")
+        found.append(F.col(f"_h{n}") if not by else F.when(F.col(f"_n{n}") >= enough, F.col(f"_h{n}")))
+    judged = judged.withColumn("usual", F.coalesce(*found))
     words = F.col("n_words") > 0
     return judged.select(
         F.col("key").alias(key), "lang", "n_words", F.when(words, F.exp("surprise")).alias("perplexity"),

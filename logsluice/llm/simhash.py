@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsluice.llm.arrow import text_bytes, text_slices
-from logsluice.llm.common import checkpointed, text_or_empty
+from logsluice.llm.common import checkpointed, shuffle_partitions, text_or_empty
 from logsluice.llm.components import components
 from logsluice.llm.xxh64 import xxh64
 
-#: Fingerprints, about, that the tree of shards is fitted on, those meant to live in a shard, and the fewest of the sample there.
+#: Fingerprints, about, that the tree of shards is fitted on (at least, at most), those meant to live in a shard, and the fewest of the
+#: sample there. The sample grows with the table up to two million, 16 MB.
 SAMPLE = 20_000
+MOST_SAMPLED = 2_000_000
 SHARD = 4_096
 LEAST_IN_SAMPLE = 32
 #: Shards are searched by trees of their own down to so many fingerprints, which are compared with each other.
@@ -220,8 +222,9 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     shards; every fingerprint lives in one and visits those in which its neighbours may live.
     """
     n = distinct.count()
-    # Hashes choose a share of about SAMPLE, whatever the number of partitions.
-    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 31))
+    # Hashes choose a share of about that size, whatever the number of partitions.
+    size = min(max(SAMPLE, 2 * LEAST_IN_SAMPLE * n // SHARD), MOST_SAMPLED)
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(1 << 31)) < int(min(1.0, size / max(1, n)) * (1 << 31))
     sample = np.sort(distinct.where(chosen).select("fp").toPandas()["fp"].to_numpy(np.int64))
     tree = build_tree(np.random.default_rng(0).permutation(sample).view(np.uint64), n, max_bits)
 
@@ -257,13 +260,19 @@ def simhash_groups(
     """
     marked = checkpointed(fingerprints(docs, keys, text, shingle))
     key = F.when(F.col(keys[0]).isNotNull(), F.struct(*keys))
-    distinct = checkpointed(marked.groupBy("fp").agg(F.min(key).alias("first")))
+    distinct = checkpointed(marked.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")))
     roots = components(fingerprint_links(distinct, max_bits))
     linked = checkpointed(roots.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     of_linked = linked.join(lowest, "root").select("fp", "lowest")
     component = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component"))
-    return marked.join(component, "fp")
+    # A fingerprint of more documents than a task's share is dealt to as many tasks as it has shares; there are at most as many such as tasks.
+    share = max(1, distinct.agg(F.sum("n")).first()[0] or 0) // shuffle_partitions(docs.sparkSession) + 1
+    hot = F.broadcast(distinct.where(F.col("n") > share).select("fp", F.ceil(F.col("n") / share).alias("_parts")))
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))
+    dealt = marked.join(hot, "fp", "left").withColumn("_part", part).drop("_parts")
+    each = component.join(hot, "fp", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.join(each.drop("_parts"), ["fp", "_part"]).drop("_part")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

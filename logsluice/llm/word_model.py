@@ -1,11 +1,12 @@
-"""The word pair model of ``kneser_ney`` over all words of the trusted text.
+"""The word pair model of ``kneser_ney``, over all words of the trusted text.
 
 A word is its 64-bit hash, a pair a 64-bit hash of the two. Both are keys of one table of shards, by their leading bits. The
 logarithm of a pair's probability falls into parts that one key alone decides: what its first word leaves to the lower order,
 how probable its second word is there (each as against a word never seen), and what is gained if the pair was seen. So a
 document's score is the sum of what its words and its pairs find in their shards, and no task holds figures of all words.
 
-Between tasks travel packed arrays, as in ``kneser_ney``.
+Between tasks travel packed arrays: from each slice of documents to each shard the slice's keys, and back to the slice what they add
+to its documents' scores. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -77,6 +78,11 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
         yield int(shard[a]), slice(a, b)
 
 
+def _home(base: int, shards: int) -> int:
+    """The shard that what is known of a slice's documents goes by; their numbers begin alike, so they are hashed."""
+    return ((base * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33) % shards
+
+
 def _steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
@@ -91,9 +97,13 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _discounts(counts_of_counts: list[int]) -> np.ndarray:
-    from logsluice.llm.kneser_ney import _discounts
-
-    return _discounts(np.array(counts_of_counts, float))
+    """What is taken off counts of 0, 1, 2, and 3 or more, from how many there are of 1, 2, 3 and 4."""
+    n = [0.0, *map(float, counts_of_counts)]
+    if not (n[1] and n[2]):
+        return np.array([0, 0.5, 0.75, 0.75])
+    y = n[1] / (n[1] + 2 * n[2])
+    off = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.75 for k in (1, 2, 3)]
+    return np.array([0, *(min(max(d, 0.05), k - 0.05) for d, k in zip(off, (1, 2, 3)))])
 
 
 @dataclass
@@ -240,7 +250,7 @@ def _ask(shards: int) -> Callable:
                 yield rows.append_column("about", pa.nulls(rows.num_rows, pa.list_(ABOUT)))
                 about = pa.StructArray.from_arrays([some.column(c) for c in ("key", "lang", "trusted")] + [pa.array(n_pairs)], fields=list(ABOUT))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([base % shards]), pa.array([base]), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(about)], pa.int32()), about)],
+                    [pa.array([_home(base, shards)]), pa.array([base]), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(about)], pa.int32()), about)],
                     ["part", "base", "data", "about"],
                 )
 
@@ -291,7 +301,10 @@ def _add_up(figures: Figures) -> Callable:
 
 
 def score(docs: DataFrame, figures: Figures, known: DataFrame) -> DataFrame:
-    """As ``kneser_ney.score``."""
+    """``key, lang, trusted, n_words, surprise`` of documents ``(key, lang, trusted, text)``.
+
+    ``surprise`` is the mean negative logarithm of the probability of a text's words and its end; perplexity is its exponential.
+    """
     shards = shuffle_partitions(docs.sparkSession)
     rows = docs.select("key", "lang", "trusted", "text", F.monotonically_increasing_id().alias("row"))
     asked = rows.mapInArrow(_ask(shards), ASKS)

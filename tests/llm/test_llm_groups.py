@@ -19,6 +19,7 @@ from logsluice.llm.components import components
 from logsluice.llm.packing import pack, pack_group
 from logsluice.llm.run_index import matching_statistics, repeated_starts, suffix_array
 from logsluice.llm.xxh64 import xxh64
+from logsluice.session import settings
 
 # -- packing
 
@@ -157,6 +158,18 @@ def test_components(spark):
     assert components(rows.where("u < 0")).count() == 0
 
 
+def test_a_hot_fingerprint_is_dealt_to_many_tasks(spark):
+    rows = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, PROSE).otherwise(F.concat_ws(" ", *[F.hash("id", F.lit(k)).cast("string") for k in range(30)])).alias("text")
+    )
+    with settings(spark, spark__sql__shuffle__partitions="16", spark__sql__adaptive__enabled="false"):
+        out = S.simhash_groups(rows)
+        sizes = [n for n in out.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1000, sizes
+        component = {r["doc_id"]: r["component"]["doc_id"] for r in out.collect()}
+    assert all(component[k] == 1 for k in range(4000) if k % 3)
+
+
 def test_simhash_groups_and_what_stays(spark):
     got = S.simhash_groups(odd(spark)).collect()
     assert len(got) == len(ROWS)
