@@ -256,7 +256,9 @@ def simhash_groups(
 
     Texts with equal fingerprints are one node, whatever their number; nodes link at ``max_bits``
     or fewer differing bits. No group of documents is gathered: only distinct fingerprints are compared. Null keys count as smallest
-    only if no key is set; repeated rows share their group; an empty table gives no rows.
+    only if no key is set; repeated rows share their group; an empty table gives no rows. Null and empty texts have fingerprint zero and
+    are a group; a very long text is read whole, in slices. Columns other than ``keys`` and ``text`` are not looked at; keys must not be called
+    ``fp``, ``component`` or begin with ``_pa``.
     """
     marked = checkpointed(fingerprints(docs, keys, text, shingle))
     key = F.when(F.col(keys[0]).isNotNull(), F.struct(*keys))

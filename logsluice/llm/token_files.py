@@ -213,7 +213,8 @@ def write_token_files(
 
     Documents are dealt out by ranges of their keys, so a task holds one range, and cuts
     it into files of bounded size. Null keys come first; equal keys stay in the order read;
-    null and empty texts have the end id alone; an empty table gives no files.
+    null and empty texts have the end id alone; an empty table gives no files. Columns other than ``key`` and ``text`` don't
+    matter, whatever their names. A very long text is encoded as a whole and fills a file alone if it has more ids than one takes.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """Per document of these files: ``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32``.
 
     ``start`` is the number of ids of all documents before it, ``ids_crc32`` the unsigned CRC-32 of its
-    ids as little-endian unsigned 32-bit numbers. Each file is one piece of work.
+    ids as little-endian unsigned 32-bit numbers. Each file is one piece of work, and held as a whole. Null and repeated ids come
+    back as they were written; no files give no rows; columns of ``files`` other than ``file`` and ``n_ids`` don't matter.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

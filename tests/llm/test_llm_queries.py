@@ -31,7 +31,7 @@ def test_registered_names():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 11)) and "pipeline" in names
+    assert all(sum(x.startswith(f"op{n}_") for x in names) == 1 for n in range(1, 14)) and "pipeline" in names
 
 
 def test_stages(spark, tmp_path):
