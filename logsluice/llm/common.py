@@ -31,12 +31,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def tasks_for(df: DataFrame, each: int = 64 << 20) -> int:
-    """Tasks that ``df`` should be dealt to: those of a shuffle, or more if it is larger than ``each`` bytes for one.
+    """Tasks that ``df`` should be dealt to: those of a shuffle, or more if what it is read from has more than ``each`` bytes for one.
 
-    The size is Spark's own estimate, which for files is what they take on disk; where it knows none, it says nothing.
+    The sizes are Spark's own of the tables and files read, which say how much they take there; what has none counts nothing.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(shuffle_partitions(df.sparkSession), -(-size // each) if size < 1 << 60 else 1)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(n).stats().sizeInBytes()) for n in range(leaves.size())]
+    return max(shuffle_partitions(df.sparkSession), -(-sum(size for size in sizes if size < 1 << 60) // each))
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
