@@ -110,8 +110,8 @@ def publish_loads(spark: SparkSession, table: str, location: str, keys: Sequence
         leaves = files.select(folder_of("path").alias("location")).distinct()
         values = {k: F.regexp_extract("location", f"/{k}=([^/]*)/", 1) for k in keys}
         located = leaves.select(
-            unescaped(F.col("location")).alias("location"), F.lit(load).alias(LOAD.name),
-            *[F.when(v != NO_VALUE, unescaped(unescaped(v))).alias(k) for k, v in values.items()],
+            "location", F.lit(load).alias(LOAD.name),
+            *[F.when(v != NO_VALUE, unescaped(v)).alias(k) for k, v in values.items()],
         )
         add_partitions(spark, table, located, (LOAD.name, *keys))
     if new:

@@ -277,6 +277,22 @@ def test_a_table_is_published_twice_without_harm(spark, tree, lake_of):
     assert spark.table(name).count() == 5
 
 
+def test_keys_of_any_text_are_published(spark, lake_of):
+    dest, name = lake_of
+    odd = ["a+b%2 c", "x/y", "é:z", "p=q", None, "it's", "100%25", "__x"]
+    texts = [F.col("v") if f.name in LAKE_KEYS[:3] else F.lit(None) for f in lake_schema().fields]
+    rows = spark.createDataFrame([(v,) for v in odd], "v string").select(
+        *[text.cast(f.dataType).alias(f.name) for text, f in zip(texts, lake_schema().fields)]
+    )
+    ledger.start(spark, dest, "0123")
+    write_lake(rows, dest, load="0123")
+    ledger.finish(spark, dest, "0123", 1, len(odd))
+    assert catalog.publish_loads(spark, name, dest) == 1
+    for shown in (spark.table(name), read_lake(spark, dest)):
+        assert sorted(str(r[0]) for r in shown.select(LAKE_KEYS[0]).collect()) == sorted(map(str, odd))
+        assert {tuple(r) for r in shown.select(*LAKE_KEYS[:3]).collect()} == {(v, v, v) for v in odd}
+
+
 def test_only_the_days_asked_for_are_listed(spark, tree, tmp_path):
     dest = str(tmp_path / "lake")
     jobs.backfill(spark, tree, dest)
