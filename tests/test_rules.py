@@ -14,6 +14,7 @@ from logsluice.schemas import METRIC_POINT, PROBE
 from logsluice.sources.logs import tail_text
 from logsluice.sources import following
 from logsluice.streaming.alarms import alarm_stream, correct_alarms, fan_out, read_alarms, read_delivered, watch_late_points
+from logsluice.streaming.health import KEY_GROUPS, _entries, _store
 from logsluice.streaming.runs import read_health, read_runs, watch_failure_runs, watch_k_of_n
 
 START = datetime(2024, 1, 1)
@@ -199,6 +200,55 @@ def test_k_of_n_stream_equals_batch(spark, tmp_path):
     assert all(r["healthy"] == (r["healthy_children"] >= 2) for r in got.values())
 
 
+def many_keys(spark, inbox):
+    """Two children of each of 2,000 parents, more than there are groups of keys, and a probe that closes their slice."""
+    some = [(2 * n + c, at(n % 50), f"p{n}", r, (n + c) % 3 > 0) for n in range(2000) for c, r in enumerate(("eu", "us"))]
+    spark.createDataFrame([*some, (9999, at(900), "late", "eu", True)], PROBE).write.mode("append").parquet(inbox)
+    return spark.readStream.schema(PROBE).parquet(inbox), some
+
+
+def calls(query):
+    """State entries that each operator wrote, rows that wait for the end of their slice aside."""
+    return [
+        sum(p["stateOperators"][k]["numRowsUpdated"] for p in query.recentProgress)
+        for k, o in enumerate(query.lastProgress["stateOperators"]) if o["operatorName"].startswith("transformWithState")
+    ]
+
+
+def test_k_of_n_calls_states_by_groups_of_keys(spark, tmp_path):
+    stream, some = many_keys(spark, str(tmp_path / "inbox"))
+    root = str(tmp_path / "watch")
+    query = watch_k_of_n(stream, root, ["endpoint"], ["checker_region"], ORDER, ~F.col("healthy"), delay="1 minute", bucket="1 minute")
+    assert len(calls(query)) == 2 and all(0 < n <= KEY_GROUPS < 2000 for n in calls(query))
+    got = {r["endpoint"]: r["healthy_children"] for r in read_health(spark.createDataFrame([], PROBE), root, ["endpoint"]).collect()}
+    assert got == {f"p{n}": (n % 3 > 0) + ((n + 1) % 3 > 0) for n in range(2000)}
+
+
+def test_kept_entries_are_appended_and_written_anew_when_outdated():
+    class Kept(list):
+        get, written = list.copy, 0
+
+        def appendList(self, new):
+            self += new
+            self.written += sum(len(keys) for keys, *_ in new)
+
+        def put(self, new):
+            self.clear()
+            self.appendList(new)
+
+    state, rng, wanted = Kept(), random.Random(3), {}
+    changes = 0
+    for _ in range(500):
+        changed = {f"k{k}": (rng.randrange(9), rng.randrange(9)) for k in rng.sample(range(40), rng.randrange(4))}
+        wanted.update(changed)
+        changes += len(changed)
+        known, stored = _entries(state)
+        _store(state, known, stored, changed)
+        known, stored = _entries(state)
+        assert known == wanted and stored <= 2 * len(wanted)
+    assert state.written <= 3 * changes
+
+
 def test_alarm_stream_fans_out_closed_windows(spark, tmp_path):
     inbox, sinks = str(tmp_path / "inbox"), [str(tmp_path / "mail"), str(tmp_path / "queue")]
     frame = points(spark, (0, "a", 1.0), (200, "a", 1.0), (400, "b", 2.0), (90000, "a", 5.0))
