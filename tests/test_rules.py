@@ -224,6 +224,15 @@ def test_k_of_n_calls_states_by_groups_of_keys(spark, tmp_path):
     assert got == {f"p{n}": (n % 3 > 0) + ((n + 1) % 3 > 0) for n in range(2000)}
 
 
+def test_failure_runs_call_states_by_groups_of_keys(spark, tmp_path):
+    stream, some = many_keys(spark, str(tmp_path / "inbox"))
+    root = str(tmp_path / "watch")
+    query = watch_failure_runs(stream, root, KEYS, ORDER, ~F.col("healthy"), delay="1 minute", bucket="1 minute")
+    assert len(calls(query)) == 1 and 0 < calls(query)[0] <= KEY_GROUPS < 4000
+    got = {r["probe_id"]: r["run"] for r in read_runs(spark.createDataFrame([], PROBE), root).collect()}
+    assert got == expected_runs(some)
+
+
 def test_kept_entries_are_appended_and_written_anew_when_outdated():
     class Kept(list):
         get, written = list.copy, 0
