@@ -11,6 +11,7 @@ from logsluice.operators.alarms import threshold_alarm
 from logsluice.operators.health import calculated_health, k_of_n, latest_status
 from logsluice.operators.runs import failure_runs
 from logsluice.schemas import METRIC_POINT, PROBE
+from logsluice.plans import derived
 from logsluice.sources.logs import tail_text
 from logsluice.sources import following
 from logsluice.streaming.alarms import alarm_stream, correct_alarms, fan_out, read_alarms, read_delivered, watch_late_points
@@ -258,6 +259,23 @@ def test_kept_entries_are_appended_and_written_anew_when_outdated():
     assert state.written <= 3 * changes
 
 
+def test_a_larger_table_makes_more_logs(spark, tmp_path, monkeypatch):
+    """A task writes one log, so that one must not grow with the table; those of the second half go on from the first."""
+    texts, folder = str(tmp_path), tmp_path / "logs"
+    rows = [(n, f"line {n} {random.Random(n).random()}") for n in range(3000)]
+    spark.createDataFrame([*rows, (9999, None)], "doc_id long, text string").repartition(3).write.parquet(f"{texts}/documents.parquet")
+    monkeypatch.setattr(derived, "LOG_BYTES", 8000)
+    sizes, seen = [], []
+    for half in range(2):
+        derived.grow_log(spark, texts, folder.as_uri(), half)
+        logs = sorted(p for p in folder.iterdir() if not p.name.startswith("."))
+        seen.append({p.name.removesuffix(".1"): p.read_text() for p in logs})
+        sizes.append(max(p.stat().st_size for p in logs))
+    assert len(seen[1]) > 2 * derived.LOG_FILES and sizes[1] < sum(map(len, seen[1].values())) / derived.LOG_FILES / 2
+    assert sorted("".join(seen[1].values()).splitlines()) == sorted(text for _, text in rows)
+    assert all(seen[1][name].startswith(text) for name, text in seen[0].items())
+
+
 def test_alarm_stream_fans_out_closed_windows(spark, tmp_path):
     inbox, sinks = str(tmp_path / "inbox"), [str(tmp_path / "mail"), str(tmp_path / "queue")]
     frame = points(spark, (0, "a", 1.0), (200, "a", 1.0), (400, "b", 2.0), (90000, "a", 5.0))
