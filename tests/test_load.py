@@ -1,6 +1,7 @@
+import json
 import os
 import shutil
-from datetime import date
+from datetime import date, datetime
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,7 @@ from logsluice.functions.names import snake_case
 from logsluice.functions.paths import ACCOUNT_LAYOUT
 from logsluice.operators.flatten import as_text, flatten, to_lake_rows, to_lake_rows_by_folder
 from logsluice.functions.timeparts import utc_instant
-from logsluice.plans import catalog, jobs
+from logsluice.plans import catalog, derived, jobs
 from logsluice.schemas import LAKE_KEYS, RECORD, lake_schema, leaf_paths, record_schema
 from logsluice.session import settings
 from logsluice.sources.audit import NO_RECORDS, NOT_JSON, UNREADABLE, explode_records, read_days, read_envelopes, with_folder_keys
@@ -413,3 +414,21 @@ def test_streamed_load_splits_a_hot_partition_too(spark, tmp_path):
         ingest(spark.readStream.schema(rows.schema).parquet(inbox), dest, ["account"])
     assert len(list((tmp_path / "lake/account=a").glob("*.parquet"))) > 3
     assert spark.read.parquet(dest).count() == 60000
+
+
+def test_derived_logs_are_full_before_a_folder_gets_another(spark, tmp_path, monkeypatch):
+    """Ids far apart, repeated ones and ones without a user or ``props``: each record once, in as few files as its folder needs."""
+    monkeypatch.setattr(derived, "RECORDS_PER_FILE", 20)
+    ids = [5000 * n for n in range(100)] * 2
+    rows = [(i, datetime(2024, 1, 1, 3), None if n % 50 == 7 else n % 2, "view", 1.0, None if n % 50 == 9 else '{"k": 5}') for n, i in enumerate(ids)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/events.parquet")
+    root = derived.log_tree(spark, str(tmp_path))
+    # As text, whose lines are files here; digests are copies.
+    logs = spark.read.text(root).where("type = 'CloudTrail'").select("accountid", "region", "value").collect()
+    per_folder = {}
+    for account, region, text in logs:
+        per_folder.setdefault((account, region), []).append([int(r["eventID"]) for r in json.loads(text)["Records"]])
+    assert sorted(i for files in per_folder.values() for f in files for i in f) == sorted(ids) and len(per_folder) == 4
+    needed = {folder: -(-sum(map(len, files)) // 20) for folder, files in per_folder.items()}
+    assert all(len(files) <= needed[folder] for folder, files in per_folder.items()) and max(map(len, per_folder.values())) > 2
