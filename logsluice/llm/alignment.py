@@ -154,8 +154,7 @@ class _Parts:
             return values - np.repeat(before - np.diff(before, prepend=0), np.diff(of, prepend=0))
 
         values = [a_ids, b_ids, own(a_ends, n_a, groups), own(b_ends, n_b, groups), own(link_a, n_a, links), own(link_b, n_b, links)]
-        spelt = groups_text(a_ids, b_ids, a_ends, b_ends).split(";")
-        texts = [";".join(spelt[i:j]) for i, j in zip([0, *groups.tolist()], groups.tolist())]
+        texts = groups_text(a_ids, b_ids, a_ends, b_ends, groups).split("\n")
         self._add(parts, values, {"a_ids": n_a, "b_ids": n_b, "a_ends": groups, "link_a": links}, texts)
 
     def _add(self, parts: list[str], values: list[np.ndarray], upto: dict[str, np.ndarray], groups: list[str]) -> None:
@@ -222,24 +221,26 @@ def _parts_met(files: Tokenizers) -> _Parts:
 
 
 @cache
-def _spelt(n: int, mark: str) -> list[str]:
-    return [f"{k}{mark}" for k in range(n)]
+def _spelt(n: int, mark: str) -> np.ndarray:
+    return np.array([f"{k}{mark}" for k in range(n)], object)
 
 
-def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
-    """Groups as ``a1,a2|b1;a3|b2``."""
+def groups_text(
+    a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, texts: np.ndarray | None = None
+) -> str:
+    """Groups as ``a1,a2|b1;a3|b2``; where ``texts`` (numbers of groups up to the end of each) end, a line ends instead."""
     if not len(a_ends):
         return ""
     m, n = np.diff(a_ends, prepend=0), np.diff(b_ends, prepend=0)
-    total = len(a_ids) + len(b_ids)
     # Ids of a stand before those of b in each group; the last of either in a group has another mark behind it.
-    pieces = np.empty(total, object)
+    pieces = np.empty(len(a_ids) + len(b_ids), object)
     for ids, ends, before, between, last in ((a_ids, a_ends, np.repeat(b_ends - n, m), ",", "|"), (b_ids, b_ends, np.repeat(a_ends, n), ",", ";")):
         size = 1 << int(ids.max()).bit_length()
-        words = list(map(_spelt(size, between).__getitem__, ids.tolist()))
-        for k, end in zip((ends - 1).tolist(), ids[ends - 1].tolist()):
-            words[k] = _spelt(size, last)[end]
+        words = _spelt(size, between)[ids]
+        words[ends - 1] = _spelt(size, last)[ids[ends - 1]]
         pieces[np.arange(len(ids)) + before] = words
+    if texts is not None:
+        pieces[(a_ends + b_ends - 1)[texts - 1]] = _spelt(size, "\n")[b_ids[b_ends[texts - 1] - 1]]
     return "".join(pieces.tolist())[:-1]
 
 

@@ -160,3 +160,10 @@ def test_alignment_names_the_groups(spark):
         assert a == b"".join(b_bytes[i] for i in row["b_ids"][start[1] : end[1]]) and a
         start = end
     assert start == (len(row["a_ids"]), len(row["b_ids"]))
+
+
+def test_groups_of_many_texts_are_spelt_together():
+    a_ids, b_ids = np.array([5, 6, 7, 8]), np.array([1, 2, 3, 4, 9])
+    a_ends, b_ends = np.array([1, 3, 4]), np.array([2, 3, 5])
+    assert groups_text(a_ids, b_ids, a_ends, b_ends) == "5|1,2;6,7|3;8|4,9"
+    assert groups_text(a_ids, b_ids, a_ends, b_ends, np.array([1, 3])).split("\n") == ["5|1,2", "6,7|3;8|4,9"]
