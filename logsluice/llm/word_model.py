@@ -32,6 +32,8 @@ START, END = np.uint64(1), np.uint64(2)
 ABOUT = pa.struct([("key", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n", pa.int64())])
 TRAVELS = "part long, base long, data binary"
 ASKS = TRAVELS + ", about array<struct<key: long, lang: string, trusted: boolean, n: long>>"
+#: What a row that meets others in a shard holds: pairs and their counts, figures of words, or what documents ask for.
+PAIRS, WORDS, ASKED = range(3)
 FOUR = ("<i8",) * 4
 FIVE = ("<i8",) * 5
 
@@ -87,6 +89,21 @@ def _steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
+def pack_pairs(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs, no two alike, with their counts. Each word is spelt once; a pair is its words' places among them, as a step from the last."""
+    word, at = np.unique(np.concatenate([first, second]), return_inverse=True)
+    pair = at[: len(first)].astype(np.uint64) * np.uint64(len(word)) + at[len(first) :].astype(np.uint64)
+    order = np.argsort(pair)
+    return pack_planes(_steps(word), _steps(pair[order]), n[order].astype("<u8"))
+
+
+def unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words in order, the places of the pairs' first and second words among them, and the pairs' counts."""
+    steps, pairs, n = unpack_planes(data, ("<u8", "<u8", "<u8"))
+    first, second = np.divmod(np.cumsum(pairs, dtype=np.uint64), np.uint64(max(len(steps), 1)))
+    return np.cumsum(steps, dtype=np.uint64), first.astype(np.int64), second.astype(np.int64), n.astype(np.int64)
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = {"data": pa.binary()}
     columns = list(zip(*rows)) if rows else [[] for _ in names]
@@ -128,18 +145,18 @@ def _count_pairs(shards: int) -> Callable:
             for some in text_slices(batch, "text", 2 * SLICE):
                 first, second, _ = text_pairs(some.column("text"))
                 key, place, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
-                out = [(shard, pack_planes(first[place[m]], second[place[m]], n[m].astype("<u4"))) for shard, m in _by_shard(key, shards)]
+                out = [(shard, pack_pairs(first[place[m]], second[place[m]], n[m])) for shard, m in _by_shard(key, shards)]
                 yield _batch(out, ["part", "data"])
 
     return run
 
 
 def _sum_pairs(table: pa.Table) -> pa.Table:
-    parts = [unpack_planes(x, ("<u8", "<u8", "<u4")) for x in table.column("data").to_pylist()]
+    parts = [(word[f], word[s], n) for word, f, s, n in map(unpack_pairs, table.column("data").to_pylist())]
     first, second, n = (np.concatenate(x) for x in zip(*parts))
     _, place, inverse = np.unique(pair_keys(first, second), return_index=True, return_inverse=True)
     n = np.bincount(inverse, weights=n).astype("<i8")
-    row = (table.column("part")[0].as_py(), pack_planes(first[place], second[place], n), *[int((n == k).sum()) for k in (1, 2, 3, 4)])
+    row = (table.column("part")[0].as_py(), pack_pairs(first[place], second[place], n), *[int((n == k).sum()) for k in (1, 2, 3, 4)])
     return pa.Table.from_batches([_batch([row], ["part", "data", "n1", "n2", "n3", "n4"])])
 
 
@@ -149,9 +166,7 @@ def _word_figures(shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
-                first, second, n = unpack_planes(data, ("<u8", "<u8", "<i8"))
-                word, at = np.unique(np.concatenate([first, second]), return_inverse=True)
-                f, s = at[: len(first)], at[len(first) :]
+                word, f, s, n = unpack_pairs(data)
                 sums = [np.bincount(f, weights=x, minlength=len(word)).astype("<i8") for x in (n, n == 1, n == 2, n >= 3)]
                 sums.append(np.bincount(s, minlength=len(word)).astype("<i8"))
                 yield _batch([(shard, part, pack_planes(_steps(word[m]), *[x[m] for x in sums])) for shard, m in _by_shard(word, shards)], ["part", "base", "data"])
@@ -176,36 +191,29 @@ def _sum_words(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, ["to", "at", "data", "ends", "kinds", "n1", "n2", "n3", "n4"])])
 
 
-def _known(figures: Figures) -> Callable:
-    """A shard of the model: keys with what each adds, and of pairs the count, that of the first word, and the probability if unseen."""
-
-    def run(pairs: pa.Table, words: pa.Table) -> pa.Table:
-        replies = dict(zip(words.column("at").to_pylist(), words.column("data").to_pylist()))
-        key, value, n, total, rest = (np.zeros(0, t) for t in ("<u8", "<f8", "<i8", "<i8", "<f8"))
-        if -1 in replies:
-            step, *of, ends = unpack_planes(replies.pop(-1), ("<u8", *FIVE))
-            key = np.cumsum(step, dtype=np.uint64)
-            with np.errstate(divide="ignore"):
-                value = np.where(of[0] > 0, np.log(figures.left(*of)), 0.0) + np.where(ends > 0, np.log(figures.lower(ends) / figures.unseen), 0.0)
-            n, total, rest = np.zeros(len(key), "<i8"), np.ones(len(key), "<i8"), np.ones(len(key))
-        for data in pairs.column("data").to_pylist():
-            first, second, count = unpack_planes(data, ("<u8", "<u8", "<i8"))
-            *of, ends = (np.concatenate(x) for x in zip(*[unpack_planes(replies[k], FIVE) for k in sorted(replies)]))
-            _, at = np.unique(np.concatenate([first, second]), return_inverse=True)
-            f, s = at[: len(first)], at[len(first) :]
-            key = np.concatenate([key, pair_keys(first, second)])
-            value = np.concatenate([value, np.zeros(len(first))])
-            n, total = np.concatenate([n, count]), np.concatenate([total, of[0][f]])
-            rest = np.concatenate([rest, figures.left(*of)[f] * figures.lower(ends)[s]])
-        order = np.argsort(key)
-        data = pack_planes(_steps(key[order]), value[order].astype("<f4"), n[order], total[order], rest[order].astype("<f4"))
-        return pa.Table.from_batches([_batch([(words.column("to")[0].as_py(), data)], ["part", "data"])])
-
-    return run
+def _known(figures: Figures, pairs: pa.Table, words: pa.Table) -> tuple[np.ndarray, ...]:
+    """A shard of the model: sorted keys with what each adds, and of pairs the count, that of the first word, and the probability if unseen."""
+    replies = dict(zip(words.column("base").to_pylist(), words.column("data").to_pylist()))
+    key, value, n, total, rest = (np.zeros(0, t) for t in ("<u8", "<f8", "<i8", "<i8", "<f8"))
+    if -1 in replies:
+        step, *of, ends = unpack_planes(replies.pop(-1), ("<u8", *FIVE))
+        key = np.cumsum(step, dtype=np.uint64)
+        with np.errstate(divide="ignore"):
+            value = np.where(of[0] > 0, np.log(figures.left(*of)), 0.0) + np.where(ends > 0, np.log(figures.lower(ends) / figures.unseen), 0.0)
+        n, total, rest = np.zeros(len(key), "<i8"), np.ones(len(key), "<i8"), np.ones(len(key))
+    for data in pairs.column("data").to_pylist():
+        word, f, s, count = unpack_pairs(data)
+        *of, ends = (np.concatenate(x) for x in zip(*[unpack_planes(replies[k], FIVE) for k in sorted(replies)]))
+        key = np.concatenate([key, pair_keys(word[f], word[s])])
+        value = np.concatenate([value, np.zeros(len(f))])
+        n, total = np.concatenate([n, count]), np.concatenate([total, of[0][f]])
+        rest = np.concatenate([rest, figures.left(*of)[f] * figures.lower(ends)[s]])
+    order = np.argsort(key)
+    return key[order], value[order].astype("<f4"), n[order], total[order], rest[order].astype("<f4")
 
 
 def train(trusted: DataFrame) -> tuple[Figures | None, DataFrame | None]:
-    """The model of the texts in column ``text``: figures for all words, and those of each word and pair by shard. No text, no model."""
+    """The model of the texts in column ``text``: figures for all words, and the rows that make up its shards. No text, no model."""
     shards = shuffle_partitions(trusted.sparkSession)
     counted = trusted.select("text").mapInArrow(_count_pairs(shards), "part long, data binary")
     counts = checkpointed(counted.groupBy("part").applyInArrow(_sum_pairs, "part long, data binary, n1 long, n2 long, n3 long, n4 long"))
@@ -219,8 +227,8 @@ def train(trusted: DataFrame) -> tuple[Figures | None, DataFrame | None]:
     taken = low[1] * ends["n1"] + low[2] * ends["n2"] + low[3] * (ends["kinds"] - ends["n1"] - ends["n2"])
     # All words never seen are one more word.
     figures = Figures(_discounts(list(pairs)), low, ends["ends"], taken / ends["ends"] / (ends["kinds"] + 1))
-    known = counts.select("part", "data").groupBy("part").cogroup(words.select("to", "at", "data").groupBy("to"))
-    return figures, known.applyInArrow(_known(figures), "part long, data binary")
+    held = counts.select("part", F.lit(-1).cast("long").alias("base"), "data", F.lit(PAIRS).alias("kind"))
+    return figures, held.union(words.select("to", "at", "data", F.lit(WORDS)))
 
 
 # -- scores
@@ -258,10 +266,11 @@ def _ask(shards: int) -> Callable:
 
 
 def _gains(figures: Figures) -> Callable:
-    def run(known: pa.Table, asked: pa.Table) -> pa.Table:
-        held = [unpack_planes(x, ("<u8", "<f4", "<i8", "<i8", "<f4")) for x in known.column("data").to_pylist()]
-        step, value, times, total, rest = held[0] if held else [np.zeros(0, t) for t in ("<u8", "<f4", "<i8", "<i8", "<f4")]
-        keys = np.cumsum(step, dtype=np.uint64)
+    def run(table: pa.Table) -> pa.Table:
+        pairs, words, asked = (table.filter(pc.equal(table.column("kind"), kind)).drop_columns("kind") for kind in (PAIRS, WORDS, ASKED))
+        if not len(asked):
+            return asked
+        keys, value, times, total, rest = _known(figures, pairs, words)
         sums = []
         for data in asked.column("data").to_pylist():
             if data is None:
@@ -308,5 +317,6 @@ def score(docs: DataFrame, figures: Figures, known: DataFrame) -> DataFrame:
     shards = shuffle_partitions(docs.sparkSession)
     rows = docs.select("key", "lang", "trusted", "text", F.monotonically_increasing_id().alias("row"))
     asked = rows.mapInArrow(_ask(shards), ASKS)
-    met = known.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_gains(figures), ASKS)
+    both = asked.withColumn("kind", F.lit(ASKED)).unionByName(known, allowMissingColumns=True)
+    met = both.groupBy("part").applyInArrow(_gains(figures), ASKS)
     return met.groupBy("base").applyInArrow(_add_up(figures), "key long, lang string, trusted boolean, n_words long, surprise double")

@@ -4,10 +4,13 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from odd import ROWS, odd
+from pyspark.sql import functions as F
 
 from logsluice.llm import kneser_ney as K
+from logsluice.llm import word_model as W
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -98,3 +101,24 @@ def test_odd_rows(spark):
     finally:
         K.LABELS_BROADCAST = limit
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_packed_pairs_spell_each_word_once():
+    r = np.random.default_rng(5)
+    words = np.unique(r.integers(0, 1 << 64, 900, dtype=np.uint64, endpoint=False))
+    pair = r.permutation(np.unique(r.integers(0, len(words) ** 2, 50_000)))
+    first, second, n = words[pair // len(words)], words[pair % len(words)], r.integers(1, 1 << 40, len(pair))
+    packed = W.pack_pairs(first, second, n % 5 + 1)
+    word, f, s, counts = W.unpack_pairs(packed)
+    assert set(zip(word[f].tolist(), word[s].tolist(), counts.tolist())) == set(zip(first.tolist(), second.tolist(), (n % 5 + 1).tolist()))
+    assert len(packed) < 5 * len(pair)  # two words of 8 bytes each took 16
+    assert sorted(W.unpack_pairs(W.pack_pairs(first, second, n))[3].tolist()) == sorted(n.tolist())
+    assert all(len(x) == 0 for x in W.unpack_pairs(W.pack_pairs(first[:0], second[:0], n[:0])))
+
+
+def test_pairs_and_words_are_sent_to_a_shard_once(spark):
+    docs = odd(spark)
+    figures, held = W.train(docs.select(K.text_or_empty("text").alias("text")))
+    rows = docs.select(docs.doc_id.alias("key"), "lang", F.lit(True).alias("trusted"), K.text_or_empty("text").alias("text"))
+    plan = W.score(rows, figures, held)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # to the shards, and back to the documents
