@@ -2,9 +2,11 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import ROWS, odd
 from pyspark.sql import functions as F
@@ -122,3 +124,74 @@ def test_pairs_and_words_are_sent_to_a_shard_once(spark):
     rows = docs.select(docs.doc_id.alias("key"), "lang", F.lit(True).alias("trusted"), K.text_or_empty("text").alias("text"))
     plan = W.score(rows, figures, held)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # to the shards, and back to the documents
+
+
+def plain_surprises(texts, trusted):
+    """Of each text the mean negative logarithm of its words' and its end's probability; ``trusted``: which texts make the model."""
+    def pairs(text):
+        words = ["<", *text.split(), ">"]
+        return Counter(zip(words, words[1:]))
+
+    seen = Counter()
+    for text, good in zip(texts, trusted):
+        seen.update(pairs(text) if good else {})
+    total, ends, kinds = Counter(), Counter(s for _, s in seen), defaultdict(Counter)
+    for (f, _), n in seen.items():
+        total[f] += n
+        kinds[f][min(n, 3)] += 1
+    off, low = discounts(list(seen.values())), discounts(list(ends.values()))
+    unseen = sum(low[min(n, 3)] for n in ends.values()) / len(seen) / (len(ends) + 1)
+    out = []
+    for text, good in zip(texts, trusted):
+        logs = 0.0
+        for (f, s), n in pairs(text).items():
+            left = sum(off[k] * m for k, m in kinds[f].items()) / total[f] if total[f] else 1.0
+            lower = (ends[s] - low[min(ends[s], 3)]) / len(seen) + unseen
+            count = max(seen[f, s] - n * good, 0)
+            logs += n * math.log(left * lower + (max(count - off[min(count, 3)], 0) / total[f] if total[f] else 0))
+        out.append(-logs / (len(text.split()) + 1))
+    return out
+
+
+def zipf_texts(n, words, seed, vocabulary=20_000):
+    r = np.random.default_rng(seed)
+    return [" ".join(f"w{k}" for k in np.minimum(r.zipf(1.3, words), vocabulary)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 100, 1 << 17])
+def test_surprises_against_dictionaries_however_words_are_spelt(spark, monkeypatch, frequent):
+    texts = [*zipf_texts(60, 120, 4), "", "no word of these is held", "w1 w1 w1", "w1 unheard w2", "w19999 unheard", "w1"]
+    trusted = [k % 3 == 0 and k < 60 for k in range(len(texts))]
+    wanted = plain_surprises(texts, trusted)
+    monkeypatch.setattr(W, "FREQUENT", frequent)
+    rows = spark.createDataFrame([(k, "en", good, text) for k, (good, text) in enumerate(zip(trusted, texts))], "key long, lang string, trusted boolean, text string")
+    rows = rows.repartition(3, "key")
+    figures, held = W.train(rows.where("trusted"))
+    assert len(figures.frequent) <= frequent and (len(figures.pairs) > 0) == (frequent > 0)
+    full = replace(figures.filter, held=np.full_like(figures.filter.held, 255), size=np.maximum(figures.filter.size, 8))
+    # Nor does it matter which pairs every task knows, or whether the filter lets all words pass.
+    for some in (figures, replace(figures, pairs=figures.pairs[:0], times=figures.times[:0], filter=full)):
+        out = {x["key"]: x for x in W.score(rows, some, held).collect()}
+        assert len(out) == len(texts)
+        for k, text in enumerate(texts):
+            assert out[k]["n_words"] == len(text.split()) and out[k]["surprise"] == pytest.approx(wanted[k], abs=1e-5)
+
+
+def test_what_documents_ask_for_is_small(spark):
+    texts = zipf_texts(600, 500, 7, 1_000_000)
+    rows = spark.createDataFrame([(k, "en", k % 3 == 0, text) for k, text in enumerate(texts)], "key long, lang string, trusted boolean, text string")
+    figures, held = W.train(rows.where("trusted"))
+    batch = pa.RecordBatch.from_pydict({"key": range(600), "lang": ["en"] * 600, "trusted": [k % 3 == 0 for k in range(600)], "text": texts, "row": range(600)})
+    asked = [x for part in W._ask(figures, 4)(iter([batch])) for x in part.column("data").to_pylist() if x is not None]
+    assert asked and sum(map(len, asked)) < 2 * 600 * 501  # 3.4 bytes for a pair when all were asked for by 64-bit keys
+
+
+def test_the_filter_loses_no_word():
+    r = np.random.default_rng(2)
+    words = np.unique(r.integers(int(W.RARE), 1 << 64, 20_000, dtype=np.uint64, endpoint=False))
+    held, others = words[::2], words[1::2]
+    shard = W.word_shards(held, 7)
+    for most, passes in ((1 << 20, 0.06), (64, 1.0)):
+        found = W.Filter.of({k: W.word_filter(held[shard == k], most) for k in range(6)}, 7)
+        assert (found.may_hold(held) == (shard < 6)).all() and found.may_hold(others).mean() <= passes
+    assert not W.Filter.of({}, 3).may_hold(words).any() and not len(found.may_hold(words[:0]))
